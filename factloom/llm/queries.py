@@ -6,13 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, classifier, fingerprints, packing, pii, quality_rules, warc
+from . import byte_bpe, chat, classifier, fingerprints, jaccard_join, packing, pii, quality_rules, suffix_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     says = "</s>[INST] ok [/INST]"
@@ -50,5 +58,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_chat_formatting, op4_pii_surrogates, op5_byte_bpe, op6_warc_derivatives, op7_fingerprints, op8_quality_classifier, op9_packing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_suffix_dedup, op3_chat_formatting, op4_pii_surrogates, op5_byte_bpe, op6_warc_derivatives, op7_fingerprints, op8_quality_classifier, op9_packing, op10_quality_rules)}
 SQL: dict[str, str] = {}

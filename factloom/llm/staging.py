@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -42,3 +43,9 @@ def drop(*frames: DataFrame) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished phases, which it does when its driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
