@@ -17,7 +17,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -148,20 +148,41 @@ def isotonic(y: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(k), s / c if c else 0.5) for s, c, k in blocks])
 
 
-def score(docs: DataFrame, labels: DataFrame, learn_from, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", features: int = FEATURES) -> DataFrame:
-    """doc_id, score (0 to 1, higher: label 1 likelier). learn_from: condition on doc_id for rows whose
-    labels may be learned from; labels of other rows are never read into the fit."""
-    spark = docs.sparkSession
-    src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    stats = staged(features_of(src), "stats")
+class Model:
+    """A fitted classifier: statistics to scores."""
+
+    def __init__(self, fourier: Fourier | None, weights: np.ndarray | None, curve: np.ndarray | None):
+        self.fourier, self.weights, self.curve = fourier, weights, curve
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        if self.fourier is None:
+            return np.full(len(x), 0.5)
+        raw = self.fourier(x) @ self.weights
+        # A small share of the raw score keeps the order within the flat steps of the curve.
+        return np.clip(0.99 * self.curve[bins(raw)] + 0.01 / (1 + np.exp(-4 * (raw - 0.5))), 0, 1)
+
+    def column(self, text) -> Column:
+        """Score of a text column, as an expression."""
+        model = self
+
+        @F.arrow_udf(T.DoubleType())
+        def scored(texts: pa.Array) -> pa.Array:
+            parts = slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text")
+            return pa.array(np.concatenate([np.zeros(0), *(model(statistics(b.column("text"))) for b in parts)]), pa.float64())
+
+        return scored(text)
+
+
+def fit(stats: DataFrame, labels: DataFrame, learn_from, id_col: str = "doc_id", label_col: str = "quality", features: int = FEATURES) -> Model:
+    """Fits on the rows of stats (doc_id, stats) whose label learn_from lets it see."""
+    spark = stats.sparkSession
     known = labels.select(labels[id_col].alias("doc_id"), labels[label_col].cast("double").alias("label")).filter(F.col("label").isin(0.0, 1.0)).filter(learn_from)
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     rows = staged(stats.join(known, "doc_id").select("stats", "label"), "labelled")
     sums = rows.select(F.posexplode("stats").alias("k", "x")).groupBy("k").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).collect()
-    out = T.StructType().add(stats.schema["doc_id"]).add("score", T.DoubleType())
     if not sums:
         drop(rows)
-        return stats.select("doc_id", F.lit(0.5).alias("score"))
+        return Model(None, None, None)
     moments = sorted((r["k"], r["m"], r["s"]) for r in sums)
     fourier = Fourier(np.array([m for _, m, _ in moments]), np.array([s for *_, s in moments]), features)
     pair = T.StructType().add("k", T.IntegerType()).add("v", T.BinaryType())
@@ -202,18 +223,33 @@ def score(docs: DataFrame, labels: DataFrame, learn_from, id_col: str = "doc_id"
     for r in rows.mapInArrow(histogram, binned).groupBy("bin").agg(F.sum("y").alias("y"), F.sum("n").alias("n")).collect():
         y[r["bin"]], n[r["bin"]] = r["y"], r["n"]
     drop(rows)
-    curve = isotonic(y, n)
+    return Model(fourier, weights, isotonic(y, n))
+
+
+def score(docs: DataFrame, labels: DataFrame, learn_from, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", features: int = FEATURES) -> DataFrame:
+    """doc_id, score (0 to 1, higher: label 1 likelier). learn_from: condition on doc_id for rows whose
+    labels may be learned from; labels of other rows are never read into the fit."""
+    src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    stats = staged(features_of(src), "stats")
+    model = fit(stats, labels, learn_from, id_col, label_col, features)
+    out = T.StructType().add(stats.schema["doc_id"]).add("score", T.DoubleType())
 
     def scored(batches):
         for b in batches:
-            raw = fourier(_matrix(b.column("stats"))) @ weights
-            # A small share of the raw score keeps the order within the flat steps of the curve.
-            value = 0.99 * curve[bins(raw)] + 0.01 / (1 + np.exp(-4 * (raw - 0.5)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.clip(value, 0, 1))], names=out.fieldNames())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model(_matrix(b.column("stats"))))], names=out.fieldNames())
 
     return stats.mapInArrow(scored, out)
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, learn_from, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The rows of docs that score at least threshold. The fit reads the texts once, the filter once more."""
+    src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    stats = staged(features_of(src), "stats")
+    model = fit(stats, labels, learn_from, id_col, label_col)
+    drop(stats)
+    return docs.filter(model.column(docs[text_col].cast("string")) >= threshold)
+
+
 def bins(raw: np.ndarray) -> np.ndarray:
     """Bin of a raw score, on a fixed grid over -0.5 to 1.5."""
     return np.clip((raw + 0.5) * (BINS / 2), 0, BINS - 1).astype(np.int64)

@@ -58,5 +58,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_suffix_dedup, op3_chat_formatting, op4_pii_surrogates, op5_byte_bpe, op6_warc_derivatives, op7_fingerprints, op8_quality_classifier, op9_packing, op10_quality_rules)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_suffix_dedup, op3_chat_formatting, op4_pii_surrogates, op5_byte_bpe, op6_warc_derivatives, op7_fingerprints, op8_quality_classifier, op9_packing, op10_quality_rules, pipeline)}
 SQL: dict[str, str] = {}

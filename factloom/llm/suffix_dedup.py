@@ -96,31 +96,37 @@ def _place(tie: np.ndarray, start: np.ndarray) -> np.ndarray:
     return (tie.astype(np.int64) << 32) | start.astype(np.int64)
 
 
+def more_bits(length: int, gram: int) -> int:
+    """Bits at the end of k2 that hold the number of a segment's further strings."""
+    return (length - gram).bit_length()
+
+
 def sparse_records(b: pa.RecordBatch, length: int, gram: int) -> list[np.ndarray]:
-    """Records of the anchors' suffixes; the last 7 bits of k2 hold the number of further strings."""
+    """Records of the anchors' suffixes."""
     data, offs = flat(b.column("text"))
     anchor, first, last, row, g = anchors(data, offs, length, gram)
     if not len(anchor):
         return [np.zeros(0, np.int64)] * 4
     more = (last - first).astype(U64)
     whole = mix(Hasher(data, seed=6)(first, last + length) + (anchor - first).astype(U64) * U64(0x9E3779B97F4A7C15))
-    k2 = ((whole & ~U64(127)) | more).view(np.int64)
+    k2 = ((whole >> U64(more_bits(length, gram)) << U64(more_bits(length, gram))) | more).view(np.int64)
     doc, tie = b.column("doc_id").to_numpy(), b.column("tie").to_numpy()
     return [_lead(data, anchor, g[anchor]), k2, doc[row], _place(tie[row], first - offs[row])]
 
 
-def full_records(b: pa.RecordBatch, length: int) -> list[np.ndarray]:
-    """Records of the suffixes at every string start of the wanted segments (array of place << 7 | more)."""
+def full_records(b: pa.RecordBatch, length: int, gram: int) -> list[np.ndarray]:
+    """Records of the suffixes at every string start of the wanted segments (start << bits | more)."""
+    bits = more_bits(length, gram)
     data, offs = flat(b.column("text"))
     wanted = b.column("segments")
     values, per = np.asarray(wanted.flatten(), np.int64), np.asarray(wanted.value_lengths(), np.int64)
     row = np.repeat(np.arange(b.num_rows), per)
-    n = (values & 127) + 1
+    n = (values & ((1 << bits) - 1)) + 1
     row = np.repeat(row, n)
-    start = np.repeat(values >> 7, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    start = np.repeat(values >> bits, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     at = start + offs[row]
     digest = Hasher(data, seed=8)(at, at + length)
-    k2 = Hasher(data, seed=9)(at, at + length) & ~U64(127)
+    k2 = Hasher(data, seed=9)(at, at + length) >> U64(bits) << U64(bits)
     doc, tie = b.column("doc_id").to_numpy(), b.column("tie").to_numpy()
     return [_lead(data, at, digest), k2.view(np.int64), doc[row], _place(tie[row], start)]
 
@@ -195,7 +201,7 @@ _SORTED = T.StructType().add("kind", T.IntegerType()).add("doc", T.LongType()).a
 _REPEATED, _UNDECIDED = 0, 1
 
 
-def sorted_suffixes(records: DataFrame, splitters: np.ndarray, sparse: bool) -> DataFrame:
+def sorted_suffixes(records: DataFrame, splitters: np.ndarray, bits: int, sparse: bool) -> DataFrame:
     """Per bucket: repeated records (kind 0) and, when sparse, the first records of segments that
     share their leading gram with others (kind 1). more: further strings of the segment."""
 
@@ -220,7 +226,7 @@ def sorted_suffixes(records: DataFrame, splitters: np.ndarray, sparse: bool) ->
                 run_ = head == 0
                 repeated |= run_
                 fresh[0] = False
-            out = [(np.full(int(repeated.sum()), _REPEATED), doc[repeated], place[repeated], k2[repeated] & 127)]
+            out = [(np.full(int(repeated.sum()), _REPEATED), doc[repeated], place[repeated], k2[repeated] & ((1 << bits) - 1))]
             if sparse:
                 group = np.append(True, k1[1:] != k1[:-1])
                 number = np.cumsum(group) - 1
@@ -230,7 +236,7 @@ def sorted_suffixes(records: DataFrame, splitters: np.ndarray, sparse: bool) ->
                     if edge is not None:
                         many |= k1 == edge[0]
                 pick = fresh & many
-                out.append((np.full(int(pick.sum()), _UNDECIDED), doc[pick], place[pick], k2[pick] & 127))
+                out.append((np.full(int(pick.sum()), _UNDECIDED), doc[pick], place[pick], k2[pick] & ((1 << bits) - 1)))
             for kind, d, p, m in out:
                 for i in range(0, len(kind), 50_000):
                     s = slice(i, i + 50_000)
@@ -242,20 +248,20 @@ def sorted_suffixes(records: DataFrame, splitters: np.ndarray, sparse: bool) ->
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """kind, doc, place (tie << 32 | first string's start), more: the repeated strings. docs: doc_id, tie, text."""
     spark = docs.sparkSession
-    least = partitions(spark)
+    least, bits = partitions(spark), more_bits(length, gram)
     total = docs.count()
     every = max(1, total // SAMPLE_DOCS)
     chosen = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(every)) == 0
     sampled = max(1, total // every)
     cut = sample_splitters(_records(docs.filter(chosen), lambda b: sparse_records(b, length, gram), None), total, sampled, least)
-    first = staged(sorted_suffixes(_records(docs, lambda b: sparse_records(b, length, gram), cut), cut, True), "sparse")
+    first = staged(sorted_suffixes(_records(docs, lambda b: sparse_records(b, length, gram), cut), cut, bits, True), "sparse")
     release(spark)
     undecided = first.filter(F.col("kind") == _UNDECIDED)
     tie, start = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1))
-    wanted = undecided.groupBy(F.col("doc").alias("doc_id"), tie.alias("tie")).agg(F.collect_list(F.shiftleft(start, 7).bitwiseOR(F.col("more").cast("long"))).alias("segments"))
+    wanted = undecided.groupBy(F.col("doc").alias("doc_id"), tie.alias("tie")).agg(F.collect_list(F.shiftleft(start, bits).bitwiseOR(F.col("more").cast("long"))).alias("segments"))
     held = docs.join(wanted, ["doc_id", "tie"]).select("doc_id", "tie", "text", "segments")
-    cut = sample_splitters(_records(held.filter(chosen), lambda b: full_records(b, length), None), total, sampled, least)
-    second = staged(sorted_suffixes(_records(held, lambda b: full_records(b, length), cut), cut, False), "full")
+    cut = sample_splitters(_records(held.filter(chosen), lambda b: full_records(b, length, gram), None), total, sampled, least)
+    second = staged(sorted_suffixes(_records(held, lambda b: full_records(b, length, gram), cut), cut, bits, False), "full")
     release(spark)
     return first.filter(F.col("kind") == _REPEATED).union(second)
 
@@ -320,3 +326,9 @@ def _cut(doc: int | None, raw, starts: list[np.ndarray], ends: list[np.ndarray],
         at = j
     kept = b"".join([*kept, view[at:]])
     return doc, n, int((e - s).sum()), len(s), hashlib.sha256(kept).hexdigest(), kept
+
+
+@F.arrow_udf(T.StringType())
+def valid_text(kept: pa.Array) -> pa.Array:
+    """Remaining bytes as text, without characters that a cut has broken."""
+    return pa.array([None if x is None else x.decode("utf-8", "ignore") for x in kept.to_pylist()], pa.string())
