@@ -41,9 +41,9 @@ def base_counts(docs: DataFrame) -> DataFrame:
     d = d.select(*rest, "_w", lines.alias("_lines"))
     # Hash of each window with its place, sorted by hash: equal windows are neighbours.
     window = F.transform(F.slice("_w", 1, F.greatest(F.size("_w") - 2, F.lit(0))), lambda x, i: F.struct(F.xxhash64(x, F.get("_w", i + 1), F.get("_w", i + 2)).alias("h"), i.alias("p")))
-    d = d.select(*rest, F.size("_w").cast("long").alias("n_words"), (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), F.array_sort(window).alias("_s"))
+    d = d.select(*rest, F.size("_w").cast("long").alias("n_words"), (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), F.sort_array(window).alias("_s"))
     again = F.transform("_s", lambda x, i: F.when((x["h"] == F.get("_s", i + 1)["h"]) | (x["h"] == F.get("_s", i - 1)["h"]), x["p"]))
-    d = d.select(*rest, "n_words", "n_dup_lines", F.array_sort(F.filter(again, lambda p: p.isNotNull())).alias("_p"))
+    d = d.select(*rest, "n_words", "n_dup_lines", F.sort_array(F.filter(again, lambda p: p.isNotNull())).alias("_p"))
     covered = F.aggregate("_p", F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")), lambda a, p: F.struct((p + 3).alias("end"), (a["n"] + p + 3 - F.greatest(p, a["end"])).alias("n")), lambda a: a["n"])
     return d.select(
         *rest, "n_words", F.length(F.translate(text, WHITE, "")).cast("long").alias("word_chars"),
