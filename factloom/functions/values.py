@@ -15,6 +15,7 @@ from datetime import UTC, datetime
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SAFE_INTEGER = 2**53 - 1
 #: Namespace of name-based ids.
@@ -94,12 +95,12 @@ def normalize_text(text: str) -> str:
     return unicodedata.normalize("NFC", text.replace("\r\n", "\n").replace("\r", "\n")).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _casefold(s: pd.Series) -> pd.Series:
     return s.str.casefold()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     return s.map(normalize_text, na_action="ignore")
 

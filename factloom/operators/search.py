@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import QueryValidationError
@@ -33,13 +33,17 @@ def index(documents: DataFrame, text: str = "text", key: list[str] | None = None
     return words.select(*key, F.size("w").alias("dl"), F.explode("w").alias("token")).groupBy(*key, "dl", "token").agg(F.count("*").alias("tf"))
 
 
+def _uses(term: str) -> Column:
+    return F.size(F.filter("w", lambda x: x == term))
+
+
 def fts(documents: DataFrame, terms: list[str], key: list[str], k: int | None = None, text: str = "text") -> DataFrame:
     """Documents that hold all terms, with their BM25 score, best first. The statistics (documents, mean
     length, documents per term) are over all documents, in the same pass that counts the terms."""
     terms = sorted({t.lower() for t in terms})
     words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))
     docs = documents.select(*key, words.alias("w"))
-    tfs = [F.size(F.filter("w", lambda x, t=t: x == t)) for t in terms]
+    tfs = [_uses(t) for t in terms]
     docs = docs.select(*key, F.size("w").alias("dl"), *(c.alias(f"tf{i}") for i, c in enumerate(tfs)))
     stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     hits = docs
