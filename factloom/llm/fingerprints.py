@@ -17,6 +17,7 @@ import bisect
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -109,22 +110,22 @@ RANGE_BYTES = 16 << 20
 def neighbours(docs: DataFrame, ranges: int) -> DataFrame:
     """Documents dealt into ranges of doc_id, sorted within, each range closed by a copy (tail) of the
     next one's first document; the last by the very first. Splitters are ids of the table."""
-    spark = docs.sparkSession
     ids = docs.select("doc_id")
     probs = [k / ranges for k in range(1, ranges)] or [0.5]
     row = ids.agg(F.min("doc_id").alias("first"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls"), F.percentile_approx("doc_id", probs, 10_000).alias("cuts")).first()
     cuts = sorted({c for c in (row["cuts"] or []) if c > row["first"]})
     heads = [None if row["nulls"] else row["first"], *cuts]
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    at = f"cast({len(cuts)} as int)" if not cuts else " ".join(["case", *(f"when doc_id is null or doc_id < cast('{c}' as {kind}) then {i}" for i, c in enumerate(cuts)), f"else {len(cuts)} end"])
-    if len(cuts) > 64:  # a balanced lookup instead of a chain of comparisons
-        at = f"cast(coalesce(array_size(filter(cuts, c -> c <= doc_id)), 0) as int)"
-        docs = docs.crossJoin(F.broadcast(spark.createDataFrame([(cuts,)], f"cuts array<{kind}>")))
+
+    @F.pandas_udf("int")
+    def own_range(ids: pd.Series) -> pd.Series:
+        return pd.Series([bisect.bisect_right(cuts, i) for i in ids.tolist()], dtype="int32")
+
     is_head = F.col("doc_id").isNull() if heads[0] is None else F.col("doc_id") == F.lit(heads[0])
     if cuts:
         is_head = is_head | F.col("doc_id").isin(cuts)
-    own = F.expr(at)
-    before = F.when(own == 0, F.lit(len(cuts))).otherwise(own - 1)
+    own = own_range(F.coalesce("doc_id", F.lit(row["first"]))) if cuts else F.lit(0)
+    docs = docs.select("doc_id", "text", own.alias("own"))
+    own, before = F.col("own"), F.when(F.col("own") == 0, F.lit(len(cuts))).otherwise(F.col("own") - 1)
     dealt = docs.select("doc_id", "text", F.explode(F.when(is_head, F.array(F.struct(own.alias("at"), F.lit(False).alias("tail")), F.struct(before.alias("at"), F.lit(True).alias("tail")))).otherwise(F.array(F.struct(own.alias("at"), F.lit(False).alias("tail"))))).alias("to"))
     dealt = dealt.select(F.col("to.at").alias("at"), F.col("to.tail").alias("tail"), "doc_id", "text")
     return dealt.repartitionById(len(cuts) + 1, F.col("at")).sortWithinPartitions("at", "tail", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
