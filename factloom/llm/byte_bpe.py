@@ -1,11 +1,11 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
 Encoding cuts texts into pre-tokens with numpy (classes of code points, no regular expression per
-word), numbers the distinct ones of a chunk of texts, and sends each (chunk, number, word) to the
-task that owns the word. There every distinct word is merged once; its ids go back to the chunk,
-where texts are put together from their word numbers in order. Texts themselves are never
-shuffled, only their compressed word numbers. A word arrives once per chunk however often it is
-used, so frequent words don't make large tasks. Decoding joins ids with the table of token bytes,
+word), numbers the distinct ones of a chunk of texts, and sends them to the tasks that own them by hash,
+packed into a row for each chunk and owner. There every distinct word is merged once; its ids go
+back to the chunk, where texts are put together from their word numbers in order. Texts themselves
+are never shuffled, only their compressed word numbers, once. A word arrives once per chunk however
+often it is used, so frequent words don't make large tasks. Decoding joins ids with the table of token bytes,
 which the vocabulary bounds.
 
 Defined cases: null or empty text has no ids and decodes to nothing; a null doc_id stays null;
@@ -21,16 +21,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import Hasher, flat, ranges, slices
+from .columns import Hasher, flat, mix, ranges, slices
 from .staging import partitions
 
 #: Text bytes of a chunk, which shares one list of distinct words.
 CHUNK_BYTES = 24 << 20
+#: Distinct words that a task remembers before it starts anew.
+MEMO_WORDS = 1 << 19
 _LETTER, _NUMBER, _SPACE, _OTHER = 0, 1, 2, 3
 
 
@@ -110,100 +111,168 @@ def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 _WORDS, _TEXTS = 0, 1
-#: kind 0: word `pos` of the chunk in `payload`; kind 1: word numbers of texts in `payload`, sizes in `sizes`.
-_FLOW = "chunk long, kind int, pos long, payload binary, sizes binary, doc_ids array<{id}>"
+_FLOW = "chunk long, kind int, owner int, seq long, words binary, sizes binary, places binary, doc_ids array<{id}>"
+
+
+def _pack(x: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(x).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(raw: bytes, kind, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind) if n else np.zeros(0, kind)
+
+
+class _Chunk:
+    """Texts of one task that share a list of distinct words. It is named by its content, so that words
+    and texts, which are cut in separate passes, find each other."""
+
+    def __init__(self):
+        self.seen: dict[int, int] = {}
+        self.words: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.texts: list[tuple[pa.Array, np.ndarray, bytes]] = []
+        self.name, self.size = hashlib.blake2b(digest_size=8), 0
+
+    def add(self, b: pa.RecordBatch, with_texts: bool) -> None:
+        data, offs = flat(b.column("text"))
+        starts, per = pre_tokens(data, offs)
+        ends = np.append(starts[1:], len(data))
+        keys, first, back = np.unique(Hasher(data)(starts, ends), return_index=True, return_inverse=True)
+        seen, listed = self.seen, keys.tolist()
+        new = [k for k in np.argsort(first).tolist() if listed[k] not in seen]
+        if new:
+            seen.update(zip(keys[new].tolist(), range(len(seen), len(seen) + len(new))))
+            lens = (ends - starts)[first[new]]
+            self.words.append((keys[new], lens, data[ranges(starts[first[new]], lens)] if not with_texts else None))
+        sizes = np.diff(per).astype(np.int64)
+        self.name.update(sizes.tobytes() + keys[new].tobytes())
+        self.size += len(data)
+        if with_texts:
+            number = np.fromiter((seen[h] for h in listed), np.uint32, len(keys))[back] if len(keys) else np.zeros(0, np.uint32)
+            self.texts.append((b.column("doc_id"), sizes, _pack(number)))
+
+    def id(self) -> int:
+        return int.from_bytes(self.name.digest(), "little", signed=True)
+
+    def word_rows(self, owners: int, names: list[str], id_type: pa.DataType) -> pa.RecordBatch | None:
+        """A row for each task that owns some of the words: the words, their lengths, their numbers."""
+        if not self.words:
+            return None
+        keys, lens, data = (np.concatenate([w[i] for w in self.words]) for i in range(3))
+        owner = (mix(keys) % np.uint64(owners)).astype(np.int64)
+        order = np.argsort(owner, kind="stable")
+        edge = np.flatnonzero(np.append(True, np.diff(owner[order]) != 0))
+        start = np.cumsum(lens) - lens
+        words, sizes, places = [], [], []
+        for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(order)]):
+            own = order[i:j]
+            words.append(_pack(data[ranges(start[own], lens[own])]))
+            sizes.append(_pack(lens[own].astype(np.uint32)))
+            places.append(_pack(np.diff(own, prepend=0).astype(np.uint32)))
+        n = len(edge)
+        counts = np.diff(np.append(edge, len(order)))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, self.id())), pa.array(np.full(n, _WORDS), pa.int32()), pa.array(owner[order][edge], pa.int32()), pa.array(counts), pa.array(words, pa.binary()), pa.array(sizes, pa.binary()), pa.array(places, pa.binary()), pa.nulls(n, pa.list_(id_type))], names=names)
+
+    def text_rows(self, names: list[str]):
+        for k, (ids, sizes, packed) in enumerate(self.texts):
+            yield pa.RecordBatch.from_arrays([pa.array([self.id()]), pa.array([_TEXTS], pa.int32()), pa.array([len(self.seen)], pa.int32()), pa.array([k]), pa.array([packed], pa.binary()), pa.array([sizes.tobytes()], pa.binary()), pa.nulls(1, pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)], names=names)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """doc_id, ids (array of int): tiktoken's encode_ordinary of each text."""
+    """doc_id, ids (array of int): tiktoken's encode_ordinary of each text. docs is read twice and must
+    come in the same partitions both times, as tables do; otherwise the job fails, never the result."""
     src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
     id_type = src.schema["doc_id"].dataType
     flow = T._parse_datatype_string(_FLOW.format(id=id_type.simpleString()))
-    names = flow.fieldNames()
-    id_arrow = None
-
-    def cut(batches):
-        nonlocal id_arrow
-        chunk, seen, size, rows, total = TaskContext.get().partitionId() << 32, {}, 0, 0, 0
-        for batch in batches:
-            for b in slices(batch, "text"):
-                if size > chunk_bytes:
-                    chunk, seen, size, rows, total = chunk + 1, {}, 0, 0, 0
-                data, offs = flat(b.column("text"))
-                starts, per = pre_tokens(data, offs)
-                ends = np.append(starts[1:], len(data))
-                keys, first, back = np.unique(Hasher(data)(starts, ends), return_index=True, return_inverse=True)
-                order = np.argsort(first)
-                new = [k for k in order.tolist() if int(keys[k]) not in seen]
-                seen.update(zip(keys[new].tolist(), range(total, total + len(new))))
-                number = np.fromiter((seen[h] for h in keys.tolist()), np.uint32, len(keys))[back] if len(keys) else np.zeros(0, np.uint32)
-                ids = b.column("doc_id")
-                if new:
-                    lens = (ends - starts)[first[new]]
-                    words = data[ranges(starts[first[new]], lens)].tobytes()
-                    bounds = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
-                    payload = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(words)])
-                    n = len(new)
-                    out = pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(np.zeros(n, np.int32)), pa.array(np.arange(total, total + n)), payload, pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(ids.type))], names=names)
-                    for i in range(0, n, 20_000):
-                        yield out.slice(i, 20_000)
-                    total += n
-                packed = pa.compress(number.tobytes(), codec="zstd", asbytes=True)
-                sizes = np.diff(per).astype(np.int64).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([_TEXTS], pa.int32()), pa.array([rows]), pa.array([packed], pa.binary()), pa.array([sizes], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)], names=names)
-                size, rows = size + len(data), rows + 1
+    names, n = flow.fieldNames(), partitions(docs.sparkSession)
+    kind_of = np.uint16 if len(ranks(ranks_path)) <= 1 << 16 else np.uint32
+
+    def cut(with_texts: bool):
+        def run(batches):
+            chunk = _Chunk()
+
+            def close():
+                if with_texts:
+                    yield from chunk.text_rows(names)
+                elif (rows := chunk.word_rows(n, names, doc_type)) is not None:
+                    for i in range(0, rows.num_rows, 500):
+                        yield rows.slice(i, 500)
+
+            doc_type = None
+            for batch in batches:
+                doc_type = batch.column("doc_id").type
+                for b in slices(batch, "text"):
+                    if chunk.size > chunk_bytes:
+                        yield from close()
+                        chunk = _Chunk()
+                    chunk.add(b, with_texts)
+            if chunk.size or chunk.texts:
+                yield from close()
+
+        return run
 
     def merge(batches):
+        """Each distinct word of a task once; its ids take the place of the word."""
         one = encoder(ranks_path, pattern)._encode_single_piece
         memo: dict[bytes, bytes] = {}
         for b in batches:
-            if len(memo) > 1 << 20:
-                memo.clear()
-            out = []
-            for kind, w in zip(b.column("kind").to_pylist(), b.column("payload").to_pylist()):
-                if kind == _WORDS:
+            ids_col, lens_col = [], []
+            for count, words, sizes in zip(b.column("seq").to_pylist(), b.column("words").to_pylist(), b.column("sizes").to_pylist()):
+                if len(memo) > MEMO_WORDS:
+                    memo.clear()
+                ends = np.cumsum(_unpack(sizes, np.uint32, count).astype(np.int64)).tolist()
+                raw = _unpack(words, np.uint8, ends[-1]).tobytes()
+                out = []
+                for i, j in zip([0, *ends], ends):
+                    w = raw[i:j]
                     ids = memo.get(w)
                     if ids is None:
-                        ids = memo[w] = np.array(one(w), np.uint16 if len(ranks(ranks_path)) <= 1 << 16 else np.uint32).tobytes()
-                    w = ids
-                out.append(w)
-            yield b.set_column(names.index("payload"), "payload", pa.array(out, pa.binary()))
+                        ids = memo[w] = np.array(one(w), kind_of).tobytes()
+                    out.append(ids)
+                lens = np.fromiter(map(len, out), np.int64, len(out)) // np.dtype(kind_of).itemsize
+                ids_col.append(_pack(np.frombuffer(b"".join(out), kind_of)))
+                lens_col.append(_pack(lens.astype(np.uint32)))
+            yield b.set_column(4, "words", pa.array(ids_col, pa.binary())).set_column(5, "sizes", pa.array(lens_col, pa.binary()))
 
     result = T.StructType().add("doc_id", id_type).add("ids", T.ArrayType(T.IntegerType()))
-    kind_of = np.uint16 if len(ranks(ranks_path)) <= 1 << 16 else np.uint32
 
     def rebuild(batches):
-        now, pool, lens, starts = None, [], [], None
+        now, lists, table = None, [], None
         for b in batches:
-            chunk, kind = b.column("chunk").to_numpy(), b.column("kind").to_numpy()
-            edges = np.flatnonzero(np.append(True, (chunk[1:] != chunk[:-1]) | (kind[1:] != kind[:-1]))).tolist() if len(chunk) else []
-            for i, j in zip(edges, [*edges[1:], len(chunk)]):
-                if chunk[i] != now:
-                    now, pool, lens, starts = chunk[i], [], [], None
-                run = b.slice(i, j - i)
-                if kind[i] == _WORDS:
-                    data, offs = flat(run.column("payload"))
-                    pool.append(np.frombuffer(data.tobytes(), kind_of))
-                    lens.append(np.diff(offs) // np.dtype(kind_of).itemsize)
+            cols = zip(*(b.column(c).to_pylist() for c in ("chunk", "kind", "owner", "seq", "words", "sizes", "places")), b.column("doc_ids"))
+            for chunk, kind, owner, seq, words, sizes, places, ids in cols:
+                if chunk != now:
+                    now, lists, table = chunk, [], None
+                if kind == _WORDS:
+                    lens = _unpack(sizes, np.uint32, seq).astype(np.int64)
+                    lists.append((np.cumsum(_unpack(places, np.uint32, seq).astype(np.int64)), lens, _unpack(words, kind_of, int(lens.sum()))))
                     continue
-                if starts is None:
-                    pool, lens = [np.concatenate(pool)] if pool else [np.zeros(0, kind_of)], [np.concatenate(lens)] if lens else [np.zeros(0, np.int64)]
-                    starts = np.cumsum(lens[0]) - lens[0]
-                for packed, sizes, ids in zip(run.column("payload").to_pylist(), run.column("sizes").to_pylist(), run.column("doc_ids")):
-                    sizes = np.frombuffer(sizes, np.int64)
-                    number = np.frombuffer(pa.decompress(packed, int(sizes.sum()) * 4, codec="zstd", asbytes=True), np.uint32).astype(np.int64) if sizes.sum() else np.zeros(0, np.int64)
-                    each = lens[0][number]
-                    out = pool[0][ranges(starts[number], each)].astype(np.int32)
-                    edge = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(sizes)])]
-                    yield pa.RecordBatch.from_arrays([ids.values, pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(out))], names=["doc_id", "ids"])
-
-    n = partitions(docs.sparkSession)
-    cuts = src.mapInArrow(cut, flow)
-    owned = cuts.repartition(n, F.when(F.col("kind") == _WORDS, F.xxhash64("payload")).otherwise(F.xxhash64("chunk", "pos")))
-    back = owned.mapInArrow(merge, flow).repartition(n, "chunk").sortWithinPartitions("chunk", "kind", "pos")
+                if table is None:
+                    table = _table_of(lists, owner, kind_of)
+                    lists = []
+                pool, starts, lens = table
+                sizes = np.frombuffer(sizes, np.int64)
+                number = _unpack(words, np.uint32, int(sizes.sum())).astype(np.int64)
+                each = lens[number]
+                edge = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(sizes)])]
+                yield pa.RecordBatch.from_arrays([ids.values, pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(pool[ranges(starts[number], each)].astype(np.int32)))], names=result.fieldNames())
+
+    encoded = src.mapInArrow(cut(False), flow).repartitionById(n, F.col("owner")).mapInArrow(merge, flow)
+    back = encoded.union(src.mapInArrow(cut(True), flow)).repartition(n, "chunk").sortWithinPartitions("chunk", "kind", "seq")
     return back.mapInArrow(rebuild, result)
 
 
+def _table_of(lists: list[tuple], words: int, kind_of) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All ids of a chunk's words, and where each word's start and how many there are."""
+    lens, starts = np.full(words, -1, np.int64), np.zeros(words, np.int64)
+    at = 0
+    for place, each, ids in lists:
+        lens[place], starts[place] = each, at + np.cumsum(each) - each
+        at += len(ids)
+    if (lens < 0).any():
+        raise RuntimeError("the documents came in other partitions the second time; encode a written table")
+    return np.concatenate([x[2] for x in lists]) if lists else np.zeros(0, kind_of), starts, lens
+
+
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """doc_id, text_bytes (binary) of doc_id, ids."""
     out = T.StructType().add(encoded.schema["doc_id"]).add("text_bytes", T.BinaryType())
