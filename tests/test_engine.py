@@ -288,3 +288,53 @@ def test_stream(spark, tmp_path):
     m = Memory(spark)
     stream_jsonl(spark, m, str(tmp_path / "in"), "a.B", {"k": "integer"}, str(tmp_path / "ck")).awaitTermination(120)
     assert m.entity("a.B").df.count() == 2
+
+
+def test_writes_wipe_memories_snapshot(spark, shop, tmp_path):
+    from factloom.operators import writes
+    from factloom.sources import snapshot
+
+    doubled = writes.attribute_expression(shop, "shop.Order", (F.col("i_amount_cents") * 2).cast("long"))
+    assert not writes.write_attribute(shop, "shop.Order", "twice", "long", doubled, "run-1")["replayed"]
+    assert writes.write_attribute(shop, "shop.Order", "twice", "long", doubled, "run-1")["replayed"]
+    q = query(optional_match=[], measures=[{"as": "s", "op": "sum", "field": "o.twice"}], derive=[])
+    assert aggregate.run_v2(shop, parse_v2(q)).first()["s"] == 240000
+    with pytest.raises(ImportRejected):
+        writes.write_attribute(shop, "shop.Order", "carrier", "long", doubled, "run-2")
+    with pytest.raises(ImportRejected):
+        writes.write_attribute(shop, "shop.Order", "x", "long", spark.createDataFrame([("no", 1)], "id string, value long"), "run-3")
+    assert writes.declare_namespace(shop, "shop", "a shop") and not writes.declare_namespace(shop, "shop", "a shop")
+    snapshot.create(shop, str(tmp_path / "a.zip"))
+    snapshot.create(shop, str(tmp_path / "b.zip"))
+    assert (tmp_path / "a.zip").read_bytes() == (tmp_path / "b.zip").read_bytes()
+    back = snapshot.restore(spark, str(tmp_path / "a.zip"))
+    assert aggregate.run_v2(back, parse_v2(query())).collect() == aggregate.run_v2(shop, parse_v2(query())).collect()
+    memories = writes.Memories(spark, str(tmp_path / "m"))
+    assert memories.names() == ["default"]
+    memories.save(shop)
+    assert memories.names() == ["default", "shop"] and memories.open("shop").state() == shop.state()
+    with pytest.raises(QueryValidationError):
+        memories.destroy("shop", {})
+    memories.destroy("shop", writes.fingerprint(memories.open("shop")))
+    assert memories.names() == ["default"]
+    with pytest.raises(QueryValidationError):
+        writes.wipe(shop, {})
+    assert not writes.wipe(shop, writes.fingerprint(shop)).entities
+
+
+def test_metrics_and_retirement(spark, tmp_path):
+    from datetime import datetime
+
+    from factloom.operators import writes
+
+    metrics = spark.createDataFrame([], writes.METRICS)
+    for run, n in (("r1", 1), ("r2", 3), ("r2", 3)):
+        metrics = writes.write_metric(metrics, run, datetime(2024, 1, int(run[1])), "d", {"a": 1}, n, 4)
+    assert metrics.count() == 2 and lifecycle.current_metrics(metrics).first()["value"] == 0.75
+    free, held = fragments.put(str(tmp_path), b"free"), fragments.put(str(tmp_path), b"held")
+    evidence = spark.createDataFrame([(free, False, None, False), (held, True, None, False)], "digest string, retention_required boolean, retain_until timestamp, retired boolean")
+    none = spark.createDataFrame([], "digest string")
+    listed = [r["digest"] for r in writes.retirable(evidence, "2024-01-01", none).collect()]
+    plan = writes.plan_retirement(listed, str(tmp_path), "2024-01-01")
+    assert listed == [free] and writes.retire(str(tmp_path), plan) == [free]
+    assert {r["status"] for r in fragments.audit(spark, str(tmp_path), evidence).collect()} == {"ok", "missing"}
