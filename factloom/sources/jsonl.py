@@ -14,8 +14,8 @@ from ..functions.values import canonical_json, json_type, strict_loads
 from ..memory import Entity, Field, Memory
 
 MAX_LINE_BYTES = 4 << 20
-#: Field names that look like credentials are refused.
-CREDENTIALS = ("password", "passwd", "secret", "api_key", "apikey", "access_token", "private_key")
+#: Field names that are refused, in whatever letter case.
+CREDENTIALS = ("api_key", "apikey", "authorization", "password", "passwd", "secret", "token")
 _ATTR = "line long, field string, kind string, canon string, text string, num double, whole string, error string"
 
 
@@ -53,8 +53,8 @@ def _attributes(line: int, value: str) -> list[tuple]:
         return bad("not an object")
     out = []
     for name, v in doc.items():
-        if any(w in name.lower() for w in CREDENTIALS):
-            return bad(f"field {name} looks like a credential")
+        if name.lower() in CREDENTIALS:
+            return bad(f"field {name} is a credential's name")
         kind = json_type(v)
         num = float(v) if kind == "number" else None
         whole = str(int(v)) if kind == "number" and float(v).is_integer() else None
