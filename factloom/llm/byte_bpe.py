@@ -31,7 +31,7 @@ from .staging import partitions
 #: Text bytes of a chunk, which shares one list of distinct words.
 CHUNK_BYTES = 24 << 20
 #: Distinct words that a task remembers before it starts anew.
-MEMO_WORDS = 1 << 19
+MEMO_WORDS = 1 << 18
 _LETTER, _NUMBER, _SPACE, _OTHER = 0, 1, 2, 3
 
 
@@ -238,8 +238,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def rebuild(batches):
         now, lists, table = None, [], None
         for b in batches:
-            cols = zip(*(b.column(c).to_pylist() for c in ("chunk", "kind", "owner", "seq", "words", "sizes", "places")), b.column("doc_ids"))
-            for chunk, kind, owner, seq, words, sizes, places, ids in cols:
+            for k in range(b.num_rows):  # a row's payloads at a time
+                chunk, kind, owner, seq, words, sizes, places = (b.column(c)[k].as_py() for c in names[:-1])
+                ids = b.column("doc_ids")[k]
                 if chunk != now:
                     now, lists, table = chunk, [], None
                 if kind == _WORDS:
@@ -293,7 +294,7 @@ def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(a.flatten(), np.int64), edge
 
 
-def _by_ids(batch: pa.RecordBatch, limit: int = 1 << 20):
+def _by_ids(batch: pa.RecordBatch, limit: int = 1 << 18):
     _, edge = _ids(batch)
     i = 0
     while i < batch.num_rows:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Sub-batches handed to numpy hold about this many text bytes (or one longer text).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -78,7 +78,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int):
-    return _powers(1 << max(22, int(n).bit_length()))
+    return _powers(1 << max(16, int(n).bit_length()))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
