@@ -219,4 +219,5 @@ def _with_attempts(wide: DataFrame, again: DataFrame) -> DataFrame:
     held = wide.filter(F.size("_found") > 0).select(key.alias("_key"), F.explode(F.array_distinct("_found")).alias("value"))
     held = held.select("_key", kind_of(F.col("value")).alias("kind"), "value").select("_key", "kind", normal(F.col("kind"), F.col("value")).alias("norm")).distinct()
     maps = held.join(again.select("kind", "norm", "attempt"), ["kind", "norm"]).groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "norm"), "attempt"))).alias("_attempts"))
-    return wide.withColumn("_key", key).join(maps, "_key", "left").drop("_key")
+    # A written table's size is known when the join is planned: below the threshold no text is shuffled.
+    return wide.withColumn("_key", key).join(staged(maps, "attempts"), "_key", "left").drop("_key")
