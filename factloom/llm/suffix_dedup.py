@@ -10,12 +10,14 @@ splitter is a real record and the last one of its bucket, so a run of equal suff
 boundary cuts is recognised in the next bucket by comparing its first record with the splitter:
 runs of any size are spread over as many buckets as they need.
 
-This happens twice. First with a sparse set of suffixes: the leftmost least `gram`-byte hash of
-each string picks the suffix that stands for it (equal strings pick the same place), about one
-suffix in 35 bytes. A segment is all strings that one suffix stands for; segments with the same
-content as an earlier one are repeated as a whole. Then, where segments share the suffix's leading
-gram but differ in content (at the ends of repeated passages), the suffixes at all their strings'
-starts are sorted and compared in full.
+This happens up to three times, each time for what is still undecided. First with a sparse set of
+suffixes: the leftmost least `gram`-byte hash of each string picks the suffix that stands for it
+(equal strings pick the same place), about one suffix in 30 bytes. A segment is all strings that
+one suffix stands for; segments with the same content as an earlier one are repeated as a whole.
+Where segments share the suffix's leading gram but differ in content, they are split into parts of
+8 neighbouring strings, aligned at the suffix, and sorted by what the strings of a part have in
+common. Parts that share this but differ in content (at the very ends of repeated passages) are
+decided string by string.
 
 Defined cases: null is empty text; texts below `length` bytes lose nothing; of repeated rows (same
 id and text) the first is judged and the others are removed, if they have `length` bytes; texts
@@ -33,11 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bloom import may_hold
 from .columns import U64, Hasher, flat, mix, slices
 from .staging import drop, partitions, release, staged
 
 LENGTH = 100
-GRAM = 32
+GRAM = 40
+#: Strings of a part of a segment.
+PART = 8
 #: Documents whose suffixes give the splitters: a bounded sample, which only balances the buckets.
 SAMPLE_DOCS = 3000
 #: Records that one bucket is meant to hold at most.
@@ -114,6 +119,29 @@ def sparse_records(b: pa.RecordBatch, length: int, gram: int) -> list[np.ndarray
     return [_lead(data, anchor, g[anchor]), k2, doc[row], _place(tie[row], first - offs[row])]
 
 
+def part_records(b: pa.RecordBatch, length: int, gram: int) -> list[np.ndarray]:
+    """Records of the parts of the wanted segments: sorted by their common bytes, told apart by all."""
+    bits = more_bits(length, gram)
+    data, offs = flat(b.column("text"))
+    anchor, first, last, row, _ = anchors(data, offs, length, gram)
+    wanted = b.column("segments")
+    values, per = np.asarray(wanted.flatten(), np.int64), np.asarray(wanted.value_lengths(), np.int64)
+    hit = np.isin(first, (values >> bits) + offs[np.repeat(np.arange(b.num_rows), per)])
+    anchor, first, last, row = anchor[hit], first[hit], last[hit], row[hit]
+    lo, hi = (anchor - last) // PART, (anchor - first) // PART
+    n = hi - lo + 1
+    part = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    anchor, first, last, row = (np.repeat(x, n) for x in (anchor, first, last, row))
+    core = anchor - PART * part
+    start, end = np.maximum(core - PART + 1, first), np.minimum(core, last)
+    hasher = Hasher(data, seed=8)
+    digest = mix(hasher(core, core - PART + 1 + length) + part.astype(U64) * U64(0x9E3779B97F4A7C15))
+    whole = mix(hasher(start, end + length) + (anchor - start).astype(U64) * U64(0xC2B2AE3D27D4EB4F))
+    k2 = ((whole >> U64(bits) << U64(bits)) | (end - start).astype(U64)).view(np.int64)
+    doc, tie = b.column("doc_id").to_numpy(), b.column("tie").to_numpy()
+    return [_lead(data, core, digest), k2, doc[row], _place(tie[row], start - offs[row])]
+
+
 def full_records(b: pa.RecordBatch, length: int, gram: int) -> list[np.ndarray]:
     """Records of the suffixes at every string start of the wanted segments (start << bits | more)."""
     bits = more_bits(length, gram)
@@ -256,14 +284,24 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     cut = sample_splitters(_records(docs.filter(chosen), lambda b: sparse_records(b, length, gram), None), total, sampled, least)
     first = staged(sorted_suffixes(_records(docs, lambda b: sparse_records(b, length, gram), cut), cut, bits, True), "sparse")
     release(spark)
-    undecided = first.filter(F.col("kind") == _UNDECIDED)
     tie, start = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1))
-    wanted = undecided.groupBy(F.col("doc").alias("doc_id"), tie.alias("tie")).agg(F.collect_list(F.shiftleft(start, bits).bitwiseOR(F.col("more").cast("long"))).alias("segments"))
-    held = docs.join(wanted, ["doc_id", "tie"]).select("doc_id", "tie", "text", "segments")
-    cut = sample_splitters(_records(held.filter(chosen), lambda b: full_records(b, length, gram), None), total, sampled, least)
-    second = staged(sorted_suffixes(_records(held, lambda b: full_records(b, length, gram), cut), cut, bits, False), "full")
-    release(spark)
-    return first.filter(F.col("kind") == _REPEATED).union(second)
+
+    def decided(before: DataFrame, make, last: bool, name: str) -> DataFrame:
+        """The next round, over the texts that hold something undecided."""
+        undecided = before.filter(F.col("kind") == _UNDECIDED)
+        wanted = undecided.groupBy(F.col("doc").alias("doc_id"), tie.alias("tie")).agg(F.collect_list(F.shiftleft(start, bits).bitwiseOR(F.col("more").cast("long"))).alias("segments"))
+        wanted = staged(wanted, "wanted")
+        held = docs.filter(may_hold(wanted, "doc_id", F.col("doc_id"))).join(wanted, ["doc_id", "tie"]).select("doc_id", "tie", "text", "segments")
+        cut = sample_splitters(_records(held.filter(chosen), make, None), total, sampled, least)
+        out = staged(sorted_suffixes(_records(held, make, cut), cut, bits, not last), name)
+        drop(wanted)
+        release(spark)
+        return out
+
+    second = decided(first, lambda b: part_records(b, length, gram), False, "parts")
+    third = decided(second, lambda b: full_records(b, length, gram), True, "full")
+    repeated = F.col("kind") == _REPEATED
+    return first.filter(repeated).union(second.filter(repeated)).union(third)
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, carry: tuple[str, ...] = ()) -> DataFrame:
