@@ -11,6 +11,10 @@ further comparison; the members that they leave outside of their pivot's compone
 with all others of the group that are in another component, so no link between components is lost
 and nearly equal texts are not compared pair by pair.
 
+A pair is dropped before its sets are compared only by a bound that holds: each set has a parity
+signature, a bit per hash bucket, and two signatures differ in no more bits than their sets differ
+in n-grams.
+
 Verification: pivots cut the global order into fragments of about equal weight; each fragment
 counts the partial overlap of its pairs by itself, and the sum per pair is the exact overlap.
 
@@ -28,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .columns import LOWER, U64, Hasher, flat, mix, slices, spans
+from .bloom import may_hold
 from .components import components
 from .staging import drop, partitions, release, staged
 
@@ -35,6 +40,8 @@ from .staging import drop, partitions, release, staged
 SLOTS = 1 << 20
 _BLOCK = 1 << 16
 FRAGMENTS = 8
+#: 64-bit words of a parity signature.
+PARITY_WORDS = 16
 _C = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -135,9 +142,17 @@ def _nodes(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(_sums(mix(grams + U64(1)), at) + np.diff(at).astype(U64) * _C[1]).view(np.int64)
 
 
+def _parity(grams: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Parity of the n-grams in each of the hash buckets, as 64-bit words."""
+    bit = mix(grams + U64(2)) % U64(64 * PARITY_WORDS)
+    out = np.zeros((len(at) - 1, PARITY_WORDS), U64)
+    np.bitwise_xor.at(out, (np.repeat(np.arange(len(at) - 1), np.diff(at)), (bit >> U64(6)).astype(np.int64)), U64(1) << (bit & U64(63)))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(at)) * PARITY_WORDS, pa.int32()), pa.array(out.ravel().view(np.int64)))
+
+
 def sets_of(docs: DataFrame, counts, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, size, node (hash of the set), prefix (its rarest n-grams, as many as a link needs)."""
-    out = T.StructType().add(docs.schema["doc_id"]).add("size", T.LongType()).add("node", T.LongType()).add("prefix", T.ArrayType(T.LongType()))
+    """doc_id, size, node (hash of the set), prefix (its rarest n-grams, as many as a link needs), parity."""
+    out = T.StructType().add(docs.schema["doc_id"]).add("size", T.LongType()).add("node", T.LongType()).add("prefix", T.ArrayType(T.LongType())).add("parity", T.ArrayType(T.LongType()))
 
     def run(batches):
         for batch in batches:
@@ -149,7 +164,7 @@ def sets_of(docs: DataFrame, counts, n: int, num: int, den: int) -> DataFrame:
                 keep = np.where(size > 0, size - -(-num * size // den) + 1, 0)
                 take = np.repeat(at[:-1], keep) + np.arange(int(keep.sum())) - np.repeat(np.cumsum(keep) - keep, keep)
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]), pa.int32()), pa.array(ordered[take].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size), pa.array(node), prefix], names=out.fieldNames())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size), pa.array(node), prefix, _parity(grams, at)], names=out.fieldNames())
 
     return docs.mapInArrow(run, out)
 
@@ -195,23 +210,41 @@ class Join:
     def groups(self) -> DataFrame:
         """gram, node, size, pos, and the pivot's pnode, psize, ppos, of n-grams in two prefixes or more."""
         classes = self.sets.filter("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+        classes = staged(classes, "classes")
         each = classes.select("node", F.col("size").cast("int").alias("size"), F.posexplode("prefix").alias("pos", "gram"))
-        pivots = each.groupBy("gram").agg(F.count("*").alias("n"), F.min(F.struct("pos", "node", "size")).alias("p")).filter("n > 1")
+        # First which n-grams have more than one set, on packed numbers; most have not and go no further.
+        packed = F.shiftleft(F.col("pos").cast("long"), 40) + F.shiftrightunsigned("node", 24)
+        shared = each.groupBy("gram").agg(F.min(packed).alias("lo"), F.max(packed).alias("hi")).filter("lo <> hi").select("gram", F.col("lo").alias("first"))
+        shared = staged(shared, "shared")
+        each = each.filter(may_hold(shared, "gram", F.col("gram"))).join(shared, "gram").withColumn("pivot", packed == F.col("first")).drop("first")
+        each = staged(each, "members")
+        pivots = each.filter("pivot").groupBy("gram").agg(F.min(F.struct("node", "size", "pos")).alias("p"))
         pivots = pivots.select("gram", F.col("p.node").alias("pnode"), F.col("p.size").alias("psize"), F.col("p.pos").alias("ppos"))
-        return staged(each.join(pivots, "gram"), "groups")
+        out = staged(each.drop("pivot").join(pivots, "gram"), "groups")
+        drop(classes, shared, each)
+        return out
+
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose parity signatures allow a link."""
+        parity = self.sets.filter("size > 0").groupBy("node").agg(F.first("parity").alias("parity"))
+        pairs = pairs.join(parity.select(F.col("node").alias("a"), F.col("parity").alias("pa")), "a").join(parity.select(F.col("node").alias("b"), F.col("parity").alias("pb")), "b")
+        differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+        most = F.floor((F.col("na") + F.col("nb") - differ) / 2)
+        return pairs.filter((self.num + self.den) * most >= self.num * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """a, b of the pairs (a, b, na, nb) that link: partial overlaps by fragment, summed per pair."""
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         owner = self.sets.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node")
-        texts = owner.join(self.docs, "doc_id").select("node", "text")
+        owner = staged(owner, "owners")
+        texts = owner.join(self.docs.filter(may_hold(owner, "doc_id", F.col("doc_id"))), "doc_id").select("node", "text")
         segments = staged(segments_of(texts, self.counts, self.bounds, self.n).dropDuplicates(["node", "fragment"]), "segments")
         left = segments.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("ga"))
         right = segments.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("gb"))
         partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("k"))
         total = partial.groupBy("a", "b").agg(F.sum("k").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"))
         out = staged(total.filter((self.num + self.den) * F.col("k") >= self.num * (F.col("na") + F.col("nb"))).select("a", "b"), "links")
-        drop(segments)
+        drop(segments, owner)
         return out
 
     def components(self) -> DataFrame:
@@ -220,7 +253,7 @@ class Join:
         release(self.spark)
         star = groups.filter(F.col("node") != F.col("pnode")).filter(self.can_link("", "p"))
         star = star.select(F.col("node").alias("a"), F.col("pnode").alias("b"), F.col("size").alias("na"), F.col("psize").alias("nb"))
-        star = staged(_pairs(star), "pairs")
+        star = staged(self.possible(_pairs(star)), "pairs")
         links = self.verified(star)
         release(self.spark)
         first = staged(components(links), "components")
@@ -236,7 +269,7 @@ class Join:
         # A pair that links passes at its first shared n-gram, where the one with the n-gram is outside or both are.
         met = of.join(outside, "gram").filter((F.col("component") != F.col("xcomponent")) & self.can_link("", "x"))
         rest = _pairs(met.select(F.col("node").alias("a"), F.col("xnode").alias("b"), F.col("size").alias("na"), F.col("xsize").alias("nb")))
-        rest = staged(rest.join(star.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        rest = staged(self.possible(rest).join(star.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         if rest.isEmpty():
             drop(of, star, rest)
             return first
