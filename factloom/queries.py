@@ -414,6 +414,12 @@ def duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
     return jsonl.duplicate_keys(jsonl.attributes(jsonl.read_lines(_lines(rows))), ["l_orderkey", "l_linenumber"])
 
 
+@_query("duplicate_keys_all", "SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def duplicate_keys_all(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return jsonl.duplicate_keys(jsonl.attributes(jsonl.read_lines(_lines(rows))), ["l_orderkey", "l_linenumber"])
+
+
 @_query("privacy_propagation", "SELECT o_orderkey AS source, o_custkey AS target, CASE WHEN c_acctbal < 0 THEN 'private' ELSE 'public' END AS privacy FROM orders JOIN customer ON o_custkey = c_custkey")
 def privacy_propagation(spark: SparkSession, d: str) -> DataFrame:
     m = tpch(spark, d)
