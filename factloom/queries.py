@@ -516,6 +516,15 @@ def explain_provenance(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.explain(facts, s, frag, objects).select("l_orderkey", "l_linenumber", "source_name", "size")
 
 
+@_query("explain_provenance_all", "SELECT l_orderkey, l_linenumber, n_name AS source_name, p_size AS size FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey LEFT JOIN part ON p_partkey = l_partkey AND p_size > 10")
+def explain_provenance_all(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("source_id"), F.col("n_name").alias("name"))
+    facts = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("source_id"), F.col("l_partkey").alias("fragment_id"))
+    frag = table(spark, d, "part").select(F.col("p_partkey").alias("fragment_id"), F.col("p_partkey").alias("object_digest"), F.col("p_type").alias("selector"))
+    objects = table(spark, d, "part").filter("p_size > 10").select(F.col("p_partkey").alias("digest"), F.col("p_size").alias("size"))
+    return lifecycle.explain(facts, s, frag, objects).select("l_orderkey", "l_linenumber", "source_name", "size")
+
+
 @_query("integrity_orphans", "SELECT event_id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
 def integrity_orphans(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.missing_references(table(spark, d, "events"), "user_id", table(spark, d, "customer").filter("c_custkey % 2 = 0"), "c_custkey").select("event_id")

@@ -10,3 +10,10 @@ def test_duplicate_keys_of_every_order(spark, tmp_path):
     spark.createDataFrame([(o, k, 1.0) for o, k in keys], "l_orderkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
     want = {(str(o), str(k), n) for (o, k), n in Counter(keys).items() if n > 1}
     assert {tuple(r) for r in queries.QUERIES["duplicate_keys_all"](spark, str(tmp_path)).select("l_orderkey", "l_linenumber", "n").collect()} == want
+
+
+def test_every_fact_is_explained(spark):
+    d = "/root/testdata/sf0.001"
+    facts = queries.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").collect()
+    got = queries.QUERIES["explain_provenance_all"](spark, d).select("l_orderkey", "l_linenumber").collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, facts))
