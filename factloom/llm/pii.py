@@ -4,9 +4,11 @@ One alternation of patterns finds e-mail addresses, IPv4 addresses, payment card
 security and phone numbers, secrets (long hexadecimal strings, key formats) and names after a title. Each is
 replaced by a keyed surrogate of its type: characters keep their class, case, script and place in
 the format; octets stay octets; a card number that passes the Luhn check gets one that does; a
-name keeps the gender that its title tells and its script. The surrogate depends on the key and the
-entity's normal form alone (lower case or digits only, as the type has it), so one entity has one
-surrogate in every document and spelling.
+phone number keeps its country code; a name keeps the gender that its title tells and its script.
+The surrogate depends on the key and the entity's normal form alone, but for the spelling's letter
+case and separators, so one entity has one surrogate in every document and spelling. The normal form is
+lower case or digits only, as the type has it. A phone number's tells whether it began with '+',
+for only then it has a country; a name's tells the title's gender, so Mr and Mrs A are two entities.
 
 Collision check: the distinct entities of the corpus are counted by type and surrogate (combined
 map-side). Where two share a surrogate, or a surrogate equals a real entity, the later one gets the
@@ -38,6 +40,8 @@ PATTERNS = (
     ("phone", r"(?<![\p{L}\p{N}+.])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .\-]?\d{3,4}[ .\-]\d{3,4}" + _END + r"|(?<![\p{L}\p{N}+])\+\d{8,15}" + _END),
     ("name", _EDGE + rf"(?:{_TITLES_M}|{_TITLES_F})\.? \p{{Lu}}\p{{L}}++(?: \p{{Lu}}\p{{L}}++)?"),
 )
+#: A spelled phone number's country code: calling codes are prefix-free, those not listed have three digits.
+_COUNTRY = r"^\+(?:1|7|(?:2D[07]|3D[0-469]|4D[013-9]|5D[1-8]|6D[0-6]|8D[1246]|9D[0-58])|[0-9]D[0-9]D[0-9])".replace("D", "[^0-9]*")
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
 #: No entity without one of these.
 HINT = rf"[0-9@]|{_TITLES_M}|{_TITLES_F}|[sg][khp][_\-]|xox|pk"
@@ -50,10 +54,16 @@ def kind_of(value: Column) -> Column:
     return out
 
 
+def _female(value: Column) -> Column:
+    return value.rlike(rf"^(?:{_TITLES_F})[. ]")
+
+
 def normal(kind: Column, value: Column) -> Column:
     """An entity's spelling-independent form."""
     digits = F.regexp_replace(value, "[^0-9]", "")
-    return F.when(kind == "email", F.lower(value)).when(kind.isin("card", "ssn", "phone"), digits).when(kind == "iban", F.translate(value, " ", "")).when(kind == "name", F.regexp_replace(value, r"^[^ ]+ ", "")).otherwise(value)
+    phone = F.concat(F.when(value.startswith("+"), "+").otherwise(""), digits)
+    name = F.concat(F.when(_female(value), "f ").otherwise("m "), F.regexp_replace(value, r"^[^ ]+ ", ""))
+    return F.when(kind == "email", F.lower(value)).when(kind.isin("card", "ssn"), digits).when(kind == "phone", phone).when(kind == "iban", F.translate(value, " ", "")).when(kind == "name", name).otherwise(value)
 
 
 def _stream(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
@@ -74,7 +84,7 @@ def _from(letters: str, n: Column) -> Column:
 
 _ACCENTED = "àáâäçèéêëìíîïñòóôöùúûü"
 _CYRILLIC = "абвгдежзиклмнопрстуфхцчшэюя"
-_GREEK = "αβγδεζηθικλμνξοπρστυφχψω"
+_GREEK = "αβγδεζηθικλμνξοπρτυφχψω"  # no sigma: its lower case depends on what follows
 
 
 def _like(c: Column, n: Column) -> Column:
@@ -123,13 +133,12 @@ def surrogate(e: Column) -> Column:
     card = _respell(value, s)
     fixed = F.concat(F.substr(card, F.lit(1), F.length(card) - 1), ((F.right(card, F.lit(1)).cast("int") + 10 - _luhn(F.regexp_replace(card, "[^0-9]", "")) % 10) % 10).cast("string"))
     card = F.when(_luhn(F.regexp_replace(value, "[^0-9]", "")) % 10 == 0, fixed).otherwise(card)
-    country = F.regexp_extract(value, r"^(\+1(?=[^0-9])|\+\d{1,3}(?=[ .\-]))", 1)
+    country = F.regexp_extract(value, _COUNTRY, 0)
     phone = F.concat(country, _respell(F.substr(value, F.length(country) + 1, F.length(value)), s))
     iban = F.concat(F.substring(value, 1, 2), _respell(F.substr(value, F.lit(3), F.length(value)), s))
-    title = F.regexp_extract(value, r"^([^ ]+ )", 1)
-    female = title.rlike(rf"^(?:{_TITLES_F})\b")
-    cyrillic = value.rlike(r"\p{IsCyrillic}")
-    name = F.transform(F.split(F.regexp_replace(value, r"^[^ ]+ ", ""), " "), lambda w, i: _given(w, s, i, female, cyrillic))
+    title, called = F.regexp_extract(value, r"^([^ ]+ )", 1), F.regexp_replace(value, r"^[^ ]+ ", "")
+    cyrillic = called.rlike(r"\p{IsCyrillic}")
+    name = F.transform(F.split(called, " "), lambda w, i: _given(w, s, i, _female(value), cyrillic))
     name = F.concat(title, F.array_join(name, " "))
     return F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", _respell(value, s)).otherwise(name)
 
@@ -148,7 +157,7 @@ def _found(text: Column) -> Column:
 
 
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Distinct kind, norm and one spelling (value) of the corpus."""
+    """Distinct kind, norm and one spelling (value) of the corpus: the normal form of its surrogate is that of all spellings'."""
     each = docs.select(F.explode(F.array_distinct(_found(F.col(text_col)))).alias("value"))
     each = each.groupBy("value").agg(F.lit(1).alias("_"))  # each spelling is classed once a task
     each = each.select(kind_of(F.col("value")).alias("kind"), "value")

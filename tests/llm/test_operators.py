@@ -200,6 +200,34 @@ def test_pii_collisions_are_resolved(spark, monkeypatch):
     assert len(set(got)) == 25 and not set(got) & set(texts)
 
 
+def test_pii_surrogates_are_functions_of_the_normal_form(spark):
+    """Spellings of one entity have equal normal forms, and so have their surrogates."""
+    same_entity = [
+        ["+1 555-123-4567", "+15551234567", "+1 (555) 123-4567", "+1-555-123-4567"], ["+49 3012 345 6789", "+4930123456789"], ["+420 601 123 4567", "+4206011234567"],
+        ["555-123-4567", "(555) 123-4567"], ["Mrs Smith", "Ms. Smith", "Frau Smith", "Госпожа Smith"], ["Mr Smith", "Herr Smith", "Господин Smith"], ["ΑΒΣ@Example.gr", "αβς@example.gr"], ["4111-1111-1111-1111", "4111111111111111"],
+    ]
+    df = spark.createDataFrame([(k, f"about {x} end") for k, x in enumerate(x for g in same_entity for x in g)], "doc_id long, text string")
+    got = [r["text"][6:-4] for r in pii.pseudonymise(df, "k").orderBy("doc_id").collect()]
+    from pyspark.sql import functions as F
+
+    norm = lambda xs: [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i long, v string").orderBy("i").select(pii.normal(pii.kind_of(F.col("v")), F.col("v"))).collect()]
+    given, new = norm([x for g in same_entity for x in g]), norm(got)
+    at = 0
+    for g in same_entity:
+        assert len(set(given[at : at + len(g)])) == 1 and len(set(new[at : at + len(g)])) == 1 and given[at] != new[at]
+        at += len(g)
+    assert all(x.startswith(c) for x, c in zip(got, ["+1", "+1", "+1", "+1", "+49", "+49", "+420", "+420"]))
+
+
+def test_pii_surrogates_stay_apart_under_every_title(spark):
+    """Of 400 names, all with both titles or with one, no two share a surrogate of either gender."""
+    names = sorted({f"{a}{b}{c}" for a in ("Ba", "Ke", "Lo", "Mi", "Nu") for b in ("ra", "ste", "gli", "dro", "pu", "ve", "shi", "no") for c in ("n", "k", "ll", "x", "m", "th", "rd", "s", "ck", "ff")})
+    texts = [f"{t} {n}" for k, n in enumerate(names) for t in (("Mr", "Mrs") if k % 2 else ("Mrs",))]
+    df = spark.createDataFrame([(k, f"so {x}, ok") for k, x in enumerate(texts)], "doc_id long, text string")
+    got = [r["text"][3:-4] for r in pii.pseudonymise(df, "k").collect()]
+    assert len(set(got)) == len(texts) and not set(got) & set(texts)
+
+
 def test_warc(spark):
     page = "<html lang='de'><head><title>A &amp; B</title><script>x<y</script></head><body><p>One<br>two &lt;3<a href=\"/q?a=1&amp;b\">l</a></p><!-- c --></body></html>"
     df = spark.createDataFrame([(1, "http://x/", page, "c"), (2, None, None, "c"), (3, "u", "plain", "c")], "page_id long, url string, html string, record string")
