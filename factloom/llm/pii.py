@@ -12,7 +12,9 @@ for only then it has a country; a name's tells the title's gender, so Mr and Mrs
 
 Collision check: the distinct entities of the corpus are counted by type and surrogate (combined
 map-side). Where two share a surrogate, or a surrogate equals a real entity, the later one gets the
-next attempt's, until none collides. Only documents that hold such an entity are joined with the
+next attempt's, until none collides. Each attempt's names are a syllable longer and its mail addresses a
+letter, so their space outgrows any number of entities within a few rounds. The other types keep their
+format's length; where a corpus fills a format, the job fails after MAX_ROUNDS. Only documents that hold such an entity are joined with the
 new surrogates; all others are rewritten in the map over the texts.
 
 Defined cases: null text stays null, empty text empty; repeated rows are rewritten alike; an empty
@@ -42,6 +44,8 @@ PATTERNS = (
 )
 #: A spelled phone number's country code: calling codes are prefix-free, those not listed have three digits.
 _COUNTRY = r"^\+(?:1|7|(?:2D[07]|3D[0-469]|4D[013-9]|5D[1-8]|6D[0-6]|8D[1246]|9D[0-58])|[0-9]D[0-9]D[0-9])".replace("D", "[^0-9]*")
+#: Rounds of the collision check after which a fixed-length format counts as full.
+MAX_ROUNDS = 200
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
 #: No entity without one of these.
 HINT = rf"[0-9@]|{_TITLES_M}|{_TITLES_F}|[sg][khp][_\-]|xox|pk"
@@ -116,17 +120,24 @@ def _luhn(digits: Column) -> Column:
 
 
 def streams(key: str, kind: Column, value: Column, norm: Column, attempt: Column) -> list[Column]:
-    """What surrogate() draws from. Kept in columns of its own, so it is computed once an entity."""
+    """What surrogate() draws from, and the attempt. Kept in columns of its own, so it is computed once an entity."""
     domain = F.when(kind == "email", _stream(key, F.lit("domain"), F.lower(F.substring_index(value, "@", -1)), F.lit(0)))
-    return [_stream(key, kind, norm, attempt).alias("stream"), domain.alias("domain_stream")]
+    return [attempt.alias("attempt"), _stream(key, kind, norm, attempt).alias("stream"), domain.alias("domain_stream")]
+
+
+def _grown(s: Column, attempt: Column, *letters: str) -> Column:
+    """As many syllables, of a letter of each set, as there were attempts before; no surrogate of attempt 0 changes."""
+    n = len(letters)
+    more = F.transform(F.sequence(F.lit(1), attempt), lambda k: F.concat(*(_from(c, _number(s, k * n + 20 + j)) for j, c in enumerate(letters))))
+    return F.when(attempt > 0, F.array_join(more, "")).otherwise("")
 
 
 def surrogate(e: Column) -> Column:
-    """e: struct of kind, value, stream, domain_stream."""
-    kind, value, s, domain_stream = e["kind"], e["value"], e["stream"], e["domain_stream"]
+    """e: struct of kind, value, attempt, stream, domain_stream."""
+    kind, value, attempt, s, domain_stream = e["kind"], e["value"], e["attempt"], e["stream"], e["domain_stream"]
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     host, top = F.regexp_extract(domain, r"^(.*)\.([^.]*)$", 1), F.regexp_extract(domain, r"^(.*)\.([^.]*)$", 2)
-    email = F.concat(_respell(local, s), F.lit("@"), _respell(host, domain_stream), F.lit("."), top)
+    email = F.concat(_respell(local, s), _grown(s, attempt, "abcdefghijklmnopqrstuvwxyz"), F.lit("@"), _respell(host, domain_stream), F.lit("."), top)
     ip = F.concat_ws(".", *((_number(s, k, 4) % 254 + 1).cast("string") for k in range(4)))
     secret = F.when(value.rlike("^[0-9a-f]+$"), F.substr(s, F.lit(1), F.length(value))).when(value.rlike("^[0-9A-F]+$"), F.upper(F.substr(s, F.lit(1), F.length(value))))
     secret = secret.otherwise(F.concat(F.regexp_extract(value, r"^(AKIA|[a-z]+[_\-])", 1), _respell(F.regexp_replace(value, r"^(AKIA|[a-z]+[_\-])", ""), s)))
@@ -138,16 +149,19 @@ def surrogate(e: Column) -> Column:
     iban = F.concat(F.substring(value, 1, 2), _respell(F.substr(value, F.lit(3), F.length(value)), s))
     title, called = F.regexp_extract(value, r"^([^ ]+ )", 1), F.regexp_replace(value, r"^[^ ]+ ", "")
     cyrillic = called.rlike(r"\p{IsCyrillic}")
-    name = F.transform(F.split(called, " "), lambda w, i: _given(w, s, i, _female(value), cyrillic))
+    name = F.transform(F.split(called, " "), lambda w, i: _given(w, s, i, _female(value), cyrillic, attempt))
     name = F.concat(title, F.array_join(name, " "))
     return F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", _respell(value, s)).otherwise(name)
 
 
-def _given(word: Column, s: Column, i: Column, female: Column, cyrillic: Column) -> Column:
-    """A name of four syllables in the word's script, with its gender's ending and its letter case."""
+def _given(word: Column, s: Column, i: Column, female: Column, cyrillic: Column, attempt: Column) -> Column:
+    """A name of three syllables, the first word's with one more for each attempt before, in the name's script,
+    with its gender's ending and the word's letter case."""
     at = i * 10
     latin = [_from(c, _number(s, at + k)) for k, c in enumerate(("BCDFGLMNPRSTV", "aeiou", "bdlmnrstv", "aeiou", "lmnrstdv"))]
     slavic = [_from(c, _number(s, at + k)) for k, c in enumerate(("БВГДКЛМНПРСТ", "аеиоу", "бвдлмнрст", "аеиоу", "лмнрств"))]
+    grown = lambda *letters: F.when(i == 0, _grown(s, attempt, *letters)).otherwise("")
+    slavic, latin = [*slavic, grown("аеиоу", "лмнрств")], [*latin, grown("aeiou", "lmnrstdv")]
     new = F.when(cyrillic, F.concat(*slavic, F.when(female, "а").otherwise("ов"))).otherwise(F.concat(*latin, F.when(female, "a").otherwise("o")))
     return F.when(word == F.upper(word), F.upper(new)).otherwise(new)
 
@@ -167,7 +181,7 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def overrides(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame | None:
     """kind, norm, attempt of the entities whose first surrogate collides; None if there are none."""
     known = staged(entities(docs, text_col).withColumn("attempt", F.lit(0)), "entities")
-    changed = False
+    changed, rounds = False, 0
     while True:
         tried = known.select("*", F.struct("kind", "value", *streams(key, F.col("kind"), F.col("value"), F.col("norm"), F.col("attempt"))).alias("_e"))
         tried = tried.select("kind", "norm", surrogate(F.col("_e")).alias("new")).select("kind", "norm", normal(F.col("kind"), F.col("new")).alias("new"))
@@ -182,7 +196,9 @@ def overrides(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame |
         if bad.isEmpty():
             drop(bad)
             break
-        changed = True
+        changed, rounds = True, rounds + 1
+        if rounds == MAX_ROUNDS:
+            raise ValueError(f"entities without a surrogate of their own after {rounds} rounds: {[tuple(r) for r in bad.groupBy('kind').count().collect()]}")
         after = staged(known.join(bad, ["kind", "norm"], "left").select("kind", "norm", "value", (F.col("attempt") + F.coalesce("bad", F.lit(0))).alias("attempt")), "entities")
         drop(known, bad)
         known = after

@@ -228,6 +228,21 @@ def test_pii_surrogates_stay_apart_under_every_title(spark):
     assert len(set(got)) == len(texts) and not set(got) & set(texts)
 
 
+def test_pii_surrogate_space_outgrows_the_entities(spark, monkeypatch):
+    """More surnames and addresses than first surrogates: 300 names for one stem, 60 locals for two."""
+    real = pii._number
+    monkeypatch.setattr(pii, "_number", lambda s, i, digits=2: F.when((F.lit(i) if isinstance(i, int) else i) < 20, real(s, i, digits) * 0).otherwise(real(s, i, digits)))
+    monkeypatch.setattr(pii, "MAX_ROUNDS", 12)
+    from pyspark.sql import functions as F
+
+    texts = [f"see {t} {a}{b}{c} now" for t in ("Mrs", "Господин") for a in ("Ba", "Ke", "Lo", "Mi", "Nu") for b in ("ra", "ste", "gli", "dro", "pu", "ve") for c in ("n", "k", "ll", "x", "m")]
+    texts += [f"see {a}{b}@example.com now" for a in "uvwxyz" for b in "0123456789"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["text"] for r in pii.pseudonymise(df, "k").collect()]
+    assert len(set(got)) == len(texts) == 360 and not set(got) & set(texts)
+    assert all(pii_kind in x for x, pii_kind in zip(got, ["Mrs "] * 150 + ["Господин "] * 150 + ["@"] * 60))
+
+
 def test_warc(spark):
     page = "<html lang='de'><head><title>A &amp; B</title><script>x<y</script></head><body><p>One<br>two &lt;3<a href=\"/q?a=1&amp;b\">l</a></p><!-- c --></body></html>"
     df = spark.createDataFrame([(1, "http://x/", page, "c"), (2, None, None, "c"), (3, "u", "plain", "c")], "page_id long, url string, html string, record string")
