@@ -2,17 +2,17 @@
 
 Per document: counts of words, word characters, symbols, repeated lines and words in repeated
 three-word windows. Across documents: lines are normalised (lower case, single spaces, digits
-alike) and hashed, and the distinct texts that hold a line are counted per host; exact copies of a
-document count once, so they don't make its lines boilerplate. Lines above the limit are removed,
+alike) and hashed, and the distinct documents (by id and text) that hold a line are counted per host:
+exact copies under ids of their own count, a repeated row doesn't. Lines above the limit are removed,
 and a document that keeps too few of its words is rejected.
 
-Scale: line counts are combined map-side, over (host, line, text) and then (host, line), so a host
+Scale: line counts are combined map-side, over (host, line, document) and then (host, line), so a host
 or a line that a third of the documents share doesn't land in one task; the lines above the limit
 come back by a join that the runtime may broadcast below its threshold and splits where skewed.
 Texts themselves are never shuffled.
 
 Defined cases: null or empty text has no words and fails the base rules; a null host is the host
-''; repeated rows get the same verdict; null ids are kept as they are; an empty table gives an
+''; repeated rows (also null ids with equal text) get the same verdict, each line's words counted once; null ids are kept as they are; an empty table gives an
 empty result. Columns other than id, text and host are not read.
 """
 
@@ -26,7 +26,7 @@ WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A line that more distinct texts of a host hold is removed.
+#: A line that more distinct documents of a host hold is removed.
 MAX_LINE_TEXTS = 20
 #: A document is depleted below this part of its words, or below MIN_WORDS.
 MIN_LEFT_PERCENT = 50
@@ -60,15 +60,15 @@ def _line_hash(line):
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """host, doc_id, text_key, line (hash), words: one row for each line with a word."""
-    d = docs.select("host", "doc_id", "text_key", F.explode(F.split("text", "\n", -1)).alias("line"))
-    d = d.select("host", "doc_id", "text_key", _normal(F.col("line")).alias("line")).filter(F.col("line") != "")
-    return d.select("host", "doc_id", "text_key", F.xxhash64("line").alias("line"), (F.length("line") - F.length(F.translate("line", " ", "")) + 1).alias("words"))
+    """host, doc_id, text_key, place, line (hash), words: one row for each line with a word."""
+    d = docs.select("host", "doc_id", "text_key", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
+    d = d.select("host", "doc_id", "text_key", "place", _normal(F.col("line")).alias("line")).filter(F.col("line") != "")
+    return d.select("host", "doc_id", "text_key", "place", F.xxhash64("line").alias("line"), (F.length("line") - F.length(F.translate("line", " ", "")) + 1).alias("words"))
 
 
 def frequent_lines(rows: DataFrame, max_texts: int) -> DataFrame:
-    """host, line of the lines that more than max_texts distinct texts of the host hold."""
-    return rows.select("host", "line", "text_key").distinct().groupBy("host", "line").count().filter(F.col("count") > max_texts).select("host", "line")
+    """host, line of the lines that more than max_texts distinct documents of the host hold."""
+    return rows.select("host", "line", "doc_id", "text_key").distinct().groupBy("host", "line").count().filter(F.col("count") > max_texts).select("host", "line")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_line_texts: int = MAX_LINE_TEXTS, min_words: int = MIN_WORDS, min_left_percent: int = MIN_LEFT_PERCENT, max_repeat_percent: int = MAX_REPEAT_PERCENT, with_text: bool = False) -> DataFrame:
@@ -78,7 +78,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     src = src.withColumn("text_key", F.xxhash64("text", F.length("text")))
     rows = line_rows(src)
     gone = rows.join(frequent_lines(rows, max_line_texts), ["host", "line"])
-    gone = gone.groupBy("host", "doc_id", "text_key").agg(F.sum("words").alias("_gone"), *([F.collect_set("line").alias("_lines")] if with_text else []))
+    # A set of places: a repeated row holds the same ones, so its words count once.
+    words = F.aggregate(F.collect_set(F.struct("place", "words")), F.lit(0).cast("long"), lambda n, x: n + x["words"])
+    gone = gone.groupBy("host", "doc_id", "text_key").agg(words.alias("_gone"), *([F.collect_set("line").alias("_lines")] if with_text else []))
     gone = gone.select(F.col("host").alias("_host"), F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_gone", *(["_lines"] if with_text else []))
     base = base_counts(src)
     base = base if with_text else base.drop("text")

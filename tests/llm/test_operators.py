@@ -167,6 +167,25 @@ def test_quality_rules(docs, rows):
             assert kept[i] == "\n".join(x for x in t.split("\n") if not normal(x) or len(holds[h, normal(x)]) <= limit)
 
 
+def test_quality_rules_judge_repeated_rows_once(spark):
+    """Of 100 words 30 are in a frequent line: kept, however often the row, or its text without an id, is repeated."""
+    own = lambda k: " ".join(f"w{k}x{j}" for j in range(70)).translate(str.maketrans("0123456789", "abcdefghij"))
+    common = " ".join(["common"] + [chr(97 + j) * 3 for j in range(14)])
+    texts = [f"{common}\n{own(k)}\n{common}" for k in range(4)]
+    given = [(0, texts[0]), (1, texts[1]), (1, texts[1]), (1, texts[1]), (None, texts[2]), (None, texts[2]), (3, texts[3])]
+    df = spark.createDataFrame([(i, t, "h") for i, t in given], "doc_id long, text string, source string")
+    got = quality_rules.quality_rules(df, max_line_texts=2).collect()
+    assert [(r["n_words"], r["n_words_removed"], r["kept"]) for r in got] == [(100, 30, True)] * len(given)
+
+
+def test_quality_rules_count_copies_as_documents(spark):
+    """A line in exact copies under three ids is frequent; in three rows of one id it isn't."""
+    given = [(k, "in copies", "h") for k in range(3)] + [(7, "in one document", "h")] * 3
+    df = spark.createDataFrame(given, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["n_words_removed"] for r in quality_rules.quality_rules(df, max_line_texts=2).collect()}
+    assert got == {0: 2, 1: 2, 2: 2, 7: 0}
+
+
 def test_pii(spark):
     texts = [
         "mail Ann.Lee@Example.com or ann.lee@example.com, ip 10.1.2.3, card 4111 1111 1111 1111 and 4111111111111111.", "call +1 (017) 555-7713 or +1-017-555-7713; Mr Smith met Mrs Jones and Mr Smith. Господин Иванов", None, "",
