@@ -2,7 +2,8 @@
 
 Tokens: texts are cut at ASCII white space and between an ASCII letter and a comma or point, and
 each distinct run is tokenised once per task, in ASCII lower case (the tokenizer drops white
-space, always splits there, and lower-cases), so it sees the vocabulary and not the text. Packing is a map: each task
+space, always splits there, and lower-cases), so it sees the vocabulary and not the text. Strings of
+added tokens keep their case, for the tokenizer knows them by it, and give their own ids. Packing is a map: each task
 packs what its input split holds, so nothing is shuffled, and a lost task is simply run again
 with the same result. Padding comes from the last few windows of a group only.
 
@@ -95,10 +96,28 @@ def tokenizer(path: str):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # strings of special tokens in a text are ordinary text
+    assert not any(set(a.content) & set(" \t\n\x0b\x0c\r,.") or a.normalized or a.single_word for a in t.get_added_tokens_decoder().values())  # none is cut or found elsewhere
     return t
 
 
+@functools.lru_cache(maxsize=2)
+def added(path: str) -> list[bytes]:
+    """Strings of added tokens in ASCII lower case."""
+    return [bytes(LOWER[np.frombuffer(a.content.encode(), np.uint8)]) for a in tokenizer(path).get_added_tokens_decoder().values()]
+
+
+def lowered(path: str, data: np.ndarray) -> np.ndarray:
+    """data in ASCII lower case, but for what would read as an added token in it."""
+    out = LOWER[data]
+    raw = out.tobytes()
+    for token in added(path):
+        at = raw.find(token)
+        while at >= 0:
+            out[at : at + len(token)] = data[at : at + len(token)]
+            at = raw.find(token, at + 1)
+    return out
+
+
 @functools.lru_cache(maxsize=2)
 def bare(path: str):
     """The tokenizer's merges alone, for words that its normaliser and splitter leave whole; which ids end a word."""
@@ -156,7 +175,7 @@ class RunEncoder:
         """All ids of all texts, each text closed by the end id; lengths per text."""
         if len(self.slots) > MEMO_RUNS:
             self.reset()
-        data = LOWER[data]
+        data = lowered(self.path, data)
         letter, point = LETTER[data], POINT[data]
         cuts = np.zeros(len(data), bool)
         cuts[1:] = letter[:-1] & point[1:] | point[:-1] & letter[1:]

@@ -78,6 +78,16 @@ def test_packing(docs, rows):
     assert packing.pack(docs.limit(0), path).count() == 0
 
 
+def test_packing_gives_added_tokens_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["<|endoftext|>", "A<|endoftext|>b.C", "<|ENDOFTEXT|> x", "Ab <|EndOfText|>,a", "'<|startoftext|>'S<|endoftext|><|endoftext|>É", "<|endof", "text|>", "<|ENDOF", "TEXT|>.a", "<|endof text|>", "plain, Text."]
+    path, fresh = P.path("word_bpe_49k.json"), Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["ids"] for r in packing.pack(df, path).collect()}
+    assert got[0] == [49407, 1] and got == {k: [*fresh.encode(t, add_special_tokens=False).ids, 1] for k, t in enumerate(texts)}
+
+
 def test_best_fit_decreasing_is_what_a_plain_search_finds():
     rng = np.random.default_rng(1)
     for _ in range(30):
