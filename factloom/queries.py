@@ -187,6 +187,7 @@ _RATIO = [{"as": "share", "op": "ratio", "numerator": "high", "denominator": "or
 _BYC = {"match": _CM, "optional_match": [_OPT[0] | {"where": []}], "group_by": [{"field": "c.key", "as": "customer"}], "derive": _RATIO}
 _v2("v2_ratio", {"match": _OM, "group_by": [{"field": "o.status", "as": "status"}], "measures": [m_("high", "sum", field="o.bonus"), m_("orders", "count", node="o")], "derive": _RATIO}, f"SELECT 'value' AS status_kind, status, CAST(COALESCE(sum(bonus),0) AS BIGINT) AS high, count(*) FILTER (WHERE bonus IS NULL) AS high_skipped, count(*) AS orders, {_ratio_sql('COALESCE(sum(bonus),0)', 'count(*)')} AS share FROM {O_} GROUP BY status")
 _v2("v2_zero_denominator", {"match": _CM, "optional_match": _OPT, "group_by": _SEG, "measures": [m_("high", "count", node="c"), m_("orders", "count", node="c", when={"unbound": "o"})], "where": [_where("c.key", "lte", 40)], "derive": _RATIO}, f"SELECT 'value' AS segment_kind, segment, count(*) AS high, count(*) FILTER (WHERE o IS NULL) AS orders, {_ratio_sql('count(*)', 'count(*) FILTER (WHERE o IS NULL)')} AS share FROM {_JOINED} WHERE c <= 40 GROUP BY segment")
+_v2("v2_zero_denominator_all", {"match": _CM, "optional_match": [_OPT[0] | {"where": [_where("o.cents", "lt", 0)]}], "group_by": _SEG, "measures": [m_("high", "count", node="c"), m_("orders", "count", node="o")], "derive": _RATIO}, f"SELECT 'value' AS segment_kind, segment, count(*) AS high, count(o) AS orders, {_ratio_sql('count(*)', 'count(o)')} AS share FROM (SELECT c.segment, o.id AS o FROM {C_} c LEFT JOIN (SELECT * FROM {O_} WHERE cents < 0) o ON o.custkey = c.id) GROUP BY segment")
 _PER_C = f"(SELECT c.id AS c, CAST(COALESCE(sum(o.bonus),0) AS BIGINT) AS high, count(o.id) FILTER (WHERE o.bonus IS NULL) AS high_skipped, count(o.id) AS orders FROM {C_} c LEFT JOIN {O_} o ON o.custkey = c.id GROUP BY c.id)"
 _v2("v2_order_ratio", _BYC | {"measures": [m_("high", "sum", field="o.bonus"), m_("orders", "count", node="o")], "order_by": [{"result": "share", "direction": "desc"}, {"result": "customer", "direction": "asc"}], "limit": 200}, f"SELECT 'value' AS customer_kind, CAST(c AS VARCHAR) AS customer, high, high_skipped, orders, {_ratio_sql('high', 'orders')} AS share FROM {_PER_C} ORDER BY orders = 0, (CAST(high AS HUGEINT) * 1000000000000000000) // NULLIF(orders,0) DESC, c LIMIT 200")
 _v2("v2_page", _BYC | {"measures": [m_("high", "sum", field="o.bonus"), m_("orders", "count", node="o")], "order_by": [{"result": "orders", "direction": "asc"}, {"result": "customer", "direction": "desc"}], "limit": 50, "offset": 30}, f"SELECT 'value' AS customer_kind, CAST(c AS VARCHAR) AS customer, high, high_skipped, orders, {_ratio_sql('high', 'orders')} AS share FROM {_PER_C} ORDER BY orders, c DESC LIMIT 50 OFFSET 30")
@@ -258,6 +259,23 @@ def ontology_statistics(spark: SparkSession, d: str) -> DataFrame:
     return m.ontology_statistics("tpch").filter(F.col("field").isin("priority", "bonus"))
 
 
+#: Every field of the registered types: entity type, table, field, JSON type, conditions of presence and of an explicit null.
+_PRI_NULL = "o_orderpriority = '4-NOT SPECIFIED'"
+_FIELDS = [
+    *((f"tpch.{e}", t, f, j, "true", "false") for e, t, fs in (
+        ("Region", "region", {"name": "string"}), ("Nation", "nation", {"name": "string", "regionkey": "number"}), ("Customer", "customer", {"name": "string", "segment": "string", "cents": "number", "acctbal": "number", "key": "number"}),
+        ("Supplier", "supplier", {"name": "string", "cents": "number"}), ("Part", "part", {"name": "string", "brand": "string", "size": "number"}), ("Order", "orders", {"status": "string", "cents": "number", "total": "number", "custkey": "number"}),
+    ) for f, j in fs.items()),
+    ("tpch.Customer", "customer", "ghost", "unresolved", "true", "true"), *(("tpch.Order", "orders", f, j, "o_orderpriority <> '5-LOW'", _PRI_NULL) for f, j in (("priority", "string"), ("bonus", "number"))),
+]
+_STATISTICS = " UNION ALL ".join(f"SELECT '{e}' AS entity_type, '{f}' AS field, '{j}' AS json_type, count(*) AS n_nodes, count(*) FILTER (WHERE {p}) AS n_present, count(*) FILTER (WHERE {z}) AS n_null FROM {t}" for e, t, f, j, p, z in _FIELDS)
+
+
+@_query("ontology_statistics_all", _STATISTICS)
+def ontology_statistics_all(spark: SparkSession, d: str) -> DataFrame:
+    return tpch(spark, d).ontology_statistics("tpch")
+
+
 @_query("relation_statistics", "SELECT 'placed_by' AS relation, 'order_customer' AS logical_key, count(*) FILTER (WHERE o_orderstatus <> 'F') AS n_active, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_inactive FROM orders")
 def relation_statistics(spark: SparkSession, d: str) -> DataFrame:
     m = tpch(spark, d)

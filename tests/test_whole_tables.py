@@ -17,3 +17,12 @@ def test_every_fact_is_explained(spark):
     facts = queries.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").collect()
     got = queries.QUERIES["explain_provenance_all"](spark, d).select("l_orderkey", "l_linenumber").collect()
     assert Counter(map(tuple, got)) == Counter(map(tuple, facts))
+
+
+def test_statistics_of_every_type_and_zero_denominators_of_every_customer(spark):
+    d = "/root/testdata/sf0.001"
+    m = queries.tpch(spark, d)
+    got = {(r["entity_type"], r["field"]) for r in queries.QUERIES["ontology_statistics_all"](spark, d).collect()}
+    assert got == {(e.name, f) for e in m.entities.values() for f in e.fields} and len({t for t, _ in got}) == 6
+    rows = queries.QUERIES["v2_zero_denominator_all"](spark, d).collect()
+    assert sum(r["high"] for r in rows) == queries.table(spark, d, "customer").count() and all(r["orders"] == 0 and r["share"] is None for r in rows)
