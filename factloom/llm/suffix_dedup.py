@@ -1,11 +1,12 @@
-"""Exact substring deduplication by sorted suffixes.
+"""Exact substring deduplication by anchors that content picks, grouped by digests.
 
 Each byte is removed that a `length`-byte string covers which also starts earlier (in a smaller
 doc_id, or in the same document before); strings are judged on the input.
 
-Suffixes are range-partitioned by sampled splitters on their leading bytes and then their content's
-digest, every bucket is sorted locally by multikey quicksort (a word of the key at a time, only
-ties go on to the next), and equal neighbours beyond the first mark their strings as repeated. A
+No suffix text is sorted or compared: a suffix's record is its two leading bytes, 48 bits of a digest
+of its leading gram, a digest of its segment, the document and the place. Records are range-partitioned
+by sampled splitters on these, every bucket is sorted locally (np.argsort by the first word, np.lexsort
+for ties), and equal neighbours beyond the first mark their strings as repeated. A
 splitter is a real record and the last one of its bucket, so a run of equal suffixes that a
 boundary cuts is recognised in the next bucket by comparing its first record with the splitter:
 runs of any size are spread over as many buckets as they need.
