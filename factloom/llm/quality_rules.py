@@ -22,8 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
-WHITE = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+SYMBOL = r"[#*$%&|<>]"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: A line that more distinct documents of a host hold is removed.
@@ -37,22 +36,20 @@ def base_counts(docs: DataFrame) -> DataFrame:
     text = F.col("text")
     rest = docs.columns
     d = docs.select(*rest, F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("_w"))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, WHITE, "")) > 0)
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
     d = d.select(*rest, "_w", lines.alias("_lines"))
     # Hash of each window with its place, sorted by hash: equal windows are neighbours.
     window = F.transform(F.slice("_w", 1, F.greatest(F.size("_w") - 2, F.lit(0))), lambda x, i: F.struct(F.xxhash64(x, F.get("_w", i + 1), F.get("_w", i + 2)).alias("h"), i.alias("p")))
-    d = d.select(*rest, F.size("_w").cast("long").alias("n_words"), (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), F.sort_array(window).alias("_s"))
+    chars = F.length(F.array_join("_w", "")).cast("long").alias("word_chars")
+    d = d.select(*rest, F.size("_w").cast("long").alias("n_words"), chars, (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), F.sort_array(window).alias("_s"))
     again = F.transform("_s", lambda x, i: F.when((x["h"] == F.get("_s", i + 1)["h"]) | (x["h"] == F.get("_s", i - 1)["h"]), x["p"]))
-    d = d.select(*rest, "n_words", "n_dup_lines", F.sort_array(F.filter(again, lambda p: p.isNotNull())).alias("_p"))
+    d = d.select(*rest, "n_words", "word_chars", "n_dup_lines", F.sort_array(F.filter(again, lambda p: p.isNotNull())).alias("_p"))
     covered = F.aggregate("_p", F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")), lambda a, p: F.struct((p + 3).alias("end"), (a["n"] + p + 3 - F.greatest(p, a["end"])).alias("n")), lambda a: a["n"])
-    return d.select(
-        *rest, "n_words", F.length(F.translate(text, WHITE, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"), "n_dup_lines", covered.alias("n_repeat_words"),
-    )
+    return d.select(*rest, "n_words", "word_chars", (F.length(text) - F.length(F.regexp_replace(text, SYMBOL, ""))).cast("long").alias("n_symbols"), "n_dup_lines", covered.alias("n_repeat_words"))
 
 
 def _normal(line):
-    return F.trim(F.regexp_replace(F.translate(F.lower(line), "123456789", "000000000"), r"[\x20\x09-\x0D]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[1-9]", "0"), r"[\x20\x09-\x0D]+", " "))
 
 
 def _line_hash(line):
@@ -63,7 +60,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
     """host, doc_id, text_key, place, line (hash), words: one row for each line with a word."""
     d = docs.select("host", "doc_id", "text_key", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
     d = d.select("host", "doc_id", "text_key", "place", _normal(F.col("line")).alias("line")).filter(F.col("line") != "")
-    return d.select("host", "doc_id", "text_key", "place", F.xxhash64("line").alias("line"), (F.length("line") - F.length(F.translate("line", " ", "")) + 1).alias("words"))
+    return d.select("host", "doc_id", "text_key", "place", F.xxhash64("line").alias("line"), (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).alias("words"))
 
 
 def frequent_lines(rows: DataFrame, max_texts: int) -> DataFrame:
