@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import Hasher, flat, slices, spans
+from .columns import Hasher, flat, frugal, slices, spans
 from .staging import drop, partitions, staged
 
 FEATURES = 256
@@ -113,7 +113,7 @@ def features_of(docs: DataFrame) -> DataFrame:
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * N_STATS, pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), rows], names=out.fieldNames())
 
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(frugal(run), out)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -205,7 +205,7 @@ def fit(stats: DataFrame, labels: DataFrame, learn_from, id_col: str = "doc_id",
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([r.tobytes() for r in total.values()], pa.binary())], names=["k", "v"])
 
-    solved = {r["k"]: np.frombuffer(r["v"]) for r in rows.mapInArrow(equations, pair).repartition(min(16, partitions(spark)), "k").mapInArrow(added, pair).collect()}
+    solved = {r["k"]: np.frombuffer(r["v"]) for r in rows.mapInArrow(frugal(equations), pair).repartition(min(16, partitions(spark)), "k").mapInArrow(frugal(added), pair).collect()}
     a = np.array([solved[k] for k in range(features + 1)])
     weights = np.linalg.solve(a + RIDGE * np.eye(len(a)), solved[features + 1])
     binned = T.StructType().add("bin", T.IntegerType()).add("y", T.DoubleType()).add("n", T.LongType())
@@ -220,7 +220,7 @@ def fit(stats: DataFrame, labels: DataFrame, learn_from, id_col: str = "doc_id",
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(y[used]), pa.array(n[used])], names=binned.fieldNames())
 
     y, n = np.zeros(BINS), np.zeros(BINS)
-    for r in rows.mapInArrow(histogram, binned).groupBy("bin").agg(F.sum("y").alias("y"), F.sum("n").alias("n")).collect():
+    for r in rows.mapInArrow(frugal(histogram), binned).groupBy("bin").agg(F.sum("y").alias("y"), F.sum("n").alias("n")).collect():
         y[r["bin"]], n[r["bin"]] = r["y"], r["n"]
     drop(rows)
     return Model(fourier, weights, isotonic(y, n))
@@ -238,7 +238,7 @@ def score(docs: DataFrame, labels: DataFrame, learn_from, id_col: str = "doc_id"
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model(_matrix(b.column("stats"))))], names=out.fieldNames())
 
-    return stats.mapInArrow(scored, out)
+    return stats.mapInArrow(frugal(scored), out)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, learn_from, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:

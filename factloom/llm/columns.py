@@ -3,7 +3,9 @@ word boundaries, and position-independent 64-bit hashes of byte ranges."""
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,32 @@ def flat(arr) -> tuple[np.ndarray, np.ndarray]:
     return d, o - o[0]
 
 
+@functools.lru_cache(maxsize=1)
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library
+        return None
+
+
+def frugal(run):
+    """run, a task's function over batches, that gives its memory back when it ends: Spark keeps its
+    workers from one stage to the next, and idle ones keep what they have freed but not returned."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _powers.cache_clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(_libc(), "malloc_trim"):
+                _libc().malloc_trim(0)
+
+    return wrapped
+
+
 def slices(batch: pa.RecordBatch, col: str, limit: int = SLICE_BYTES):
     """Zero-copy runs of rows whose `col` holds about `limit` bytes."""
     _, offs = flat(batch.column(col))

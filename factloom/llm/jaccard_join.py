@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import LOWER, U64, Hasher, flat, mix, slices, spans
+from .columns import LOWER, U64, Hasher, flat, frugal, mix, slices, spans
 from .bloom import may_hold
 from .components import components
 from .staging import drop, partitions, release, staged
@@ -101,7 +101,7 @@ def gram_counts(docs: DataFrame, n: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "counts"])
 
     out = np.zeros(SLOTS, np.int64).reshape(-1, _BLOCK)
-    for r in docs.mapInArrow(count, pair).repartition(min(16, partitions(spark)), "block").mapInArrow(add, pair).collect():
+    for r in docs.mapInArrow(frugal(count), pair).repartition(min(16, partitions(spark)), "block").mapInArrow(frugal(add), pair).collect():
         out[r["block"]] = np.frombuffer(r["counts"], np.int64)
     return np.minimum(out.ravel(), (1 << 31) - 1).astype(np.int32)
 
@@ -166,7 +166,7 @@ def sets_of(docs: DataFrame, counts, n: int, num: int, den: int) -> DataFrame:
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]), pa.int32()), pa.array(ordered[take].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size), pa.array(node), prefix, _parity(grams, at)], names=out.fieldNames())
 
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(frugal(run), out)
 
 
 def segments_of(docs: DataFrame, counts, bounds: np.ndarray, n: int) -> DataFrame:
@@ -186,7 +186,7 @@ def segments_of(docs: DataFrame, counts, bounds: np.ndarray, n: int) -> DataFram
                 rows = pa.RecordBatch.from_arrays([b.column("node").take(pa.array(doc[edge])), pa.array(part[edge], pa.int32()), lists], names=out.fieldNames())
                 yield rows.filter(pa.array((_nodes(grams, at) == b.column("node").to_numpy())[doc[edge]]))
 
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(frugal(run), out)
 
 
 class Join:

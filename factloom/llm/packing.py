@@ -5,7 +5,9 @@ each distinct run is tokenised once per task, in ASCII lower case (the tokenizer
 space, always splits there, and lower-cases), so it sees the vocabulary and not the text. Strings of
 added tokens keep their case, for the tokenizer knows them by it, and give their own ids. Packing is a map: each task
 packs what its input split holds, so nothing is shuffled, and a lost task is simply run again
-with the same result. Padding comes from the last few windows of a group only.
+with the same result. Padding comes from the last few windows of a group only. A task holds the pieces
+of one group, and their ids only where these are asked for, so its memory is bounded; a longer text than
+GROUP_IDS is a group by itself.
 
 Defined cases: null or empty text is the end-of-document id alone; a null doc_id stays null;
 repeated rows are packed as documents of their own; an empty table gives an empty result.
@@ -23,14 +25,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .columns import LOWER, Hasher, flat, ranges, slices, spans
+from .columns import LOWER, Hasher, flat, frugal, ranges, slices, spans
 
 WINDOW = 2048
 END_ID = 1
-#: A task packs at most so many pieces at once; beyond that it starts a new group.
-GROUP_PIECES = 1 << 18
+#: A task packs at most so many pieces at once, and with ids so many ids; beyond that it starts a new group.
+GROUP_PIECES, GROUP_IDS = 1 << 18, 1 << 21
 #: Distinct runs that a task remembers before it starts anew.
-MEMO_RUNS = 1 << 20
+MEMO_RUNS = 1 << 18
+#: Text bytes that are tokenised at once, and rows and ids of an output batch.
+SLICE_BYTES = 1 << 18
+BATCH_ROWS, BATCH_IDS = 10_000, 1 << 18
 
 
 class OpenWindows:
@@ -216,24 +221,28 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         encode = RunEncoder(tokenizer_path, end_id)
         part, done = TaskContext.get().partitionId(), 0
         held: list[tuple] = []
-        pieces = 0
+        pieces = tokens = 0
 
         def flush():
-            nonlocal done, held, pieces
+            nonlocal done, held, pieces, tokens
             doc = pa.concat_arrays([h[0] for h in held])
             cols = [np.concatenate([h[k] for h in held]) for k in (1, 2, 3, 4)]
             where, offset = best_fit_decreasing(cols[1], window)
             arrays = [doc, *cols, (part << 32) + done + where, offset]
+            edge = np.concatenate([[0], np.cumsum(cols[1])])
             if with_ids:
-                flat_ids = np.concatenate([h[5] for h in held]).astype(np.int32)
-                arrays.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(cols[1])]), pa.int32()), pa.array(flat_ids)))
+                arrays.append(pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(np.concatenate([h[5] for h in held]).view(np.int32))))
             table = pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a, pa.int64()) for a in arrays], names=out.fieldNames())
-            done, held, pieces = done + int(where.max(initial=-1)) + 1, [], 0
-            for i in range(0, table.num_rows, 10_000):
-                yield table.slice(i, 10_000)
+            done, held, pieces, tokens = done + int(where.max(initial=-1)) + 1, [], 0, 0
+            i = 0
+            while i < table.num_rows:
+                j = max(i + 1, int(np.searchsorted(edge, edge[i] + BATCH_IDS, "right")) - 1) if with_ids else i + BATCH_ROWS
+                j = min(j, i + BATCH_ROWS)
+                yield table.slice(i, j - i)
+                i = j
 
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", SLICE_BYTES):
                 ids, lens = encode(*flat(b.column("text")))
                 n = -(-lens // window)
                 row = np.repeat(np.arange(len(lens)), n)
@@ -243,10 +252,10 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                 raw = memoryview(ids.astype("<u4").tobytes())
                 crc = np.fromiter((zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(at.tolist(), (at + length).tolist())), np.int64, len(row))
                 held.append((b.column("doc_id").take(pa.array(row)), start, length, crc, lens[row], ids if with_ids else None))
-                pieces += len(row)
-                if pieces >= GROUP_PIECES:
+                pieces, tokens = pieces + len(row), tokens + len(ids)
+                if pieces >= GROUP_PIECES or with_ids and tokens >= GROUP_IDS:
                     yield from flush()
         if held:
             yield from flush()
 
-    return src.mapInArrow(run, out)
+    return src.mapInArrow(frugal(run), out)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bloom import may_hold
-from .columns import U64, Hasher, flat, mix, slices
+from .columns import U64, Hasher, flat, frugal, mix, slices
 from .staging import drop, partitions, release, staged
 
 LENGTH = 100
@@ -210,7 +210,7 @@ def _records(frame: DataFrame, make, splitters: np.ndarray | None) -> DataFrame:
                     cols.append(pa.array(buckets(keys, splitters), pa.int32()))
                 yield pa.RecordBatch.from_arrays(cols, names=out.fieldNames())
 
-    return frame.mapInArrow(run, out)
+    return frame.mapInArrow(frugal(run), out)
 
 
 def sample_splitters(records: DataFrame, docs_in_all: int, docs_in_sample: int, least: int) -> np.ndarray:
@@ -271,7 +271,7 @@ def sorted_suffixes(records: DataFrame, splitters: np.ndarray, bits: int, sparse
                     s = slice(i, i + 50_000)
                     yield pa.RecordBatch.from_arrays([pa.array(kind[s], pa.int32()), pa.array(d[s]), pa.array(p[s]), pa.array(m[s], pa.int32())], names=_SORTED.fieldNames())
 
-    return records.repartitionById(len(splitters) + 1, F.col("bucket")).mapInArrow(run, _SORTED)
+    return records.repartitionById(len(splitters) + 1, F.col("bucket")).mapInArrow(frugal(run), _SORTED)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -345,7 +345,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows_), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
                 yield pa.RecordBatch.from_arrays([*cols, *([b.column("carried").take(pa.array(index))] if carry else [])], names=out.fieldNames())
 
-    return both.mapInArrow(run, out)
+    return both.mapInArrow(frugal(run), out)
 
 
 def _cut(doc: int | None, raw, starts: list[np.ndarray], ends: list[np.ndarray], length: int, again: bool) -> tuple:
