@@ -7,9 +7,12 @@ ones first, by a fixed-size table of counts over all documents.
 Candidates: a pair that links shares an n-gram within both sets' prefixes. Within each n-gram's
 group the member that has it earliest is the pivot, and only (pivot, member) pairs are compared, as
 far as lengths and positions allow a link: linear in the group. What these links join needs no
-further comparison; the members that they leave outside of their pivot's component are compared
-with all others of the group that are in another component, so no link between components is lost
-and nearly equal texts are not compared pair by pair.
+further comparison. The members that they leave outside of their pivot's component are compared with
+those of the group that are in another component, so no link between components is lost and nearly
+equal texts are not compared pair by pair. A group of more than HOT members of several components is
+split first, by the next n-gram that a pair shares: different sets that link share at least
+num / (den - num) n-grams, and the first k of these lie within prefixes that are k - 1 longer. So
+unlike texts that share one n-gram fall apart instead of meeting each other.
 
 A pair is dropped before its sets are compared only by a bound that holds: each set has a parity
 signature, a bit per hash bucket, and two signatures differ in no more bits than their sets differ
@@ -20,18 +23,20 @@ counts the partial overlap of its pairs by itself, and the sum per pair is the e
 
 Defined cases: null, empty or white text has no n-grams and links with nothing; texts of fewer than
 n words are one n-gram, their whole sequence; repeated rows and equal sets are linked; rows
-with a null doc_id take no part and have a null component; an empty table gives an empty result. Columns other than id and text are not read.
+with a null doc_id take no part and have a null component; an empty table gives an empty result. Columns other
+than id and text are not read. n-grams are told apart by 64-bit hashes, sets by two such sums.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import LOWER, U64, Hasher, flat, frugal, mix, slices, spans
+from .columns import LOWER, U64, Hasher, flat, frugal, mix, ranges, slices, spans
 from .bloom import may_hold
 from .components import components
 from .staging import drop, partitions, release, staged
@@ -42,6 +47,10 @@ _BLOCK = 1 << 16
 FRAGMENTS = 8
 #: 64-bit words of a parity signature.
 PARITY_WORDS = 16
+#: Members of a group of several components that are compared with each other; larger groups are split.
+HOT = 64
+#: n-grams by which groups are split at most.
+MOST_LEVELS = 4
 _C = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -79,30 +88,37 @@ def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 def gram_counts(docs: DataFrame, n: int) -> np.ndarray:
     """Documents per slot of n-gram hashes, over all documents."""
     spark = docs.sparkSession
-    pair = T.StructType().add("block", T.IntegerType()).add("counts", T.BinaryType())
+    pair = T.StructType().add("block", T.IntegerType()).add("shard", T.IntegerType()).add("counts", T.BinaryType())
+
+    shards = max(1, partitions(spark) // 16)
+
+    def rows(totals: dict, shard: int):
+        packed = [pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in totals.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([shard] * len(packed), pa.int32()), pa.array(packed, pa.binary())], names=["block", "shard", "counts"])
 
     def count(batches):
-        total = np.zeros(SLOTS, np.uint32)
+        total = np.zeros(SLOTS, np.int64)
         for batch in batches:
             for b in slices(batch, "text"):
                 grams, _ = shingles(b.column("text"), n)
-                total += np.bincount((grams % U64(SLOTS)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
+                total += np.bincount((grams % U64(SLOTS)).astype(np.int64), minlength=SLOTS)
         if total.any():
-            blocks = total.reshape(-1, _BLOCK)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in blocks], pa.binary())], names=["block", "counts"])
+            yield rows(dict(enumerate(total.reshape(-1, _BLOCK))), TaskContext.get().partitionId() % shards)
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for b in batches:
-            for k, v in zip(b.column("block").to_pylist(), b.column("counts").to_pylist()):
-                x = np.frombuffer(pa.decompress(v, _BLOCK * (4 if k >= 0 else 8), codec="zstd", asbytes=True), np.uint32)
-                total[k] = total.get(k, 0) + x.astype(np.int64)
+            for k, v in zip(b.column("block").to_pylist(), b.column("counts")):
+                x = np.frombuffer(pa.decompress(v.as_buffer(), _BLOCK * 8, codec="zstd"), np.int64)
+                total[k] = total[k] + x if k in total else x
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "counts"])
+            yield rows(total, 0)
 
+    # As a tree: each task's counts are added up by block and shard before the shards are.
     out = np.zeros(SLOTS, np.int64).reshape(-1, _BLOCK)
-    for r in docs.mapInArrow(frugal(count), pair).repartition(min(16, partitions(spark)), "block").mapInArrow(frugal(add), pair).collect():
-        out[r["block"]] = np.frombuffer(r["counts"], np.int64)
+    some = docs.mapInArrow(frugal(count), pair).repartition(min(16 * shards, partitions(spark)), "block", "shard").mapInArrow(frugal(add), pair)
+    for r in some.repartition(min(16, partitions(spark)), "block").mapInArrow(frugal(add), pair).collect():
+        out[r["block"]] = np.frombuffer(pa.decompress(r["counts"], _BLOCK * 8, codec="zstd"), np.int64)
     return np.minimum(out.ravel(), (1 << 31) - 1).astype(np.int32)
 
 
@@ -137,9 +153,10 @@ def _sums(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     return c[at[1:]] - c[at[:-1]]
 
 
-def _nodes(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Hash of each set, whatever its order."""
-    return mix(_sums(mix(grams + U64(1)), at) + np.diff(at).astype(U64) * _C[1]).view(np.int64)
+def _nodes(grams: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set, whatever its order."""
+    one = mix(_sums(mix(grams + U64(1)), at) + np.diff(at).astype(U64) * _C[1]).view(np.int64)
+    return one, mix(_sums(mix(grams ^ _C[2]), at) + np.diff(at).astype(U64) * _C[3]).view(np.int64)
 
 
 def _parity(grams: np.ndarray, at: np.ndarray) -> pa.Array:
@@ -150,21 +167,28 @@ def _parity(grams: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(at)) * PARITY_WORDS, pa.int32()), pa.array(out.ravel().view(np.int64)))
 
 
+def most_levels(num: int, den: int) -> int:
+    """n-grams that two different sets share at least if they link, as far as groups are split by them."""
+    return max(1, min(MOST_LEVELS, num // (den - num))) if num < den else 1
+
+
 def sets_of(docs: DataFrame, counts, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, size, node (hash of the set), prefix (its rarest n-grams, as many as a link needs), parity."""
-    out = T.StructType().add(docs.schema["doc_id"]).add("size", T.LongType()).add("node", T.LongType()).add("prefix", T.ArrayType(T.LongType())).add("parity", T.ArrayType(T.LongType()))
+    """doc_id, size, node and other (hashes of the set), keep (length of the prefix that a link needs), prefix (that
+    many of its rarest n-grams, and as many more as groups may be split by), parity."""
+    more = most_levels(num, den) - 1
+    out = T.StructType().add(docs.schema["doc_id"]).add("size", T.LongType()).add("node", T.LongType()).add("other", T.LongType()).add("keep", T.IntegerType()).add("prefix", T.ArrayType(T.LongType())).add("parity", T.ArrayType(T.LongType()))
 
     def run(batches):
         for batch in batches:
             for b in slices(batch, "text"):
                 grams, at = shingles(b.column("text"), n)
                 size = np.diff(at)
-                node = _nodes(grams, at)
+                node, other = _nodes(grams, at)
                 ordered, _ = _ordered(grams, at, counts.value)
                 keep = np.where(size > 0, size - -(-num * size // den) + 1, 0)
-                take = np.repeat(at[:-1], keep) + np.arange(int(keep.sum())) - np.repeat(np.cumsum(keep) - keep, keep)
-                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]), pa.int32()), pa.array(ordered[take].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size), pa.array(node), prefix, _parity(grams, at)], names=out.fieldNames())
+                long = np.minimum(keep + more, size)
+                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(long)]), pa.int32()), pa.array(ordered[ranges(at[:-1], long)].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size), pa.array(node), pa.array(other), pa.array(keep, pa.int32()), prefix, _parity(grams, at)], names=out.fieldNames())
 
     return docs.mapInArrow(frugal(run), out)
 
@@ -184,7 +208,9 @@ def segments_of(docs: DataFrame, counts, bounds: np.ndarray, n: int) -> DataFram
                 edge = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (part[1:] != part[:-1]))) if len(doc) else np.zeros(0, np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(edge, len(doc)), pa.int32()), pa.array(ordered.view(np.int64)))
                 rows = pa.RecordBatch.from_arrays([b.column("node").take(pa.array(doc[edge])), pa.array(part[edge], pa.int32()), lists], names=out.fieldNames())
-                yield rows.filter(pa.array((_nodes(grams, at) == b.column("node").to_numpy())[doc[edge]]))
+                one, other = _nodes(grams, at)
+                node = b.column("node").to_numpy()
+                yield rows.filter(pa.array(((one == node) | (other == node))[doc[edge]]))
 
     return docs.mapInArrow(frugal(run), out)
 
@@ -199,7 +225,15 @@ class Join:
         self.bounds = fragment_bounds(counts, fragments)
         self.counts = self.spark.sparkContext.broadcast(counts)
         self.sets = staged(sets_of(docs, self.counts, n, num, den), "sets")
-        self.links: DataFrame | None = None
+        # Different sets of one hash go by their other one.
+        alike = self.sets.filter("size > 0").groupBy("node").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).filter("lo <> hi").select("node")
+        alike = staged(alike, "alike")
+        if not alike.isEmpty():
+            named = self.sets.join(alike.withColumn("alike", F.lit(True)), "node", "left").withColumn("node", F.when(F.col("alike"), F.col("other")).otherwise(F.col("node")))
+            named, old = staged(named.select(*self.sets.columns), "sets"), self.sets
+            self.sets = named
+            drop(old)
+        drop(alike)
 
     def can_link(self, left: str, right: str):
         """Lengths and the places of a shared n-gram leave room for the overlap that a link needs."""
@@ -209,19 +243,19 @@ class Join:
 
     def groups(self) -> DataFrame:
         """gram, node, size, pos, and the pivot's pnode, psize, ppos, of n-grams in two prefixes or more."""
-        classes = self.sets.filter("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-        classes = staged(classes, "classes")
-        each = classes.select("node", F.col("size").cast("int").alias("size"), F.posexplode("prefix").alias("pos", "gram"))
+        classes = self.sets.filter("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("keep").alias("keep"), F.first("prefix").alias("prefix"))
+        self.classes = classes = staged(classes, "classes")
+        each = classes.select("node", F.col("size").cast("int").alias("size"), F.posexplode(F.slice("prefix", F.lit(1), F.col("keep"))).alias("pos", "gram"))
         # First which n-grams have more than one set, on packed numbers; most have not and go no further.
         packed = F.shiftleft(F.col("pos").cast("long"), 40) + F.shiftrightunsigned("node", 24)
-        shared = each.groupBy("gram").agg(F.min(packed).alias("lo"), F.max(packed).alias("hi")).filter("lo <> hi").select("gram", F.col("lo").alias("first"))
+        shared = each.groupBy("gram").agg(F.min(packed).alias("first"), F.count("*").alias("n")).filter("n > 1").select("gram", "first")
         shared = staged(shared, "shared")
         each = each.filter(may_hold(shared, "gram", F.col("gram"))).join(shared, "gram").withColumn("pivot", packed == F.col("first")).drop("first")
         each = staged(each, "members")
         pivots = each.filter("pivot").groupBy("gram").agg(F.min(F.struct("node", "size", "pos")).alias("p"))
         pivots = pivots.select("gram", F.col("p.node").alias("pnode"), F.col("p.size").alias("psize"), F.col("p.pos").alias("ppos"))
         out = staged(each.drop("pivot").join(pivots, "gram"), "groups")
-        drop(classes, shared, each)
+        drop(shared, each)
         return out
 
     def possible(self, pairs: DataFrame) -> DataFrame:
@@ -259,26 +293,59 @@ class Join:
         first = staged(components(links), "components")
         # What the pivots' links leave apart.
         comp = first.select("node", "component")
-        of = groups.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")).select("gram", "node", "size", "pos", "component", "pnode")
-        mixed = of.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("gram")
-        of = staged(of.join(mixed, "gram"), "mixed")
+        of = groups.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        of = staged(of.select(F.col("gram").alias("key"), "node", "size", "pos", "component"), "members")
         drop(groups)
-        pivot = of.filter(F.col("node") == F.col("pnode")).select("gram", F.col("component").alias("main"))
-        outside = of.join(pivot, "gram").filter(F.col("component") != F.col("main"))
-        outside = outside.select("gram", F.col("node").alias("xnode"), F.col("size").alias("xsize"), F.col("pos").alias("xpos"), F.col("component").alias("xcomponent"))
-        # A pair that links passes at its first shared n-gram, where the one with the n-gram is outside or both are.
-        met = of.join(outside, "gram").filter((F.col("component") != F.col("xcomponent")) & self.can_link("", "x"))
-        rest = _pairs(met.select(F.col("node").alias("a"), F.col("xnode").alias("b"), F.col("size").alias("na"), F.col("xsize").alias("nb")))
-        rest = staged(self.possible(rest).join(star.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        met, used = self.apart(of)
+        rest = staged(self.possible(_pairs(met)).join(star.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        drop(of, *used, self.classes)
         if rest.isEmpty():
-            drop(of, star, rest)
+            drop(star, rest)
             return first
         more = self.verified(rest)
         release(self.spark)
         second = staged(components(links.union(more)), "components")
-        drop(of, star, rest, first)
+        drop(star, rest, first, links, more)
         return second
 
+    def apart(self, rows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+        """Pairs (a, b, na, nb) of different components that a link is possible for, from groups (key, node,
+        size, pos, component), and the tables they are read from. A pair that links passes at the first
+        n-grams it shares, where one of the two is outside the main component or both are."""
+        pairs, used = None, []
+        levels = most_levels(self.num, self.den)
+        for level in range(1, levels + 1):
+            kinds = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("component", F.struct("pos", "node")).alias("main"), F.count("*").alias("members"))
+            mixed = staged(rows.join(kinds.filter("lo <> hi").select("key", "main", "members"), "key"), "mixed")
+            used.append(mixed)
+            hot = mixed.filter(F.col("members") > HOT)
+            if level == levels or hot.isEmpty():
+                return _both(pairs, self.met(mixed, level)), used
+            # By the next n-gram a pair shares, where that makes less than half as many pairs.
+            longer = F.slice("prefix", F.lit(1), F.col("keep") + level)
+            tails = hot.select("key", "members", "node", "size", F.col("pos").alias("at"), "component").join(self.classes.select("node", "keep", "prefix"), "node")
+            tails = tails.select("key", "members", "node", "size", "at", "component", F.posexplode(longer).alias("pos", "gram")).filter(F.col("pos") > F.col("at"))
+            split = staged(tails.select(F.col("key").alias("parent"), F.xxhash64("key", "gram").alias("key"), "members", "node", "size", "pos", "component"), "members")
+            cost = split.groupBy("parent", "key").agg(F.count("*").alias("n"), F.max("members").alias("members")).groupBy("parent").agg(F.sum(F.col("n") * F.col("n")).alias("cost"), F.max("members").alias("members"))
+            worse = staged(cost.filter("2 * cost >= members * members").select("parent"), "worse")
+            used += [split, worse]
+            left = mixed.join(worse, mixed["key"] == worse["parent"], "left_semi").filter(F.col("members") > HOT)
+            pairs = _both(pairs, self.met(mixed.filter(F.col("members") <= HOT).union(left), level))
+            rows = split.join(worse, "parent", "left_anti").select("key", "node", "size", "pos", "component")
+        raise AssertionError
+
+    def met(self, mixed: DataFrame, level: int) -> DataFrame:
+        """Pairs within groups, of which one is outside the main component."""
+        pos = (F.col("pos") - (level - 1)).alias("pos")  # level - 1 shared n-grams come before this one
+        each = mixed.select("key", "node", "size", pos, "component")
+        x = mixed.filter("component <> main").select("key", F.col("node").alias("xnode"), F.col("size").alias("xsize"), pos.alias("xpos"), F.col("component").alias("xcomponent"))
+        met = each.join(x, "key").filter((F.col("component") != F.col("xcomponent")) & self.can_link("", "x"))
+        return met.select(F.col("node").alias("a"), F.col("xnode").alias("b"), F.col("size").alias("na"), F.col("xsize").alias("nb"))
+
+
+def _both(one: DataFrame | None, other: DataFrame) -> DataFrame:
+    return other if one is None else one.union(other)
+
 
 def _pairs(pairs: DataFrame) -> DataFrame:
     """Each unordered pair once, a < b."""
@@ -300,15 +367,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     out = sets.join(shared, "node", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.col("doc_id")).alias("component_id"))
     nameless = sets_of(every.filter("doc_id is null"), join.counts, n, num, den)
-    return out.union(nameless.select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    out = staged(out.union(nameless.select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))), "verdict")
+    drop(join.sets)
+    return out
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The rows of docs of which one document of each group stays: the one that names the group, and
-    of repeated rows with its id the first by text. Rows with a null id all stay."""
+    of repeated rows with its id the first by text. Rows with a null id all stay. Other columns may
+    have any names. Only rows whose id is repeated are shuffled with their texts, combined before."""
     verdict = jaccard_components(docs, id_col, text_col, n, num, den)
-    kept = verdict.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    from pyspark.sql import Window
-
-    rows = docs.join(kept, docs[id_col] == F.col("_kept"), "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))).filter("_nth = 1").drop("_nth")
-    return rows.unionByName(docs.filter(docs[id_col].isNull()))
+    kept = verdict.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("rows"))
+    once, often = (kept.filter(c).select("doc_id") for c in ("rows = 1", "rows > 1"))
+    alone = docs.join(once, docs[id_col] == once["doc_id"], "left_semi")
+    repeated = docs.join(often, docs[id_col] == often["doc_id"], "left_semi").select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    order = F.struct(F.col("row").getField(text_col), F.xxhash64(F.to_json("row")))
+    first = repeated.groupBy(F.col("row").getField(id_col).alias("id")).agg(F.min_by("row", order).alias("row"))
+    first = first.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    return alone.union(first).union(docs.filter(docs[id_col].isNull()))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -10,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; one of our own only where none is set (tests, single machines)."""
+    """The session's shared folder; one of our own only where none is set and all runs in one process."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not path:
         path = sc.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="factloom-")
         sc.setCheckpointDir(path)
     return path.rstrip("/")
@@ -28,17 +31,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._factloom_path = path
+    _system(spark, path)[0].deleteOnExit(_system(spark, path)[1])  # what nobody drops goes with the application
     return out
 
 
+def _system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def drop(*frames: DataFrame) -> None:
     """Deletes staged tables that nothing reads any more."""
     for df in frames:
         path = getattr(df, "_factloom_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+            system, p = _system(df.sparkSession, path)
+            system.delete(p, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -39,6 +39,7 @@ def made_texts(seed=3):
 def docs(spark):
     rows = [(k * 3 % 1000, t, "n") for k, t in enumerate(made_texts())]
     rows += [(rows[5][0], rows[5][1], "n"), (rows[6][0], "another text under the same id " * 9, "n"), (None, rows[7][1], "n"), (None, rows[7][1], "n")]
+    rows += [(None, rows[8][1] + " and more", "n"), (None, rows[9][1] + " and more", "n")]
     return spark.createDataFrame(rows, "doc_id long, text string, size string").withColumn("node", F.lit(1)).repartition(3).cache()
 
 
@@ -89,7 +90,48 @@ def test_jaccard_empty_and_keep_one(spark, docs):
     verdict = {(r["doc_id"], r["component_id"]) for r in jaccard_join.jaccard_components(docs).collect()}
     want = {d for d, c in verdict if d is not None and d == c}
     got = [r["doc_id"] for r in kept.collect()]
-    assert sorted(x for x in got if x is not None) == sorted(want) and got.count(None) == 2
+    assert sorted(x for x in got if x is not None) == sorted(want) and got.count(None) == 4
+
+
+def test_one_common_ngram_in_unlike_texts(spark, monkeypatch):
+    """Texts that share one n-gram before all others aren't compared with each other; near copies among them are found."""
+    rnd = random.Random(5)
+    lines, often = [], [f"w{k}" for k in range(40_000)]
+    for k in range(1500):
+        words = ["shared"] + rnd.sample(often, 40)
+        lines.append(" ".join(words))
+        if k % 10 == 0:
+            lines.append(" ".join([*words[:-1], "other"]))
+    rows = list(enumerate(lines))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    real = jaccard_join.gram_counts
+    first = int(jaccard_join.shingles(__import__("pyarrow").array(["shared"]), 1)[0][0] % np.uint64(jaccard_join.SLOTS))
+
+    def counts(*args):  # as if it were the rarest
+        out = real(*args)
+        out[first] = 0
+        return out
+
+    monkeypatch.setattr(jaccard_join, "gram_counts", counts)
+    made = []
+    monkeypatch.setattr(jaccard_join, "_pairs", lambda p, f=jaccard_join._pairs: (made.append(p.count()), f(p))[1])
+    got = jaccard_join.jaccard_components(docs, n=1, num=9, den=10).collect()
+    assert Counter(map(tuple, got)) == Counter(brute_components(rows, 1, 9, 10))
+    assert sum(made) < 20 * len(rows)
+
+
+def test_sets_of_one_hash(spark, docs, monkeypatch):
+    real = jaccard_join._nodes
+    monkeypatch.setattr(jaccard_join, "_nodes", lambda g, at: (real(g, at)[0] % 7, real(g, at)[1]))
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    got = jaccard_join.jaccard_components(docs, n=3, num=90, den=100).collect()
+    assert Counter(map(tuple, got)) == Counter(brute_components(rows, 3, 90, 100))
+
+
+def test_keep_one_with_clashing_names(spark, docs):
+    named = docs.select("doc_id", "text", *(F.lit(k).alias(c) for k, c in enumerate(("_kept", "_nth", "rows", "row", "id", "component_id", "n_shingles"))))
+    got, want = jaccard_join.keep_one(named), jaccard_join.keep_one(docs)
+    assert got.columns == named.columns and Counter(map(tuple, got.select("doc_id", "text").collect())) == Counter(map(tuple, want.select("doc_id", "text").collect()))
 
 
 def test_components(spark):
@@ -130,8 +172,10 @@ def brute_dedup(rows, length):
 
 
 def in_order(docs):
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.shiftright(F.xxhash64(F.coalesce("text", F.lit(""))), 32).cast("int").alias("tie")).collect()
-    rows.sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["tie"]))
+    t = F.coalesce("text", F.lit(""))
+    nameless = F.xxhash64(t, F.lit(1)).bitwiseAND(F.lit((1 << 62) - 1))
+    rows = docs.select("doc_id", t.alias("t"), F.shiftright(F.xxhash64(t), 32).cast("int").alias("tie"), F.coalesce("doc_id", nameless).alias("at")).collect()
+    rows.sort(key=lambda r: (r["doc_id"] is not None, r["at"], r["tie"]))
     seen = set()
     out = []
     for r in rows:
@@ -146,6 +190,8 @@ def test_suffix_dedup(docs, monkeypatch, bucket_records):
     monkeypatch.setattr(suffix_dedup, "BUCKET_RECORDS", bucket_records)
     got = suffix_dedup.dedup_substrings(docs).drop("kept").collect()
     assert Counter(map(tuple, got)) == Counter(brute_dedup(in_order(docs), 100))
+    got = suffix_dedup.dedup_substrings(docs, length=70, gram=21).drop("kept").collect()  # a lead of two words and a part
+    assert Counter(map(tuple, got)) == Counter(brute_dedup(in_order(docs), 70))
     assert suffix_dedup.dedup_substrings(docs.limit(0)).count() == 0
 
 
@@ -156,10 +202,28 @@ def test_suffix_dedup_on_real_rows(spark):
     assert all(hashlib.sha256(bytes(r["kept"])).hexdigest() == r["kept_sha256"] and r["carried"]["lang"] for r in got)
 
 
-def test_multikey_sort_and_sliding_min():
+def test_suffix_dedup_of_a_long_text_and_one_gram(spark):
+    """A text of many windows and a passage in all documents: runs that several buckets share."""
+    rnd = random.Random(8)
+    passage = "the same passage stands in each of them and goes on for more than one hundred and ten bytes, so it is found as repeated "
+    rows = [(k, "".join(rnd.choice("abcdefgh ") for _ in range(60)) + passage) for k in range(300)] + [(1000, " ".join(str(rnd.randrange(10**6)) for _ in range(30_000)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = suffix_dedup.dedup_substrings(docs).drop("kept").collect()
+    assert Counter(map(tuple, got)) == Counter(brute_dedup(in_order(docs), 100))
+
+
+def test_lead_sorts_like_bytes():
+    rnd = random.Random(1)
+    raw = [bytes(rnd.choice(b"\x00\x7f\x80\xffab") for _ in range(24)) for _ in range(200)]
+    words = suffix_dedup._lead(np.frombuffer(b"".join(raw), np.uint8), np.arange(200) * 24, 24)
+    order = suffix_dedup.multikey_quicksort(words)
+    assert [raw[i] for i in order] == sorted(raw)
+
+
+def test_multikey_quicksort_and_sliding_min():
     rng = np.random.default_rng(2)
     keys = [rng.integers(0, 4, 500) for _ in range(4)]
-    order = suffix_dedup.multikey_sort(keys)
+    order = suffix_dedup.multikey_quicksort(keys)
     assert [tuple(k[i] for k in keys) for i in order] == sorted(zip(*keys))
     x = rng.integers(0, 50, 200).astype(np.uint64)
     assert list(suffix_dedup.sliding_min(x, 7)) == [min(x[i : i + 7]) for i in range(194)]
