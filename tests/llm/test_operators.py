@@ -290,6 +290,40 @@ def test_warc(spark):
     assert len({r["record_id"] for r in got}) == 6
 
 
+def plain_patterns(page):
+    """What warc's scans find, by backtracking patterns: text, title, language, links."""
+    import html
+
+    hidden = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>")
+    titles = re.compile(r"(?is)<title\b[^>]*>(.*?)</title\s*>")
+    t, lang = titles.search(page), re.search(r"(?is)<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", page)
+    links = re.findall(r"(?is)<a\b[^>]*\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", page)
+    text = titles.sub(" ", hidden.sub(" ", page))
+    text = html.unescape(warc._TAG.sub("", warc._BREAK.sub("\n", text)))
+    text = warc._LINES.sub("\n", warc._SPACES.sub(" ", text)).strip()
+    return text, html.unescape(t[1]).strip() if t else "", lang[1] if lang else "", [html.unescape(next(filter(None, x), "")) for x in links]
+
+
+def test_warc_scans_find_what_patterns_find(spark):
+    import random
+
+    rnd = random.Random(7)
+    bits = ["<script>", "</script>", "</SCRIPT >", "<style a>", "</style>", "<!--", "-->", "<title>", "<title x>", "</title>", "<html lang='de'>", "<html x lang=en-GB lang=fr>", "<html ", "<a href='x'>", '<a class=b href="/y?a&amp;b">', "<a href=z>", "<a ", "<a href=", "<abbr>", "href=q", ">", "<", "<p>", "</p>", "<br/>", "text", " ", "\n", "a < b", "&lt;", '"', "'", "<b>", "</b"]
+    pages = ["".join(rnd.choices(bits, k=rnd.randint(1, 25))) for _ in range(4000)] + [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    for page in pages:
+        assert (warc.plain_text(page), warc.title_of(page), warc.language_of(page), warc.links_of(page)) == plain_patterns(page), page
+
+
+@pytest.mark.parametrize("bit", ["<script>", "<!--", "<title>", "<a href='", "<a ", "<html ", "<html lang", "<p", "<", "</script", "<template><script>", "<a href=> ", "&"])
+def test_warc_scans_are_linear(bit):
+    import time
+
+    page = bit * (1_000_000 // len(bit))
+    t = time.perf_counter()
+    warc.plain_text(page), warc.title_of(page), warc.language_of(page), warc.links_of(page)
+    assert time.perf_counter() - t < 5
+
+
 def test_classifier(spark):
     from pyspark.sql import functions as F
 
