@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import Hasher, flat, mix, ranges, slices
+from .columns import Hasher, flat, frugal, mix, ranges, slices
 from .staging import partitions
 
 #: Text bytes of a chunk, which shares one list of distinct words.
@@ -257,9 +257,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 edge = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(sizes)])]
                 yield pa.RecordBatch.from_arrays([ids.values, pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(pool[ranges(starts[number], each)].astype(np.int32)))], names=result.fieldNames())
 
-    encoded = src.mapInArrow(cut(False), flow).repartitionById(n, F.col("owner")).mapInArrow(merge, flow)
-    back = encoded.union(src.mapInArrow(cut(True), flow)).repartition(n, "chunk").sortWithinPartitions("chunk", "kind", "seq")
-    return back.mapInArrow(rebuild, result)
+    encoded = src.mapInArrow(frugal(cut(False)), flow).repartitionById(n, F.col("owner")).mapInArrow(frugal(merge), flow)
+    back = encoded.union(src.mapInArrow(frugal(cut(True)), flow)).repartition(n, "chunk").sortWithinPartitions("chunk", "kind", "seq")
+    return back.mapInArrow(frugal(rebuild), result)
 
 
 def _table_of(lists: list[tuple], words: int, kind_of) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -285,7 +285,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
                 data, offs = spell(ids, edge, ranks_path)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(offs.astype(np.int32)), pa.py_buffer(data)])], names=out.fieldNames())
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, out)
+    return encoded.select("doc_id", "ids").mapInArrow(frugal(run), out)
 
 
 def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -333,4 +333,4 @@ def digests(encoded: DataFrame, ranks_path: str) -> DataFrame:
                     pa.array([hashlib.sha256(raw[i:j]).hexdigest() for i, j in zip(cuts, cuts[1:])], pa.string()),
                 ], names=out.fieldNames())
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, out)
+    return encoded.select("doc_id", "ids").mapInArrow(frugal(run), out)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import as_strings, code_points, flat, ranges, slices
+from .columns import as_strings, code_points, flat, frugal, ranges, slices
 from .staging import partitions
 
 TURN, TEXT, END = b"<|turn|>", b"<|text|>", b"<|end|>"
@@ -86,7 +86,7 @@ def format_turns(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
                 start = np.where(counts, end - np.diff(text[1]), end)
                 yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), as_strings(data, offs), pa.array(start), pa.array(end)], names=out.fieldNames())
 
-    return src.mapInArrow(run, out)
+    return src.mapInArrow(frugal(run), out)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -122,7 +122,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if held:
             yield _rows([_close(held)], out)
 
-    return formatted.mapInArrow(run, out)
+    return formatted.mapInArrow(frugal(run), out)
 
 
 def _close(held: list) -> tuple:

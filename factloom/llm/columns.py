@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Sub-batches handed to numpy hold about this many text bytes (or one longer text).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import Hasher, flat, slices
+from .columns import Hasher, flat, frugal, slices
 
 LEAST, NORMAL, MOST = 16, 48, 192
 _STRICT, _LOOSE = np.uint32(0x7F << 25), np.uint32(0x1F << 27)
@@ -100,7 +100,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for b in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([spelled(f) for f in fingerprints(b.column("text"))], pa.string())], names=out.fieldNames())
 
-    return src.mapInArrow(run, out)
+    return src.mapInArrow(frugal(run), out)
 
 
 #: Texts' bytes that one range of neighbours is meant to hold.
@@ -116,9 +116,11 @@ def neighbours(docs: DataFrame, ranges: int) -> DataFrame:
     cuts = sorted({c for c in (row["cuts"] or []) if c > row["first"]})
     heads = [None if row["nulls"] else row["first"], *cuts]
 
+    edges = np.array(cuts)
+
     @F.pandas_udf("int")
     def own_range(ids: pd.Series) -> pd.Series:
-        return pd.Series([bisect.bisect_right(cuts, i) for i in ids.tolist()], dtype="int32")
+        return pd.Series(np.searchsorted(edges, ids.to_numpy(), "right").astype(np.int32))
 
     is_head = F.col("doc_id").isNull() if heads[0] is None else F.col("doc_id") == F.lit(heads[0])
     if cuts:
@@ -165,7 +167,7 @@ def edited_likeness(docs: DataFrame, ranges: int | None = None, id_col: str = "d
                         pa.array([likeness(r[2], f) for r, f in zip(rows, theirs)], pa.float64()), pa.array([likeness(r[2], r[4]) for r in rows], pa.float64()),
                     ], names=out.fieldNames())
 
-    return neighbours(src, ranges).mapInArrow(run, out)
+    return neighbours(src, ranges).mapInArrow(frugal(run), out)
 
 
 def _ranges(docs: DataFrame) -> int:
