@@ -71,6 +71,10 @@ class Memory:
     revision: int = 0
     entities: dict[str, Entity] = field(default_factory=dict)
     relations: list[Relation] = field(default_factory=list)
+    #: What earlier calls returned, by their idempotency keys; kept with the memory.
+    imports: dict[str, dict] = field(default_factory=dict)
+    runs: dict = field(default_factory=dict)
+    namespaces: dict[str, str | None] = field(default_factory=dict)
 
     def state(self) -> dict:
         return {"generation": self.generation, "data_revision": self.revision}

@@ -75,19 +75,21 @@ def matched_edges(memory: Memory, definition: dict) -> DataFrame:
 
 def materialize_join(memory: Memory, name: str, relation: str, definition: dict) -> DataFrame:
     """Adds the join's new edges (earlier ones stay, inactive ones stay inactive) and returns its counters:
-    created, previously_active, previously_inactive, skipped_null_or_missing, skipped_unmatched."""
+    created, previously_active, previously_inactive, and the sources without an edge: skipped_null_or_missing
+    (no whole key) and skipped_unmatched (keys, but no target for any of them)."""
     full = definition | {"relation": relation}
     earlier = memory.join_conflict(name, full)
     edges = matched_edges(memory, definition)
     source, target, keys, targets, cond = _setup(memory, definition)
     old = earlier.df if earlier else memory.spark.createDataFrame([], f"source {source.id_type}, target {target.id_type}, active boolean, privacy string")
     state = edges.join(old.select("source", "target", F.col("active").alias("_old")), ["source", "target"], "left")
-    tk = [c for c in targets.columns if c.startswith("t_k")]
-    sources = source.df.select(F.col("id").alias("s_id"))
-    missing = sources.join(keys.select("s_id").distinct(), "s_id", "left_anti").agg(F.count("*").alias("skipped_null_or_missing"))
-    unmatched = keys.join(targets.select(*tk).distinct(), cond, "left_anti").agg(F.count("*").alias("skipped_unmatched"))
+    # One row per source: whether it has a key, and whether a target.
+    of = source.df.select(F.col("id").alias("s_id"), F.lit(False).alias("keyed"), F.lit(False).alias("met"))
+    of = of.union(keys.select("s_id", F.lit(True), F.lit(False))).union(edges.select("source", F.lit(True), F.lit(True)))
+    of = of.groupBy("s_id").agg(F.bool_or("keyed").alias("keyed"), F.bool_or("met").alias("met"))
+    skipped = of.agg(F.count_if(~F.col("keyed")).alias("skipped_null_or_missing"), F.count_if(F.col("keyed") & ~F.col("met")).alias("skipped_unmatched"))
     counters = state.agg(F.count_if(F.col("_old").isNull()).alias("created"), F.count_if(F.col("_old")).alias("previously_active"), F.count_if(~F.col("_old")).alias("previously_inactive"))
-    counters = counters.join(F.broadcast(missing)).join(F.broadcast(unmatched))  # one row each
+    counters = counters.join(F.broadcast(skipped))  # one row each
     fresh = memory.with_end_privacy(state.filter(F.col("_old").isNull()).select("source", "target", F.lit(True).alias("active"), F.lit("public").alias("privacy")), source.name, target.name)
     if earlier:
         memory.relations[memory.relations.index(earlier)] = type(earlier)(relation, name, source.name, target.name, old.unionByName(fresh), full)

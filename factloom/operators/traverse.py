@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..errors import QueryValidationError
 from ..memory import Memory
+from ..plans.staging import written
 
 MAX_DEPTH, MAX_EDGES = 8, 1000
 
@@ -25,49 +26,73 @@ def all_edges(memory: Memory, relation_types: list[str] | None = None) -> DataFr
     return out
 
 
+def _steps(edges: DataFrame, direction: str) -> DataFrame:
+    """edges with the node each is walked from (here) and to (there)."""
+    ways = {"outbound": [("source", "target")], "inbound": [("target", "source")], "both": [("source", "target"), ("target", "source")]}
+    if direction not in ways:
+        raise QueryValidationError(f"unknown direction {direction}")
+    return edges.withColumn("_way", F.explode(F.array(*(F.struct(F.col(a).alias("here"), F.col(b).alias("there")) for a, b in ways[direction])))).select(*edges.columns, "_way.here", "_way.there")
+
+
 def traverse(memory: Memory, start: str, relation_types: list[str] | None = None, direction: str = "outbound", max_depth: int = 3, limit: int = 100) -> dict:
-    """Level by level from a node ("type:id"): each edge once, in order of its id within a level, at most
-    `limit` in all. nodes: id -> depth; truncated: an edge was cut or lies beyond max_depth. The result is
-    bounded by `limit` (1000), so the frontier is at most that many ids and each level is one filter
-    with a literal list, which scans can push down."""
-    if direction not in ("outbound", "inbound", "both") or not 1 <= max_depth <= MAX_DEPTH or not 1 <= limit <= MAX_EDGES:
+    """What walk() finds from one node ("type:id"). nodes: id -> depth; edges: id -> (source, target, depth);
+    truncated: an edge was cut or lies beyond max_depth. At most `limit` edges come to the driver, at the end."""
+    if not 1 <= limit <= MAX_EDGES:
         raise QueryValidationError("bad traversal bounds")
-    edges = all_edges(memory, relation_types)
-    nodes, found, frontier, truncated = {start: 0}, {}, {start}, False
+    seeds = memory.spark.createDataFrame([(start,)], "node string")
+    taken, cut = walk(all_edges(memory, relation_types), seeds, direction, max_depth, limit)
+    edges = {r["edge_id"]: (r["source"], r["target"], r["depth"]) for r in taken.orderBy("depth", "edge_id").collect()}
+    nodes = {start: 0}
+    for source, target, depth in edges.values():
+        nodes.setdefault(source, depth)
+        nodes.setdefault(target, depth)
+    return {"nodes": nodes, "edges": edges, "truncated": cut}
 
-    def touching(ids: set[str]) -> DataFrame:
-        listed = sorted(ids)
-        conds = {"outbound": F.col("source").isin(listed), "inbound": F.col("target").isin(listed)}
-        cond = conds["outbound"] | conds["inbound"] if direction == "both" else conds[direction]
-        return edges.filter(cond & ~F.col("edge_id").isin(sorted(found))) if found else edges.filter(cond)
 
-    for depth in range(1, max_depth + 1):
-        room = limit - len(found)
-        level = touching(frontier).dropDuplicates(["edge_id"]).orderBy("edge_id").limit(room + 1).collect()
-        truncated |= len(level) > room
-        frontier = set()
-        for e in level[:room]:
-            found[e["edge_id"]] = (e["source"], e["target"], depth)
-            for n in (e["source"], e["target"]):
-                if n not in nodes:
-                    nodes[n] = depth
-                    frontier.add(n)
-        if not frontier or truncated:
-            break
-    else:
-        truncated |= bool(touching(frontier).limit(1).count())
-    return {"nodes": nodes, "edges": found, "truncated": truncated}
+def walk(edges: DataFrame, starts: DataFrame, direction: str, max_depth: int, limit: int) -> tuple[DataFrame, bool]:
+    """Edges (edge_id, source, target, depth) in breadth-first order from starts (node), each once, within a level by
+    edge id, `limit` in all; and whether an edge was left out. Each level joins the edges with the written frontier, so plans
+    stay of one size and only counts reach the driver. One level more than max_depth is looked at, for what lies beyond."""
+    if not 1 <= max_depth <= MAX_DEPTH:
+        raise QueryValidationError("bad traversal bounds")
+    steps = _steps(edges, direction)
+    frontier = seen = starts.select("node").distinct()
+    taken, room = None, limit
+    for depth in range(1, max_depth + 2):
+        level = steps.join(frontier, steps["here"] == frontier["node"], "left_semi")
+        if taken is not None:
+            level = level.join(taken.select("edge_id"), "edge_id", "left_anti")
+        level = level.groupBy("edge_id").agg(F.min("source").alias("source"), F.min("target").alias("target"))
+        if depth > max_depth:
+            return taken, not level.isEmpty()
+        level = written(level.orderBy("edge_id").limit(room + 1).withColumn("depth", F.lit(depth)), "level")
+        n = level.count()
+        if n > room:
+            level = level.orderBy("edge_id").limit(room)
+        taken = level if taken is None else taken.union(level)
+        if n > room or not n:
+            return taken, n > room
+        room -= n
+        ends = level.select(F.explode(F.array("source", "target")).alias("node")).distinct()
+        frontier = written(ends.join(seen, "node", "left_anti"), "frontier")
+        seen = seen.union(frontier)
+        if frontier.isEmpty():
+            return taken, False
+    raise AssertionError
 
 
 def reachable(edges: DataFrame, starts: DataFrame, max_depth: int, direction: str = "outbound") -> DataFrame:
-    """node, depth of everything within max_depth of the nodes in starts (column node): the distributed
-    form, for any number of starts. edges: source, target."""
-    steps = {"outbound": edges.select("source", "target"), "inbound": edges.select(F.col("target").alias("source"), F.col("source").alias("target"))}
-    step = steps["outbound"].union(steps["inbound"]) if direction == "both" else steps[direction]
+    """node, depth of everything within max_depth of the nodes in starts (column node), for any number of
+    starts. edges: source, target. Each level is written before the next, so every edge is read once a level."""
+    if not 1 <= max_depth <= MAX_DEPTH:
+        raise QueryValidationError("bad traversal bounds")
+    steps = _steps(edges.select("source", "target"), direction).select("here", "there")
     seen = starts.select("node", F.lit(0).alias("depth")).distinct()
     frontier = seen
     for depth in range(1, max_depth + 1):
-        nxt = frontier.join(step, F.col("node") == F.col("source")).select(F.col("target").alias("node")).distinct()
-        frontier = nxt.join(seen.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth"))
-        seen = seen.unionByName(frontier)
+        reached = steps.join(frontier, steps["here"] == frontier["node"], "left_semi").select(F.col("there").alias("node")).distinct()
+        frontier = written(reached.join(seen, "node", "left_anti").select("node", F.lit(depth).alias("depth")), "frontier")
+        if frontier.isEmpty():
+            break
+        seen = seen.union(frontier)
     return seen

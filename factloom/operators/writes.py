@@ -24,7 +24,7 @@ def write_attribute(memory: Memory, entity: str, name: str, kind: str, values: D
     if known and known.kind not in (kind, "unresolved"):
         raise ImportRejected(f"{entity}.{name} is {known.json_type}")
     identity = sha256_json([run, entity, name, store.table_hash(values)])
-    done = memory.__dict__.setdefault("runs", {})
+    done = memory.runs
     if identity in done:
         return {"replayed": True}
     if values.join(e.df.select("id"), "id", "left_anti").limit(1).count():
@@ -58,7 +58,7 @@ def write_metric(metrics: DataFrame, run_id: str, recorded_at, definition_versio
 
 def declare_namespace(memory: Memory, namespace: str, description: str) -> bool:
     """Replaces a namespace's description; False if it already says so."""
-    spaces = memory.__dict__.setdefault("namespaces", {})
+    spaces = memory.namespaces
     if spaces.get(namespace) == description:
         return False
     spaces[namespace] = description

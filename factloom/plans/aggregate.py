@@ -10,6 +10,7 @@ from ..functions.values import SAFE_INTEGER, as_integer, casefold, exact_ratio,
 from ..memory import Memory
 from .compile import V2, bindings, canon, fields_of, node_frame, node_id, predicate, present, value
 from .ir import Measure, Query2
+from .staging import written
 
 
 def binding_frame(memory: Memory, q: Query2) -> DataFrame:
@@ -141,10 +142,16 @@ def groups(memory: Memory, q: Query2) -> DataFrame:
     return out.select(*keep)
 
 
-def group_id(q: Query2) -> Column:
-    """Hash of the typed key."""
-    parts = [F.to_json(F.struct(F.col(f"{g[0]}_kind").alias("k"), F.col(g[0]).alias("v"))) for g in q.groups]
-    return F.sha2(F.concat_ws("\x1f", *parts) if parts else F.lit(""), 256)
+def group_id(q: Query2, population: str = "") -> Column:
+    """Hash of the typed key and the population that the group belongs to, as canonical JSON."""
+    parts = [F.struct(F.col(f"{g[0]}_kind").alias("kind"), F.lit(g[0]).alias("name"), F.col(g[0]).alias("value")) for g in q.groups]
+    key = F.array(*parts) if parts else F.array().cast("array<string>")
+    return F.sha2(F.to_json(F.struct(key.alias("group_key"), F.lit(population).alias("population_hash")), {"ignoreNullFields": "false"}), 256)
+
+
+def identified(memory: Memory, q: Query2, population: str) -> DataFrame:
+    """groups() with the group_id of each."""
+    return groups(memory, q).withColumn("group_id", group_id(q, population))
 
 
 def ordered(memory: Memory, q: Query2, out: DataFrame) -> DataFrame:
@@ -174,10 +181,12 @@ def run_v2(memory: Memory, q: Query2) -> DataFrame:
 
 
 def execute_v2(memory: Memory, q: Query2) -> dict:
-    """A page with the totals that tell whether it is cut."""
-    every = groups(memory, q)
+    """A page with the totals that tell whether it is cut. The groups are aggregated once, into a written table."""
+    every = written(groups(memory, q), "groups")
     total = every.count() if q.groups else 1
-    return {"groups": [r.asDict() for r in run_v2(memory, q).collect()], "total_groups": total, "truncated": q.offset + q.limit < total, "complete_input": True, "state": memory.state()}
+    page = ordered(memory, q, every)
+    rows = (page.offset(q.offset) if q.offset else page).limit(q.limit).collect()
+    return {"groups": [r.asDict() for r in rows], "total_groups": total, "truncated": q.offset + q.limit < total, "complete_input": True, "state": memory.state()}
 
 
 # -- bundles and drill-down -------------------------------------------------------------------------
@@ -242,3 +251,46 @@ def drill(memory: Memory, q: Query2, key: dict[str, tuple], view: str, result: s
     return used.groupBy(node_id(owner).alias("node_id")).agg(*aggs)
 
 
+def membership(memory: Memory, q: Query2) -> DataFrame:
+    """The typed key's columns, measure, node_id, bindings: which nodes count for each measure of each group, and in how many
+    of its bindings. A sum counts the nodes that have a value. What a capture keeps."""
+    rows, keys, out = binding_frame(memory, q), _keys(memory, q), None
+    names = [n for g in q.groups for n in (f"{g[0]}_kind", g[0])]
+    for m in q.measures:
+        owner = m.node or m.field[0]
+        used = rows.filter(_when(q, m) & node_id(owner).isNotNull())
+        if m.op == "sum":
+            used = used.filter(_summed(memory, q, m).isNotNull())
+        one = used.groupBy(*(k.alias(n) for k, n in zip(keys, names)), node_id(owner).cast("string").alias("node_id")).agg(F.count("*").alias("bindings"))
+        one = one.select(*names, F.lit(m.name).alias("measure"), "node_id", "bindings")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def drill_page(memory: Memory, q: Query2, key: dict[str, tuple], view: str, result: str | None = None, offset: int = 0, limit: int = 100) -> dict:
+    """A page of drill() with total_members, truncated and the reconciliation of the measure: its bindings,
+    distinct entities and, for a sum, what the contributions add up to. A key that no group has is an error."""
+    if offset < 0 or not 1 <= limit <= 1000:
+        raise QueryValidationError("invalid drill-down page")
+    if q.groups and group_bindings(memory, q, key).isEmpty():
+        raise QueryValidationError("no group has this key")
+    rows = written(drill(memory, q, key, view, result), "drill")
+    total = rows.count()
+    page = rows.orderBy(*rows.columns)
+    out = {"view": view, "measure": result, "rows": [r.asDict() for r in (page.offset(offset) if offset else page).limit(limit).collect()], "total_members": total, "truncated": offset + limit < total}
+    if "occurrences" in rows.columns:
+        sums = [F.sum(F.col("value") * (1 if _distinct(q, result) else F.col("occurrences"))).alias("sum_contributions")] if "value" in rows.columns else []
+        out["reconciliation"] = rows.agg(F.sum("occurrences").alias("binding_count"), F.count("*").alias("distinct_entities"), *sums).first().asDict()
+    return out
+
+
+def _distinct(q: Query2, result: str | None) -> bool:
+    return any(m.name == result and m.distinct_on for m in q.measures)
+
+
+def compact_drill(memory: Memory, entity: str, rows: DataFrame) -> DataFrame:
+    """rows (node_id, ...) with the node's privacy and its present attributes, values alone: a map of field to text."""
+    e = memory.entity(entity)
+    pairs = [F.when(F.col(f"p_{f}"), F.struct(F.lit(f).alias("k"), F.col(f"v_{f}").cast("string").alias("v"))) for f in e.fields]
+    values = e.df.select(F.col("id").alias("node_id"), "privacy", F.map_from_entries(F.filter(F.array(*pairs), lambda x: x.isNotNull())).alias("attributes"))
+    return rows.join(values, "node_id")

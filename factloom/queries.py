@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -186,8 +187,7 @@ _v2("v2_unresolved_null", {"match": _CM, "where": [_where("c.ghost", "eq", None)
 _RATIO = [{"as": "share", "op": "ratio", "numerator": "high", "denominator": "orders", "zero_denominator": "null"}]
 _BYC = {"match": _CM, "optional_match": [_OPT[0] | {"where": []}], "group_by": [{"field": "c.key", "as": "customer"}], "derive": _RATIO}
 _v2("v2_ratio", {"match": _OM, "group_by": [{"field": "o.status", "as": "status"}], "measures": [m_("high", "sum", field="o.bonus"), m_("orders", "count", node="o")], "derive": _RATIO}, f"SELECT 'value' AS status_kind, status, CAST(COALESCE(sum(bonus),0) AS BIGINT) AS high, count(*) FILTER (WHERE bonus IS NULL) AS high_skipped, count(*) AS orders, {_ratio_sql('COALESCE(sum(bonus),0)', 'count(*)')} AS share FROM {O_} GROUP BY status")
-_v2("v2_zero_denominator", {"match": _CM, "optional_match": _OPT, "group_by": _SEG, "measures": [m_("high", "count", node="c"), m_("orders", "count", node="c", when={"unbound": "o"})], "where": [_where("c.key", "lte", 40)], "derive": _RATIO}, f"SELECT 'value' AS segment_kind, segment, count(*) AS high, count(*) FILTER (WHERE o IS NULL) AS orders, {_ratio_sql('count(*)', 'count(*) FILTER (WHERE o IS NULL)')} AS share FROM {_JOINED} WHERE c <= 40 GROUP BY segment")
-_v2("v2_zero_denominator_all", {"match": _CM, "optional_match": [_OPT[0] | {"where": [_where("o.cents", "lt", 0)]}], "group_by": _SEG, "measures": [m_("high", "count", node="c"), m_("orders", "count", node="o")], "derive": _RATIO}, f"SELECT 'value' AS segment_kind, segment, count(*) AS high, count(o) AS orders, {_ratio_sql('count(*)', 'count(o)')} AS share FROM (SELECT c.segment, o.id AS o FROM {C_} c LEFT JOIN (SELECT * FROM {O_} WHERE cents < 0) o ON o.custkey = c.id) GROUP BY segment")
+_v2("v2_zero_denominator", {"match": _CM, "optional_match": [_OPT[0] | {"where": [_where("o.cents", "lt", 0)]}], "group_by": _SEG, "measures": [m_("high", "count", node="c"), m_("orders", "count", node="o")], "derive": _RATIO}, f"SELECT 'value' AS segment_kind, segment, count(*) AS high, count(o) AS orders, {_ratio_sql('count(*)', 'count(o)')} AS share FROM (SELECT c.segment, o.id AS o FROM {C_} c LEFT JOIN (SELECT * FROM {O_} WHERE cents < 0) o ON o.custkey = c.id) GROUP BY segment")
 _PER_C = f"(SELECT c.id AS c, CAST(COALESCE(sum(o.bonus),0) AS BIGINT) AS high, count(o.id) FILTER (WHERE o.bonus IS NULL) AS high_skipped, count(o.id) AS orders FROM {C_} c LEFT JOIN {O_} o ON o.custkey = c.id GROUP BY c.id)"
 _v2("v2_order_ratio", _BYC | {"measures": [m_("high", "sum", field="o.bonus"), m_("orders", "count", node="o")], "order_by": [{"result": "share", "direction": "desc"}, {"result": "customer", "direction": "asc"}], "limit": 200}, f"SELECT 'value' AS customer_kind, CAST(c AS VARCHAR) AS customer, high, high_skipped, orders, {_ratio_sql('high', 'orders')} AS share FROM {_PER_C} ORDER BY orders = 0, (CAST(high AS HUGEINT) * 1000000000000000000) // NULLIF(orders,0) DESC, c LIMIT 200")
 _v2("v2_page", _BYC | {"measures": [m_("high", "sum", field="o.bonus"), m_("orders", "count", node="o")], "order_by": [{"result": "orders", "direction": "asc"}, {"result": "customer", "direction": "desc"}], "limit": 50, "offset": 30}, f"SELECT 'value' AS customer_kind, CAST(c AS VARCHAR) AS customer, high, high_skipped, orders, {_ratio_sql('high', 'orders')} AS share FROM {_PER_C} ORDER BY orders, c DESC LIMIT 50 OFFSET 30")
@@ -225,6 +225,23 @@ def bundle_coverage(spark: SparkSession, d: str) -> DataFrame:
     return aggregate.coverage_frame(tpch(spark, d), members, {"population": ("orders", "all"), "attributed": ("urgent", "all")})
 
 
+_SEGMENTS = {"query_ir_version": "2", "match": _CM, "group_by": _SEG, "measures": [m_("n", "count", node="c")]}
+_POPULATION = lifecycle.population_hash(_SEGMENTS)
+
+
+@_query("group_id", f"SELECT 'value' AS segment_kind, c_mktsegment AS segment, count(*) AS n, sha256(CAST(json_object('group_key', json_array(json_object('kind', 'value', 'name', 'segment', 'value', c_mktsegment)), 'population_hash', '{_POPULATION}') AS VARCHAR)) AS group_id FROM customer GROUP BY c_mktsegment")
+def group_id(spark: SparkSession, d: str) -> DataFrame:
+    return aggregate.identified(tpch(spark, d), parse_v2(_SEGMENTS), _POPULATION)
+
+
+_MEMBERS_OF = {"query_ir_version": "2", "match": _CM, "optional_match": _OPT, "group_by": _SEG, "measures": [m_("urgent", "count_distinct", node="c", when={"bound": "o"}), m_("s", "sum", field="c.cents", distinct_on="c", when={"unbound": "o"})]}
+
+
+@_query("capture_membership", f"SELECT 'value' AS segment_kind, segment, CASE WHEN o IS NULL THEN 's' ELSE 'urgent' END AS measure, CAST(c AS VARCHAR) AS node_id, count(*) AS bindings FROM {_JOINED} GROUP BY ALL")
+def capture_membership(spark: SparkSession, d: str) -> DataFrame:
+    return aggregate.membership(tpch(spark, d), parse_v2(_MEMBERS_OF))
+
+
 def _drill(name: str, view: str, result: str | None, sql: str) -> None:
     q = parse_v2({"query_ir_version": "2"} | FLAGSHIP)
     QUERIES[name] = lambda spark, d: aggregate.drill(tpch(spark, d), q, {"segment": ("value", "BUILDING")}, view, result)
@@ -246,19 +263,6 @@ def metric_current(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.current_metrics(metrics).select("definition_version", "dimensions_hash", "metric_id", "value")
 
 
-@_query("ontology_fields", "SELECT * FROM (VALUES ('tpch.Nation','name','string'),('tpch.Nation','regionkey','number'),('tpch.Region','name','string'),('tpch.Supplier','name','string'),('tpch.Supplier','cents','number'),('tpch.Part','name','string'),('tpch.Part','brand','string'),('tpch.Part','size','number')) t(entity_type, field, json_type)")
-def ontology_fields(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(e["type"], f["name"], f["type"]) for e in tpch(spark, d).ontology("tpch") if "fields" in e and e["type"] not in ("tpch.Customer", "tpch.Order") for f in e["fields"]]
-    return spark.createDataFrame(rows, "entity_type string, field string, json_type string")
-
-
-@_query("ontology_statistics", f"SELECT 'tpch.Order' AS entity_type, 'priority' AS field, 'string' AS json_type, count(*) AS n_nodes, count(*) FILTER (WHERE pp) AS n_present, count(*) FILTER (WHERE pp AND priority IS NULL) AS n_null FROM {O_} UNION ALL SELECT 'tpch.Order', 'bonus', 'number', count(*), count(*) FILTER (WHERE pp), count(*) FILTER (WHERE pp AND priority IS NULL) FROM {O_}")
-def ontology_statistics(spark: SparkSession, d: str) -> DataFrame:
-    m = tpch(spark, d)
-    m.entities = {"tpch.Order": m.entities["tpch.Order"]}
-    return m.ontology_statistics("tpch").filter(F.col("field").isin("priority", "bonus"))
-
-
 #: Every field of the registered types: entity type, table, field, JSON type, conditions of presence and of an explicit null.
 _PRI_NULL = "o_orderpriority = '4-NOT SPECIFIED'"
 _FIELDS = [
@@ -271,8 +275,14 @@ _FIELDS = [
 _STATISTICS = " UNION ALL ".join(f"SELECT '{e}' AS entity_type, '{f}' AS field, '{j}' AS json_type, count(*) AS n_nodes, count(*) FILTER (WHERE {p}) AS n_present, count(*) FILTER (WHERE {z}) AS n_null FROM {t}" for e, t, f, j, p, z in _FIELDS)
 
 
-@_query("ontology_statistics_all", _STATISTICS)
-def ontology_statistics_all(spark: SparkSession, d: str) -> DataFrame:
+@_query("ontology_fields", " UNION ALL ".join(f"SELECT '{e}' AS entity_type, '{f}' AS field, '{j}' AS json_type" for e, _, f, j, *_ in _FIELDS))
+def ontology_fields(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(e["type"], f["name"], f["type"]) for e in tpch(spark, d).ontology("tpch") if "fields" in e for f in e["fields"]]
+    return spark.createDataFrame(rows, "entity_type string, field string, json_type string")
+
+
+@_query("ontology_statistics", _STATISTICS)
+def ontology_statistics(spark: SparkSession, d: str) -> DataFrame:
     return tpch(spark, d).ontology_statistics("tpch")
 
 
@@ -359,6 +369,28 @@ def relation_inspect_rows(spark: SparkSession, d: str) -> DataFrame:
     return _inspected(spark, d, (Predicate("source", "kind", "eq", (kind,)),)).select("source_id", "n_keys", F.get("target_ids", 0).alias("target_id"), "reason")
 
 
+_CODES = {"from": {"type": "app.Source", "fields": ["codes"]}, "to": {"type": "app.Code", "fields": ["code"]}}
+
+
+@_query("join_array_counters", "SELECT count(*) FILTER (WHERE t IS NOT NULL) AS created, 0::BIGINT AS previously_active, 0::BIGINT AS previously_inactive, (SELECT count(*) FROM customer WHERE c_custkey % 5 = 0) AS skipped_null_or_missing, (SELECT count(*) FROM customer WHERE c_custkey % 5 = 1) AS skipped_unmatched FROM (SELECT DISTINCT c, t FROM (SELECT c_custkey AS c, unnest([c_nationkey, (c_custkey * 7) % 25]) AS t FROM customer WHERE c_custkey % 5 > 1))")
+def join_array_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Sources of two codes each: every fifth has none, and every fifth two that no target has."""
+    m = Memory(spark, "codes")
+    k = F.col("c_custkey")
+    codes = F.when(k % 5 == 0, F.lit("[null]")).when(k % 5 == 1, F.lit('["x","y"]')).otherwise(F.concat(F.lit('["'), F.col("c_nationkey").cast("string"), F.lit('","'), (k * 7 % 25).cast("string"), F.lit('",null]')))
+    m.register_entity("app.Source", table(spark, d, "customer"), "c_custkey", {"codes": ("array", codes)})
+    m.register_entity("app.Code", table(spark, d, "nation"), "n_nationkey", {"code": ("string", F.col("n_nationkey").cast("string"))})
+    return relate.materialize_join(m, "has_code", "code", _CODES)
+
+
+@_query("import_big_number", "SELECT event_id AS key, CASE WHEN event_id % 3 = 0 THEN 1e300 ELSE CAST(event_id AS DOUBLE) END AS big, CASE WHEN event_id % 3 <> 0 THEN CAST(event_id AS BIGINT) END AS whole FROM events")
+def import_big_number(spark: SparkSession, d: str) -> DataFrame:
+    m = Memory(spark, "big")
+    rows = table(spark, d, "events").select(F.concat(F.lit('{"key": '), "event_id", F.lit(', "big": '), F.when(F.col("event_id") % 3 == 0, F.lit("1e300")).otherwise(F.col("event_id").cast("string")), F.lit("}")).alias("value"))
+    jsonl.import_jsonl(m, "app.Big", rows, {"key": "integer"})
+    return m.entity("app.Big").df.select(F.col("i_key").cast("long").alias("key"), F.col("v_big").alias("big"), F.col("i_big").cast("long").alias("whole"))
+
+
 # -- graph -------------------------------------------------------------------------------------------------------------
 def _graph(spark: SparkSession, d: str) -> DataFrame:
     """Customers follow the next customers of their nation: a sparse directed graph."""
@@ -426,14 +458,8 @@ def type_inference(spark: SparkSession, d: str) -> DataFrame:
     return jsonl.infer(jsonl.attributes(jsonl.read_lines(_lines(e, True)))).select("field", "json_type", "n_present", "n_null")
 
 
-@_query("duplicate_keys", "SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber, count(*) AS n FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY ALL HAVING count(*) > 1")
+@_query("duplicate_keys", "SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").filter("l_orderkey % 10 = 0").select("l_orderkey", "l_linenumber", "l_quantity")
-    return jsonl.duplicate_keys(jsonl.attributes(jsonl.read_lines(_lines(rows))), ["l_orderkey", "l_linenumber"])
-
-
-@_query("duplicate_keys_all", "SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
-def duplicate_keys_all(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
     return jsonl.duplicate_keys(jsonl.attributes(jsonl.read_lines(_lines(rows))), ["l_orderkey", "l_linenumber"])
 
@@ -457,9 +483,20 @@ _TERMS = ["the", "and", "of"]
 _TOK = "regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+')"
 
 
+_INDEXES: dict[tuple[str, str], search.SearchIndex] = {}
+
+
+def text_index(spark: SparkSession, d: str) -> search.SearchIndex:
+    """The index of a folder's documents: written once an application, as searches find it in use."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _INDEXES:
+        _INDEXES[at] = search.SearchIndex.build(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"])
+    return _INDEXES[at]
+
+
 @_query("fts_and_match", f"SELECT doc_id FROM (SELECT doc_id, {_TOK} AS w FROM documents) WHERE list_has_all(w, ['the','and','of'])")
 def fts_and_match(spark: SparkSession, d: str) -> DataFrame:
-    return search.fts(table(spark, d, "documents"), _TERMS, ["doc_id"]).select("doc_id")
+    return text_index(spark, d).search(_TERMS).select("doc_id")
 
 
 def _bm25_sql() -> str:
@@ -471,6 +508,12 @@ def _bm25_sql() -> str:
 
 @_query("fts_bm25_topk", _bm25_sql())
 def fts_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    return text_index(spark, d).search(_TERMS, 20).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@_query("fts_bm25_scan", _bm25_sql())
+def fts_bm25_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Without an index: one pass over the texts."""
     return search.fts(table(spark, d, "documents"), _TERMS, ["doc_id"], 20).select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -498,6 +541,20 @@ def embedding_missing(spark: SparkSession, d: str) -> DataFrame:
     return search.missing_embeddings(docs, have, ["node_id"]).select("node_id")
 
 
+@_query("embedding_coverage", "SELECT CASE p_partkey % 4 WHEN 0 THEN 'missing' WHEN 1 THEN 'stale' ELSE 'ready' END AS status, count(*) AS n FROM part GROUP BY 1")
+def embedding_coverage(spark: SparkSession, d: str) -> DataFrame:
+    docs = search.search_documents(tpch(spark, d))
+    k = F.col("node_id").cast("long") % 4
+    have = docs.filter(k > 0).select("node_id", F.sha2(F.when(k == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("content_hash"))
+    return search.embedding_coverage(docs, have, ["node_id"])
+
+
+@_query("embedding_profile", "SELECT 'p' || label AS profile, CAST(len(embedding) AS INTEGER) AS dims, count(*) AS n_records, count(DISTINCT vec_id) AS n_documents FROM embeddings GROUP BY 1, 2")
+def embedding_profile(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return search.embedding_profile(e.select(F.concat(F.lit("p"), "label").alias("profile"), "vec_id", F.lit("h").alias("content_hash"), "embedding"))
+
+
 # -- evidence -------------------------------------------------------------------------------------------------------------------
 @_query("fragment_time_interval", "SELECT event_id, value FROM events WHERE ts >= (SELECT date_trunc('day', min(ts)) + INTERVAL 2 DAY FROM events) AND ts < (SELECT date_trunc('day', min(ts)) + INTERVAL 9 DAY FROM events)")
 def fragment_time_interval(spark: SparkSession, d: str) -> DataFrame:
@@ -518,6 +575,22 @@ def fragment_record_key(spark: SparkSession, d: str) -> DataFrame:
     return e.filter(F.col("event_id") == top).select("event_id", "event_type", "user_id")
 
 
+def _documents(name: str, selector: dict, sql: str) -> None:
+    """A fragment of every document's bytes, by its digest; refused where the selector lies outside."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        objects = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("digest"), F.col("text").cast("binary").alias("content"), F.lit(json.dumps(selector)).alias("selector"))
+        return fragments.fragments(objects).select(F.col("digest").cast("long").alias("doc_id"), F.octet_length("fragment").cast("long").alias("n_bytes"), "fragment_sha256")
+
+    QUERIES[name], SQL[name] = run, sql
+
+
+_BYTES = "SELECT doc_id, CASE WHEN n >= 60 THEN 40 END::BIGINT AS n_bytes, CASE WHEN n >= 60 THEN sha256(from_hex(substr(hex(encode(text)), 41, 80))) END AS fragment_sha256 FROM (SELECT doc_id, text, octet_length(encode(text)) AS n FROM documents)"
+_documents("fragment_byte_range", {"kind": "byte_range", "start": 20, "end": 60}, _BYTES)
+_documents("fragment_empty_range", {"kind": "byte_range", "start": 0, "end": 0}, "SELECT doc_id, 0::BIGINT AS n_bytes, sha256('') AS fragment_sha256 FROM documents")
+_documents("fragment_sample", {"kind": "sample_interval", "start_sample": 0, "end_sample": 0, "sample_rate": 8000, "channels": 1, "bit_width": 8, "sample_format": "pcm", "byte_order": "little", "interleaved": True}, "SELECT doc_id, 0::BIGINT AS n_bytes, sha256('') AS fragment_sha256 FROM documents")
+
+
 @_query("retention_report", "SELECT CASE WHEN retired THEN 'retired' WHEN blocking > 0 THEN 'active' ELSE 'expired' END AS status, count(*) AS n, CAST(sum(blocking) AS BIGINT) AS n_blocking FROM (SELECT user_id, bool_or(event_id % 97 = 0) AS retired, count(*) FILTER (WHERE event_id % 13 = 0 OR (event_id % 5 = 0 AND ts + INTERVAL 30 DAY > TIMESTAMP '2024-01-15')) AS blocking FROM events GROUP BY user_id) GROUP BY 1")
 def retention_report(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
@@ -525,17 +598,8 @@ def retention_report(spark: SparkSession, d: str) -> DataFrame:
     return fragments.retention(acq, "2024-01-15 00:00:00")
 
 
-@_query("explain_provenance", "SELECT l_orderkey, l_linenumber, n_name AS source_name, p_size AS size FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey LEFT JOIN part ON p_partkey = l_partkey AND p_size > 10 WHERE l_orderkey % 20 = 0")
+@_query("explain_provenance", "SELECT l_orderkey, l_linenumber, n_name AS source_name, p_size AS size FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey LEFT JOIN part ON p_partkey = l_partkey AND p_size > 10")
 def explain_provenance(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("source_id"), F.col("n_name").alias("name"))
-    facts = table(spark, d, "lineitem").filter("l_orderkey % 20 = 0").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("source_id"), F.col("l_partkey").alias("fragment_id"))
-    frag = table(spark, d, "part").select(F.col("p_partkey").alias("fragment_id"), F.col("p_partkey").alias("object_digest"), F.col("p_type").alias("selector"))
-    objects = table(spark, d, "part").filter("p_size > 10").select(F.col("p_partkey").alias("digest"), F.col("p_size").alias("size"))
-    return lifecycle.explain(facts, s, frag, objects).select("l_orderkey", "l_linenumber", "source_name", "size")
-
-
-@_query("explain_provenance_all", "SELECT l_orderkey, l_linenumber, n_name AS source_name, p_size AS size FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey LEFT JOIN part ON p_partkey = l_partkey AND p_size > 10")
-def explain_provenance_all(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("source_id"), F.col("n_name").alias("name"))
     facts = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("source_id"), F.col("l_partkey").alias("fragment_id"))
     frag = table(spark, d, "part").select(F.col("p_partkey").alias("fragment_id"), F.col("p_partkey").alias("object_digest"), F.col("p_type").alias("selector"))

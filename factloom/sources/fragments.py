@@ -7,11 +7,13 @@ import json
 import os
 import tempfile
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import FactloomError
-from ..functions.values import canonical_json, json_pointer, strict_loads
+from ..functions.values import canonical_json, json_pointer, normalize_timestamp, strict_loads
 
 
 def put(root: str, data: bytes) -> str:
@@ -48,41 +50,136 @@ def audit(spark: SparkSession, root: str, known: DataFrame) -> DataFrame:
     return both.select("digest", status.alias("status"))
 
 
-def extract(data: bytes, selector: dict) -> bytes:
-    """A fragment by one of the selectors whole_object, byte_range, line_range, structured, record_key,
-    time_interval, sample_interval."""
-    kind = selector["kind"]
+#: The keys of each selector besides `kind`, with the least value of whole numbers, the type of others, and a
+#: default where a key may be left out.
+SELECTORS: dict[str, dict[str, tuple]] = {
+    "whole_object": {},
+    "byte_range": {"start": (0,), "end": (0,)},
+    "line_range": {"start_line": (1,), "end_line": (1,)},
+    "sample_interval": {"start_sample": (0,), "end_sample": (0,), "sample_rate": (1,), "channels": (1,), "bit_width": (1,), "sample_format": (str,), "byte_order": (str,), "interleaved": (bool,)},
+    "structured": {"pointer": (str, ""), "input_format": (str, "json")},
+    "record_key": {"key_field": (str,), "key_value": (object,), "input_format": (str, "json")},
+    "time_interval": {"timestamp_field": (str,), "start": (str,), "end": (str,), "input_format": (str, "json")},
+}
+
+
+def checked(selector: dict | None) -> dict:
+    """A selector with its defaults; unknown kinds and keys, missing keys and values of another type raise."""
+    given = dict(selector or {"kind": "whole_object"})
+    kind = given.pop("kind", None)
+    if kind not in SELECTORS:
+        raise FactloomError(f"unknown selector {json.dumps(kind)}")
+    out = {"kind": kind}
+    for key, (want, *default) in SELECTORS[kind].items():
+        value = given.pop(key, *default) if default or key in given else _wrong(kind, key)
+        whole = isinstance(want, int)
+        if (type(value) is not int or value < want) if whole else not isinstance(value, want):
+            _wrong(kind, key)
+        out[key] = value
+    if given:
+        raise FactloomError(f"unknown keys of {kind}: {sorted(given)}")
+    return out
+
+
+def _wrong(kind: str, key: str):
+    raise FactloomError(f"{kind} needs a proper {key}")
+
+
+def _ordered(first: int, last: int, most: int) -> None:
+    if not first <= last <= most:
+        raise FactloomError("the range is reversed or outside the object")
+
+
+def _documents(data: bytes, how: str):
+    try:
+        text = data.decode()
+        if how in ("json", "canonical-json"):
+            return strict_loads(text)
+        if how in ("jsonl", "canonical-jsonl"):
+            return [strict_loads(x) for x in text.splitlines() if x.strip()]
+    except ValueError as e:
+        raise FactloomError("the object isn't UTF-8 JSON") from e
+    raise FactloomError(f"unknown input format {how}")
+
+
+def _record_lines(records) -> bytes:
+    return b"".join(canonical_json(r).encode() + b"\n" for r in records)
+
+
+def _samples(data: bytes, s: dict) -> bytes:
+    if s["bit_width"] % 8:
+        raise FactloomError("samples must be whole bytes")
+    width = s["bit_width"] // 8
+    frames, rest = divmod(len(data), width * s["channels"])
+    if rest:
+        raise FactloomError("the object doesn't hold whole frames")
+    first, last = s["start_sample"], s["end_sample"]
+    _ordered(first, last, frames)
+    # Bytes by frame and channel, or by channel and frame.
+    grid = np.frombuffer(data, np.uint8).reshape((frames, s["channels"], width) if s["interleaved"] else (s["channels"], frames, width))
+    return (grid[first:last] if s["interleaved"] else grid[:, first:last]).tobytes()
+
+
+def _within(records: list, s: dict) -> list:
+    """Records whose instant lies in [start, end), whatever offsets the times are written with."""
+    try:
+        first, last = normalize_timestamp(s["start"]), normalize_timestamp(s["end"])
+        at = [normalize_timestamp(r[s["timestamp_field"]]) for r in records]
+    except (KeyError, TypeError, ValueError) as e:
+        raise FactloomError("a time interval needs timestamps with offsets") from e
+    if last < first:
+        raise FactloomError("the interval is reversed")
+    return [r for r, t in zip(records, at) if first <= t < last]
+
+
+def extract(data: bytes, selector: dict | None) -> bytes:
+    """A fragment of an object. Ranges may be empty; JSON comes back in its canonical form, records as lines."""
+    s = checked(selector)
+    kind = s["kind"]
     if kind == "whole_object":
         return data
     if kind == "byte_range":
-        start, end = selector["start"], selector["end"]
-        if not 0 <= start < end <= len(data):
-            raise FactloomError("byte range outside the object")
-        return data[start:end]
+        _ordered(s["start"], s["end"], len(data))
+        return data[s["start"] : s["end"]]
     if kind == "line_range":
         lines = data.splitlines(keepends=True)
-        if not 1 <= selector["start"] <= selector["end"] <= len(lines):
-            raise FactloomError("line range outside the object")
-        return b"".join(lines[selector["start"] - 1 : selector["end"]])
-    if kind == "structured":
-        return canonical_json(json_pointer(strict_loads(data.decode()), selector["pointer"])).encode()
+        _ordered(s["start_line"], s["end_line"], len(lines))
+        return b"".join(lines[s["start_line"] - 1 : s["end_line"]])
     if kind == "sample_interval":
-        width, channels, start, end = selector["width"], selector["channels"], selector["start"], selector["end"]
-        if selector.get("layout", "interleaved") == "interleaved":
-            return data[start * width * channels : end * width * channels]
-        plane = len(data) // channels
-        return b"".join(data[c * plane + start * width : c * plane + end * width] for c in range(channels))
-    records = [strict_loads(x) for x in data.decode().splitlines() if x.strip()]
-    if kind == "record_key":
-        hits = [r for r in records if all(r.get(k) == v for k, v in selector["key"].items())]
-        if len(hits) != 1:
-            raise FactloomError("a record key selects exactly one record")
-        return canonical_json(hits[0]).encode()
+        return _samples(data, s)
+    found = _documents(data, s["input_format"])
+    if kind == "structured":
+        try:
+            return canonical_json(json_pointer(found, s["pointer"])).encode()
+        except KeyError as e:
+            raise FactloomError(f"nothing at {s['pointer']}") from e
+    if not isinstance(found, list) or not all(isinstance(r, dict) for r in found):
+        raise FactloomError("records must be JSON objects")
     if kind == "time_interval":
-        name = selector["field"]
-        hits = [r for r in records if selector["start"] <= r[name] < selector["end"]]
-        return "\n".join(map(canonical_json, hits)).encode()
-    raise FactloomError(f"unknown selector {json.dumps(kind)}")
+        return _record_lines(_within(found, s))
+    hits = [r for r in found if s["key_field"] in r and r[s["key_field"]] == s["key_value"]]
+    if len(hits) != 1:
+        raise FactloomError("a record key selects exactly one record")
+    return _record_lines(hits)
+
+
+def fragments(objects: DataFrame) -> DataFrame:
+    """digest, fragment (binary), fragment_sha256, error of objects (digest, content, selector as JSON): extract() of many
+    objects at once. What extract() refuses has an error and no fragment."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for content, selector in zip(b.column("content"), b.column("selector").to_pylist()):
+                try:
+                    got = extract(content.as_py(), json.loads(selector))
+                    rows.append((got, hashlib.sha256(got).hexdigest(), None))
+                except FactloomError as e:
+                    rows.append((None, None, str(e)))
+            cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([b.column("digest"), *cols], names=["digest", "fragment", "fragment_sha256", "error"])
+
+    return objects.select("digest", "content", "selector").mapInArrow(run, "digest string, fragment binary, fragment_sha256 string, error string")
 
 
 def time_interval(df: DataFrame, column: str, start: str, end: str) -> DataFrame:
@@ -98,3 +195,20 @@ def retention(evidence: DataFrame, as_of: str) -> DataFrame:
     per = evidence.groupBy("digest").agg(F.max("retired").alias("retired"), F.count_if(blocking).alias("blocking"))
     status = F.when(F.col("retired"), "retired").when(F.col("blocking") > 0, "active").otherwise("expired")
     return per.select(status.alias("status"), "blocking").groupBy("status").agg(F.count("*").alias("n"), F.sum("blocking").alias("n_blocking"))
+
+
+#: Bytes of raw sources that one status check reads at most.
+STATUS_BYTES = 8 << 20
+
+
+def source_status(spark: SparkSession, root: str, objects: DataFrame) -> DataFrame:
+    """digest, availability, verification of a drill-down's raw sources (digest, size; a page's, so few): the objects that
+    fit into STATUS_BYTES, in the order given by digest, are read and checked, the others stay unknown."""
+    left, read_, unread = STATUS_BYTES, [], []
+    for r in objects.select("digest", "size").distinct().orderBy("digest").collect():
+        fits = r["size"] <= left
+        left -= r["size"] if fits else 0
+        (read_ if fits else unread).append((r["digest"],))
+    known = audit(spark, root, spark.createDataFrame(read_, "digest string")).filter(F.col("status") != "orphan")
+    known = known.select("digest", F.when(F.col("status") == "missing", "missing").otherwise("available").alias("availability"), F.when(F.col("status") == "ok", "verified").when(F.col("status") == "damaged", "damaged").otherwise("unverified").alias("verification"))
+    return known.union(spark.createDataFrame([(d, "unknown", "unverified") for (d,) in unread], "digest string, availability string, verification string"))

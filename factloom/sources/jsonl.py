@@ -5,8 +5,8 @@ from __future__ import annotations
 import hashlib
 from dataclasses import replace
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ImportRejected, QueryValidationError
@@ -16,7 +16,9 @@ from ..memory import Entity, Field, Memory
 MAX_LINE_BYTES = 4 << 20
 #: Field names that are refused, in whatever letter case.
 CREDENTIALS = ("api_key", "apikey", "authorization", "password", "passwd", "secret", "token")
-_ATTR = "line long, field string, kind string, canon string, text string, num double, whole string, error string"
+MAX_FILE_BYTES = 64 << 20
+_ATTRIBUTE = pa.struct([("field", pa.string()), ("kind", pa.string()), ("canon", pa.string()), ("text", pa.string()), ("num", pa.float64()), ("whole", pa.string())])
+_PARSED = "line long, error string, attrs array<struct<field:string,kind:string,canon:string,text:string,num:double,whole:string>>"
 
 
 def read_lines(df: DataFrame) -> DataFrame:
@@ -26,39 +28,73 @@ def read_lines(df: DataFrame) -> DataFrame:
     return df.select("line", "value").filter(F.trim("value") != "")
 
 
+def read_file(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
+    """Lines of one JSONL file by number, from 1, and the SHA-256 of its bytes. A byte order mark, other
+    bytes than UTF-8 and files above MAX_FILE_BYTES are refused."""
+    file = spark.read.format("binaryFile").load(path)
+    about = file.select("length", F.sha2("content", 256).alias("digest"), F.is_valid_utf8(F.col("content").cast("string")).alias("valid"), F.hex(F.substring("content", 1, 3)).alias("head")).collect()
+    if len(about) != 1 or about[0]["length"] > MAX_FILE_BYTES:
+        raise ImportRejected(f"{path} must be one file of at most {MAX_FILE_BYTES} bytes")
+    if not about[0]["valid"] or about[0]["head"] == "EFBBBF":
+        raise ImportRejected("the file isn't UTF-8 without a byte order mark")
+    lines = file.select(F.posexplode(F.split(F.col("content").cast("string"), "\r?\n", -1)).alias("at", "value"))
+    return lines.select((F.col("at") + 1).cast("long").alias("line"), "value"), about[0]["digest"]
+
+
+def import_file(memory: Memory, entity_type: str, path: str, key: dict[str, str], privacy: str = "public") -> dict:
+    """import_jsonl of a file; its digest is its content hash."""
+    lines, digest = read_file(memory.spark, path)
+    return import_jsonl(memory, entity_type, lines, key, privacy, digest)
+
+
+def parsed(lines: DataFrame) -> DataFrame:
+    """line, error, attrs (field, kind, canon, text, num, whole of each member): one row per line."""
+
+    def run(batches):
+        for b in batches:
+            line = b.column("line").to_pylist()
+            got = [_attributes(v) for v in b.column("value").to_pylist()]
+            errors = [g if isinstance(g, str) else None for g in got]
+            rows = [[] if isinstance(g, str) else g for g in got]
+            yield pa.RecordBatch.from_arrays([pa.array(line, pa.int64()), pa.array(errors, pa.string()), pa.array(rows, pa.list_(_ATTRIBUTE))], names=["line", "error", "attrs"])
+
+    return lines.select("line", "value").mapInArrow(run, _PARSED)
+
+
 def attributes(lines: DataFrame) -> DataFrame:
     """One row per attribute of each line: line, field, kind, canon, text, num, whole, error."""
+    return _exploded(parsed(lines))
 
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for line, value in zip(pdf["line"], pdf["value"]):
-                rows += _attributes(line, value)
-            yield pd.DataFrame(rows, columns=["line", "field", "kind", "canon", "text", "num", "whole", "error"])
 
-    return lines.mapInPandas(run, _ATTR)
+def _exploded(rows: DataFrame) -> DataFrame:
+    each = rows.select("line", "error", F.explode_outer("attrs").alias("a")).filter(F.col("a").isNotNull() | F.col("error").isNotNull())
+    return each.select("line", "a.field", "a.kind", "a.canon", "a.text", "a.num", "a.whole", "error")
 
 
-def _attributes(line: int, value: str) -> list[tuple]:
-    bad = lambda why: [(line, None, None, None, None, None, None, why)]
+def _attributes(value: str) -> list[tuple] | str:
+    """Members of one line's object, or why it is refused."""
     if len(value.encode()) > MAX_LINE_BYTES:
-        return bad("line too long")
-    if value.startswith("﻿"):
-        return bad("byte order mark")
+        return "line too long"
+    if value.startswith("\ufeff"):
+        return "byte order mark"
     try:
         doc = strict_loads(value)
     except ValueError as e:
-        return bad(f"invalid JSON: {e}")
+        return f"invalid JSON: {e}"
     if not isinstance(doc, dict):
-        return bad("not an object")
+        return "not an object"
     out = []
     for name, v in doc.items():
         if name.lower() in CREDENTIALS:
-            return bad(f"field {name} is a credential's name")
-        kind = json_type(v)
-        num = float(v) if kind == "number" else None
-        whole = str(int(v)) if kind == "number" and float(v).is_integer() else None
-        out.append((line, name, kind, None if v is None else canonical_json(v), v if kind == "string" else None, num, whole, None))
+            return f"field {name} is a credential's name"
+        kind, num, whole = json_type(v), None, None
+        if kind == "number":
+            try:
+                num = float(v)
+            except OverflowError:
+                return f"field {name} is a number out of range"
+            whole = str(int(v)) if num.is_integer() else None
+        out.append((name, kind, None if v is None else canonical_json(v), v if kind == "string" else None, num, whole))
     return out
 
 
@@ -75,43 +111,51 @@ def duplicate_keys(attrs: DataFrame, key: list[str]) -> DataFrame:
     return keys.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def check(attrs: DataFrame, key: dict[str, str], entity: Entity | None) -> list[dict]:
-    """Raises ImportRejected with the first offence; returns the inferred fields."""
-    first = attrs.filter("error is not null").orderBy("line").limit(1).collect()
-    if first:
-        raise ImportRejected(f"line {first[0]['line']}: {first[0]['error']}")
-    fields = [r.asDict() for r in infer(attrs).collect()]
+def check(rows: DataFrame, key: dict[str, str], entity: Entity | None, total: int) -> list[dict]:
+    """Raises ImportRejected with the first offence of parsed lines; returns the inferred fields. One aggregation by
+    field; lines that are refused as such stand under no field."""
+    off = F.lit(False)
+    for k, kind in key.items():
+        wrong = F.col("kind") != {"integer": "number"}.get(kind, kind)
+        off |= (F.col("field") == k) & (wrong | F.col("canon").rlike(r"[.eE]") if kind == "integer" else wrong)
+    kinds = F.collect_set(F.when(F.col("kind") != "null", F.col("kind")))
+    found = _exploded(rows).groupBy("field").agg(
+        F.sort_array(kinds).alias("kinds"), F.count("*").alias("n_present"), F.count_if(F.col("kind") == "null").alias("n_null"),
+        F.count_if(off).alias("n_off"), F.min(F.when(F.col("error").isNotNull(), F.struct("line", "error"))).alias("first"),
+    ).collect()
+    for r in found:
+        if r["first"]:
+            raise ImportRejected(f"line {r['first']['line']}: {r['first']['error']}")
+    fields = [{"field": r["field"], "json_type": r["kinds"][0] if r["kinds"] else None, "n_types": len(r["kinds"]), "n_present": r["n_present"], "n_null": r["n_null"], "n_off": r["n_off"]} for r in found]
     for f in fields:
         known = entity.fields.get(f["field"]) if entity else None
         if f["n_types"] > 1 or known and known.kind != "unresolved" and f["json_type"] and known.json_type != f["json_type"]:
             raise ImportRejected(f"field {f['field']} mixes types")
         if known and not known.nullable and f["n_null"]:
             raise ImportRejected(f"field {f['field']} is not nullable")
-    total = attrs.select("line").distinct().count()
-    types = {"integer": "number"}
+    by_name = {f["field"]: f for f in fields}
     for k, kind in key.items():
-        bad = attrs.filter((F.col("field") == k) & ((F.col("kind") != types.get(kind, kind)) | (F.lit(kind == "integer") & F.col("canon").rlike(r"[.eE]"))))
-        have = attrs.filter(F.col("field") == k).count()
-        if have != total or bad.limit(1).count():
+        if total and (k not in by_name or by_name[k]["n_present"] != total or by_name[k]["n_off"]):
             raise ImportRejected(f"key {k} must be a non-null {kind} in every line")
-    if duplicate_keys(attrs, list(key)).limit(1).count():
-        raise ImportRejected("duplicate keys in the file")
     return fields
 
 
-def _wide(attrs: DataFrame, fields: list[Field]) -> DataFrame:
-    """line and the entity columns of each field: one grouped pivot, combined map-side."""
-    aggs: list[Column] = []
+def _wide(rows: DataFrame, fields: list[Field]) -> DataFrame:
+    """line and the entity columns of each field, from parsed lines: no shuffle."""
+    rows = rows.select("line", F.map_from_arrays(F.transform("attrs", lambda a: a["field"]), F.col("attrs")).alias("_of"))
+    cols: list[Column] = []
     for f in fields:
-        here = F.col("field") == f.name
-        source = {"string": "text", "number": "num", "boolean": "canon"}.get(f.kind, "canon")
-        v = F.max(F.when(here, F.col(source)))
-        aggs += [(v == "true").alias(f"v_{f.name}") if f.kind == "boolean" else v.alias(f"v_{f.name}"), F.coalesce(F.max(F.when(here, F.lit(True))), F.lit(False)).alias(f"p_{f.name}")]
+        a = F.try_element_at("_of", F.lit(f.name))
+        if f.kind == "boolean":
+            v = a["canon"] == "true"
+        else:
+            v = a[{"string": "text", "number": "num"}.get(f.kind, "canon")]
+        cols += [v.alias(f"v_{f.name}"), a.isNotNull().alias(f"p_{f.name}")]
         if f.kind in ("number", "array", "object"):
-            aggs.append(F.max(F.when(here, F.col("canon"))).alias(f"c_{f.name}"))
-        if f.kind == "number":
-            aggs.append(F.max(F.when(here, F.col("whole"))).cast("decimal(38,0)").alias(f"i_{f.name}"))
-    return attrs.groupBy("line").agg(*aggs)
+            cols.append(a["canon"].alias(f"c_{f.name}"))
+        if f.kind == "number":  # null above 38 digits: such a number only has its double
+            cols.append(a["whole"].try_cast("decimal(38,0)").alias(f"i_{f.name}"))
+    return rows.select("line", *cols)
 
 
 def _columns(f: Field) -> list[str]:
@@ -126,17 +170,26 @@ def _empty(f: Field) -> list[Column]:
 def import_jsonl(memory: Memory, entity_type: str, lines: DataFrame, key: dict[str, str], privacy: str = "public", content_hash: str | None = None) -> dict:
     """Keyed upsert: a line patches the node with its key (absent fields keep their value, explicit nulls
     overwrite) or creates one. Fails as a whole. The same content, type and key replay the stored result."""
-    lines = read_lines(lines).cache()
+    lines = read_lines(lines)
+    rows = parsed(lines).cache()
     if content_hash is None:
         row = lines.agg(F.count("*").alias("n"), F.sum(F.xxhash64("value").cast("decimal(38,0)")).alias("h"), F.sum(F.crc32(F.col("value").cast("binary"))).alias("c")).first()
         content_hash = hashlib.sha256(canonical_json([str(x) for x in row]).encode()).hexdigest()
     idempotency = hashlib.sha256(canonical_json([content_hash, entity_type, key]).encode()).hexdigest()
-    done = memory.__dict__.setdefault("imports", {})
+    done = memory.imports
     if idempotency in done:
         return done[idempotency] | {"replayed": True}
+    try:
+        result = _import(memory, entity_type, rows, key, privacy)
+    finally:
+        rows.unpersist()
+    done[idempotency] = result
+    return result
+
+
+def _import(memory: Memory, entity_type: str, rows: DataFrame, key: dict[str, str], privacy: str) -> dict:
     old = memory.entities.get(entity_type)
-    attrs = attributes(lines).cache()
-    inferred = check(attrs, key, old)
+    inferred = check(rows, key, old, rows.count())
     fields = dict(old.fields) if old else {}
     delta = {"new_entity": old is None, "new_fields": [], "resolved_types": []}
     for f in sorted(inferred, key=lambda f: f["field"]):
@@ -149,7 +202,7 @@ def import_jsonl(memory: Memory, entity_type: str, lines: DataFrame, key: dict[s
             fields[f["field"]] = replace(known, kind=kind)
             delta["resolved_types"].append(f["field"])
     seen = {f["field"] for f in inferred}
-    new = _wide(attrs, [fields[n] for n in seen])
+    new = _wide(rows, [fields[n] for n in seen])
     names = list(key)
     key_cols = [f"c_{k}" if fields[k].kind == "number" else f"v_{k}" for k in names]
     if old is None:
@@ -162,8 +215,11 @@ def import_jsonl(memory: Memory, entity_type: str, lines: DataFrame, key: dict[s
                 current = current.select("*", *_empty(f))
             elif before.kind != f.kind:
                 current = _retype(current, before, f)
-        hits = new.select("line", *key_cols).join(current.select("id", *key_cols), key_cols)
-        if hits.groupBy("line").count().filter("count > 1").limit(1).count():
+        hits = new.select("line", *key_cols).join(current.select("id", *key_cols), key_cols, "left")
+        clash = hits.groupBy(*key_cols).agg(F.count_distinct("line").alias("lines"), F.count_distinct("id").alias("nodes")).agg(F.max("lines").alias("lines"), F.max("nodes").alias("nodes")).first()
+        if (clash["lines"] or 0) > 1:
+            raise ImportRejected("duplicate keys in the file")
+        if (clash["nodes"] or 0) > 1:
             raise ImportRejected("ambiguous import key")
     ident = F.sha2(F.concat_ws("\x1f", F.lit(entity_type), *key_cols), 256)
     fresh_id = F.concat_ws("-", F.substring(ident, 1, 8), F.substring(ident, 9, 4), F.substring(ident, 13, 4), F.substring(ident, 17, 4), F.substring(ident, 21, 12))
@@ -171,7 +227,12 @@ def import_jsonl(memory: Memory, entity_type: str, lines: DataFrame, key: dict[s
     if current is None:
         missing = [c for n, f in fields.items() if n not in seen for c in _empty(f)]
         table = new.select(fresh_id.alias("id"), F.lit(privacy).alias("privacy"), *[c for c in every if c in new.columns], *missing)
-        created, updated = table.count(), 0
+        table = table.cache()
+        made = table.groupBy(*key_cols).count().agg(F.sum("count").alias("n"), F.max("count").alias("most")).first() if names else None
+        if (made["most"] or 0) > 1:
+            table.unpersist()
+            raise ImportRejected("duplicate keys in the file")
+        created, updated = made["n"] or 0, 0
     else:
         a, b = current.alias("a"), new.alias("b")
         cond = F.lit(True)
@@ -191,14 +252,14 @@ def import_jsonl(memory: Memory, entity_type: str, lines: DataFrame, key: dict[s
             there = F.col(f"b.p_{f.name}") if f.name in seen else F.lit(False)
             if joined.filter(F.col("a.id").isNull() & ~F.coalesce(there, F.lit(False))).limit(1).count():
                 raise ImportRejected(f"required field {f.name} is missing in a new node")
-        counts = joined.agg(F.count_if(F.col("a.id").isNull()).alias("created"), F.count_if(F.col("a.id").isNotNull() & F.col("b.line").isNotNull()).alias("updated")).first()
-        created, updated = counts["created"], counts["updated"]
-        table = joined.select(F.coalesce("a.id", made).alias("id"), F.coalesce("a.privacy", F.lit(privacy)).alias("privacy"), *cols)
-    memory.entities[entity_type] = Entity(entity_type, table.cache(), fields)
+        kind = F.when(F.col("a.id").isNull(), "created").when(F.col("b.line").isNotNull(), "updated").alias("_kind")
+        table = joined.select(F.coalesce("a.id", made).alias("id"), F.coalesce("a.privacy", F.lit(privacy)).alias("privacy"), *cols, kind).cache()
+        counts = dict(map(tuple, table.groupBy("_kind").count().collect()))
+        created, updated = counts.get("created", 0), counts.get("updated", 0)
+        table = table.drop("_kind")
+    memory.entities[entity_type] = Entity(entity_type, table, fields)
     memory.revision += 1
-    result = {"created": created, "updated": updated, "ontology_delta": delta, "replayed": False}
-    done[idempotency] = result
-    return result
+    return {"created": created, "updated": updated, "ontology_delta": delta, "replayed": False}
 
 
 def _retype(current: DataFrame, before: Field, after: Field) -> DataFrame:

@@ -19,7 +19,7 @@ def save(memory: Memory, root: str) -> str:
     if memory.generation.startswith("00000000"):
         memory.generation = str(uuid.uuid4())
     version = os.path.join(root, memory.name, f"v={memory.revision}-{uuid.uuid4().hex[:8]}")
-    catalog = {"state": memory.state(), "entities": [], "relations": []}
+    catalog = {"state": memory.state(), "entities": [], "relations": [], "imports": memory.imports, "runs": memory.runs, "namespaces": memory.namespaces}
     for i, e in enumerate(memory.entities.values()):
         e.df.write.parquet(f"{version}/entity-{i}")
         catalog["entities"].append({"name": e.name, "id_type": e.id_type, "path": f"entity-{i}", "fields": [f.__dict__ for f in e.fields.values()]})
@@ -42,7 +42,7 @@ def load(spark: SparkSession, root: str, name: str = "default") -> Memory:
     version = os.path.join(root, name, state["version"])
     with open(os.path.join(version, "catalog.json")) as f:
         catalog = json.load(f)
-    m = Memory(spark, name, state["generation"], state["data_revision"])
+    m = Memory(spark, name, state["generation"], state["data_revision"], imports=catalog["imports"], runs=catalog["runs"], namespaces=catalog["namespaces"])
     for e in catalog["entities"]:
         m.entities[e["name"]] = Entity(e["name"], spark.read.parquet(f"{version}/{e['path']}"), {f["name"]: Field(**f) for f in e["fields"]}, e["id_type"])
     for r in catalog["relations"]:
