@@ -171,25 +171,26 @@ def import_jsonl(memory: Memory, entity_type: str, lines: DataFrame, key: dict[s
     """Keyed upsert: a line patches the node with its key (absent fields keep their value, explicit nulls
     overwrite) or creates one. Fails as a whole. The same content, type and key replay the stored result."""
     lines = read_lines(lines)
-    rows = parsed(lines).cache()
+    rows, total = parsed(lines).cache(), None
     if content_hash is None:
         row = lines.agg(F.count("*").alias("n"), F.sum(F.xxhash64("value").cast("decimal(38,0)")).alias("h"), F.sum(F.crc32(F.col("value").cast("binary"))).alias("c")).first()
+        total = row["n"]
         content_hash = hashlib.sha256(canonical_json([str(x) for x in row]).encode()).hexdigest()
     idempotency = hashlib.sha256(canonical_json([content_hash, entity_type, key]).encode()).hexdigest()
     done = memory.imports
     if idempotency in done:
         return done[idempotency] | {"replayed": True}
     try:
-        result = _import(memory, entity_type, rows, key, privacy)
+        result = _import(memory, entity_type, rows, key, privacy, rows.count() if total is None else total)
     finally:
         rows.unpersist()
     done[idempotency] = result
     return result
 
 
-def _import(memory: Memory, entity_type: str, rows: DataFrame, key: dict[str, str], privacy: str) -> dict:
+def _import(memory: Memory, entity_type: str, rows: DataFrame, key: dict[str, str], privacy: str, total: int) -> dict:
     old = memory.entities.get(entity_type)
-    inferred = check(rows, key, old, rows.count())
+    inferred = check(rows, key, old, total)
     fields = dict(old.fields) if old else {}
     delta = {"new_entity": old is None, "new_fields": [], "resolved_types": []}
     for f in sorted(inferred, key=lambda f: f["field"]):
