@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,4 +67,48 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_suffix_dedup, op3_chat_formatting, op4_pii_surrogates, op5_byte_bpe, op6_warc_derivatives, op7_fingerprints, op8_quality_classifier, op9_packing, op10_quality_rules, pipeline)}
-SQL: dict[str, str] = {}
+
+# -- the same by plain SQL, where SQL can say it ---------------------------------------------------------------
+_WORDS = r"[^\x20\x09-\x0D]+"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_SHINGLES = f"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{_WORDS}') AS w FROM documents),
+sets AS (SELECT doc_id, list_sort(CASE WHEN len(w) < 3 THEN CASE WHEN len(w) = 0 THEN [] ELSE [array_to_string(w, ' ')] END
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END) AS s FROM words),
+classes AS (SELECT min(doc_id) AS c, s, len(s) AS size FROM sets WHERE len(s) > 0 GROUP BY s),
+grams AS (SELECT c, size, unnest(s) AS g FROM classes),
+pairs AS (SELECT x.c AS a, y.c AS b FROM grams x JOIN grams y ON x.g = y.g AND x.c < y.c GROUP BY x.c, y.c, x.size, y.size
+    HAVING 100 * count(*) >= 90 * (x.size + y.size - count(*))),
+links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reached(c, m) AS (SELECT c, c FROM classes UNION SELECT links.b, reached.m FROM reached JOIN links ON links.a = reached.c),
+least AS (SELECT c, min(m) AS m FROM reached GROUP BY c)
+SELECT doc_id, len(sets.s) AS n_shingles, coalesce(m, doc_id) AS component_id
+FROM sets LEFT JOIN classes ON sets.s = classes.s AND len(sets.s) > 0 LEFT JOIN least USING (c)"""
+
+_CONTROLS = "|".join(re.escape(x.decode()) for x in (chat.TURN, chat.TEXT, chat.END, *chat.FOREIGN))
+_TURNS = "(SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))"
+_ESCAPED = r"length({0}) + length({0}) - length(replace({0}, '\', '')) + len(regexp_extract_all({0}, '" + _CONTROLS + "'))"
+_CHAT = f"""
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum({len(chat.TURN + chat.TEXT + chat.END)} + {_ESCAPED.format("role")} + {_ESCAPED.format("text")}) AS BIGINT) AS formatted_chars
+FROM {_TURNS} GROUP BY conv_id"""
+
+_LINE = r"trim(regexp_replace(regexp_replace(lower(x), '[1-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'))"
+_RULES = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS host FROM documents),
+words AS (SELECT r, regexp_extract_all(text, '{_WORDS}') AS w FROM docs),
+base AS (SELECT r, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORDS}')) AS l FROM docs JOIN words USING (r)),
+windows AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM words)),
+repeats AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, unnest([i, i + 1, i + 2]) FROM windows WHERE n > 1) GROUP BY r),
+lines AS (SELECT r, doc_id, host, text, {_LINE} AS line FROM (SELECT r, doc_id, host, text, unnest(string_split(text, chr(10))) AS x FROM docs)),
+often AS (SELECT host, line FROM (SELECT DISTINCT host, line, doc_id, text FROM lines WHERE line <> '') GROUP BY ALL HAVING count(*) > {quality_rules.MAX_LINE_TEXTS}),
+gone AS (SELECT r, sum(length(line) - length(replace(line, ' ', '')) + 1) AS n FROM lines JOIN often USING (host, line) GROUP BY r),
+sums AS (SELECT doc_id, n_words, word_chars, n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_words_removed
+    FROM base LEFT JOIN repeats USING (r) LEFT JOIN gone USING (r))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_words_removed >= 50 AND 2 * (n_words - n_words_removed) >= n_words AS kept FROM sums"""
+
+SQL = {"op1_jaccard_join": _SHINGLES, "op3_chat_formatting": _CHAT, "op10_quality_rules": _RULES}
