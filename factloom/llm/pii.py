@@ -10,6 +10,9 @@ case and separators, so one entity has one surrogate in every document and spell
 lower case or digits only, as the type has it. A phone number's tells whether it began with '+',
 for only then it has a country; a name's tells the title's gender, so Mr and Mrs A are two entities.
 
+What it does not find: names without one of the titles, IPv6 addresses, postal addresses, dates of birth. Octets
+above 255 count as an address. These are limits of the patterns, not of the surrogates.
+
 Collision check: the distinct entities of the corpus are counted by type and surrogate (combined
 map-side). Where two share a surrogate, or a surrogate equals a real entity, the later one gets the
 next attempt's, until none collides. Each attempt's names are a syllable longer and its mail addresses a
@@ -232,7 +235,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
         wide = wide.withColumn("_new", F.transform("_new", step))
 
     between = F.split("_text", ANY, -1)
-    text = F.when(F.size("_found") == 0, F.col("_text")).otherwise(F.array_join(F.flatten(F.transform(F.col("_parts"), lambda p, i: F.array(p, F.coalesce(F.get("_new", i), F.lit(""))))), ""))
+    text = F.when(F.size("_found") == 0, F.col("_text")).otherwise(F.array_join(F.zip_with("_parts", "_new", lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), ""))
     wide = wide.withColumn("_parts", F.when(F.size("_found") > 0, between))
     names = [text.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns]
     return wide.select(*names, *([F.size("_found").cast("long").alias(count_col)] if count_col else []))
