@@ -21,7 +21,7 @@ ODD = [
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    base = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source").limit(60)
+    base = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source")
     odd = spark.createDataFrame(ODD, base.schema)
     from pyspark.sql import functions as F
 
@@ -140,6 +140,36 @@ def test_fingerprints(docs, rows):
     assert fingerprints.edited_likeness(docs.filter("doc_id = 900004")).first()["near_next"] == 1.0
 
 
+def plain_chunks(text):
+    """Chunks of a text by a byte-wise gear hash."""
+    raw, h, at, out = text.encode(), 0, 0, []
+    for i, c in enumerate(raw):
+        h = (h << 1) + int(fingerprints._GEAR[c]) & 0xFFFFFFFF
+        size = i - at + 1
+        strict, loose = h & int(fingerprints._STRICT) == 0, h & int(fingerprints._LOOSE) == 0
+        if size >= fingerprints.LEAST and (strict and size < fingerprints.NORMAL or loose and size >= fingerprints.NORMAL) or size == fingerprints.MOST:
+            out.append(raw[at : i + 1])
+            at = i + 1
+    return [*out, raw[at:]] if raw[at:] else out
+
+
+def test_fingerprints_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = [r["text"] for r in docs.orderBy("doc_id").collect()]
+    sets = [set(plain_chunks(t)) for t in texts]
+
+    def likeness(a, b):
+        return sum(map(len, a & b)) / sum(map(len, a)) if a else float(not b)
+
+    got = {r["doc_id"]: r for r in fingerprints.edited_likeness(docs).collect()}
+    for k, (i, t) in enumerate(zip(sorted(got), texts)):
+        nxt = texts[(k + 1) % len(texts)]
+        edited = set(plain_chunks(t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]))
+        r = got[i]
+        assert len(r["fingerprint"]) == 18 * len(sets[k]) and sorted(int(r["fingerprint"][j + 16 : j + 18], 16) for j in range(0, len(r["fingerprint"]), 18)) == sorted(map(len, sets[k]))
+        assert r["near_edited"] == pytest.approx(likeness(sets[k], edited)) and r["near_next"] == pytest.approx(likeness(sets[k], sets[(k + 1) % len(texts)]))
+
+
 def test_gear_chunks_are_those_of_each_text_alone():
     import pyarrow as pa
 
@@ -272,6 +302,51 @@ def test_pii_surrogate_space_outgrows_the_entities(spark, monkeypatch):
     assert all(pii_kind in x for x, pii_kind in zip(got, ["Mrs "] * 150 + ["Господин "] * 150 + ["@"] * 60))
 
 
+def test_pii_by_brute_force(spark):
+    """Of every text: what lies between entities stays, entities are replaced, one surrogate for each and each its own."""
+    import regex
+    from pyspark.sql import functions as F
+
+    found = regex.compile(pii.ANY.replace("\\p{IsCyrillic}", "\\p{Cyrillic}"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    long_ = " ".join(f"word{k} Mrs Name{chr(97 + k % 26)} a{k % 50}@b.org 10.0.{k % 7}.9" for k in range(2000))
+    docs = docs.union(spark.createDataFrame([(-1, long_), (-2, None), (None, "Mr Null")], "doc_id long, text string")).cache()
+    before = {r["doc_id"]: r["text"] for r in docs.collect()}
+    after = {r["doc_id"]: r["text"] for r in pii.pseudonymise(docs, "k").collect()}
+    pairs = set()
+    for i, t in before.items():
+        if t is None:
+            assert after[i] is None
+            continue
+        a, b = [m.span() for m in found.finditer(t)], [m.span() for m in found.finditer(after[i])]
+        assert len(a) == len(b)
+        gaps = lambda text, at: [text[x:y] for x, y in zip([0, *(e for _, e in at)], [*(s for s, _ in at), len(text)])]
+        assert gaps(t, a) == gaps(after[i], b)
+        pairs |= {(t[x:y], after[i][u:v]) for (x, y), (u, v) in zip(a, b)}
+    df = spark.createDataFrame([(x, y) for x, y in pairs], "old string, new string")
+    forms = df.select(*(F.concat_ws("|", pii.kind_of(F.col(c)), pii.normal(pii.kind_of(F.col(c)), F.col(c))).alias(c) for c in ("old", "new"))).distinct().collect()
+    assert len({r["old"] for r in forms}) == len({r["new"] for r in forms}) == len(forms) > 60 and not {r["old"] for r in forms} & {r["new"] for r in forms}
+
+
+def test_chat_with_long_conversations_and_clashing_names(spark):
+    given = [(1, k, "assistant" if k % 2 else "user", f"turn {k} <|end|>") for k in range(3000)] + [(2, 0, "assistant", "é\\" * 400_000)]
+    df = spark.createDataFrame([(*g, 7, "x", None) for g in given], "conv_id long, turn long, role string, text string, loss_start long, formatted string, end string")
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_turns(df)).collect()}
+    assert got[1]["n_turns"] == 3000 and got[2]["loss_chars"] == 800_000
+    assert got[1]["loss_sha256"] == hashlib.sha256("".join(t for _, k, _, t in given[:3000] if k % 2).encode()).hexdigest()
+
+
+def test_warc_of_empty_tables_clashing_names_and_long_pages(spark):
+    schema = "page_id long, url string, html string, key string, record string, payload int, record_type string"
+    args = ("page_id", "record_id", "url", "date", "headers", "html")
+    assert warc.derivatives(warc.responses_of(spark.createDataFrame([], schema)), *args).count() == 0
+    page = "<p>" + "long text <b>here</b> " * 100_000
+    df = spark.createDataFrame([(1, "u", page, "k", "r", 1, "t"), (1, "u", page, "k", "r", 1, "t"), (None, "u", "x", None, None, None, None)], schema)
+    got = warc.derivatives(warc.responses_of(df), *args).collect()
+    assert len(got) == 6 and Counter(r["page_id"] for r in got) == {1: 4, None: 2}
+    assert max(r["content_length"] for r in got) == len(("long text here " * 100_000).strip())
+
+
 def test_warc(spark):
     page = "<html lang='de'><head><title>A &amp; B</title><script>x<y</script></head><body><p>One<br>two &lt;3<a href=\"/q?a=1&amp;b\">l</a></p><!-- c --></body></html>"
     df = spark.createDataFrame([(1, "http://x/", page, "c"), (2, None, None, "c"), (3, "u", "plain", "c")], "page_id long, url string, html string, record string")
@@ -335,5 +410,24 @@ def test_classifier(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert [r["score"] for r in classifier.score(docs, labels, F.lit(True)).collect()] == [0.5, 0.5]
     assert zlib.crc32(b"17") % 5 == spark.range(17, 18).select((F.crc32(F.col("id").cast("string").cast("binary")) % 5).alias("x")).first()["x"]
+    assert classifier.score(docs.limit(0), labels, F.lit(True)).count() == 0
     a = np.array([1.0, 0, 2, 3]), np.array([2.0, 2, 0, 3])
     assert (np.diff(classifier.isotonic(*a)) >= 0).all()
+
+
+def test_classifier_with_repeated_labels_nulls_and_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    texts = {k: ("plain words in a quiet sentence that goes on. " * 6 if k % 2 else "@@ ## BUY $$ now!!! " * 9) + str(k) for k in range(40)}
+    texts |= {40: None, 41: "", 42: "word " * 200_000}
+    docs = spark.createDataFrame([(k, t, 1.0, 2) for k, t in texts.items()] + [(None, "x", 1.0, 2), (3, texts[3], 1.0, 2)], "doc_id long, text string, score double, label int").withColumn("stats", F.lit(0))
+    rows = [(k, k % 2) for k in range(40)] + [(5, 0), (5, 1), (6, None), (7, 9), (999, 1), (None, 1)]
+    labels = spark.createDataFrame([(d, q, "s") for d, q in rows], "doc_id long, quality int, stats string")
+    got = classifier.score(docs, labels, F.lit(True)).collect()
+    assert len(got) == len(texts) + 2 and all(0 <= r["score"] <= 1 for r in got)
+    by = {r["doc_id"]: r["score"] for r in got}
+    assert min(by[k] for k in range(1, 40, 2)) > max(by[k] for k in range(0, 40, 2))
+    once = classifier.score(docs, labels.filter("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality")), F.lit(True)).collect()
+    assert {r["doc_id"]: round(r["score"], 9) for r in once} == {k: round(v, 9) for k, v in by.items()}
+    kept = classifier.keep_good(docs, labels, F.lit(True))
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} >= set(range(1, 40, 2))
