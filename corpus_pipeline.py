@@ -7,6 +7,11 @@ similarity of 0.8 or more; the document with the least id of each group stays. R
 are strings of 200 bytes (30 to 40 words) or more that start earlier too; a document of which
 nothing is left goes.
 
+Every stage takes any table with the columns of documents. Null texts: the classifier scores them like empty ones,
+near duplicates and surrogates leave them, passages are cut from an empty text, packing gives their end id alone. Rows with a null
+id all pass the second stage; of rows that repeat an id it keeps the first by text. Repeated rows, empty tables, very long texts
+and extra columns of any name pass through each stage.
+
 ORACLE_SQL is None: SQL can't express the classifier's features, the suffix order or the tokenizer.
 tests/llm/test_pipeline.py holds every stage against a brute-force version.
 """
@@ -32,6 +37,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the least id."""
     return jaccard_join.keep_one(docs, n=5, num=4, den=5)
 
 
@@ -46,11 +52,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with surrogates for personal data; n_chars, where there is one, counts the new text."""
     out = pii.pseudonymise(docs, key=SURROGATE_KEY, count_col=None)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token ids with their place in windows of 2048."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
 
 
