@@ -360,9 +360,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 _NAMELESS = 1 << 62
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary: the remaining
-    bytes), and the columns named in carry, in a struct `carried` if there are any."""
+    bytes; as_text a string: these without characters that a cut has broken), and the columns named in
+    carry, in a struct `carried` if there are any."""
     spark = docs.sparkSession
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     nameless = F.lit(-(1 << 63)) + F.xxhash64(text, F.lit(1)).bitwiseAND(F.lit(_NAMELESS - 1))
@@ -374,7 +375,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     both = spans.unionByName(whole, allowMissingColumns=True)
     both = both.select("doc_id", "tie", "kind", "start", "end", "text", "named", *(["carried"] if carry else []))
     both = both.repartition(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "kind", "start")
-    out = T._parse_datatype_string("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = T._parse_datatype_string("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = out.add("kept", T.StringType() if as_text else T.BinaryType())
     if carry:
         out = out.add(rows.schema["carried"])
 
@@ -401,7 +403,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     rows_.append(_cut(int(doc[k]) if b.column("named")[k].as_py() else None, raw, starts, ends, length, judged is not None))
                     judged = own
             if rows_:
-                cols = [pa.array(c, t) for c, t in zip(zip(*rows_), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
+                *digest, kept = zip(*rows_)
+                cols = [pa.array(c, t) for c, t in zip(digest, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))]
+                cols.append(pa.array([x.decode("utf-8", "ignore" if cut else "replace") for x, cut in zip(kept, digest[2])] if as_text else kept, pa.string() if as_text else pa.binary()))
                 yield pa.RecordBatch.from_arrays([*cols, *([b.column("carried").take(pa.array(index))] if carry else [])], names=out.fieldNames())
 
     return both.mapInArrow(frugal(run), out)
