@@ -44,10 +44,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings that occur earlier; a character of which a cut leaves only some bytes goes too."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    left = suffix_dedup.dedup_substrings(docs, length=REPEATED_BYTES, carry=others)
+    left = suffix_dedup.dedup_substrings(docs, length=REPEATED_BYTES, carry=others, as_text=True)
     left = left.filter("n_bytes = 0 or n_removed < n_bytes")
-    text = F.when(F.col("n_removed") == 0, F.decode("kept", "utf-8")).otherwise(suffix_dedup.valid_text("kept"))
-    cols = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.length(text).cast("long")}
+    cols = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
     return left.select(*(cols.get(c, F.col("carried").getField(c)).alias(c) for c in docs.columns))
 
 
