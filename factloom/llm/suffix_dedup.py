@@ -428,9 +428,3 @@ def _cut(doc: int | None, raw, starts: list[np.ndarray], ends: list[np.ndarray],
         at = j
     kept = b"".join([*kept, view[at:]])
     return doc, n, int((e - s).sum()), len(s), hashlib.sha256(kept).hexdigest(), kept
-
-
-@F.arrow_udf(T.StringType())
-def valid_text(kept: pa.Array) -> pa.Array:
-    """Remaining bytes as text, without characters that a cut has broken."""
-    return pa.array([None if x is None else x.decode("utf-8", "ignore") for x in kept.to_pylist()], pa.string())
