@@ -29,20 +29,34 @@ ORACLE_SQL = None
 #: Repeated strings that are removed.
 REPEATED_BYTES = 200
 SURROGATE_KEY = "factloom"
+#: Text that Spark passes to a Python worker at once.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets Spark pass no more than BATCH_BYTES at once to a Python worker, if the session allows more: its default
+    of 64 MB is held several times over by each task, in the executor and in the worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = spark.conf.get(name).rstrip("b")
+    if not size.isdigit() or int(size) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts as label 1; learned from all labels."""
+    small_batches(spark)
     return classifier.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the least id."""
+    small_batches(spark)
     return jaccard_join.keep_one(docs, n=5, num=4, den=5)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings that occur earlier; a character of which a cut leaves only some bytes goes too."""
+    small_batches(spark)
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     left = suffix_dedup.dedup_substrings(docs, length=REPEATED_BYTES, carry=others, as_text=True)
     left = left.filter("n_bytes = 0 or n_removed < n_bytes")
@@ -58,6 +72,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids with their place in windows of 2048."""
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
 
 
