@@ -1,35 +1,36 @@
-"""A Bloom filter of bounded size, to keep rows out of a shuffle that a join would drop anyway."""
+"""A Bloom filter of bounded size, to keep rows out of a shuffle that a join would drop anyway.
+
+The filter is a table of 64-bit words, probed by two broadcast semi-joins, so it takes no Python worker and
+is held once an executor. Its bound is MOST_BITS / 64 = 2^20 rows of two numbers, whatever the tables' size.
+
+Defined cases: nothing passes the filter of an empty table; nulls are treated as a value; any other columns
+of either side may have any names but _word and _bits.
+"""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .staging import staged
 
 #: Sizes of a filter, in bits: eight per row within these. Beyond, it only lets more rows through.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
+PROBES = (1, 2)
+
+
+def likely(rows: DataFrame, value: str, df: DataFrame, key: str) -> DataFrame:
+    """The rows whose value df has as key, and few others. Staged words go with the application."""
+    bits = min(max(1 << int(df.count() * 8).bit_length(), LEAST_BITS), MOST_BITS)
 
+    def place(column: str, probe: int):
+        return F.pmod(F.xxhash64(F.col(column), F.lit(probe)), F.lit(bits))
 
-def may_hold(df: DataFrame, key: str, value: Column) -> Column:
-    """A condition on value that holds wherever df has it as key; elsewhere it mostly doesn't."""
-    rows = df.count()
-    bits = min(max(1 << int(rows * 8).bit_length(), LEAST_BITS), MOST_BITS)
-    places = [F.pmod(F.xxhash64(F.col(key), F.lit(k)), F.lit(bits)) for k in (1, 2)]
-    each = df.select(F.explode(F.array(*places)).alias("at")).select(F.shiftright("at", 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
-    words = each.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    table = np.zeros(bits // 64, np.int64)
-    table[np.asarray(words.column("word").combine_chunks(), np.int64)] = np.asarray(words.column("bits").combine_chunks(), np.int64)
-    shared = df.sparkSession.sparkContext.broadcast(table)
-
-    @F.arrow_udf(T.BooleanType())
-    def held(a: pa.Array, b: pa.Array) -> pa.Array:
-        t = shared.value
-        out = np.ones(len(a), bool)
-        for x in (a, b):
-            at = np.asarray(x, np.int64)
-            out &= (t[at >> 6] >> (at & 63)) & 1 == 1
-        return pa.array(out)
-
-    return held(*(F.pmod(F.xxhash64(value, F.lit(k)), F.lit(bits)) for k in (1, 2)))
+    each = df.select(F.explode(F.array(*(place(key, k) for k in PROBES))).alias("at"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))
+    words = staged(each.groupBy(F.shiftright("at", 6).alias("_word")).agg(F.bit_or(bit).alias("_bits")), "filter")
+    for k in PROBES:
+        at = place(value, k)
+        held = F.getbit("_bits", at.bitwiseAND(F.lit(63)).cast("int")) == 1
+        rows = rows.join(F.broadcast(words), (F.shiftright(at, 6) == F.col("_word")) & held, "left_semi")
+    return rows

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .columns import LOWER, U64, Hasher, flat, frugal, mix, ranges, slices, spans
-from .bloom import may_hold
+from .bloom import likely
 from .components import components
 from .staging import drop, partitions, release, staged
 
@@ -250,7 +250,7 @@ class Join:
         packed = F.shiftleft(F.col("pos").cast("long"), 40) + F.shiftrightunsigned("node", 24)
         shared = each.groupBy("gram").agg(F.min(packed).alias("first"), F.count("*").alias("n")).filter("n > 1").select("gram", "first")
         shared = staged(shared, "shared")
-        each = each.filter(may_hold(shared, "gram", F.col("gram"))).join(shared, "gram").withColumn("pivot", packed == F.col("first")).drop("first")
+        each = likely(each, "gram", shared, "gram").join(shared, "gram").withColumn("pivot", packed == F.col("first")).drop("first")
         each = staged(each, "members")
         pivots = each.filter("pivot").groupBy("gram").agg(F.min(F.struct("node", "size", "pos")).alias("p"))
         pivots = pivots.select("gram", F.col("p.node").alias("pnode"), F.col("p.size").alias("psize"), F.col("p.pos").alias("ppos"))
@@ -271,7 +271,7 @@ class Join:
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         owner = self.sets.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node")
         owner = staged(owner, "owners")
-        texts = owner.join(self.docs.filter(may_hold(owner, "doc_id", F.col("doc_id"))), "doc_id").select("node", "text")
+        texts = owner.join(likely(self.docs, "doc_id", owner, "doc_id"), "doc_id").select("node", "text")
         segments = staged(segments_of(texts, self.counts, self.bounds, self.n).dropDuplicates(["node", "fragment"]), "segments")
         left = segments.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("ga"))
         right = segments.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("gb"))

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bloom import may_hold
+from .bloom import likely
 from .columns import U64, Hasher, flat, frugal, mix, slices
 from .staging import drop, partitions, release, staged
 
@@ -342,7 +342,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         number = F.coalesce(F.sum("strings"), F.lit(0.0))
         in_all = wanted.agg(number).first()[0]
         in_sample = wanted.filter(chosen).agg(number).first()[0]
-        held = docs.filter(may_hold(wanted, "doc_id", F.col("doc_id"))).join(wanted, ["doc_id", "tie"]).select("doc_id", "tie", "text", "segments")
+        held = likely(docs, "doc_id", wanted, "doc_id").join(wanted, ["doc_id", "tie"]).select("doc_id", "tie", "text", "segments")
         each = 1 if last else 2 / PART
         cut = share_cuts(sample_splitters(held.filter(chosen), make, gram, in_all * each, in_sample * each, least))
         out = staged(sorted_suffixes(_records(held, make, gram, cut), gram, cut, bits, not last), name)
