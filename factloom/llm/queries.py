@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, classifier, fingerprints, jaccard_join, packing, pii, quality_rules, suffix_dedup, warc
+from . import byte_bpe, chat, classifier, fingerprints, jaccard_join, packing, pii, quality_rules, repair, resampling, suffix_dedup, vector_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,13 +60,29 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digests(repair.repair(repair.damaged(table(spark, sf_dir, "conversations"))))
+
+
+def op12_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_suffix_dedup, op3_chat_formatting, op4_pii_surrogates, op5_byte_bpe, op6_warc_derivatives, op7_fingerprints, op8_quality_classifier, op9_packing, op10_quality_rules, pipeline)}
+_ALL = (
+    op1_jaccard_join, op2_suffix_dedup, op3_chat_formatting, op4_pii_surrogates, op5_byte_bpe, op6_warc_derivatives, op7_fingerprints,
+    op8_quality_classifier, op9_packing, op10_quality_rules, op11_conversation_repair, op12_vector_dedup, op13_importance_resampling, pipeline,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 # -- the same by plain SQL, where SQL can say it ---------------------------------------------------------------
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -111,4 +127,35 @@ sums AS (SELECT doc_id, n_words, word_chars, n_symbols, len(l) - len(list_distin
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
     NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_words_removed >= 50 AND 2 * (n_words - n_words_removed) >= n_words AS kept FROM sums"""
 
-SQL = {"op1_jaccard_join": _SHINGLES, "op3_chat_formatting": _CHAT, "op10_quality_rules": _RULES}
+_VECTORS = """
+WITH RECURSIVE sound AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding) AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM sound x JOIN sound y ON x.label = y.label AND len(x.e) = len(y.e) AND x.vec_id <> y.vec_id
+    WHERE list_dot_product(x.e, y.e) >= 0.98 * sqrt(list_dot_product(x.e, x.e) * list_dot_product(y.e, y.e))),
+reached(v, m) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT links.b, reached.m FROM reached JOIN links ON links.a = reached.v),
+least AS (SELECT v, min(m) AS m FROM reached GROUP BY v),
+degrees AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, m AS component_id, vec_id = m AS kept
+FROM embeddings JOIN least ON v = vec_id LEFT JOIN degrees ON a = vec_id"""
+
+_TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_RESAMPLED = rf"""
+WITH crc AS (SELECT list(c ORDER BY i) AS steps FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) r(i))),
+docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{_TOKEN}') AS w FROM documents),
+aims AS (SELECT regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{_TOKEN}') AS w FROM benchmark),
+source AS (SELECT w, count(*) AS n FROM (SELECT unnest(w) AS w FROM docs) GROUP BY w),
+target AS (SELECT w, count(*) AS n FROM (SELECT unnest(w) AS w FROM aims) GROUP BY w),
+hashed AS (SELECT w, s, t, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(h) // 2), lambda i: CAST('0x' || h[2 * i + 1:2 * i + 2] AS BIGINT))),
+    lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+    FROM (SELECT w, hex(w) AS h, coalesce(source.n, 0) AS s, coalesce(target.n, 0) AS t FROM source FULL JOIN target USING (w)), crc),
+buckets AS (SELECT bucket, sum(s) AS s, sum(t) AS t FROM hashed GROUP BY bucket),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM buckets) + 10000) / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM buckets) + 10000)))) AS BIGINT) AS gain FROM buckets),
+sums AS (SELECT r, count(*) AS n, CAST(sum(gain) AS BIGINT) AS g FROM (SELECT r, unnest(w) AS w FROM docs) JOIN hashed USING (w) JOIN gains USING (bucket) GROUP BY r),
+scored AS (SELECT r, doc_id, coalesce(n, 0) AS n_features, CAST(coalesce(g // n - CASE WHEN g % n < 0 THEN 1 ELSE 0 END, 0) AS BIGINT) AS weight,
+    CAST('0x' || sha256('2024:' || doc_id)[1:8] AS BIGINT) AS h FROM docs LEFT JOIN sums USING (r)),
+final AS (SELECT r, doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM scored),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () * 10 // 100 AS most FROM final WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= most THEN rank END AS rank FROM final LEFT JOIN ranked USING (r)"""
+
+SQL = {"op12_vector_dedup": _VECTORS, "op13_importance_resampling": _RESAMPLED, "op1_jaccard_join": _SHINGLES, "op3_chat_formatting": _CHAT, "op10_quality_rules": _RULES}
