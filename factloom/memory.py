@@ -75,6 +75,10 @@ class Memory:
     imports: dict[str, dict] = field(default_factory=dict)
     runs: dict = field(default_factory=dict)
     namespaces: dict[str, str | None] = field(default_factory=dict)
+    #: Who wrote what: an entity's writes, and how many there were of all (operators/provenance.py).
+    provenance: dict[str, list[DataFrame]] = field(default_factory=dict)
+    catalog: dict[str, DataFrame] = field(default_factory=dict)
+    writes: int = 0
 
     def state(self) -> dict:
         return {"generation": self.generation, "data_revision": self.revision}
@@ -84,8 +88,11 @@ class Memory:
             raise QueryValidationError(f"unknown entity type {name}")
         return self.entities[name]
 
-    def register_entity(self, name: str, df: DataFrame, key: str, fields: dict[str, tuple], privacy: Column | str = "public") -> Entity:
-        """fields: name -> (kind, value column[, present condition[, options]]). Nulls of value are explicit."""
+    def register_entity(
+        self, name: str, df: DataFrame, key: str, fields: dict[str, tuple], privacy: Column | str = "public", provenance: dict[str, Column | str] | None = None
+    ) -> Entity:
+        """fields: name -> (kind, value column[, present condition[, options]]). Nulls of value are explicit. provenance: columns of df
+        (or values, as literals) that tell where a row's facts come from, by their names in operators/provenance.py."""
         if isinstance(privacy, str):
             privacy = F.lit(privacy)
         cols, meta = [F.col(key).alias("id"), privacy.alias("privacy")], {}
@@ -99,6 +106,12 @@ class Memory:
             meta[f] = Field(f, kind, **(rest[1] if len(rest) > 1 else {}))
         table = df.select(*cols)
         self.entities[name] = Entity(name, table, meta, table.schema["id"].dataType.simpleString())
+        if provenance:
+            from .operators.provenance import add
+
+            there = [F.when(rest[0] if rest and rest[0] is not None else F.lit(True), F.lit(f)) for f, (_, _, *rest) in fields.items()]
+            rows = df.select(F.col(key).alias("id"), F.array_compact(F.array(*there)).alias("_fields"), *((F.col(c) if isinstance(c, str) else c).alias(n) for n, c in provenance.items()))
+            add(self, name, rows, F.col("_fields"))
         self.revision += 1
         return self.entities[name]
 
@@ -132,15 +145,21 @@ class Memory:
     # -- lifecycle of relations and nodes --------------------------------------------------------
 
     def deactivate_relation(self, logical_key: str, condition: Column) -> None:
-        """Sets active to false where condition holds; joins that run again don't bring them back."""
+        """Sets active to false where condition holds; joins that run again don't bring them back. Without an active edge to
+        deactivate nothing changes, and the revision stays."""
+        hit, changed = F.coalesce(condition, F.lit(False)), False
         for i, r in enumerate(self.relations):
-            if r.logical_key == logical_key:
-                self.relations[i] = replace(r, df=r.df.withColumn("active", F.col("active") & ~F.coalesce(condition, F.lit(False))))
-        self.revision += 1
+            if r.logical_key == logical_key and not r.df.filter(F.col("active") & hit).isEmpty():
+                self.relations[i], changed = replace(r, df=r.df.withColumn("active", F.col("active") & ~hit)), True
+        self.revision += changed
 
     def delete_nodes(self, entity: str, ids: DataFrame) -> None:
-        """Removes the nodes (column id) with their attributes and relations."""
+        """Removes the nodes (column id) with their attributes, their provenance and their relations; the revision stays if there is none."""
         e = self.entity(entity)
+        if e.df.join(ids.select("id"), "id", "left_semi").isEmpty():
+            return
+        if entity in self.provenance:
+            self.provenance[entity] = [p.join(ids.select("id"), "id", "left_anti") for p in self.provenance[entity]]
         self.entities[entity] = replace(e, df=e.df.join(ids.select("id"), "id", "left_anti"))
         for i, r in enumerate(self.relations):
             for side, kind in (("source", r.source_type), ("target", r.target_type)):
@@ -208,6 +227,8 @@ class Memory:
     def reclassify(self, entity: str, privacy: Column) -> None:
         """Sets nodes' privacy; a relation is as private as the stricter of its ends."""
         e = self.entity(entity)
+        if e.df.filter(~F.col("privacy").eqNullSafe(privacy)).isEmpty():
+            return
         self.entities[entity] = replace(e, df=e.df.withColumn("privacy", privacy))
         for i, r in enumerate(self.relations):
             if entity in (r.source_type, r.target_type):

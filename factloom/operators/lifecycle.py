@@ -1,20 +1,12 @@
-"""Captured observations, freshness, metrics and provenance."""
+"""Populations, freshness, metrics, and references of hand-made tables."""
 
 from __future__ import annotations
 
-import json
-import os
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..errors import StaleResultError
-from ..functions.values import canonical_json, sha256_json
+from ..functions.values import sha256_json
 from ..memory import Memory
-from ..plans.aggregate import execute_v2
-from ..plans.ir import parse_v2
-
-MAX_MANIFEST = 32 << 20
 
 
 def population_hash(document: dict) -> str:
@@ -22,51 +14,12 @@ def population_hash(document: dict) -> str:
     return sha256_json({"semantics": "2"} | {k: v for k, v in document.items() if k not in ("limit", "offset", "order_by")})
 
 
-def capture(memory: Memory, root: str, members: dict[str, dict], definition_version: str, expected_state: dict | None = None) -> dict:
-    """Evaluates the members in full on the current state and keeps the results in an immutable manifest,
-    named by its hash. The same population, definition and state give the same observation; the
-    memory's revision doesn't change."""
-    if expected_state is not None and expected_state != memory.state():
-        raise StaleResultError("the memory has changed; refresh and capture again")
-    normal = {n: {k: v for k, v in d.items() if k not in ("order_by", "offset")} | {"limit": 1000} for n, d in members.items()}
-    identity = sha256_json({"members": {n: population_hash(d) for n, d in normal.items()}, "definition": definition_version, "state": memory.state()})
-    path = os.path.join(root, "observations", f"{identity}.json")
-    if not os.path.exists(path):
-        results = {n: execute_v2(memory, parse_v2(d)) for n, d in normal.items()}
-        if any(r["truncated"] for r in results.values()):
-            raise StaleResultError("a member has more results than a capture holds")
-        body = canonical_json({"identity": identity, "definition_version": definition_version, "state": memory.state(), "results": results, "fully_public": fully_public(memory)})
-        if len(body.encode()) > MAX_MANIFEST:
-            raise StaleResultError("the manifest is too large")
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(f"{path}.new", "w") as f:
-            f.write(canonical_json({"digest": sha256_json(json.loads(body)), "body": json.loads(body)}))
-        os.replace(f"{path}.new", path)
-    return read_observation(memory, root, identity)
-
-
-def read_observation(memory: Memory, root: str, identity: str) -> dict:
-    """The manifest, checked against its digest, with its freshness."""
-    with open(os.path.join(root, "observations", f"{identity}.json")) as f:
-        kept = json.load(f)
-    if sha256_json(kept["body"]) != kept["digest"] or kept["body"]["identity"] != identity:
-        raise StaleResultError("the observation is damaged")
-    return kept["body"] | {"freshness": freshness(memory, kept["body"]["state"])}
-
-
 def freshness(memory: Memory, state: dict) -> str:
     if state["generation"] != memory.generation:
         return "unknown"
     return "current" if state["data_revision"] == memory.revision else "potentially_stale"
 
 
-def fully_public(memory: Memory) -> bool:
-    """No node and no field of the memory is private."""
-    if any(f.privacy == "private" for e in memory.entities.values() for f in e.fields.values()):
-        return False
-    return not any(e.df.filter("privacy = 'private'").limit(1).count() for e in memory.entities.values())
-
-
 def current_metrics(metrics: DataFrame) -> DataFrame:
     """The latest complete, not invalidated caller metric of each (definition_version, dimensions_hash),
     by (recorded_at, run_id, metric_id). A maximum per group: combined map-side, no sort."""

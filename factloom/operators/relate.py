@@ -9,6 +9,7 @@ from ..errors import JoinError, QueryValidationError
 from ..memory import Entity, Field, Memory
 from ..plans.compile import V2, node_frame, predicate
 from ..plans.ir import Predicate
+from ..plans.staging import written
 
 
 def _parts(e: Entity, fields: list[str], paired: list[Field]) -> list[Column]:
@@ -20,13 +21,7 @@ def _parts(e: Entity, fields: list[str], paired: list[Field]) -> list[Column]:
         if f.kind == "unresolved" or other.kind == "unresolved":
             raise QueryValidationError("a join over an unresolved field")
         if f.kind == "array":
-            items = F.from_json(F.col(f"c_{name}"), "array<string>")
-            raw = F.from_json(F.col(f"c_{name}"), "array<variant>")
-            if other.kind == "long":
-                items = F.transform(items, lambda x: x.try_cast("bigint"))
-            bad = F.exists(raw, lambda x: F.schema_of_variant(x).rlike("^(OBJECT|ARRAY)"))
-            items = F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.lit("join arrays require scalar elements")).cast(items_type(other))).otherwise(items)
-            out.append(F.coalesce(F.array_distinct(F.filter(items, lambda x: x.isNotNull())), F.array().cast(items_type(other))))
+            out.append(_elements(F.col(f"c_{name}"), other))
         else:
             if f.json_type != other.json_type and other.kind != "array":
                 raise QueryValidationError(f"join of {f.json_type} with {other.json_type}")
@@ -36,8 +31,26 @@ def _parts(e: Entity, fields: list[str], paired: list[Field]) -> list[Column]:
     return out
 
 
-def items_type(f: Field) -> str:
-    return "array<bigint>" if f.kind == "long" else "array<string>"
+#: JSON type of an array's element by what Spark's variant says of it; null elements are VOID.
+_ELEMENT = {"STRING": "string", "BOOLEAN": "boolean", "VOID": "null"}
+_STORED = {"long": "bigint", "double": "double", "boolean": "boolean"}
+
+
+def _elements(array: Column, other: Field) -> Column:
+    """Distinct non-null elements of a JSON array, as the paired field stores its values. An element that is no scalar, or of another
+    JSON type than the field, raises: 5 is not "5"."""
+    kinds = F.transform(F.from_json(array, "array<variant>"), F.schema_of_variant)
+    nested = F.exists(kinds, lambda k: k.rlike("^(OBJECT|ARRAY)"))
+    named = F.transform(kinds, lambda k: F.coalesce(*(F.when(k == v, j) for v, j in _ELEMENT.items()), F.lit("number")))
+    alien = F.exists(named, lambda k: ~k.isin("null", other.json_type))
+    texts = F.from_json(array, "array<string>")
+    texts = F.when(nested, F.raise_error(F.lit("join arrays require scalar elements")).cast("array<string>")).when(
+        alien, F.raise_error(F.lit("join array elements have incompatible types")).cast("array<string>")).otherwise(texts)
+    if other.kind == "double":  # equality is textual: 5 is not 5.0
+        texts = F.filter(texts, lambda x: x.rlike("[.eE]"))
+    to = _STORED.get(other.kind, "string")
+    items = F.transform(texts, lambda x: x.try_cast(to)) if to != "string" else texts
+    return F.coalesce(F.array_distinct(F.array_compact(items)), F.array().cast(f"array<{to}>"))
 
 
 def key_rows(e: Entity, fields: list[str], paired: list[Field], prefix: str) -> DataFrame:
@@ -79,24 +92,25 @@ def materialize_join(memory: Memory, name: str, relation: str, definition: dict)
     (no whole key) and skipped_unmatched (keys, but no target for any of them)."""
     full = definition | {"relation": relation}
     earlier = memory.join_conflict(name, full)
-    edges = matched_edges(memory, definition)
     source, target, keys, targets, cond = _setup(memory, definition)
     old = earlier.df if earlier else memory.spark.createDataFrame([], f"source {source.id_type}, target {target.id_type}, active boolean, privacy string")
-    state = edges.join(old.select("source", "target", F.col("active").alias("_old")), ["source", "target"], "left")
+    state = matched_edges(memory, definition).join(old.select("source", "target", F.col("active").alias("_old")), ["source", "target"], "left")
+    state = written(state, "edges")  # counters and the new edges are read from it
     # One row per source: whether it has a key, and whether a target.
     of = source.df.select(F.col("id").alias("s_id"), F.lit(False).alias("keyed"), F.lit(False).alias("met"))
-    of = of.union(keys.select("s_id", F.lit(True), F.lit(False))).union(edges.select("source", F.lit(True), F.lit(True)))
+    of = of.union(keys.select("s_id", F.lit(True), F.lit(False))).union(state.select("source", F.lit(True), F.lit(True)))
     of = of.groupBy("s_id").agg(F.bool_or("keyed").alias("keyed"), F.bool_or("met").alias("met"))
-    skipped = of.agg(F.count_if(~F.col("keyed")).alias("skipped_null_or_missing"), F.count_if(F.col("keyed") & ~F.col("met")).alias("skipped_unmatched"))
-    counters = state.agg(F.count_if(F.col("_old").isNull()).alias("created"), F.count_if(F.col("_old")).alias("previously_active"), F.count_if(~F.col("_old")).alias("previously_inactive"))
-    counters = counters.join(F.broadcast(skipped))  # one row each
-    fresh = memory.with_end_privacy(state.filter(F.col("_old").isNull()).select("source", "target", F.lit(True).alias("active"), F.lit("public").alias("privacy")), source.name, target.name)
-    if earlier:
+    skipped = of.agg(F.count_if(~F.col("keyed")).alias("skipped_null_or_missing"), F.count_if(F.col("keyed") & ~F.col("met")).alias("skipped_unmatched")).first()
+    found = state.agg(F.count_if(F.col("_old").isNull()).alias("created"), F.count_if(F.col("_old")).alias("previously_active"), F.count_if(~F.col("_old")).alias("previously_inactive")).first()
+    made = state.filter(F.col("_old").isNull()).select("source", "target", F.lit(True).alias("active"), F.lit("public").alias("privacy"))
+    fresh = memory.with_end_privacy(made, source.name, target.name)
+    if not earlier:
+        memory.register_relation(relation, source.name, target.name, fresh, name, full)
+    elif found["created"]:  # else no fact has changed
         memory.relations[memory.relations.index(earlier)] = type(earlier)(relation, name, source.name, target.name, old.unionByName(fresh), full)
         memory.revision += 1
-    else:
-        memory.register_relation(relation, source.name, target.name, fresh, name, full)
-    return counters
+    counters = {**found.asDict(), **skipped.asDict()}
+    return memory.spark.createDataFrame([tuple(counters.values())], ", ".join(f"{c} long" for c in counters))
 
 
 REASONS = ("active_keys_disagree", "missing_or_null_key", "no_target", "linked", "inactive_relation", "eligible_not_materialized")

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-import json
-import os
-import shutil
 from dataclasses import replace
+from datetime import UTC, datetime
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import FactloomError, ImportRejected, QueryValidationError
-from ..functions.values import canonical_json, sha256_json, stable_uuid
+from ..functions.values import canonical_json, sha256_json, stable_uuid, strict_loads
 from ..memory import SQL_TYPES, Field, Memory
-from ..sources import store
+from ..sources import files, store
+from . import provenance
 
 
-def write_attribute(memory: Memory, entity: str, name: str, kind: str, values: DataFrame, run: str) -> dict:
+def write_attribute(memory: Memory, entity: str, name: str, kind: str, values: DataFrame, run: str, at: datetime | None = None) -> dict:
     """Writes a computed attribute: values has id and value, one row or many. Types are checked, absent
     nodes are an error, nodes without a row keep theirs. The same run and values are written once."""
     e = memory.entity(entity)
@@ -31,17 +32,40 @@ def write_attribute(memory: Memory, entity: str, name: str, kind: str, values: D
         raise ImportRejected("a value for an unknown node")
     if values.groupBy("id").count().filter("count > 1").limit(1).count():
         raise ImportRejected("two values for a node")
-    new = values.select("id", F.col("value").cast(SQL_TYPES[kind]).alias("_v"), F.lit(True).alias("_p"))
-    old_v = F.col(f"v_{name}") if known and known.kind == kind else F.lit(None).cast(SQL_TYPES[kind])
-    old_p = F.col(f"p_{name}") if known else F.lit(False)
-    rest = [c for c in e.df.columns if not (known and c in (f"v_{name}", f"p_{name}", f"c_{name}", f"i_{name}"))]
-    df = e.df.join(new, "id", "left").select(*rest, F.when(F.col("_p"), F.col("_v")).otherwise(old_v).alias(f"v_{name}"), (F.coalesce("_p", F.lit(False)) | old_p).alias(f"p_{name}"))
-    memory.entities[entity] = replace(e, df=df, fields=e.fields | {name: replace(known, kind=kind) if known else Field(name, kind)})
+    f = replace(known, kind=kind) if known else Field(name, kind)
+    new = values.select("id", F.lit(True).alias("_p"), *(c.alias(f"_{n}") for n, c in _stored(F.col("value"), kind).items()))
+    rest = [c for c in e.df.columns if c[2:] != name or c[1] != "_"]
+    cols = []
+    for n in _stored(F.col("value"), kind):
+        before = F.col(f"{n}_{name}") if known and known.kind == kind else F.lit(None)
+        cols.append(F.when(F.col("_p"), F.col(f"_{n}")).otherwise(before).alias(f"{n}_{name}"))
+    there = F.coalesce("_p", F.lit(False)) | (F.col(f"p_{name}") if known else F.lit(False))
+    df = e.df.join(new, "id", "left").select(*rest, *cols, there.alias(f"p_{name}"))
+    memory.entities[entity] = replace(e, df=df, fields=e.fields | {name: f})
     memory.revision += 1
+    provenance.add(memory, entity, values.select("id", F.lit(name).alias("field")), run_id=run, updated_at=at or datetime.now(UTC))
     done[identity] = name
     return {"replayed": False}
 
 
+@F.pandas_udf(T.StringType())
+def _number_text(values: pd.Series) -> pd.Series:
+    """Canonical JSON of numbers that came as their texts."""
+    return values.map(lambda x: canonical_json(strict_loads(x)), na_action="ignore")
+
+
+def _stored(value: Column, kind: str) -> dict[str, Column]:
+    """The columns of an entity table that hold a value, by their letters (memory.py)."""
+    if kind in ("array", "object"):
+        text = _number_text(value.cast("string"))
+        return {"v": text, "c": text}
+    if kind == "number":
+        text = _number_text(F.to_json(F.array(value)).substr(F.lit(2), F.length(F.to_json(F.array(value))) - 2))
+        whole = F.when(value == F.round(value), value.try_cast("decimal(38,0)"))
+        return {"v": value.cast("double"), "c": text, "i": whole}
+    return {"v": value.cast(SQL_TYPES[kind])}
+
+
 METRICS = "metric_id string, run_id string, recorded_at timestamp, definition_version string, dimensions_hash string, numerator long, denominator long, value double, origin string, complete boolean, invalidated boolean"
 
 
@@ -79,26 +103,21 @@ def retirable(evidence: DataFrame, as_of: str, manifests: DataFrame) -> DataFram
     return per.filter(~F.col("retired") & ~F.col("held")).join(manifests.select("digest"), "digest", "left_anti").select("digest")
 
 
-def plan_retirement(digests: list[str], root: str, as_of: str) -> str:
+def plan_retirement(spark: SparkSession, digests: list[str], root: str, as_of: str) -> str:
     """An immutable plan, named by its hash, that has to be confirmed by this name."""
     plan = {"as_of": as_of, "digests": sorted(digests)}
     name = sha256_json(plan)
-    os.makedirs(os.path.join(root, "plans"), exist_ok=True)
-    with open(os.path.join(root, "plans", f"{name}.json"), "w") as f:
-        f.write(canonical_json(plan))
+    files.write(spark, f"{root}/plans/{name}.json", canonical_json(plan).encode())
     return name
 
 
-def retire(root: str, plan: str) -> list[str]:
+def retire(spark: SparkSession, root: str, plan: str) -> list[str]:
     """Deletes the objects of a plan, whose file must still have its hash; returns their digests."""
-    with open(os.path.join(root, "plans", f"{plan}.json")) as f:
-        body = json.load(f)
+    body = files.read_json(spark, f"{root}/plans/{plan}.json")
     if sha256_json(body) != plan:
         raise FactloomError("the plan has changed")
     for d in body["digests"]:
-        path = os.path.join(root, "objects", "sha256", d[:2], d)
-        if os.path.exists(path):
-            os.remove(path)
+        files.delete(spark, f"{root}/objects/sha256/{d[:2]}/{d}")
     return body["digests"]
 
 
@@ -122,13 +141,13 @@ class Memories:
         self.spark, self.root = spark, root
 
     def names(self) -> list[str]:
-        found = [n for n in os.listdir(self.root) if os.path.exists(os.path.join(self.root, n, "_state.json"))] if os.path.isdir(self.root) else []
+        found = [n for n in files.names(self.spark, self.root) if files.exists(self.spark, f"{self.root}/{n}/_state.json")]
         return sorted({"default", *found})
 
     def open(self, name: str = "default") -> Memory:
         if not name.isidentifier():
             raise QueryValidationError(f"bad memory name {name!r}")
-        if os.path.exists(os.path.join(self.root, name, "_state.json")):
+        if files.exists(self.spark, f"{self.root}/{name}/_state.json"):
             return store.load(self.spark, self.root, name)
         return Memory(self.spark, name)
 
@@ -138,7 +157,7 @@ class Memories:
     def destroy(self, name: str, confirmed: dict) -> None:
         if confirmed != fingerprint(self.open(name)):
             raise QueryValidationError("the confirmation differs from the memory")
-        shutil.rmtree(os.path.join(self.root, name))
+        files.delete(self.spark, f"{self.root}/{name}")
 
 
 def attribute_expression(memory: Memory, entity: str, value: Column) -> DataFrame:

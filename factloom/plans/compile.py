@@ -10,6 +10,7 @@ from ..errors import QueryValidationError
 from ..functions.values import canonical_json, casefold, json_type
 from ..memory import Field, Memory
 from .ir import ORDERED, Pattern, Predicate, Query1
+from .staging import written
 
 V1, V2 = 1, 2
 
@@ -161,9 +162,10 @@ def order_columns(alias: str, f: Field, direction: str) -> list[Column]:
     return [present(alias, f.name).desc(), *(k.asc_nulls_first() if direction == "asc" else k.desc_nulls_last() for k in keys)]
 
 
-def run_v1(memory: Memory, q: Query1) -> DataFrame:
+def run_v1(memory: Memory, q: Query1, provenance: bool = False) -> DataFrame:
     """Count: one row `count`. Else node ids b_<alias> and, per returned field, its value, whether it is
-    present, and its JSON type; ordered and paged (limit + 1 rows tell that the page is cut)."""
+    present, and its JSON type; ordered and paged (limit + 1 rows tell that the page is cut). provenance: with
+    the last write of each returned field, joined to the page alone, in the page's order."""
     rows = bindings(memory, q.pattern, V1)
     if q.count:
         return rows.agg(F.count("*").alias("count"))
@@ -177,6 +179,11 @@ def run_v1(memory: Memory, q: Query1) -> DataFrame:
     for alias, name, direction in q.order:
         order += order_columns(alias, memory.entity(q.pattern.nodes[alias]).field(name), direction)
     order += [node_id(a).asc() for a in q.pattern.nodes]
+    if provenance:
+        from ..operators.provenance import project
+
+        page = rows.orderBy(*order).offset(q.offset).limit(q.limit + 1).select(*cols, F.monotonically_increasing_id().alias("_at"))
+        return project(memory, written(page, "page"), q.pattern.nodes, q.returns).orderBy("_at").drop("_at")
     return rows.orderBy(*order).offset(q.offset).limit(q.limit + 1).select(*cols) if q.offset else rows.orderBy(*order).limit(q.limit + 1).select(*cols)
 
 

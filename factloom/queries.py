@@ -555,42 +555,7 @@ def embedding_profile(spark: SparkSession, d: str) -> DataFrame:
     return search.embedding_profile(e.select(F.concat(F.lit("p"), "label").alias("profile"), "vec_id", F.lit("h").alias("content_hash"), "embedding"))
 
 
-# -- evidence -------------------------------------------------------------------------------------------------------------------
-@_query("fragment_time_interval", "SELECT event_id, value FROM events WHERE ts >= (SELECT date_trunc('day', min(ts)) + INTERVAL 2 DAY FROM events) AND ts < (SELECT date_trunc('day', min(ts)) + INTERVAL 9 DAY FROM events)")
-def fragment_time_interval(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
-    day = e.agg(F.date_trunc("day", F.min("ts")).alias("t")).select((F.col("t") + F.expr("interval 2 days")).cast("string"), (F.col("t") + F.expr("interval 9 days")).cast("string")).first()
-    return fragments.time_interval(e, "ts", day[0], day[1]).select("event_id", "value")
-
-
-@_query("fragment_json_pointer", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
-def fragment_json_pointer(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
-
-
-@_query("fragment_record_key", "SELECT event_id, event_type, user_id FROM events WHERE event_id = (SELECT max(event_id) FROM events)")
-def fragment_record_key(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
-    top = e.agg(F.max("event_id")).first()[0]
-    return e.filter(F.col("event_id") == top).select("event_id", "event_type", "user_id")
-
-
-def _documents(name: str, selector: dict, sql: str) -> None:
-    """A fragment of every document's bytes, by its digest; refused where the selector lies outside."""
-
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        objects = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("digest"), F.col("text").cast("binary").alias("content"), F.lit(json.dumps(selector)).alias("selector"))
-        return fragments.fragments(objects).select(F.col("digest").cast("long").alias("doc_id"), F.octet_length("fragment").cast("long").alias("n_bytes"), "fragment_sha256")
-
-    QUERIES[name], SQL[name] = run, sql
-
-
-_BYTES = "SELECT doc_id, CASE WHEN n >= 60 THEN 40 END::BIGINT AS n_bytes, CASE WHEN n >= 60 THEN sha256(from_hex(substr(hex(encode(text)), 41, 80))) END AS fragment_sha256 FROM (SELECT doc_id, text, octet_length(encode(text)) AS n FROM documents)"
-_documents("fragment_byte_range", {"kind": "byte_range", "start": 20, "end": 60}, _BYTES)
-_documents("fragment_empty_range", {"kind": "byte_range", "start": 0, "end": 0}, "SELECT doc_id, 0::BIGINT AS n_bytes, sha256('') AS fragment_sha256 FROM documents")
-_documents("fragment_sample", {"kind": "sample_interval", "start_sample": 0, "end_sample": 0, "sample_rate": 8000, "channels": 1, "bit_width": 8, "sample_format": "pcm", "byte_order": "little", "interleaved": True}, "SELECT doc_id, 0::BIGINT AS n_bytes, sha256('') AS fragment_sha256 FROM documents")
-
-
+# -- evidence, explanation, integrity ---------------------------------------------------------------------------------------
 @_query("retention_report", "SELECT CASE WHEN retired THEN 'retired' WHEN blocking > 0 THEN 'active' ELSE 'expired' END AS status, count(*) AS n, CAST(sum(blocking) AS BIGINT) AS n_blocking FROM (SELECT user_id, bool_or(event_id % 97 = 0) AS retired, count(*) FILTER (WHERE event_id % 13 = 0 OR (event_id % 5 = 0 AND ts + INTERVAL 30 DAY > TIMESTAMP '2024-01-15')) AS blocking FROM events GROUP BY user_id) GROUP BY 1")
 def retention_report(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
@@ -621,3 +586,6 @@ def node_delete_cascade(spark: SparkSession, d: str) -> DataFrame:
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return QUERIES["v2_flagship"](spark, d)
+
+
+from . import queries_facts  # noqa: E402,F401  registers its queries

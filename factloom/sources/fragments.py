@@ -2,48 +2,50 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
-import os
-import tempfile
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import FactloomError
 from ..functions.values import canonical_json, json_pointer, normalize_timestamp, strict_loads
+from . import files
 
 
-def put(root: str, data: bytes) -> str:
+def _place(root: str, digest: str) -> str:
+    return f"{root}/objects/sha256/{digest[:2]}/{digest}"
+
+
+def put(spark: SparkSession, root: str, data: bytes) -> str:
     """Stores bytes under their digest; an object that is there is checked again."""
     digest = hashlib.sha256(data).hexdigest()
-    path = os.path.join(root, "objects", "sha256", digest[:2], digest)
-    if os.path.exists(path):
-        with open(path, "rb") as f:
-            if hashlib.sha256(f.read()).hexdigest() != digest:
-                raise FactloomError(f"object {digest} is damaged")
-        return digest
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with tempfile.NamedTemporaryFile(dir=os.path.dirname(path), delete=False) as f:
-        f.write(data)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(f.name, path)
+    path = _place(root, digest)
+    if not files.write(spark, path, data) and hashlib.sha256(files.read(spark, path)).hexdigest() != digest:
+        raise FactloomError(f"object {digest} is damaged")
     return digest
 
 
-def read(root: str, digest: str, offset: int = 0, limit: int = 1 << 20) -> dict:
-    with open(os.path.join(root, "objects", "sha256", digest[:2], digest), "rb") as f:
-        f.seek(offset)
-        data = f.read(min(limit, 1 << 20))
-        return {"data": data, "eof": not f.read(1)}
+def read(spark: SparkSession, root: str, digest: str, offset: int = 0, limit: int = 1 << 20) -> dict:
+    """At most limit bytes of an object from offset, by a positioned read, and whether they reach its end."""
+    fs, at = files.system(spark, _place(root, digest))
+    size = fs.getFileStatus(at).getLen()
+    n = max(0, min(limit, 1 << 20, size - offset))
+    stream = fs.open(at)
+    try:
+        stream.seek(min(offset, size))
+        data = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, n)) if n else b""
+    finally:
+        stream.close()
+    return {"data": data, "eof": offset + n >= size}
 
 
 def audit(spark: SparkSession, root: str, known: DataFrame) -> DataFrame:
     """digest, status (ok, damaged, missing, orphan) of stored objects against known (column digest)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(os.path.join(root, "objects"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/objects")
     found = files.select(F.element_at(F.split("path", "/"), -1).alias("digest"), F.sha2("content", 256).alias("actual"))
     both = found.join(known.select("digest", F.lit(1).alias("known")), "digest", "full")
     status = F.when(F.col("actual").isNull(), "missing").when(F.col("actual") != F.col("digest"), "damaged").when(F.col("known").isNull(), "orphan").otherwise("ok")
@@ -85,106 +87,143 @@ def _wrong(kind: str, key: str):
     raise FactloomError(f"{kind} needs a proper {key}")
 
 
-def _ordered(first: int, last: int, most: int) -> None:
-    if not first <= last <= most:
-        raise FactloomError("the range is reversed or outside the object")
+_TEXT, _WHOLE = T.StringType(), T.LongType()
+_PARTS = {
+    "error": _TEXT, "kind": _TEXT, "first": _WHOLE, "last": _WHOLE, "channels": _WHOLE, "width": _WHOLE, "interleaved": T.BooleanType(), "pointer": _TEXT,
+    "field": _TEXT, "key": _TEXT, "begins": _TEXT, "ends": _TEXT, "how": _TEXT,
+}
+_PLAN = T.StructType([T.StructField(n, t) for n, t in _PARTS.items()])
+_RECORD = T.StructType([T.StructField(n, _TEXT) for n in ("text", "key", "at")])
+_VIEW = T.StructType([T.StructField("error", _TEXT), T.StructField("found", _TEXT), T.StructField("records", T.ArrayType(_RECORD))])
+_FORMATS = ("json", "canonical-json", "jsonl", "canonical-jsonl")
 
 
-def _documents(data: bytes, how: str):
+@functools.lru_cache(maxsize=4096)
+def _planned(selector: str | None) -> tuple:
+    """A selector's parts as the plan's columns, with the reason if it is refused."""
+    none = (None,) * 12
     try:
-        text = data.decode()
-        if how in ("json", "canonical-json"):
-            return strict_loads(text)
-        if how in ("jsonl", "canonical-jsonl"):
-            return [strict_loads(x) for x in text.splitlines() if x.strip()]
-    except ValueError as e:
-        raise FactloomError("the object isn't UTF-8 JSON") from e
-    raise FactloomError(f"unknown input format {how}")
-
-
-def _record_lines(records) -> bytes:
-    return b"".join(canonical_json(r).encode() + b"\n" for r in records)
-
-
-def _samples(data: bytes, s: dict) -> bytes:
-    if s["bit_width"] % 8:
-        raise FactloomError("samples must be whole bytes")
-    width = s["bit_width"] // 8
-    frames, rest = divmod(len(data), width * s["channels"])
-    if rest:
-        raise FactloomError("the object doesn't hold whole frames")
-    first, last = s["start_sample"], s["end_sample"]
-    _ordered(first, last, frames)
-    # Bytes by frame and channel, or by channel and frame.
-    grid = np.frombuffer(data, np.uint8).reshape((frames, s["channels"], width) if s["interleaved"] else (s["channels"], frames, width))
-    return (grid[first:last] if s["interleaved"] else grid[:, first:last]).tobytes()
-
-
-def _within(records: list, s: dict) -> list:
-    """Records whose instant lies in [start, end), whatever offsets the times are written with."""
+        s = checked(json.loads(selector) if selector else None)
+        first, last = (next((s[k] for k in keys if k in s), None) for keys in (("start_line", "start_sample", "start"), ("end_line", "end_sample", "end")))
+        timed = s["kind"] == "time_interval"
+        if "input_format" in s and s["input_format"] not in _FORMATS:
+            raise FactloomError(f"unknown input format {s['input_format']}")
+        begins, ends = (normalize_timestamp(t) for t in (first, last)) if timed else (None, None)
+        if s.get("bit_width", 8) % 8:
+            raise FactloomError("samples must be whole bytes")
+        if (begins, first)[not timed] is not None and ((begins, ends) if timed else (first, last))[0] > ((begins, ends) if timed else (first, last))[1]:
+            raise FactloomError("the range is reversed")
+    except (FactloomError, ValueError) as e:
+        return (str(e), *none)
+    numbers = (None, None) if timed else (first, last)
+    key = _key(s["key_value"]) if "key_value" in s else None
+    return (None, s["kind"], *numbers, s.get("channels"), s.get("bit_width", 8) // 8, s.get("interleaved"), s.get("pointer"), s.get("key_field") or s.get("timestamp_field"), key, begins, ends, s.get("input_format"))
+
+
+def _key(value) -> str:
+    """A text that two JSON values share if they are equal: 1, 1.0 and true are."""
+    if isinstance(value, (bool, int, float)) and value == value // 1:
+        return str(int(value))
+    return canonical_json(value)
+
+
+@F.pandas_udf(_PLAN)
+def _plan(selectors: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_planned(s) for s in selectors], columns=[*_PARTS], dtype=object)
+
+
+def _viewed(content: bytes | None, kind: str, how: str, pointer: str | None, field: str | None) -> tuple:
+    """What a JSON selector needs of one object: the value at a pointer, or its records with a field's key and instant."""
+    if content is None:
+        return None, None, None
     try:
-        first, last = normalize_timestamp(s["start"]), normalize_timestamp(s["end"])
-        at = [normalize_timestamp(r[s["timestamp_field"]]) for r in records]
-    except (KeyError, TypeError, ValueError) as e:
-        raise FactloomError("a time interval needs timestamps with offsets") from e
-    if last < first:
-        raise FactloomError("the interval is reversed")
-    return [r for r, t in zip(records, at) if first <= t < last]
-
-
-def extract(data: bytes, selector: dict | None) -> bytes:
-    """A fragment of an object. Ranges may be empty; JSON comes back in its canonical form, records as lines."""
-    s = checked(selector)
-    kind = s["kind"]
-    if kind == "whole_object":
-        return data
-    if kind == "byte_range":
-        _ordered(s["start"], s["end"], len(data))
-        return data[s["start"] : s["end"]]
-    if kind == "line_range":
-        lines = data.splitlines(keepends=True)
-        _ordered(s["start_line"], s["end_line"], len(lines))
-        return b"".join(lines[s["start_line"] - 1 : s["end_line"]])
-    if kind == "sample_interval":
-        return _samples(data, s)
-    found = _documents(data, s["input_format"])
+        text = bytes(content).decode()
+        document = strict_loads(text) if how.endswith("json") else [strict_loads(x) for x in text.splitlines() if x.strip()]
+    except ValueError:
+        return "the object isn't UTF-8 JSON", None, None
     if kind == "structured":
         try:
-            return canonical_json(json_pointer(found, s["pointer"])).encode()
-        except KeyError as e:
-            raise FactloomError(f"nothing at {s['pointer']}") from e
-    if not isinstance(found, list) or not all(isinstance(r, dict) for r in found):
-        raise FactloomError("records must be JSON objects")
-    if kind == "time_interval":
-        return _record_lines(_within(found, s))
-    hits = [r for r in found if s["key_field"] in r and r[s["key_field"]] == s["key_value"]]
-    if len(hits) != 1:
-        raise FactloomError("a record key selects exactly one record")
-    return _record_lines(hits)
+            return None, canonical_json(json_pointer(document, pointer)), None
+        except KeyError:
+            return f"nothing at {pointer}", None, None
+    records = []
+    for r in document if isinstance(document, list) else [None]:
+        if not isinstance(r, dict):
+            return "records must be JSON objects", None, None
+        try:
+            at = normalize_timestamp(r[field]) if kind == "time_interval" else None
+        except (KeyError, TypeError, ValueError):
+            return "a time interval needs timestamps with offsets", None, None
+        records.append((canonical_json(r), _key(r[field]) if field in r else _key(None), at))
+    return None, None, records
+
+
+@F.pandas_udf(_VIEW)
+def _view(content: pd.Series, kind: pd.Series, how: pd.Series, pointer: pd.Series, field: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_viewed(*r) for r in zip(content, kind, how, pointer, field)], columns=["error", "found", "records"], dtype=object)
+
+
+def _lines(content: Column) -> Column:
+    """Lines of bytes with their ends, as texts of one character a byte."""
+    return F.filter(F.split(F.decode(content, "ISO-8859-1"), r"(?<=\n)|(?<=\r)(?!\n)", -1), lambda x: x != "")
+
+
+def _piece(content: Column, first: Column, length: Column) -> Column:
+    return F.substring(content, (first + 1).cast("int"), length.cast("int"))
 
 
 def fragments(objects: DataFrame) -> DataFrame:
-    """digest, fragment (binary), fragment_sha256, error of objects (digest, content, selector as JSON): extract() of many
-    objects at once. What extract() refuses has an error and no fragment."""
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for content, selector in zip(b.column("content"), b.column("selector").to_pylist()):
-                try:
-                    got = extract(content.as_py(), json.loads(selector))
-                    rows.append((got, hashlib.sha256(got).hexdigest(), None))
-                except FactloomError as e:
-                    rows.append((None, None, str(e)))
-            cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([b.column("digest"), *cols], names=["digest", "fragment", "fragment_sha256", "error"])
-
-    return objects.select("digest", "content", "selector").mapInArrow(run, "digest string, fragment binary, fragment_sha256 string, error string")
-
-
-def time_interval(df: DataFrame, column: str, start: str, end: str) -> DataFrame:
-    """Rows of [start, end)."""
-    return df.filter((F.col(column) >= F.lit(start).cast("timestamp")) & (F.col(column) < F.lit(end).cast("timestamp")))
+    """digest, fragment (binary), fragment_sha256, error of objects (digest, content, selector as JSON). Byte, line and sample ranges are
+    cut by Spark's own functions; JSON is parsed in a helper, and records come back as rows of an array from which Spark picks
+    by key or instant. A selector that is refused, or leads nowhere, has an error and no fragment. Ranges may be empty; JSON comes
+    back in its canonical form, records as lines. A null selector takes the whole object."""
+    p, content = F.col("p"), F.col("content")
+    o = objects.select("digest", "content", _plan("selector").alias("p"))
+    parsed = p["kind"].isin("structured", "record_key", "time_interval")
+    o = o.select("digest", "content", "p", _view(F.when(parsed, content), p["kind"], p["how"], p["pointer"], p["field"]).alias("v"))
+    size, n = F.octet_length("content").cast("long"), p["last"] - p["first"]
+    frame = p["channels"] * p["width"]
+    frames = (size / frame).cast("long")
+    planar = F.aggregate(
+        F.sequence(F.lit(0).cast("long"), p["channels"] - 1), F.lit(b""),
+        lambda done, c: F.concat(done, _piece(content, (c * frames + p["first"]) * p["width"], n * p["width"])),
+    )
+    lines = _lines(content)
+    keyed, timed = p["kind"] == "record_key", p["kind"] == "time_interval"
+    picked = F.filter(F.col("v")["records"], lambda r: F.when(keyed, r["key"] == p["key"]).otherwise((r["at"] >= p["begins"]) & (r["at"] < p["ends"])))
+    sampled = p["kind"] == "sample_interval"
+    outside = F.when(p["kind"] == "line_range", p["last"] > F.size(lines)).when(p["kind"] == "byte_range", p["last"] > size).when(sampled, p["last"] > frames)
+    error = (
+        F.when(p["error"].isNotNull(), p["error"]).when(F.col("v")["error"].isNotNull(), F.col("v")["error"]).when(sampled & (size % frame != 0), "the object doesn't hold whole frames")
+        .when(outside, "the range is outside the object").when(keyed & (F.size(picked) != 1), "a record key selects exactly one record")
+    )
+    found = (
+        F.when(p["kind"] == "whole_object", content).when(p["kind"] == "byte_range", _piece(content, p["first"], n))
+        .when(p["kind"] == "line_range", F.encode(F.array_join(F.slice(lines, p["first"].cast("int"), (n + 1).cast("int")), ""), "ISO-8859-1"))
+        .when(sampled & p["interleaved"], _piece(content, p["first"] * frame, n * frame)).when(sampled, planar)
+        .when(p["kind"] == "structured", F.encode(F.col("v")["found"], "UTF-8"))
+        .otherwise(F.encode(F.array_join(F.transform(picked, lambda r: F.concat(r["text"], F.lit("\n"))), ""), "UTF-8"))
+    )
+    o = o.select("digest", error.alias("error"), "content", "p", "v").select("digest", F.when(F.col("error").isNull(), found).alias("fragment"), "error")
+    return o.select("digest", "fragment", F.sha2("fragment", 256).alias("fragment_sha256"), "error")
+
+
+def extract(spark: SparkSession, data: bytes, selector: dict | None) -> bytes:
+    """The fragment of one object."""
+    row = fragments(spark.createDataFrame([("", data, json.dumps(selector) if selector else None)], "digest string, content binary, selector string")).first()
+    if row["error"]:
+        raise FactloomError(row["error"])
+    return bytes(row["fragment"])
+
+
+def reextracted(kept: DataFrame, objects: DataFrame) -> DataFrame:
+    """digest, selector, status of kept fragments (digest, selector, fragment_sha256), each cut again from the objects (digest, content) and
+    compared: ok, changed, refused (the selector no longer fits) or missing (no object)."""
+    both = kept.select("digest", "selector", F.col("fragment_sha256").alias("was")).join(objects.select("digest", "content"), "digest", "left")
+    named = both.select(F.struct("digest", "selector", "was", F.col("content").isNotNull().alias("there")).alias("digest"), F.coalesce("content", F.lit(b"")).alias("content"), "selector")
+    again, key = fragments(named), F.col("digest")
+    status = F.when(~key["there"], "missing").when(F.col("error").isNotNull(), "refused").when(F.col("fragment_sha256") == key["was"], "ok").otherwise("changed")
+    return again.select(key["digest"].alias("digest"), key["selector"].alias("selector"), status.alias("status"))
 
 
 def retention(evidence: DataFrame, as_of: str) -> DataFrame:

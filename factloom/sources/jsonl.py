@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import replace
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ImportRejected, QueryValidationError
-from ..functions.values import canonical_json, json_type, strict_loads
+from ..functions.values import canonical_json, json_type, stable_uuid, strict_loads
 from ..memory import Entity, Field, Memory
+from ..operators import provenance
+from ..plans.staging import written
 
 MAX_LINE_BYTES = 4 << 20
 #: Field names that are refused, in whatever letter case.
@@ -25,7 +28,7 @@ def read_lines(df: DataFrame) -> DataFrame:
     """line (number), value: the non-blank lines of a text DataFrame (column value; with or without line)."""
     if "line" not in df.columns:
         df = df.withColumn("line", F.monotonically_increasing_id())
-    return df.select("line", "value").filter(F.trim("value") != "")
+    return df.select("line", "value").filter(F.col("value").rlike(r"\S"))
 
 
 def read_file(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
@@ -140,9 +143,9 @@ def check(rows: DataFrame, key: dict[str, str], entity: Entity | None, total: in
     return fields
 
 
-def _wide(rows: DataFrame, fields: list[Field]) -> DataFrame:
-    """line and the entity columns of each field, from parsed lines: no shuffle."""
-    rows = rows.select("line", F.map_from_arrays(F.transform("attrs", lambda a: a["field"]), F.col("attrs")).alias("_of"))
+def _wide(rows: DataFrame, fields: list[Field], *more: Column) -> DataFrame:
+    """line, more and the entity columns of each field, from parsed lines: no shuffle."""
+    rows = rows.select("line", *more, F.map_from_arrays(F.transform("attrs", lambda a: a["field"]), F.col("attrs")).alias("_of"))
     cols: list[Column] = []
     for f in fields:
         a = F.try_element_at("_of", F.lit(f.name))
@@ -155,7 +158,7 @@ def _wide(rows: DataFrame, fields: list[Field]) -> DataFrame:
             cols.append(a["canon"].alias(f"c_{f.name}"))
         if f.kind == "number":  # null above 38 digits: such a number only has its double
             cols.append(a["whole"].try_cast("decimal(38,0)").alias(f"i_{f.name}"))
-    return rows.select("line", *cols)
+    return rows.select(*(c for c in rows.columns if c != "_of"), *cols)
 
 
 def _columns(f: Field) -> list[str]:
@@ -167,9 +170,18 @@ def _empty(f: Field) -> list[Column]:
     return [F.lit(False).alias(c) if c[0] == "p" else F.lit(None).cast(kinds[c[0]]).alias(c) for c in _columns(f)]
 
 
-def import_jsonl(memory: Memory, entity_type: str, lines: DataFrame, key: dict[str, str], privacy: str = "public", content_hash: str | None = None) -> dict:
+def node_name(entity_type: str, *keys: str) -> Column:
+    """The id of a node by its key: a hash of the key as JSON, in which no two tuples of texts look alike."""
+    h = F.sha2(F.to_json(F.array(F.lit(entity_type), *(F.col(k) for k in keys))), 256)
+    return F.concat_ws("-", *(F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+
+
+def import_jsonl(
+    memory: Memory, entity_type: str, lines: DataFrame, key: dict[str, str], privacy: str = "public", content_hash: str | None = None, source: dict | None = None, at: datetime | None = None
+) -> dict:
     """Keyed upsert: a line patches the node with its key (absent fields keep their value, explicit nulls
-    overwrite) or creates one. Fails as a whole. The same content, type and key replay the stored result."""
+    overwrite) or creates one. Fails as a whole. The same content, type and key replay the stored result.
+    source: kind, locator and fragment_id of where the lines come from, for their provenance; at: when."""
     lines = read_lines(lines)
     rows, total = parsed(lines).cache(), None
     if content_hash is None:
@@ -179,16 +191,24 @@ def import_jsonl(memory: Memory, entity_type: str, lines: DataFrame, key: dict[s
     idempotency = hashlib.sha256(canonical_json([content_hash, entity_type, key]).encode()).hexdigest()
     done = memory.imports
     if idempotency in done:
+        rows.unpersist()
         return done[idempotency] | {"replayed": True}
     try:
-        result = _import(memory, entity_type, rows, key, privacy, rows.count() if total is None else total)
+        result, seen = _import(memory, entity_type, rows, key, privacy, rows.count() if total is None else total)
     finally:
         rows.unpersist()
+    said = {"kind": "jsonl", "locator": f"sha256:{content_hash}", "fragment_id": None} | (source or {})
+    source_id = stable_uuid("source", said["kind"], said["locator"])
+    provenance.register(memory, "sources", memory.spark.createDataFrame([(source_id, said["kind"], said["locator"])], provenance.CATALOG["sources"]))
+    written_by = {"source_id": source_id, "batch_id": stable_uuid("batch", idempotency), "fragment_id": said["fragment_id"], "updated_at": at or datetime.now(UTC)}
+    provenance.add(memory, entity_type, seen, F.col("_fields"), **written_by)
     done[idempotency] = result
     return result
 
 
-def _import(memory: Memory, entity_type: str, rows: DataFrame, key: dict[str, str], privacy: str, total: int) -> dict:
+def _import(memory: Memory, entity_type: str, rows: DataFrame, key: dict[str, str], privacy: str, total: int) -> tuple[dict, DataFrame]:
+    """The result, and id, record, _fields of the lines. The new table is written once: counters, duplicates and the provenance are
+    read from it, and the next import's plan starts at it."""
     old = memory.entities.get(entity_type)
     inferred = check(rows, key, old, total)
     fields = dict(old.fields) if old else {}
@@ -203,11 +223,13 @@ def _import(memory: Memory, entity_type: str, rows: DataFrame, key: dict[str, st
             fields[f["field"]] = replace(known, kind=kind)
             delta["resolved_types"].append(f["field"])
     seen = {f["field"] for f in inferred}
-    new = _wide(rows, [fields[n] for n in seen])
-    names = list(key)
-    key_cols = [f"c_{k}" if fields[k].kind == "number" else f"v_{k}" for k in names]
+    said = F.transform("attrs", lambda a: a["field"]).alias("_fields")
+    new = _wide(rows, [fields[n] for n in seen], said)
+    keys = [f"c_{k}" if fields[k].kind == "number" else f"v_{k}" for k in key]
     if old is None:
-        current = None
+        missing = [c for n, f in fields.items() if n not in seen for c in _empty(f)]
+        had = [c for f in fields.values() for c in _columns(f) if c in new.columns]
+        table = new.select(node_name(entity_type, *keys).alias("id"), F.lit(privacy).alias("privacy"), *had, *missing, F.lit("created").alias("_kind"), F.lit(True).alias("_new"), "line", "_fields")
     else:
         current = old.df
         for n, f in fields.items():
@@ -216,51 +238,52 @@ def _import(memory: Memory, entity_type: str, rows: DataFrame, key: dict[str, st
                 current = current.select("*", *_empty(f))
             elif before.kind != f.kind:
                 current = _retype(current, before, f)
-        hits = new.select("line", *key_cols).join(current.select("id", *key_cols), key_cols, "left")
-        clash = hits.groupBy(*key_cols).agg(F.count_distinct("line").alias("lines"), F.count_distinct("id").alias("nodes")).agg(F.max("lines").alias("lines"), F.max("nodes").alias("nodes")).first()
-        if (clash["lines"] or 0) > 1:
-            raise ImportRejected("duplicate keys in the file")
-        if (clash["nodes"] or 0) > 1:
-            raise ImportRejected("ambiguous import key")
-    ident = F.sha2(F.concat_ws("\x1f", F.lit(entity_type), *key_cols), 256)
-    fresh_id = F.concat_ws("-", F.substring(ident, 1, 8), F.substring(ident, 9, 4), F.substring(ident, 13, 4), F.substring(ident, 17, 4), F.substring(ident, 21, 12))
-    every = [c for f in fields.values() for c in _columns(f)]
-    if current is None:
-        missing = [c for n, f in fields.items() if n not in seen for c in _empty(f)]
-        table = new.select(fresh_id.alias("id"), F.lit(privacy).alias("privacy"), *[c for c in every if c in new.columns], *missing)
-        table = table.cache()
-        made = table.groupBy(*key_cols).count().agg(F.sum("count").alias("n"), F.max("count").alias("most")).first() if names else None
-        if (made["most"] or 0) > 1:
-            table.unpersist()
-            raise ImportRejected("duplicate keys in the file")
-        created, updated = made["n"] or 0, 0
-    else:
-        a, b = current.alias("a"), new.alias("b")
-        cond = F.lit(True)
-        for c in key_cols:
-            cond = cond & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-        joined = a.join(b, cond, "full")
-        cols = []
-        for n, f in fields.items():
-            patched = F.coalesce(F.col(f"b.p_{n}"), F.lit(False)) if n in seen else F.lit(False)
-            for c in _columns(f):
-                cols.append((F.when(patched, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")) if n in seen else F.col(f"a.{c}")).alias(c) if c[0] != "p" else (patched | F.coalesce(F.col(f"a.{c}"), F.lit(False))).alias(c))
-        own = F.concat_ws("\x1f", F.lit(entity_type), *(F.col(f"b.{c}") for c in key_cols))
-        h = F.sha2(own, 256)
-        made = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
-        required = [f for f in fields.values() if f.required]
-        for f in required:
-            there = F.col(f"b.p_{f.name}") if f.name in seen else F.lit(False)
-            if joined.filter(F.col("a.id").isNull() & ~F.coalesce(there, F.lit(False))).limit(1).count():
-                raise ImportRejected(f"required field {f.name} is missing in a new node")
-        kind = F.when(F.col("a.id").isNull(), "created").when(F.col("b.line").isNotNull(), "updated").alias("_kind")
-        table = joined.select(F.coalesce("a.id", made).alias("id"), F.coalesce("a.privacy", F.lit(privacy)).alias("privacy"), *cols, kind).cache()
-        counts = dict(map(tuple, table.groupBy("_kind").count().collect()))
-        created, updated = counts.get("created", 0), counts.get("updated", 0)
-        table = table.drop("_kind")
-    memory.entities[entity_type] = Entity(entity_type, table, fields)
-    memory.revision += 1
-    return {"created": created, "updated": updated, "ontology_delta": delta, "replayed": False}
+        table = _patched(current, new, entity_type, fields, seen, keys, privacy)
+    table = written(table, "entity")
+    told = F.col("line").isNotNull()
+    required = F.lit(False)
+    for f in fields.values():
+        required |= F.lit(f.required) & ~F.col(f"p_{f.name}")
+    made = F.col("_kind") == "created"
+    per = table.filter(told).groupBy("id").agg(F.count("*").alias("n"), F.count_if(made).alias("created"), F.count_if("_new").alias("changed"), F.count_if(made & required).alias("short"))
+    got = per.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "created", "changed", "short")), F.max("n").alias("most")).first()
+    if got["n"] > total:
+        raise ImportRejected("ambiguous import key")
+    if (got["most"] or 0) > 1:
+        raise ImportRejected("duplicate keys in the file")
+    if got["short"]:
+        raise ImportRejected(f"a required field of {entity_type} is missing in a new node")
+    if got["changed"] or old is None or fields != old.fields:  # else no fact has changed
+        memory.entities[entity_type] = Entity(entity_type, table.drop("_kind", "_new", "line", "_fields"), fields)
+        memory.revision += 1
+    result = {"created": got["created"], "updated": got["n"] - got["created"], "ontology_delta": delta, "replayed": False}
+    return result, table.filter(told).select("id", F.col("line").alias("record"), "_fields")
+
+
+def _patched(current: DataFrame, new: DataFrame, entity_type: str, fields: dict[str, Field], seen: set[str], keys: list[str], privacy: str) -> DataFrame:
+    """All nodes after the lines' patches, and of the nodes that a line made or patched also _kind, line, _fields, and whether anything is
+    _new. A line that matches several nodes stands in a row for each; one that shares its key shares its id."""
+    a, b = current.alias("a"), new.alias("b")
+    same = F.lit(True)
+    for c in keys:
+        same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    cols, changed = [], F.col("a.id").isNull()
+    for n, f in fields.items():
+        patched = F.coalesce(F.col(f"b.p_{n}"), F.lit(False)) if n in seen else F.lit(False)
+        for c in _columns(f):
+            was = F.col(f"a.{c}")
+            if c[0] == "p":
+                value = patched | F.coalesce(was, F.lit(False))
+            else:
+                value = F.when(patched, F.col(f"b.{c}")).otherwise(was) if n in seen else was
+            cols.append(value.alias(c))
+            if n in seen:
+                changed |= ~value.eqNullSafe(F.coalesce(was, F.lit(False)) if c[0] == "p" else was)
+    kind = F.when(F.col("a.id").isNull(), "created").when(F.col("b.line").isNotNull(), "updated").alias("_kind")
+    named = [F.col(f"b.{c}").alias(f"_k{i}") for i, c in enumerate(keys)]
+    rows = a.join(b, same, "full").select(F.col("a.id").alias("_id"), F.coalesce("a.privacy", F.lit(privacy)).alias("privacy"), *cols, kind, changed.alias("_new"), *named, "b.line", "b._fields")
+    made = node_name(entity_type, *(f"_k{i}" for i in range(len(keys))))
+    return rows.select(F.coalesce("_id", made).alias("id"), *(c for c in rows.columns if c != "_id" and c not in [f"_k{i}" for i in range(len(keys))]))
 
 
 def _retype(current: DataFrame, before: Field, after: Field) -> DataFrame:

@@ -1,9 +1,12 @@
-"""A memory on disk: versioned Parquet directories and a state file that is swapped atomically."""
+"""A memory in a file system: versioned Parquet folders and a small state file that names the current one.
+
+All access goes through Hadoop's file systems, so a root may be any URI that Spark reads.
+"""
 
 from __future__ import annotations
 
+import functools
 import json
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,42 +14,50 @@ from pyspark.sql import functions as F
 
 from ..errors import FactloomError
 from ..memory import Entity, Field, Memory, Relation
+from . import files
 
 
 def save(memory: Memory, root: str) -> str:
     """Writes all tables as a new version and then points the state file at it. Readers of earlier
     versions are not disturbed."""
+    spark = memory.spark
     if memory.generation.startswith("00000000"):
         memory.generation = str(uuid.uuid4())
-    version = os.path.join(root, memory.name, f"v={memory.revision}-{uuid.uuid4().hex[:8]}")
-    catalog = {"state": memory.state(), "entities": [], "relations": [], "imports": memory.imports, "runs": memory.runs, "namespaces": memory.namespaces}
+    version = f"{root}/{memory.name}/v={memory.revision}-{uuid.uuid4().hex[:8]}"
+    catalog = {"state": memory.state(), "entities": [], "relations": [], "imports": memory.imports, "runs": memory.runs, "namespaces": memory.namespaces, "writes": memory.writes, "provenance": [], "catalog": []}
     for i, e in enumerate(memory.entities.values()):
         e.df.write.parquet(f"{version}/entity-{i}")
         catalog["entities"].append({"name": e.name, "id_type": e.id_type, "path": f"entity-{i}", "fields": [f.__dict__ for f in e.fields.values()]})
     for i, r in enumerate(memory.relations):
         r.df.write.parquet(f"{version}/relation-{i}")
         catalog["relations"].append({"type": r.type, "logical_key": r.logical_key, "source_type": r.source_type, "target_type": r.target_type, "definition": r.definition, "path": f"relation-{i}"})
-    with open(os.path.join(version, "catalog.json"), "w") as f:
-        json.dump(catalog, f)
-    state = os.path.join(root, memory.name, "_state.json")
-    with open(f"{state}.new", "w") as f:
-        json.dump({"version": os.path.basename(version), **memory.state()}, f)
-    os.replace(f"{state}.new", state)
+    for i, (entity, parts) in enumerate(memory.provenance.items()):
+        functools.reduce(DataFrame.unionByName, parts).write.parquet(f"{version}/provenance-{i}")
+        catalog["provenance"].append({"entity": entity, "path": f"provenance-{i}", "parts": len(parts)})
+    for name, rows in memory.catalog.items():
+        rows.write.parquet(f"{version}/catalog-{name}")
+        catalog["catalog"].append(name)
+    files.write(spark, f"{version}/catalog.json", json.dumps(catalog).encode())
+    files.write(spark, f"{root}/{memory.name}/_state.json", json.dumps({"version": version.rpartition("/")[2], **memory.state()}).encode(), replace=True)
     return version
 
 
 def load(spark: SparkSession, root: str, name: str = "default") -> Memory:
     """The memory at its current version; its tables stay those whatever is written later."""
-    with open(os.path.join(root, name, "_state.json")) as f:
-        state = json.load(f)
-    version = os.path.join(root, name, state["version"])
-    with open(os.path.join(version, "catalog.json")) as f:
-        catalog = json.load(f)
-    m = Memory(spark, name, state["generation"], state["data_revision"], imports=catalog["imports"], runs=catalog["runs"], namespaces=catalog["namespaces"])
+    state = files.read_json(spark, f"{root}/{name}/_state.json")
+    version = f"{root}/{name}/{state['version']}"
+    catalog = files.read_json(spark, f"{version}/catalog.json")
+    m = Memory(spark, name, state["generation"], state["data_revision"], imports=catalog["imports"], runs=catalog["runs"], namespaces=catalog["namespaces"], writes=catalog["writes"])
     for e in catalog["entities"]:
         m.entities[e["name"]] = Entity(e["name"], spark.read.parquet(f"{version}/{e['path']}"), {f["name"]: Field(**f) for f in e["fields"]}, e["id_type"])
     for r in catalog["relations"]:
         m.relations.append(Relation(r["type"], r["logical_key"], r["source_type"], r["target_type"], spark.read.parquet(f"{version}/{r['path']}"), r["definition"]))
+    for p in catalog["provenance"]:
+        rows = spark.read.parquet(f"{version}/{p['path']}")
+        # A log of several writes stays one whose last write has to be found.
+        m.provenance[p["entity"]] = [rows] if p["parts"] == 1 else [rows, rows.limit(0)]
+    for c in catalog["catalog"]:
+        m.catalog[c] = spark.read.parquet(f"{version}/catalog-{c}")
     return m
 
 
@@ -59,22 +70,19 @@ def table_hash(df: DataFrame) -> str:
 
 def export_transfer(memory: Memory, root: str) -> dict:
     """Writes the memory to an empty place with a hash per table."""
-    if os.path.exists(os.path.join(root, memory.name)):
+    if files.exists(memory.spark, f"{root}/{memory.name}"):
         raise FactloomError("the target is not empty")
     version = save(memory, root)
     hashes = {e.name: table_hash(e.df) for e in memory.entities.values()} | {f"{r.type}/{r.logical_key}/{r.source_type}/{r.target_type}": table_hash(r.df) for r in memory.relations}
-    with open(os.path.join(version, "hashes.json"), "w") as f:
-        json.dump(hashes, f)
+    files.write(memory.spark, f"{version}/hashes.json", json.dumps(hashes).encode())
     return hashes
 
 
 def import_transfer(spark: SparkSession, root: str, name: str = "default") -> Memory:
     """Reads a transfer, checks every table's hash, and starts a new generation at revision 0."""
     m = load(spark, root, name)
-    with open(os.path.join(root, name, "_state.json")) as f:
-        version = json.load(f)["version"]
-    with open(os.path.join(root, name, version, "hashes.json")) as f:
-        hashes = json.load(f)
+    version = files.read_json(spark, f"{root}/{name}/_state.json")["version"]
+    hashes = files.read_json(spark, f"{root}/{name}/{version}/hashes.json")
     for e in m.entities.values():
         if table_hash(e.df) != hashes[e.name]:
             raise FactloomError(f"table {e.name} differs from its hash")

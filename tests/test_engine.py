@@ -3,16 +3,18 @@
 import json
 import random
 from collections import Counter
+from datetime import datetime
 from decimal import ROUND_HALF_EVEN, Decimal, localcontext
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factloom.errors import FactloomError, ImportRejected, JoinError, QueryValidationError, StaleResultError
 from factloom.functions import values
 from factloom.memory import Memory
-from factloom.operators import lifecycle, relate, search, traverse
+from factloom.operators import lifecycle, observations, provenance, relate, search, traverse, writes
 from factloom.plans import aggregate, compile
 from factloom.plans.ir import parse_v1, parse_v2
 from factloom.sources import fragments, jsonl, store
@@ -302,19 +304,87 @@ def test_search_and_embeddings(spark):
 
 
 def test_capture_freshness_and_bundles(spark, plant, tmp_path):
-    doc = query(group_by=[{"field": "m.maker", "as": "maker"}])
-    seen = lifecycle.capture(plant, str(tmp_path), {"a": doc}, "v1", plant.state())
-    assert seen["freshness"] == "current" and seen["results"]["a"]["total_groups"] == 3 and seen["fully_public"]
-    assert lifecycle.capture(plant, str(tmp_path), {"a": doc | {"limit": 1, "order_by": [{"result": "rate"}]}}, "v1")["identity"] == seen["identity"]
+    doc, root = query(group_by=[{"field": "m.maker", "as": "maker"}]), str(tmp_path)
+    seen = observations.capture(plant, root, {"a": doc}, "v1", plant.state())
+    assert seen["freshness"] == "current" and seen["fully_public"] and observations.table(spark, root, seen["identity"], "a", "results").count() == 3
+    assert observations.capture(plant, root, {"a": doc | {"limit": 1, "order_by": [{"result": "rate"}]}}, "v1")["identity"] == seen["identity"]
     before = plant.state()
     jsonl.import_jsonl(plant, "plant.Fault", lines(spark, [{"no": "F3", "code": "heat"}]), {"no": "string"})
-    assert lifecycle.read_observation(plant, str(tmp_path), seen["identity"])["freshness"] == "potentially_stale"
+    assert observations.read(spark, root, seen["identity"], plant)["freshness"] == "potentially_stale"
     with pytest.raises(StaleResultError):
         aggregate.execute_bundle(plant, {"a": parse_v2(doc)}, expected_state=before)
-    path = tmp_path / "observations" / f"{seen['identity']}.json"
-    path.write_text(path.read_text().replace("Arno", "Anro"))
+    assert observations.damaged(spark, root, seen["identity"]) == []
+    folder = tmp_path / "observations" / seen["identity"]
+    leaf = next((folder / "a" / "members").glob("*.parquet"))
+    kept = leaf.read_bytes()
+    leaf.with_name("." + leaf.name + ".crc").unlink(missing_ok=True)
+    leaf.write_bytes(kept[:-1] + bytes([kept[-1] ^ 1]))
+    assert observations.damaged(spark, root, seen["identity"]) == ["a/members"]
     with pytest.raises(StaleResultError):
-        lifecycle.read_observation(plant, str(tmp_path), seen["identity"])
+        observations.drill(spark, root, seen["identity"], "a", {}, "counted_entities", doc["measures"][0]["as"]).count()
+    path = folder / "manifest.json"
+    (folder / ".manifest.json.crc").unlink(missing_ok=True)
+    path.write_text(path.read_text().replace('"v1"', '"v2"'))
+    with pytest.raises(StaleResultError):
+        observations.read(spark, root, seen["identity"])
+
+
+def test_provenance_is_beside_the_plans(spark, tmp_path):
+    m = Memory(spark, "p")
+    key = {"k": "integer"}
+    jsonl.import_jsonl(m, "a.T", lines(spark, [{"k": 1, "s": "x", "n": 1}, {"k": 2, "s": None}]), key, source={"kind": "file", "locator": "one"})
+    jsonl.import_jsonl(m, "a.T", lines(spark, [{"k": 1, "s": "y"}]), key, source={"kind": "file", "locator": "two", "fragment_id": "f9"})
+    revision = m.revision
+    again = jsonl.import_jsonl(m, "a.T", lines(spark, [{"k": 1, "s": "y"}, {"k": 2}]), key, source={"kind": "file", "locator": "three"})
+    assert again == {"created": 0, "updated": 2, "ontology_delta": again["ontology_delta"], "replayed": False} and m.revision == revision
+    doc = {"query_ir_version": "1", "match": {"nodes": [{"type": "a.T", "as": "t"}]}, "return": [{"field": "t.s"}, {"field": "t.n"}], "order_by": [{"field": "t.k", "direction": "desc"}]}
+    rows = compile.run_v1(m, parse_v1(doc), provenance=True).collect()
+    locators = {r["source_id"]: r["locator"] for r in provenance.catalog(m, "sources").collect()}
+    assert [(locators.get(r["t_s_source_id"]), locators.get(r["t_n_source_id"]), r["t_n_attribute_id"] is None) for r in rows] == [("one", None, True), ("three", "one", False)]
+    plan = compile.run_v1(m, parse_v1(doc))._jdf.queryExecution().toString()
+    assert "source_id" not in plan and "batch_id" not in plan
+    assert [(r["field"], r["missing"]) for r in provenance.dangling(m, "a.T").collect()] == []  # the third import wrote over the unknown fragment
+    provenance.add(m, "a.T", m.entity("a.T").df.select("id", F.lit("n").alias("field")), fragment_id="gone", updated_at=datetime(2024, 1, 1))
+    assert [(r["field"], r["missing"]) for r in provenance.dangling(m, "a.T").collect()] == [("n", "fragment")]
+    store.save(m, str(tmp_path))
+    back = store.load(spark, str(tmp_path), "p")
+    assert sorted(map(tuple, provenance.latest(back, "a.T").collect())) == sorted(map(tuple, provenance.latest(m, "a.T").collect()))
+    m.delete_nodes("a.T", m.entity("a.T").df.filter("i_k = 2"))
+    assert {r["id"] for r in provenance.latest(m, "a.T").collect()} == {r["id"] for r in m.entity("a.T").df.collect()}
+
+
+def test_written_numbers_group_and_compare(spark, plant):
+    e = plant.entity("plant.Machine").df
+    values = e.select("id", F.row_number().over(Window.orderBy("id")).cast("long").alias("value"))
+    writes.write_attribute(plant, "plant.Machine", "rank", "number", values, "r")
+    doc = {"query_ir_version": "1", "match": {"nodes": [{"type": "plant.Machine", "as": "m"}]}, "where": [where("m.rank", "eq", 2)], "return": [{"field": "m.rank"}]}
+    assert [r["m_rank_text"] for r in compile.run_v1(plant, parse_v1(doc)).collect()] == ["2"]
+    groups = aggregate.groups(plant, parse_v2({"query_ir_version": "2", "match": doc["match"], "group_by": [{"field": "m.rank", "as": "rank"}], "measures": [{"as": "n", "op": "count", "node": "m"}]}))
+    assert sorted(r["rank"] for r in groups.collect()) == sorted(str(i + 1) for i in range(e.count()))
+    writes.write_attribute(plant, "plant.Machine", "tags", "array", e.limit(1).select("id", F.lit('[2, "b" ]').alias("value")), "r")
+    assert [r["c_tags"] for r in plant.entity("plant.Machine").df.filter("p_tags").collect()] == ['[2,"b"]']
+    writes.write_attribute(plant, "plant.Machine", "share", "number", e.select("id", F.lit(0.1).alias("value")), "r2")
+    assert {(r["c_share"], r["i_share"]) for r in plant.entity("plant.Machine").df.collect()} == {("0.1", None)}
+
+
+def test_array_elements_keep_their_types(spark):
+    def edges(element, field):
+        m = Memory(spark, "x")
+        jsonl.import_jsonl(m, "a.S", lines(spark, [{"id": 1, "codes": element}]), {"id": "integer"})
+        jsonl.import_jsonl(m, "a.T", lines(spark, [{"id": "t", "v": v} for v in field]), {"id": "string"} if len(field) == 1 else {"id": "string", "v": "integer"})
+        relate.materialize_join(m, "j", "r", {"from": {"type": "a.S", "fields": ["codes"]}, "to": {"type": "a.T", "fields": ["v"]}})
+        return m.edges("r", "a.S", "a.T", "j").count()
+
+    assert edges([5, None, 5, 6], [5, 6]) == 2 and edges(["5", None], ["5"]) == 1 and edges([True], [True]) == 1 and edges([5.0], [5]) == 0
+    for element, field in ((["5"], [5]), ([5], ["5"]), ([True], ["true"]), (["true"], [True]), ([5, "5"], [5]), ([[5]], [5])):
+        with pytest.raises(Exception, match="incompatible types|scalar elements"):
+            edges(element, field)
+
+
+def test_keys_that_look_alike(spark):
+    m = Memory(spark, "x")
+    jsonl.import_jsonl(m, "a.P", lines(spark, [{"a": "x\x1fy", "b": "z"}, {"a": "x", "b": "y\x1fz"}, {"a": 'x","y', "b": "z"}, {"a": "x", "b": 'y","z'}]), {"a": "string", "b": "string"})
+    assert len({r["id"] for r in m.entity("a.P").df.collect()}) == 4
 
 
 def test_store_round_trip_and_transfer(spark, plant, tmp_path):
@@ -329,27 +399,27 @@ def test_store_round_trip_and_transfer(spark, plant, tmp_path):
 
 def test_fragments_and_evidence(spark, tmp_path):
     data = b'{"id":1,"t":"2024-01-01T00:00:00Z","a":[10,{"b/c":2}]}\n{"id":2,"t":"2024-01-02T00:00:00Z"}\n'
-    digest = fragments.put(str(tmp_path), data)
-    assert fragments.put(str(tmp_path), data) == digest and fragments.read(str(tmp_path), digest, 0, 5) == {"data": data[:5], "eof": False}
-    assert fragments.extract(data, {"kind": "byte_range", "start": 1, "end": 5}) == data[1:5]
-    assert fragments.extract(data, {"kind": "byte_range", "start": 3, "end": 3}) == b"" and fragments.extract(data, None) == data
-    assert fragments.extract(data, {"kind": "line_range", "start_line": 2, "end_line": 2}) == data.splitlines(keepends=True)[1]
+    digest = fragments.put(spark, str(tmp_path), data)
+    assert fragments.put(spark, str(tmp_path), data) == digest and fragments.read(spark, str(tmp_path), digest, 0, 5) == {"data": data[:5], "eof": False}
+    assert fragments.extract(spark, data, {"kind": "byte_range", "start": 1, "end": 5}) == data[1:5]
+    assert fragments.extract(spark, data, {"kind": "byte_range", "start": 3, "end": 3}) == b"" and fragments.extract(spark, data, None) == data
+    assert fragments.extract(spark, data, {"kind": "line_range", "start_line": 2, "end_line": 2}) == data.splitlines(keepends=True)[1]
     of_lines = {"input_format": "jsonl"}
-    assert fragments.extract(data, {"kind": "record_key", "key_field": "id", "key_value": 2} | of_lines) == b'{"id":2,"t":"2024-01-02T00:00:00Z"}\n'
+    assert fragments.extract(spark, data, {"kind": "record_key", "key_field": "id", "key_value": 2} | of_lines) == b'{"id":2,"t":"2024-01-02T00:00:00Z"}\n'
     # 23:30 two hours west of UTC is 01:30 on the next day
     day = {"kind": "time_interval", "timestamp_field": "t", "start": "2024-01-01T23:30:00-02:00", "end": "2024-01-03T00:00:00Z"} | of_lines
-    assert fragments.extract(data, day) == b"" and fragments.extract(data, day | {"start": "2024-01-01T23:30:00+02:00"}) == b'{"id":2,"t":"2024-01-02T00:00:00Z"}\n'
-    assert fragments.extract(data.splitlines()[0], {"kind": "structured", "pointer": "/a/1/b~1c"}) == b"2"
+    assert fragments.extract(spark, data, day) == b"" and fragments.extract(spark, data, day | {"start": "2024-01-01T23:30:00+02:00"}) == b'{"id":2,"t":"2024-01-02T00:00:00Z"}\n'
+    assert fragments.extract(spark, data.splitlines()[0], {"kind": "structured", "pointer": "/a/1/b~1c"}) == b"2"
     sound = {"kind": "sample_interval", "start_sample": 1, "end_sample": 2, "sample_rate": 8000, "channels": 2, "bit_width": 16, "sample_format": "pcm", "byte_order": "little", "interleaved": True}
-    assert fragments.extract(bytes(range(12)), sound) == bytes([4, 5, 6, 7])
-    assert fragments.extract(bytes(range(12)), sound | {"interleaved": False}) == bytes([2, 3, 8, 9])
+    assert fragments.extract(spark, bytes(range(12)), sound) == bytes([4, 5, 6, 7])
+    assert fragments.extract(spark, bytes(range(12)), sound | {"interleaved": False}) == bytes([2, 3, 8, 9])
     refused = [
         {"kind": "byte_range", "start": 5, "end": 3}, {"kind": "byte_range", "start": 0, "end": 10**6}, {"kind": "byte_range", "start": True, "end": 3}, {"kind": "line_range", "start_line": 0, "end_line": 1}, {"kind": "byte_range", "start": 0, "end": 1, "x": 1},
         day | {"timestamp_field": "id"}, day | {"start": "2024-01-04T00:00:00Z"}, day | {"start": "2024-01-01"}, sound | {"bit_width": 12}, sound | {"channels": 5}, sound | {"end_sample": 4}, {"kind": "record_key", "key_field": "x", "key_value": None} | of_lines, {"kind": "nothing"},
     ]
     for selector in refused:
         with pytest.raises(FactloomError):
-            fragments.extract(data, selector) if selector["kind"] != "sample_interval" else fragments.extract(bytes(range(12)), selector)
+            fragments.extract(spark, data, selector) if selector["kind"] != "sample_interval" else fragments.extract(spark, bytes(range(12)), selector)
     many = spark.createDataFrame([(digest, data, json.dumps({"kind": "byte_range", "start": 1, "end": 5})), ("x", b"", json.dumps({"kind": "byte_range", "start": 1, "end": 5}))], "digest string, content binary, selector string")
     got = {r["digest"]: (r["fragment"], r["error"]) for r in fragments.fragments(many).collect()}
     assert bytes(got[digest][0]) == data[1:5] and got["x"][0] is None and "range" in got["x"][1]
@@ -418,18 +488,14 @@ def test_writes_wipe_memories_snapshot(spark, plant, tmp_path):
 
 
 def test_metrics_and_retirement(spark, tmp_path):
-    from datetime import datetime
-
-    from factloom.operators import writes
-
     metrics = spark.createDataFrame([], writes.METRICS)
     for run, n in (("r1", 1), ("r2", 3), ("r2", 3)):
         metrics = writes.write_metric(metrics, run, datetime(2024, 1, int(run[1])), "d", {"a": 1}, n, 4)
     assert metrics.count() == 2 and lifecycle.current_metrics(metrics).first()["value"] == 0.75
-    free, held = fragments.put(str(tmp_path), b"free"), fragments.put(str(tmp_path), b"held")
+    free, held = fragments.put(spark, str(tmp_path), b"free"), fragments.put(spark, str(tmp_path), b"held")
     evidence = spark.createDataFrame([(free, False, None, False), (held, True, None, False)], "digest string, retention_required boolean, retain_until timestamp, retired boolean")
     none = spark.createDataFrame([], "digest string")
     listed = [r["digest"] for r in writes.retirable(evidence, "2024-01-01", none).collect()]
-    plan = writes.plan_retirement(listed, str(tmp_path), "2024-01-01")
-    assert listed == [free] and writes.retire(str(tmp_path), plan) == [free]
+    plan = writes.plan_retirement(spark, listed, str(tmp_path), "2024-01-01")
+    assert listed == [free] and writes.retire(spark, str(tmp_path), plan) == [free]
     assert {r["status"] for r in fragments.audit(spark, str(tmp_path), evidence).collect()} == {"ok", "missing"}
