@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .columns import LOWER, U64, Hasher, flat, frugal, mix, ranges, slices, spans
-from .bloom import likely
+from .bloom import likely, parted
 from .components import components
 from .staging import drop, partitions, release, staged
 
@@ -375,13 +375,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The rows of docs of which one document of each group stays: the one that names the group, and
     of repeated rows with its id the first by text. Rows with a null id all stay. Other columns may
-    have any names. Only rows whose id is repeated are shuffled with their texts, combined before."""
+    have any names. Only rows that may go, or whose id is repeated, are shuffled with their texts."""
     verdict = jaccard_components(docs, id_col, text_col, n, num, den)
-    kept = verdict.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("rows"))
-    once, often = (kept.filter(c).select("doc_id") for c in ("rows = 1", "rows > 1"))
-    alone = docs.join(once, docs[id_col] == once["doc_id"], "left_semi")
-    repeated = docs.join(often, docs[id_col] == often["doc_id"], "left_semi").select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    per = verdict.filter("doc_id is not null").groupBy("doc_id").agg(F.count_if(F.col("doc_id") == F.col("component_id")).alias("kept"), F.count("*").alias("rows"))
+    once, often = (per.filter(c).select("doc_id") for c in ("kept = 1", "kept > 1"))
+    # Most documents stay, and no row has their id but theirs: those are passed on without a shuffle.
+    doubtful, sure = parted(docs.filter(docs[id_col].isNotNull()), id_col, per.filter("kept <> 1 or rows <> 1").select("doc_id"), "doc_id")
+    alone = doubtful.join(once, doubtful[id_col] == once["doc_id"], "left_semi")
+    repeated = doubtful.join(often, doubtful[id_col] == often["doc_id"], "left_semi").select(F.struct(*(doubtful[c] for c in docs.columns)).alias("row"))
     order = F.struct(F.col("row").getField(text_col), F.xxhash64(F.to_json("row")))
     first = repeated.groupBy(F.col("row").getField(id_col).alias("id")).agg(F.min_by("row", order).alias("row"))
     first = first.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
-    return alone.union(first).union(docs.filter(docs[id_col].isNull()))
+    return sure.union(alone).union(first).union(docs.filter(docs[id_col].isNull()))
