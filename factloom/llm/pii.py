@@ -10,8 +10,9 @@ case and separators, so one entity has one surrogate in every document and spell
 lower case or digits only, as the type has it. A phone number's tells whether it began with '+',
 for only then it has a country; a name's tells the title's gender, so Mr and Mrs A are two entities.
 
-What it does not find: names without one of the titles, IPv6 addresses, postal addresses, dates of birth. Octets
-above 255 count as an address. These are limits of the patterns, not of the surrogates.
+A name is one or two capitalised words, with hyphens, apostrophes and particles (de, van, von and such, which stay), after a title; a title without
+a gender (Dr, Prof) gives an entity of its own. What it does not find: names without one of the titles, later mentions of a name
+without its title, IPv6 addresses, postal addresses, dates of birth. Octets above 255 count as an address. These are limits of the patterns, not of the surrogates.
 
 Collision check: the distinct entities of the corpus are counted by type and surrogate (combined
 map-side). Where two share a surrogate, or a surrogate equals a real entity, the later one gets the
@@ -34,24 +35,28 @@ from .staging import drop, staged
 _EDGE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _TITLES_M = r"Mr|Herr|Monsieur|Señor|Sr|Господин"
 _TITLES_F = r"Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа"
+_TITLES_N = r"Dr|Prof|Professor|Доктор"
+_KEYS = r"sk|pk|ghp|gho|xoxb|xoxp"
+_PARTICLES = r"(?:(?:de|den|der|di|du|da|del|la|le|ter|van|von|zu) )*+"
+_CALLED = r"\p{Lu}(?:\p{L}++|['’]\p{Lu}\p{L}++)(?:[\-'’]\p{Lu}\p{L}++)*+"
 #: In this order at each place of a text.
 PATTERNS = (
     ("email", r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@(?:[\p{L}\p{N}\-]++\.)+[\p{L}]{2,24}(?![\p{L}\p{N}\-])"),
-    ("secret", _EDGE + r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|gho|xoxb|xoxp)[_\-][A-Za-z0-9_\-]{16,128})" + _END),
+    ("secret", _EDGE + r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|(?:" + _KEYS + r")[_\-][A-Za-z0-9_\-]{16,128})" + _END),
     ("ip", r"(?<![\p{L}\p{N}.])(?:\d{1,3}\.){3}\d{1,3}(?![\p{L}\p{N}]|\.\d)"),
     ("iban", _EDGE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + _END),
     ("card", _EDGE + r"(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3})" + _END),
     ("ssn", _EDGE + r"\d{3}-\d{2}-\d{4}" + _END),
     ("phone", r"(?<![\p{L}\p{N}+.])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .\-]?\d{3,4}[ .\-]\d{3,4}" + _END + r"|(?<![\p{L}\p{N}+])\+\d{8,15}" + _END),
-    ("name", _EDGE + rf"(?:{_TITLES_M}|{_TITLES_F})\.? \p{{Lu}}\p{{L}}++(?: \p{{Lu}}\p{{L}}++)?"),
+    ("name", _EDGE + rf"(?:{_TITLES_M}|{_TITLES_F}|{_TITLES_N})\.? {_PARTICLES}{_CALLED}(?: {_PARTICLES}{_CALLED})?"),
 )
 #: A spelled phone number's country code: calling codes are prefix-free, those not listed have three digits.
 _COUNTRY = r"^\+(?:1|7|(?:2D[07]|3D[0-469]|4D[013-9]|5D[1-8]|6D[0-6]|8D[1246]|9D[0-58])|[0-9]D[0-9]D[0-9])".replace("D", "[^0-9]*")
 #: Rounds of the collision check after which a fixed-length format counts as full.
 MAX_ROUNDS = 200
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
-#: No entity without one of these.
-HINT = rf"[0-9@]|{_TITLES_M}|{_TITLES_F}|[sg][khp][_\-]|xox|pk"
+#: No entity without one of these: a digit or an at sign, a title, the head of a key, or a hexadecimal string of letters alone.
+HINT = rf"[0-9@]|{_TITLES_M}|{_TITLES_F}|{_TITLES_N}|AKIA|(?:{_KEYS})[_\-]|[a-f]{{32}}|[A-F]{{32}}"
 
 
 def kind_of(value: Column) -> Column:
@@ -69,7 +74,8 @@ def normal(kind: Column, value: Column) -> Column:
     """An entity's spelling-independent form."""
     digits = F.regexp_replace(value, "[^0-9]", "")
     phone = F.concat(F.when(value.startswith("+"), "+").otherwise(""), digits)
-    name = F.concat(F.when(_female(value), "f ").otherwise("m "), F.regexp_replace(value, r"^[^ ]+ ", ""))
+    gender = F.when(_female(value), "f ").when(value.rlike(rf"^(?:{_TITLES_N})[. ]"), "n ").otherwise("m ")
+    name = F.concat(gender, F.regexp_replace(value, r"^[^ ]+ ", ""))
     return F.when(kind == "email", F.lower(value)).when(kind.isin("card", "ssn"), digits).when(kind == "phone", phone).when(kind == "iban", F.translate(value, " ", "")).when(kind == "name", name).otherwise(value)
 
 
@@ -152,21 +158,23 @@ def surrogate(e: Column) -> Column:
     iban = F.concat(F.substring(value, 1, 2), _respell(F.substr(value, F.lit(3), F.length(value)), s))
     title, called = F.regexp_extract(value, r"^([^ ]+ )", 1), F.regexp_replace(value, r"^[^ ]+ ", "")
     cyrillic = called.rlike(r"\p{IsCyrillic}")
-    name = F.transform(F.split(called, " "), lambda w, i: _given(w, s, i, _female(value), cyrillic, attempt))
+    words = F.split(called, " ")
+    name = F.transform(words, lambda w, i: _given(w, s, i, i == F.size(words) - 1, _female(value), cyrillic, attempt))
     name = F.concat(title, F.array_join(name, " "))
     return F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", _respell(value, s)).otherwise(name)
 
 
-def _given(word: Column, s: Column, i: Column, female: Column, cyrillic: Column, attempt: Column) -> Column:
-    """A name of three syllables, the first word's with one more for each attempt before, in the name's script,
+def _given(word: Column, s: Column, i: Column, last: Column, female: Column, cyrillic: Column, attempt: Column) -> Column:
+    """A name of three syllables, the last word's with one more for each attempt before, in the name's script,
     with its gender's ending and the word's letter case."""
     at = i * 10
     latin = [_from(c, _number(s, at + k)) for k, c in enumerate(("BCDFGLMNPRSTV", "aeiou", "bdlmnrstv", "aeiou", "lmnrstdv"))]
     slavic = [_from(c, _number(s, at + k)) for k, c in enumerate(("БВГДКЛМНПРСТ", "аеиоу", "бвдлмнрст", "аеиоу", "лмнрств"))]
-    grown = lambda *letters: F.when(i == 0, _grown(s, attempt, *letters)).otherwise("")
+    grown = lambda *letters: F.when(last, _grown(s, attempt, *letters)).otherwise("")
     slavic, latin = [*slavic, grown("аеиоу", "лмнрств")], [*latin, grown("aeiou", "lmnrstdv")]
     new = F.when(cyrillic, F.concat(*slavic, F.when(female, "а").otherwise("ов"))).otherwise(F.concat(*latin, F.when(female, "a").otherwise("o")))
-    return F.when(word == F.upper(word), F.upper(new)).otherwise(new)
+    particle = word == F.lower(word)
+    return F.when(particle, word).when((word == F.upper(word)) & (F.length(word) > 1), F.upper(new)).otherwise(new)
 
 
 def _found(text: Column) -> Column:

@@ -249,6 +249,24 @@ def test_pii(spark):
     assert pii.pseudonymise(df.limit(0), "k").count() == 0
 
 
+def test_pii_finds_what_stands_alone(spark):
+    """Labelled texts of one entity each, without a digit, an at sign or a title elsewhere; and texts without any."""
+    rng = np.random.default_rng(9)
+    letters = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    hidden = ["AKIA" + letters(upper, 16) for _ in range(20)] + [f"{k}_{letters(upper.lower(), 24)}" for k in ("sk", "pk", "ghp", "gho", "xoxb", "xoxp") for _ in range(5)]
+    hidden += [letters("abcdef", 40) for _ in range(10)] + [letters("ABCDEF", 32) for _ in range(10)]
+    names = ["Mrs. O'Brien", "Mr de Gaulle", "Dr Who", "Prof. Anna-Maria Müller-Lüdenscheidt", "Herr von der Leyen", "Señora D’Angelo", "Доктор Живаго", "Frau Maria van den Berg"]
+    clean = ["The drum in AKI, the risky task_list and abcdef fade; xox pk sk gh.", "Mr and Mrs said no. Drs of Prof nothing de la rue"]
+    rows = [f"so says {x} today" for x in [*hidden, *names]] + clean
+    got = [r["text"] for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    assert got[-2:] == clean and all(x not in y for x, y in zip([*hidden, *names], got)) and all(y.startswith("so says ") and y.endswith(" today") for y in got[:-2])
+    for name, text in zip(names, got[len(hidden) : -2]):
+        words = re.findall(r"[\w'’\-]{3,}", name)[1:]
+        assert all(w not in text.split() for w in words if w[0].isupper()) and text.split()[2] == name.split()[0]
+    assert "de " in got[len(hidden) + 1] and "von der " in got[len(hidden) + 4]
+
+
 def test_pii_collisions_are_resolved(spark, monkeypatch):
     """With a surrogate space of a few octets, first attempts collide; final surrogates don't."""
     real = pii._number
