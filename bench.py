@@ -69,11 +69,11 @@ def import_join(spark) -> None:
 
 def main() -> None:
     from factloom import queries
-    from factloom.operators import search
+    from factloom.operators import index
 
     spark = session()
     took = {n: timed(lambda n=n: queries.QUERIES[n](spark, SF).write.format("noop").mode("overwrite").save()) for n in HEADLINE}
-    took["fts_index_build"] = timed(lambda: search.SearchIndex.build(queries.table(spark, SF, "documents").select("doc_id", "text"), ["doc_id"]), 1)
+    took["fts_index_build"] = timed(lambda: index.TextIndex.build(queries.table(spark, SF, "documents").select("doc_id", "text"), ["doc_id"]), 1)
     took["import_join"] = timed(lambda: import_join(spark))
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": SF}))
 

@@ -62,6 +62,11 @@ class Relation:
     df: DataFrame
     definition: dict | None = None
 
+    @property
+    def name(self) -> str:
+        """What tells it from the memory's other relations."""
+        return canonical_json([self.type, self.logical_key, self.source_type, self.target_type])
+
 
 @dataclass
 class Memory:
@@ -79,6 +84,15 @@ class Memory:
     provenance: dict[str, list[DataFrame]] = field(default_factory=dict)
     catalog: dict[str, DataFrame] = field(default_factory=dict)
     writes: int = 0
+    #: What a version store needs: the commit this was loaded from, its tables and stored parts, and what changed since by table.
+    commit: int = 0
+    tables: dict[str, dict] = field(default_factory=dict)
+    stored: list[tuple[DataFrame, str]] = field(default_factory=list)
+    changes: dict[str, list[tuple[str, DataFrame | None]]] = field(default_factory=dict)
+
+    def note(self, name: str, kind: str, rows: DataFrame | None = None) -> None:
+        """A change of a table since the last commit: upsert (whole rows), delete (keys) or full."""
+        self.changes.setdefault(name, []).append((kind, rows))
 
     def state(self) -> dict:
         return {"generation": self.generation, "data_revision": self.revision}
@@ -112,6 +126,7 @@ class Memory:
             there = [F.when(rest[0] if rest and rest[0] is not None else F.lit(True), F.lit(f)) for f, (_, _, *rest) in fields.items()]
             rows = df.select(F.col(key).alias("id"), F.array_compact(F.array(*there)).alias("_fields"), *((F.col(c) if isinstance(c, str) else c).alias(n) for n, c in provenance.items()))
             add(self, name, rows, F.col("_fields"))
+        self.note(name, "full")
         self.revision += 1
         return self.entities[name]
 
@@ -121,6 +136,7 @@ class Memory:
         df = df.select("source", "target", *(F.col(c) if c in df.columns else d.alias(c) for c, d in cols.items()))
         rel = Relation(type, logical_key, source_type, target_type, df, definition)
         self.relations.append(rel)
+        self.note(rel.name, "full")
         self.revision += 1
         return rel
 
@@ -151,6 +167,7 @@ class Memory:
         for i, r in enumerate(self.relations):
             if r.logical_key == logical_key and not r.df.filter(F.col("active") & hit).isEmpty():
                 self.relations[i], changed = replace(r, df=r.df.withColumn("active", F.col("active") & ~hit)), True
+                self.note(r.name, "upsert", r.df.filter(F.col("active") & hit).withColumn("active", F.lit(False)))
         self.revision += changed
 
     def delete_nodes(self, entity: str, ids: DataFrame) -> None:
@@ -161,9 +178,11 @@ class Memory:
         if entity in self.provenance:
             self.provenance[entity] = [p.join(ids.select("id"), "id", "left_anti") for p in self.provenance[entity]]
         self.entities[entity] = replace(e, df=e.df.join(ids.select("id"), "id", "left_anti"))
+        self.note(entity, "delete", ids.select("id").distinct())
         for i, r in enumerate(self.relations):
             for side, kind in (("source", r.source_type), ("target", r.target_type)):
                 if kind == entity:
+                    self.note(r.name, "delete", r.df.join(ids.select(F.col("id").alias(side)), side, "left_semi").select("source", "target").distinct())
                     r = replace(r, df=r.df.join(ids.select(F.col("id").alias(side)), side, "left_anti"))
             self.relations[i] = r
         self.revision += 1
@@ -229,10 +248,12 @@ class Memory:
         e = self.entity(entity)
         if e.df.filter(~F.col("privacy").eqNullSafe(privacy)).isEmpty():
             return
+        self.note(entity, "upsert", e.df.filter(~F.col("privacy").eqNullSafe(privacy)).withColumn("privacy", privacy))
         self.entities[entity] = replace(e, df=e.df.withColumn("privacy", privacy))
         for i, r in enumerate(self.relations):
             if entity in (r.source_type, r.target_type):
                 self.relations[i] = replace(r, df=self.with_end_privacy(r.df, r.source_type, r.target_type))
+                self.note(r.name, "full")
         self.revision += 1
 
     def with_end_privacy(self, edges: DataFrame, source_type: str, target_type: str) -> DataFrame:

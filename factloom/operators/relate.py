@@ -107,6 +107,7 @@ def materialize_join(memory: Memory, name: str, relation: str, definition: dict)
     if not earlier:
         memory.register_relation(relation, source.name, target.name, fresh, name, full)
     elif found["created"]:  # else no fact has changed
+        memory.note(earlier.name, "upsert", fresh)
         memory.relations[memory.relations.index(earlier)] = type(earlier)(relation, name, source.name, target.name, old.unionByName(fresh), full)
         memory.revision += 1
     counters = {**found.asDict(), **skipped.asDict()}

@@ -1,18 +1,14 @@
-"""Retrieval: an inverted index with BM25, exact cosine search, and their coverage."""
+"""Retrieval: searchable documents, BM25 by a scan, exact cosine search, embeddings and their coverage. The index is in index.py."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import QueryValidationError
 from ..functions.values import cosine
 from ..memory import Memory
-from ..plans.staging import passing, shared_folder
-
-K1, B = 1.2, 0.75
+from .index import K1, B, counted
 
 
 def search_documents(memory: Memory) -> DataFrame:
@@ -30,57 +26,10 @@ def search_documents(memory: Memory) -> DataFrame:
 
 
 def index(documents: DataFrame, text: str = "text", key: list[str] | None = None) -> DataFrame:
-    """Postings: key columns, token, tf, dl (words of the document)."""
+    """Postings: key columns, token, tf, dl (words of the document), made in a map."""
     key = key or ["entity_type", "node_id", "field"]
-    words = documents.select(*key, F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0)).alias("w"))
-    return words.select(*key, F.size("w").alias("dl"), F.explode("w").alias("token")).groupBy(*key, "dl", "token").agg(F.count("*").alias("tf"))
-
-
-#: Parts that an index's postings are dealt into by token.
-INDEX_PARTS = 64
-
-
-class SearchIndex:
-    """Postings written once, in parts by token, with the statistics that scores need: a search reads
-    its terms' parts alone, and of these the row groups that hold the terms. It belongs to one state of a memory; `current`
-    tells whether it still is the one."""
-
-    def __init__(self, spark: SparkSession, path: str, key: list[str], n: int, mean: float, state: dict | None):
-        self.spark, self.path, self.key, self.n, self.mean, self.state = spark, path, key, n, mean, state
-
-    @classmethod
-    def build(cls, documents: DataFrame, key: list[str], path: str | None = None, text: str = "text", state: dict | None = None) -> SearchIndex:
-        spark = documents.sparkSession
-        if path is None:
-            path = f"{shared_folder(spark)}/factloom-index-{uuid.uuid4().hex}"
-            passing(spark, path)
-        words = documents.select(*key, F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0)).alias("w"))
-        sizes = words.select(F.size("w").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).first()
-        part = F.pmod(F.xxhash64("token"), F.lit(INDEX_PARTS)).cast("int")
-        rows = index(documents, text, key).withColumn("part", part).repartition("part").sortWithinPartitions("part", "token")
-        rows.write.mode("overwrite").partitionBy("part").parquet(path)
-        return cls(spark, path, key, sizes["n"], sizes["mean"] or 0.0, state)
-
-    def current(self, memory: Memory) -> bool:
-        return self.state == memory.state()
-
-    def postings(self, terms: list[str]) -> DataFrame:
-        parts = {r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "token string").select(F.pmod(F.xxhash64("token"), F.lit(INDEX_PARTS)).cast("int")).collect()}
-        return self.spark.read.parquet(self.path).filter(F.col("part").isin(sorted(parts)) & F.col("token").isin(terms))
-
-    def search(self, terms: list[str], k: int | None = None) -> DataFrame:
-        """What fts() gives: key columns and score of the documents that hold all terms, best first with k. Document
-        frequencies come from the same postings."""
-        terms = sorted({t.lower() for t in terms})
-        found = self.postings(terms)
-        df = found.groupBy("token").agg(F.count("*").alias("df"))
-        idf = F.log((F.lit(self.n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-        part = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(self.mean)))
-        # One row per term of the search on the broadcast side.
-        each = found.join(F.broadcast(df), "token").select(*self.key, "token", part.alias("part_"))
-        out = each.groupBy(*self.key).agg(F.count("*").alias("held"), F.array_sort(F.collect_list(F.struct("token", "part_"))).alias("parts"))
-        out = out.filter(F.col("held") == len(terms)).select(*self.key, F.aggregate("parts", F.lit(0.0), lambda a, x: a + x["part_"]).alias("score"))
-        return out.orderBy(F.desc("score"), *self.key).limit(k) if k else out
+    each = counted(documents, key, text).select(*key, "dl", F.explode("tokens").alias("x"))
+    return each.select(*key, "dl", "x.token", "x.tf")
 
 
 def _uses(term: str) -> Column:
@@ -109,12 +58,6 @@ def fts(documents: DataFrame, terms: list[str], key: list[str], k: int | None =
     return out.orderBy(F.desc("score"), *key).limit(k) if k else out
 
 
-def coverage(memory: Memory) -> DataFrame:
-    """eligible, indexed, complete: searchable attributes and those with at least one word."""
-    docs = search_documents(memory)
-    return docs.agg(F.count("*").alias("eligible"), F.count_if(F.regexp_like("text", F.lit(r"(?U)\w"))).alias("indexed")).select("eligible", "indexed", (F.col("eligible") == F.col("indexed")).alias("complete"))
-
-
 def semantic_top_k(vectors: DataFrame, query: list[float], key: str, vector: str, k: int, where: Column | None = None, dims: int | None = None) -> DataFrame:
     """Exact cosine: key, score of the k nearest, by (-score, key). A top-k per task, no shuffle of vectors.
     where: the rows that take part (entity types, public ones, fields). dims: a query of another size raises, and

@@ -42,6 +42,8 @@ def write_attribute(memory: Memory, entity: str, name: str, kind: str, values: D
     there = F.coalesce("_p", F.lit(False)) | (F.col(f"p_{name}") if known else F.lit(False))
     df = e.df.join(new, "id", "left").select(*rest, *cols, there.alias(f"p_{name}"))
     memory.entities[entity] = replace(e, df=df, fields=e.fields | {name: f})
+    retyped = known is not None and known.kind != kind
+    memory.note(entity, "full" if retyped else "upsert", None if retyped else df.join(values.select("id"), "id", "left_semi"))
     memory.revision += 1
     provenance.add(memory, entity, values.select("id", F.lit(name).alias("field")), run_id=run, updated_at=at or datetime.now(UTC))
     done[identity] = name

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from .functions.values import exact_ratio, ratio_sort_key
 from .memory import Memory
-from .operators import lifecycle, relate, search, traverse
+from .operators import index, lifecycle, relate, search, traverse
 from .plans import aggregate, compile
 from .plans.ir import Predicate, parse_v1, parse_v2
-from .sources import fragments, jsonl
+from .sources import files, fragments, jsonl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -483,15 +483,20 @@ _TERMS = ["the", "and", "of"]
 _TOK = "regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+')"
 
 
-_INDEXES: dict[tuple[str, str], search.SearchIndex] = {}
+_INDEXES: dict[tuple, index.TextIndex] = {}
 
 
-def text_index(spark: SparkSession, d: str) -> search.SearchIndex:
-    """The index of a folder's documents: written once an application, as searches find it in use."""
-    at = (spark.sparkContext.applicationId, d)
-    if at not in _INDEXES:
-        _INDEXES[at] = search.SearchIndex.build(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"])
-    return _INDEXES[at]
+def text_index(spark: SparkSession, d: str) -> index.TextIndex:
+    """The index of a folder's documents: written once an application and state of its files, as searches find it in use."""
+    docs, stamp = table(spark, d, "documents").select("doc_id", "text"), []
+    for path in docs.inputFiles():
+        system, at = files.system(spark, path)
+        about = system.getFileStatus(at)
+        stamp.append((path, about.getLen(), about.getModificationTime()))
+    name = (spark.sparkContext.applicationId, d, *sorted(stamp))
+    if name not in _INDEXES:
+        _INDEXES[name] = index.TextIndex.build(docs, ["doc_id"])
+    return _INDEXES[name]
 
 
 @_query("fts_and_match", f"SELECT doc_id FROM (SELECT doc_id, {_TOK} AS w FROM documents) WHERE list_has_all(w, ['the','and','of'])")
@@ -499,11 +504,11 @@ def fts_and_match(spark: SparkSession, d: str) -> DataFrame:
     return text_index(spark, d).search(_TERMS).select("doc_id")
 
 
-def _bm25_sql() -> str:
+def _bm25_sql(documents: str = "documents") -> str:
     score = " + ".join(f"ln((n - df{i} + 0.5) / (df{i} + 0.5) + 1.0) * (tf{i} * 2.2) / (tf{i} + 1.2 * (0.25 + 0.75 * dl / mean))" for i in range(3))
     tfs = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS tf{i}" for i, t in enumerate(sorted(_TERMS)))
     dfs = ", ".join(f"count(*) FILTER (WHERE tf{i} > 0) AS df{i}" for i in range(3))
-    return f"WITH d AS (SELECT doc_id, len(w) AS dl, {tfs} FROM (SELECT doc_id, {_TOK} AS w FROM documents)), s AS (SELECT count(*) AS n, avg(dl) AS mean, {dfs} FROM d) SELECT doc_id, round({score}, 6) AS score FROM d, s WHERE tf0 > 0 AND tf1 > 0 AND tf2 > 0 ORDER BY {score} DESC, doc_id LIMIT 20"
+    return f"WITH d AS (SELECT doc_id, len(w) AS dl, {tfs} FROM (SELECT doc_id, {_TOK} AS w FROM {documents})), s AS (SELECT count(*) AS n, avg(dl) AS mean, {dfs} FROM d) SELECT doc_id, round({score}, 6) AS score FROM d, s WHERE tf0 > 0 AND tf1 > 0 AND tf2 > 0 ORDER BY {score} DESC, doc_id LIMIT 20"
 
 
 @_query("fts_bm25_topk", _bm25_sql())
@@ -519,7 +524,8 @@ def fts_bm25_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("search_coverage", "SELECT count(*) AS eligible, count(*) AS indexed, true AS complete FROM part")
 def search_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return search.coverage(tpch(spark, d))
+    docs = search.search_documents(tpch(spark, d))
+    return index.TextIndex.build(docs, ["entity_type", "node_id", "field"]).coverage(docs)
 
 
 @_query("search_postings", "SELECT token, count(*) AS n_docs, CAST(sum(tf) AS BIGINT) AS n_uses FROM (SELECT p_partkey, token, count(*) AS tf FROM (SELECT p_partkey, unnest(regexp_extract_all(lower(p_name), '[a-z0-9_]+')) AS token FROM part) GROUP BY 1, 2) GROUP BY token")

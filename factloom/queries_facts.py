@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .memory import Memory
-from .operators import observations, provenance, relate, writes
+from .operators import index, observations, provenance, relate, writes
 from .plans import aggregate, compile
 from .plans.ir import parse_v1, parse_v2
 from .plans.staging import shared_folder
-from .queries import _B, _CM, _JOINED, _MEMBERS_OF, _OM, FLAGSHIP, QUERIES, SQL, _lines, _query, _where, m_, table, tpch
+from .queries import _B, _CM, _JOINED, _MEMBERS_OF, _OM, _TERMS, FLAGSHIP, QUERIES, SQL, _bm25_sql, _lines, _query, _where, m_, table, tpch
 from .sources import fragments, jsonl
+from .sources.versions import VersionStore
 
 _NUMBERS = count()
 
@@ -267,3 +268,77 @@ def capture_metrics(spark: SparkSession, d: str) -> DataFrame:
     root, identity = observed(spark, d)
     rows = observations.native_metrics(spark, root, identity).filter("measure in ('urgent', 'urgent_orders')")
     return rows.select("member", "measure", F.get_json_object("group_key", "$[0].value").alias("segment"), "value")
+
+
+# -- an index that follows its documents --------------------------------------------------------------------------------
+_NOW = "(SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'the revised ' || text ELSE text END AS text FROM documents WHERE doc_id % 7 <> 2 UNION ALL SELECT 10000000 + item_id, text FROM benchmark)"
+
+
+def _changes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents before and after: every third has another text, every seventh is gone, and some are new."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("the revised "), "text")).otherwise(F.col("text"))
+    fresh = table(spark, d, "benchmark").select((F.col("item_id") + 10_000_000).alias("doc_id"), "text")
+    return docs, docs.filter("doc_id % 7 <> 2").select("doc_id", text.alias("text")).union(fresh)
+
+
+@_query("index_after_patch", _bm25_sql(_NOW))
+def index_after_patch(spark: SparkSession, d: str) -> DataFrame:
+    """A search after the index was brought up to date by the difference."""
+    before, after = _changes(spark, d)
+    made = index.TextIndex.build(before, ["doc_id"])
+    made.refresh(after)
+    return made.search(_TERMS, 20).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@_query("index_drift", "SELECT doc_id, CASE WHEN doc_id % 7 = 2 THEN 'extra' ELSE 'stale' END AS status FROM documents WHERE doc_id % 7 = 2 OR doc_id % 3 = 0 UNION ALL SELECT 10000000 + item_id, 'missing' FROM benchmark")
+def index_drift(spark: SparkSession, d: str) -> DataFrame:
+    before, after = _changes(spark, d)
+    return index.TextIndex.build(before, ["doc_id"]).drift(after)
+
+
+@_query("index_coverage", f"SELECT count(*) AS eligible, count(*) FILTER (WHERE doc_id < 10000000 AND doc_id % 3 <> 0) AS indexed, false AS complete FROM {_NOW}")
+def index_coverage(spark: SparkSession, d: str) -> DataFrame:
+    before, after = _changes(spark, d)
+    return index.TextIndex.build(before, ["doc_id"]).coverage(after)
+
+
+# -- commits ------------------------------------------------------------------------------------------------------------
+def committed(spark: SparkSession, d: str) -> VersionStore:
+    """Three commits: customers; a patch of every hundredth and one new; every twentieth deleted."""
+    kept = VersionStore(spark, f"{shared_folder(spark)}/factloom-commits-{spark.sparkContext.applicationId}-{next(_NUMBERS)}")
+    c, key = table(spark, d, "customer"), {"key": "integer"}
+    m = kept.load()
+    jsonl.import_jsonl(m, "crm.Customer", _lines(c.select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("segment"))), key)
+    kept.commit(m)
+    m = kept.load()
+    patch = c.filter("c_custkey % 100 = 3").select(F.col("c_custkey").alias("key"), F.lower("c_mktsegment").alias("segment"), F.col("c_name").alias("note"))
+    jsonl.import_jsonl(m, "crm.Customer", _lines(patch.union(spark.createDataFrame([(-1, "new", "n")], "key long, segment string, note string"))), key)
+    kept.commit(m)
+    m = kept.load()
+    m.delete_nodes("crm.Customer", m.entity("crm.Customer").df.filter("i_key % 20 = 3"))
+    kept.commit(m)
+    return kept
+
+
+def _customers(m: Memory) -> DataFrame:
+    e = m.entity("crm.Customer").df
+    note = F.col("v_note") if "v_note" in e.columns else F.lit(None).cast("string")
+    return e.select(F.col("i_key").cast("long").alias("key"), F.col("v_segment").alias("segment"), note.alias("note"))
+
+
+@_query("commit_last", "SELECT c_custkey AS key, c_mktsegment AS segment, CAST(NULL AS VARCHAR) AS note FROM customer WHERE c_custkey % 20 <> 3 UNION ALL SELECT -1, 'new', 'n'")
+def commit_last(spark: SparkSession, d: str) -> DataFrame:
+    return _customers(committed(spark, d).load())
+
+
+@_query("commit_earlier", "SELECT c_custkey AS key, CASE WHEN c_custkey % 100 = 3 THEN lower(c_mktsegment) ELSE c_mktsegment END AS segment, CASE WHEN c_custkey % 100 = 3 THEN c_name END AS note FROM customer UNION ALL SELECT -1, 'new', 'n'")
+def commit_earlier(spark: SparkSession, d: str) -> DataFrame:
+    return _customers(committed(spark, d).load(2))
+
+
+@_query("commit_rows", "SELECT 1 AS number, count(*) AS n_rows FROM customer UNION ALL SELECT 2, count(*) + 1 FROM customer WHERE c_custkey % 100 = 3 UNION ALL SELECT 3, count(*) FROM customer WHERE c_custkey % 20 = 3")
+def commit_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that each commit wrote: the first all, the others what changed."""
+    kept = committed(spark, d)
+    return spark.createDataFrame([(n, kept.size(n)["crm.Customer"]) for n in kept.numbers()], "number int, n_rows long")

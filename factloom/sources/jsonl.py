@@ -254,7 +254,13 @@ def _import(memory: Memory, entity_type: str, rows: DataFrame, key: dict[str, st
     if got["short"]:
         raise ImportRejected(f"a required field of {entity_type} is missing in a new node")
     if got["changed"] or old is None or fields != old.fields:  # else no fact has changed
-        memory.entities[entity_type] = Entity(entity_type, table.drop("_kind", "_new", "line", "_fields"), fields)
+        rows = table.drop("_kind", "_new", "line", "_fields")
+        kinds = {n: f.kind for n, f in old.fields.items()} if old else None
+        if kinds is None or any(fields[n].kind != k for n, k in kinds.items()):
+            memory.note(entity_type, "full")
+        else:
+            memory.note(entity_type, "upsert", table.filter("_new").select(*rows.columns))
+        memory.entities[entity_type] = Entity(entity_type, rows, fields, "string")
         memory.revision += 1
     result = {"created": got["created"], "updated": got["n"] - got["created"], "ontology_delta": delta, "replayed": False}
     return result, table.filter(told).select("id", F.col("line").alias("record"), "_fields")
@@ -312,8 +318,10 @@ def declare(memory: Memory, entity_type: str, fields: dict[str, dict]) -> None:
         df = old.df
         for n, f in out.items():
             if n not in current:
+                memory.note(entity_type, "full")
                 df = df.select("*", *_empty(f))
             elif current[n].kind != f.kind:
+                memory.note(entity_type, "full")
                 df = _retype(df, current[n], f)
         memory.entities[entity_type] = Entity(entity_type, df, out, old.id_type)
     else:

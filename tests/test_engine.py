@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from factloom.errors import FactloomError, ImportRejected, JoinError, QueryValidationError, StaleResultError
 from factloom.functions import values
 from factloom.memory import Memory
-from factloom.operators import lifecycle, observations, provenance, relate, search, traverse, writes
+from factloom.operators import index, lifecycle, observations, provenance, relate, search, traverse, writes
 from factloom.plans import aggregate, compile
 from factloom.plans.ir import parse_v1, parse_v2
 from factloom.sources import fragments, jsonl, store
+from factloom.sources.versions import VersionStore
 
 
 def lines(spark, docs):
@@ -289,7 +290,7 @@ def test_search_and_embeddings(spark):
     top = search.semantic_top_k(vectors, [1.0, 0.0], "node_id", "embedding", 5).collect()
     assert [r["node_id"] for r in top] == ["1", "3"]
     assert search.missing_embeddings(docs, vectors, ["node_id"]).count() == 0
-    made = search.SearchIndex.build(docs, ["node_id"], state=m.state())
+    made = index.TextIndex.build(docs, ["node_id"], state=m.state())
     assert made.current(m)
     for terms in (["RUN", "the"], ["the"], ["nowhere"], ["other", "nowhere"]):
         want = {r["node_id"]: round(r["score"], 9) for r in search.fts(docs, terms, ["node_id"]).collect()}
@@ -303,6 +304,33 @@ def test_search_and_embeddings(spark):
     assert [r["node_id"] for r in search.semantic_top_k(vectors, [1.0, 0.0], "node_id", "embedding", 5, F.col("node_id") != "1", 2).collect()] == ["3"]
 
 
+def test_index_follows_its_model(spark, tmp_path, monkeypatch):
+    """Random changes: searches equal those of an index built anew, and drift is seen both ways; segments stay few."""
+    r, said = random.Random(4), "the run stop go far near far far".split()
+    model = {i: " ".join(r.choices(said, k=r.randrange(9))) for i in range(30)} | {None: "the null run"}
+    frame = lambda rows: spark.createDataFrame(list(rows.items()), "node_id long, text string")
+    made = index.TextIndex.build(frame(model), ["node_id"], str(tmp_path / "i"))
+    for step in range(7):
+        before = dict(model)
+        for i in r.sample(range(40), 6):
+            model[i] = " ".join(r.choices(said, k=r.randrange(9)))
+        for i in r.sample(sorted(k for k in model if k is not None), 3):
+            del model[i]
+        status = {x["node_id"]: x["status"] for x in made.drift(frame(model)).collect()}
+        assert status == {k: "extra" if k not in model else "missing" if k not in before else "stale" for k in {*before, *model} if before.get(k) != model.get(k) or (k in before) != (k in model)}
+        assert made.coverage(frame(model)).first()["complete"] == all(s == "extra" for s in status.values())
+        got = made.refresh(frame(model), state={"step": step})
+        assert sum(got.values()) == len(status) and made.drift(frame(model)).isEmpty() and made.manifest["state"] == {"step": step}
+        assert made.manifest["n"] == len(model) and made.manifest["words"] == sum(len(x.split()) for x in model.values())
+    assert len(made.manifest["segments"]) < 6
+    again = index.TextIndex(spark, made.path)
+    for terms in (["far"], ["the", "run"], ["nowhere"]):
+        want = {x["node_id"]: round(x["score"], 9) for x in search.fts(frame(model), terms, ["node_id"]).collect()}
+        assert {x["node_id"]: round(x["score"], 9) for x in again.search(terms).collect()} == want
+    made.refresh(frame(model).limit(0))
+    assert made.search(["far"]).isEmpty() and made.documents().isEmpty() and made.manifest["n"] == 0
+
+
 def test_capture_freshness_and_bundles(spark, plant, tmp_path):
     doc, root = query(group_by=[{"field": "m.maker", "as": "maker"}]), str(tmp_path)
     seen = observations.capture(plant, root, {"a": doc}, "v1", plant.state())
@@ -446,13 +474,52 @@ def test_casefold_matches_python(spark):
 
 
 def test_stream(spark, tmp_path):
-    from factloom.streaming.ingest import stream_jsonl
+    from factloom.streaming.ingest import import_batch, stream_jsonl
 
+    root, ck = (tmp_path / "store").as_uri(), str(tmp_path / "ck")
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.jsonl").write_text('{"k": 1, "v": "a"}\n{"k": 2, "v": "b"}\n')
-    m = Memory(spark)
-    stream_jsonl(spark, m, str(tmp_path / "in"), "a.B", {"k": "integer"}, str(tmp_path / "ck")).awaitTermination(120)
-    assert m.entity("a.B").df.count() == 2
+    stream_jsonl(spark, root, str(tmp_path / "in"), "a.B", {"k": "integer"}, ck).awaitTermination(120)
+    (tmp_path / "in" / "b.jsonl").write_text('{"k": 2, "v": "c"}\n{"k": 3, "v": "d"}\n')
+    stream_jsonl(spark, root, str(tmp_path / "in"), "a.B", {"k": "integer"}, ck).awaitTermination(120)
+    kept = VersionStore(spark, root)
+    m = kept.load()
+    assert sorted((r["c_k"], r["v_v"]) for r in m.entity("a.B").df.collect()) == [("1", "a"), ("2", "c"), ("3", "d")] and kept.numbers() == [1, 2]
+    # A batch that dies before its commit is imported when it comes again; one that dies after it is replayed.
+    lost = kept.load()
+    jsonl.import_jsonl(lost, "a.B", lines(spark, [{"k": 4}]), {"k": "integer"}, content_hash=f"{ck}#2")
+    assert not import_batch(kept, lines(spark, [{"k": 4}]), 2, "a.B", {"k": "integer"}, ck)["replayed"]
+    assert import_batch(kept, lines(spark, [{"k": 4}]), 2, "a.B", {"k": "integer"}, ck)["replayed"] and kept.numbers() == [1, 2, 3]
+    with pytest.raises(StaleResultError):
+        kept.commit(lost)
+
+
+def test_commits_hold_what_changed(spark, tmp_path):
+    """Random writes: each commit reads back as the memory was, earlier ones still do, and small changes write little."""
+    r, kept = random.Random(8), VersionStore(spark, (tmp_path / "s").as_uri())
+    m, key, was = kept.load(), {"k": "integer"}, {}
+    seen = lambda x: {n: sorted(map(str, e.df.select(*sorted(e.df.columns)).collect())) for n, e in x.entities.items()} | {y.name: sorted(map(str, y.df.collect())) for y in x.relations}
+    jsonl.import_jsonl(m, "a.T", lines(spark, [{"k": k} for k in range(5)]), key)
+    jsonl.import_jsonl(m, "a.S", lines(spark, [{"k": k, "t": k % 6, "x": "s"} for k in range(200)]), key)
+    join = {"from": {"type": "a.S", "fields": ["t"]}, "to": {"type": "a.T", "fields": ["k"]}}
+    for step in range(5):
+        relate.materialize_join(m, "s_t", "of", join)
+        if step == 1:
+            m.delete_nodes("a.S", m.entity("a.S").df.filter("i_k % 50 = 7"))
+        if step == 2:
+            m.deactivate_relation("s_t", F.col("target").isNotNull() & F.col("source").startswith("a"))
+            writes.write_attribute(m, "a.S", "n", "number", m.entity("a.S").df.filter("i_k < 3").select("id", F.lit(2).cast("long").alias("value")), "r")
+        if step == 3:
+            m.reclassify("a.T", F.when(F.col("i_k") == 1, "private").otherwise("public"))
+        n = kept.commit(m)
+        was[n], back = seen(m), kept.load()
+        assert seen(back) == was[n] and back.state() == m.state() and back.imports == m.imports
+        m = back
+        jsonl.import_jsonl(m, "a.S", lines(spark, [{"k": k, "x": f"p{step}"} for k in r.sample(range(210), 2)]), key)
+    assert all(seen(kept.load(n)) == was[n] for n in was) and kept.load().commit == 5
+    assert kept.size(1)["a.S"] == 200 and 0 < kept.size(2)["a.S"] <= 6 and kept.size(5) == {"a.T": 0, "a.S": 2, "of": kept.size(5)["of"]} and kept.size(5)["of"] <= 2
+    facts = sorted(map(str, provenance.latest(m, "a.S").collect()))
+    assert kept.commit(m) == 6 and sorted(map(str, provenance.latest(kept.load(), "a.S").collect())) == facts
 
 
 def test_writes_wipe_memories_snapshot(spark, plant, tmp_path):
