@@ -53,24 +53,10 @@ def _members(memory: Memory, q: Query2) -> DataFrame:
     return out
 
 
-def _fields(q: Query2) -> dict[str, set[str]]:
-    """Fields that a query reads, by alias."""
-    out: dict[str, set[str]] = {a: set() for a in _types(q)}
-    for pattern in (q.base, q.optional):
-        for p in pattern.where if pattern else ():
-            out[p.alias].add(p.field)
-    for _, alias, name in q.groups:
-        out[alias].add(name)
-    for m in q.measures:
-        if m.field:
-            out[m.field[0]].add(m.field[1])
-    return out
-
-
 def _provenance(memory: Memory, q: Query2, bindings: DataFrame) -> DataFrame:
     """alias, node_id, field and the last write's columns, of the nodes in the bindings and the fields the query reads."""
     out = None
-    for alias, names in _fields(q).items():
+    for alias, names in aggregate.fields_read(q).items():
         entity = memory.entity(_types(q)[alias])
         nodes = bindings.select(F.col(alias).cast(entity.id_type).alias("id")).filter("id is not null")
         one = provenance.latest(memory, entity.name, sorted(names), nodes)
@@ -86,7 +72,7 @@ def _bindings(memory: Memory, q: Query2) -> DataFrame:
 
 def _public(memory: Memory, q: Query2, bindings: DataFrame) -> bool:
     """No private node in a binding, and no private field read."""
-    for alias, names in _fields(q).items():
+    for alias, names in aggregate.fields_read(q).items():
         entity = memory.entity(_types(q)[alias])
         if any(entity.field(n).privacy == "private" for n in names):
             return False

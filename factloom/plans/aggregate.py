@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,9 +70,9 @@ def _total(c: Column) -> Column:
     return F.when(F.abs(total) <= SAFE_INTEGER, total).otherwise(F.raise_error(F.lit("analytics_error: sum outside the safe integers")).cast("decimal(38,0)")).cast("bigint")
 
 
-def groups(memory: Memory, q: Query2) -> DataFrame:
+def groups(memory: Memory, q: Query2, matches: DataFrame | None = None) -> DataFrame:
     """One row per group: <group>_kind, <group>, each measure, <sum>_skipped, each ratio. Global
-    queries have one row even over nothing."""
+    queries have one row even over nothing. matches: the query's binding_frame, if it is there already."""
     keys = _keys(memory, q)
     names = [n for g in q.groups for n in (f"{g[0]}_kind", g[0])]
     cols, plain = list(keys), {}
@@ -80,7 +82,7 @@ def groups(memory: Memory, q: Query2) -> DataFrame:
         cols.append(_when(q, m).alias(f"_w_{m.name}"))
         if m.op == "sum":
             cols.append(_summed(memory, q, m).alias(f"_v_{m.name}"))
-    rows = binding_frame(memory, q).select(*cols)
+    rows = (binding_frame(memory, q) if matches is None else matches).select(*cols)
 
     distinct = [m for m in q.measures if m.op == "count_distinct" or m.distinct_on]
     owners = {m.node or m.distinct_on for m in distinct}
@@ -174,9 +176,9 @@ def ordered(memory: Memory, q: Query2, out: DataFrame) -> DataFrame:
     return out.orderBy(*keys, group_id(q).asc())
 
 
-def run_v2(memory: Memory, q: Query2) -> DataFrame:
+def run_v2(memory: Memory, q: Query2, matches: DataFrame | None = None) -> DataFrame:
     """A page of groups, in order."""
-    out = ordered(memory, q, groups(memory, q))
+    out = ordered(memory, q, groups(memory, q, matches))
     return (out.offset(q.offset) if q.offset else out).limit(q.limit)
 
 
@@ -192,8 +194,8 @@ def execute_v2(memory: Memory, q: Query2) -> dict:
 # -- bundles and drill-down -------------------------------------------------------------------------
 
 
-def execute_bundle(memory: Memory, members: dict[str, Query2], coverage: dict[str, tuple[str, str]] | None = None, expected_state: dict | None = None) -> dict[str, DataFrame]:
-    """Named members over one pinned state; coverage roles name measures of unpaged global members."""
+def check_bundle(memory: Memory, members: dict[str, Query2], coverage: dict[str, tuple[str, str]] | None = None, expected_state: dict | None = None) -> None:
+    """Raises where a bundle has too many members, isn't of the expected state, or a coverage role names no measure of an unpaged global member."""
     from ..errors import StaleResultError
     from .ir import MAX_MEMBERS
 
@@ -205,15 +207,58 @@ def execute_bundle(memory: Memory, members: dict[str, Query2], coverage: dict[st
         q = members.get(member)
         if q is None or q.groups or q.offset or measure not in [m.name for m in q.measures]:
             raise QueryValidationError(f"coverage role {role} needs a measure of a global member")
-    return {name: run_v2(memory, q) for name, q in members.items()}
+
+
+def execute_bundle(memory: Memory, members: dict[str, Query2], coverage: dict[str, tuple[str, str]] | None = None, expected_state: dict | None = None) -> dict[str, DataFrame]:
+    """Named members over one pinned state; members of one pattern share its matches."""
+    check_bundle(memory, members, coverage, expected_state)
+    matches = shared_matches(memory, members)
+    return {name: run_v2(memory, q, matches.get(name)) for name, q in members.items()}
+
+
+def fields_read(q: Query2) -> dict[str, set[str]]:
+    """Fields that a query reads, by alias."""
+    out: dict[str, set[str]] = {a: set() for a in [*q.base.nodes, *(q.optional.nodes if q.optional else ())]}
+    for pattern in (q.base, q.optional):
+        for p in pattern.where if pattern else ():
+            out[p.alias].add(p.field)
+    for _, alias, name in q.groups:
+        out[alias].add(name)
+    for m in q.measures:
+        if m.field:
+            out[m.field[0]].add(m.field[1])
+    return out
+
+
+def shared_matches(memory: Memory, members: dict[str, Query2]) -> dict[str, DataFrame]:
+    """The bindings of members that share their pattern with another: matched once, without the base's predicates, and written with the
+    columns that any of them reads; each member filters that table. What is in the optional branch has to be the same."""
+    alike: dict[str, list[str]] = {}
+    for name, q in members.items():
+        alike.setdefault(repr((sorted(q.base.nodes.items()), q.base.edges, q.optional, q.optional_alias)), []).append(name)
+    out = {}
+    for names in alike.values():
+        if len(names) < 2:
+            continue
+        first = members[names[0]]
+        rows = binding_frame(memory, replace(first, base=replace(first.base, where=())))
+        wanted = {f"{a}__{c}_{f}" for n in names for a, fs in fields_read(members[n]).items() for f in fs for c in "vpci"}
+        rows = written(rows.select(*(c for c in rows.columns if c.endswith("__id") or c in wanted)), "matches")
+        for n in names:
+            q, own = members[n], rows
+            for p in q.base.where:
+                own = own.filter(predicate(p, fields_of(memory, q.base.nodes, p), V2))
+            out[n] = own
+    return out
 
 
 def coverage_frame(memory: Memory, members: dict[str, Query2], coverage: dict[str, tuple[str, str]]) -> DataFrame:
     """role, value: one row per coverage role."""
-    execute_bundle(memory, members, coverage)
-    out = None
+    check_bundle(memory, members, coverage)
+    out, used = None, {member: members[member] for member, _ in coverage.values()}
+    matches = shared_matches(memory, used)
     for role, (member, measure) in coverage.items():
-        one = groups(memory, members[member]).select(F.lit(role).alias("role"), F.col(measure).cast("bigint").alias("value"))
+        one = groups(memory, members[member], matches.get(member)).select(F.lit(role).alias("role"), F.col(measure).cast("bigint").alias("value"))
         out = one if out is None else out.unionByName(one)
     return out
 

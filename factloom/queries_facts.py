@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .memory import Memory
-from .operators import index, observations, provenance, relate, writes
+from .operators import embeddings, index, observations, provenance, relate, search, writes
 from .plans import aggregate, compile
 from .plans.ir import parse_v1, parse_v2
 from .plans.staging import shared_folder
-from .queries import _B, _CM, _JOINED, _MEMBERS_OF, _OM, _TERMS, FLAGSHIP, QUERIES, SQL, _bm25_sql, _lines, _query, _where, m_, table, tpch
+from .queries import _B, _CM, _JOINED, _MEMBERS_OF, _OM, _OPT, _SEG, _TERMS, FLAGSHIP, QUERIES, SQL, _bm25_sql, _lines, _query, _where, m_, table, tpch
 from .sources import fragments, jsonl
 from .sources.versions import VersionStore
 
@@ -342,3 +342,44 @@ def commit_rows(spark: SparkSession, d: str) -> DataFrame:
     """Rows that each commit wrote: the first all, the others what changed."""
     kept = committed(spark, d)
     return spark.createDataFrame([(n, kept.size(n)["crm.Customer"]) for n in kept.numbers()], "number int, n_rows long")
+
+
+# -- bundles over one pass, embeddings ------------------------------------------------------------------------------------
+_BUNDLE = {
+    "all": {"match": _CM, "optional_match": _OPT, "group_by": _SEG, "measures": [m_("n", "count_distinct", node="c"), m_("x", "count", node="o")]},
+    "rich": {"match": _CM, "optional_match": _OPT, "where": [_where("c.cents", "gt", 500000)], "group_by": _SEG, "measures": [m_("n", "count_distinct", node="c"), m_("x", "sum", field="o.cents")]},
+    "poor": {"match": _CM, "optional_match": _OPT, "where": [_where("c.cents", "lte", 0)], "group_by": _SEG, "measures": [m_("n", "count_distinct", node="c"), m_("x", "sum", field="c.cents", distinct_on="c")]},
+    "one": {"match": _CM, "optional_match": _OPT, "where": [_where("c.segment", "eq", "BUILDING")], "group_by": _SEG, "measures": [m_("n", "count_distinct", node="c", when={"bound": "o"}), m_("x", "count", node="o")]},
+}
+
+
+def _part(name: str, n: str, x: str, where: str) -> str:
+    return f"SELECT '{name}' AS member, segment, {n} AS n, CAST({x} AS BIGINT) AS x FROM {_JOINED} WHERE {where} GROUP BY segment"
+
+
+@_query(
+    "bundle_shared",
+    " UNION ALL ".join((
+        _part("all", "count(DISTINCT c)", "count(o)", "true"), _part("rich", "count(DISTINCT c)", "coalesce(sum(ocents), 0)", "ccents > 500000"),
+        "SELECT 'poor', segment, count(*), CAST(sum(ccents) AS BIGINT) FROM (SELECT DISTINCT segment, c, ccents FROM " + _JOINED + " WHERE ccents <= 0) GROUP BY segment",
+        _part("one", "count(DISTINCT c) FILTER (WHERE o IS NOT NULL)", "count(o)", "segment = 'BUILDING'"),
+    )),
+)
+def bundle_shared(spark: SparkSession, d: str) -> DataFrame:
+    """Four members of one pattern: one pass over entities and edges, four over its matches."""
+    got = aggregate.execute_bundle(tpch(spark, d), {n: parse_v2({"query_ir_version": "2"} | q) for n, q in _BUNDLE.items()})
+    rows = [df.select(F.lit(n).alias("member"), "segment", "n", F.col("x").cast("long").alias("x")) for n, df in got.items()]
+    return rows[0].union(rows[1]).union(rows[2]).union(rows[3])
+
+
+def _lengths(texts: list[str]) -> list[list[float]]:
+    return [[1.0, float(len(t))] for t in texts]
+
+
+@_query("embedding_rebuild", "SELECT CAST(p_partkey AS VARCHAR) AS node_id, round(1 / sqrt(1 + length(p_name) ** 2), 5) AS x, round(length(p_name) / sqrt(1 + length(p_name) ** 2), 5) AS y FROM part")
+def embedding_rebuild(spark: SparkSession, d: str) -> DataFrame:
+    """One vector for each distinct name of a part, by a provider that measures texts; unit vectors of 32-bit numbers."""
+    docs = search.search_documents(tpch(spark, d))
+    kept = embeddings.Embeddings(spark, f"{shared_folder(spark)}/factloom-vectors-{spark.sparkContext.applicationId}-{next(_NUMBERS)}", "length", 2)
+    kept.rebuild(docs, _lengths)
+    return kept.vectors(docs, ["node_id"]).select("node_id", F.round(F.col("embedding")[0].cast("double"), 5).alias("x"), F.round(F.col("embedding")[1].cast("double"), 5).alias("y"))

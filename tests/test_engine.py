@@ -2,11 +2,13 @@
 
 import json
 import random
+import uuid
 from collections import Counter
 from datetime import datetime
 from decimal import ROUND_HALF_EVEN, Decimal, localcontext
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from factloom.errors import FactloomError, ImportRejected, JoinError, QueryValidationError, StaleResultError
 from factloom.functions import values
 from factloom.memory import Memory
-from factloom.operators import index, lifecycle, observations, provenance, relate, search, traverse, writes
+from factloom.operators import embeddings, index, lifecycle, observations, provenance, relate, search, traverse, writes
 from factloom.plans import aggregate, compile
 from factloom.plans.ir import parse_v1, parse_v2
 from factloom.sources import fragments, jsonl, store
@@ -357,6 +359,53 @@ def test_capture_freshness_and_bundles(spark, plant, tmp_path):
         observations.read(spark, root, seen["identity"])
 
 
+def test_members_of_one_pattern_share_its_matches(spark, plant):
+    group = {"group_by": [{"field": "m.maker", "as": "maker"}]}
+    docs = {"all": query(), "by": query(**group), "dock": query(where=[where("m.site", "eq", "dock")]), "old": query(where=[where("m.hours", "gt", 1300)], **group), "other": query(optional_match=[], measures=[{"as": "n", "op": "count", "node": "m"}], derive=[])}
+    members = {n: parse_v2(d) for n, d in docs.items()}
+    rows = lambda df: sorted(map(str, df.collect()))
+    got = aggregate.execute_bundle(plant, members)
+    assert {n: rows(df) for n, df in got.items()} == {n: rows(aggregate.run_v2(plant, q)) for n, q in members.items()}
+    read = {f for n in ("all", "by", "dock", "old") for f in got[n].inputFiles()}
+    assert read and all("factloom-matches" in f for f in read)  # neither entities nor edges
+    assert set(aggregate.shared_matches(plant, members)) == {"all", "by", "dock", "old"}
+
+
+def test_embeddings_resume(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def provider(texts):
+        for t in texts:
+            if t == "fails" and not (calls / "mended").exists():
+                raise ValueError("no")
+            with open(calls / f"{t}-{uuid.uuid4().hex}", "w"):
+                pass
+        return [[3.0, float(len(t))] for t in texts]
+
+    rows = [(i, f"t{i % 20}", "public") for i in range(60)] + [(99, "hidden", "private"), (98, "fails", "public"), (97, None, "public")]
+    docs = spark.createDataFrame(rows, "id long, text string, privacy string")
+    made = embeddings.Embeddings(spark, str(tmp_path), "p", 2)
+    assert made.status(docs) == "pending"
+    with pytest.raises(Exception, match="no"):
+        made.rebuild(docs, provider, batch=1)
+    kept = {r["content_hash"] for r in made.records().collect()}
+    assert made.status(docs) == "degraded"
+    (calls / "mended").touch()
+    before = len(list(calls.iterdir()))
+    again = embeddings.Embeddings(spark, str(tmp_path), "p", 2)
+    assert again.rebuild(docs, provider, batch=1) == 21 - len(kept) == len(list(calls.iterdir())) - before and again.status(docs) == "ready"
+    assert again.vectors(docs, ["id"]).count() == 61 and again.rebuild(docs, provider) == 0
+    v = again.vectors(docs, ["id"]).filter("id = 0").first()["embedding"]
+    assert np.array(v, np.float32).tolist() == v and abs(np.linalg.norm(v) - 1) < 1e-6
+    assert again.status(docs.union(spark.createDataFrame([(1, "new", "public")], docs.schema))) == "degraded"
+    with pytest.raises(FactloomError):
+        embeddings.Embeddings(spark, str(tmp_path), "p", 3)
+    for bad in ([[1.0]], [[0.0, 0.0]], [[float("nan"), 1.0]]):
+        with pytest.raises(FactloomError):
+            embeddings.normalised(bad, 2)
+
+
 def test_provenance_is_beside_the_plans(spark, tmp_path):
     m = Memory(spark, "p")
     key = {"k": "integer"}
