@@ -86,6 +86,8 @@ class Memory:
     writes: int = 0
     #: What a version store needs: the commit this was loaded from, its tables and stored parts, and what changed since by table.
     commit: int = 0
+    #: The revision that was loaded or committed last.
+    loaded: int = 0
     tables: dict[str, dict] = field(default_factory=dict)
     stored: list[tuple[DataFrame, str]] = field(default_factory=list)
     changes: dict[str, list[tuple[str, DataFrame | None]]] = field(default_factory=dict)

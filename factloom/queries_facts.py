@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .memory import Memory
-from .operators import embeddings, index, observations, provenance, relate, search, writes
+from .operators import embeddings, index, maintain, observations, provenance, relate, search, writes
 from .plans import aggregate, compile
 from .plans.ir import parse_v1, parse_v2
 from .plans.staging import shared_folder
@@ -383,3 +383,47 @@ def embedding_rebuild(spark: SparkSession, d: str) -> DataFrame:
     kept = embeddings.Embeddings(spark, f"{shared_folder(spark)}/factloom-vectors-{spark.sparkContext.applicationId}-{next(_NUMBERS)}", "length", 2)
     kept.rebuild(docs, _lengths)
     return kept.vectors(docs, ["node_id"]).select("node_id", F.round(F.col("embedding")[0].cast("double"), 5).alias("x"), F.round(F.col("embedding")[1].cast("double"), 5).alias("y"))
+
+
+# -- a join kept up to date by what changed ---------------------------------------------------------------------------------
+_WAS = "SELECT o_orderkey AS source, c_custkey AS target FROM orders JOIN customer ON c_custkey = o_custkey"
+_IS = (
+    "SELECT o.o_orderkey AS source, c.c_custkey AS target FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 3 THEN o_custkey + 1 ELSE o_custkey END AS k FROM orders) o "
+    "JOIN (SELECT c_custkey, CASE WHEN c_custkey % 50 = 7 THEN -c_custkey ELSE c_custkey END AS k FROM customer WHERE c_custkey % 40 <> 1) c USING (k)"
+)
+
+
+def refreshed(spark: SparkSession, d: str) -> tuple[Memory, dict]:
+    """Orders joined with customers by an index; then every tenth order names another customer, every fiftieth customer gets another
+    code, every fortieth is deleted, and the join is refreshed from these changes."""
+    m, key = Memory(spark, "kept"), {"key": "integer"}
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("customer"))
+    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_custkey").alias("code"))
+    jsonl.import_jsonl(m, "crm.Order", _lines(orders), key)
+    jsonl.import_jsonl(m, "crm.Customer", _lines(customers), key)
+    join = {"from": {"type": "crm.Order", "fields": ["customer"]}, "to": {"type": "crm.Customer", "fields": ["code"]}}
+    kept = maintain.JoinIndex(m, f"{shared_folder(spark)}/factloom-join-{spark.sparkContext.applicationId}-{next(_NUMBERS)}", "of_customer", "placed_by", join, 16)
+    kept.build()
+    jsonl.import_jsonl(m, "crm.Order", _lines(orders.filter("key % 10 = 3").withColumn("customer", F.col("customer") + 1)), key)
+    jsonl.import_jsonl(m, "crm.Customer", _lines(customers.filter("key % 50 = 7").withColumn("code", -F.col("code"))), key)
+    m.delete_nodes("crm.Customer", m.entity("crm.Customer").df.filter("i_key % 40 = 1"))
+    return m, kept.refresh()
+
+
+@_query("join_refreshed", f"SELECT * FROM ({_WAS}) WHERE target % 40 <> 1 UNION {_IS}")
+def join_refreshed(spark: SparkSession, d: str) -> DataFrame:
+    """Edges after the refresh: those of the first run whose nodes are left, and what the changes add."""
+    m, _ = refreshed(spark, d)
+    name = lambda e, side: m.entity(e).df.select(F.col("id").alias(side), F.col("i_key").cast("long").alias(f"_{side}"))
+    edges = m.edges("placed_by", "crm.Order", "crm.Customer", "of_customer")
+    return edges.join(name("crm.Order", "source"), "source").join(name("crm.Customer", "target"), "target").select(F.col("_source").alias("source"), F.col("_target").alias("target"))
+
+
+@_query(
+    "join_refreshed_counters",
+    f"SELECT (SELECT count(*) FROM ({_IS} EXCEPT {_WAS})) AS created, (SELECT count(*) FROM ({_IS} INTERSECT {_WAS})) AS previously_active, "
+    f"(SELECT count(*) FROM orders) - (SELECT count(DISTINCT source) FROM ({_IS})) AS skipped_unmatched",
+)
+def join_refreshed_counters(spark: SparkSession, d: str) -> DataFrame:
+    _, got = refreshed(spark, d)
+    return spark.createDataFrame([(got["created"], got["previously_active"], got["skipped_unmatched"])], "created long, previously_active long, skipped_unmatched long")

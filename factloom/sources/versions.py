@@ -58,7 +58,7 @@ class VersionStore:
                 held[key] = parts if kind == "provenance" else parts[0]
                 m.stored += list(zip(parts, paths))
         m.tables = {e["name"]: e["table"] for e in c["entities"]} | {r.name: of["table"] for r, of in zip(m.relations, c["relations"])}
-        m.commit, m.changes = number, {}
+        m.commit, m.loaded, m.changes = number, m.revision, {}
         return m
 
     def _table(self, table: dict, key: list[str]) -> DataFrame:
@@ -96,7 +96,7 @@ class VersionStore:
         }
         if not files.write(self.spark, f"{self.root}/_commits/{number}.json", json.dumps(body).encode()):
             raise StaleResultError(f"commit {number} exists; load again")
-        memory.commit, memory.tables, memory.changes = number, tables, {}
+        memory.commit, memory.loaded, memory.tables, memory.changes = number, memory.revision, tables, {}
         return number
 
     def _part(self, memory: Memory, rows: DataFrame, path: str) -> str:
