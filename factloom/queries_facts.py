@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .memory import Memory
-from .operators import embeddings, index, maintain, observations, provenance, relate, search, writes
+from .operators import embeddings, index, maintain, observations, provenance, relate, retention, search, writes
 from .plans import aggregate, compile
 from .plans.ir import parse_v1, parse_v2
 from .plans.staging import shared_folder
@@ -427,3 +427,25 @@ def join_refreshed(spark: SparkSession, d: str) -> DataFrame:
 def join_refreshed_counters(spark: SparkSession, d: str) -> DataFrame:
     _, got = refreshed(spark, d)
     return spark.createDataFrame([(got["created"], got["previously_active"], got["skipped_unmatched"])], "created long, previously_active long, skipped_unmatched long")
+
+
+# -- retention by reachability ------------------------------------------------------------------------------------------
+_HELD = "(event_id % 97 = 0 AND event_id % 2 = 1) OR (event_id % 50 = 3 AND ts + INTERVAL 30 DAY > TIMESTAMP '2024-01-25')"
+
+
+@_query(
+    "retention_sweep",
+    f"WITH RECURSIVE mark(id) AS (SELECT event_id FROM events WHERE {_HELD} OR event_id % 211 = 5 UNION SELECT e.event_id // 7 FROM mark JOIN events e ON e.event_id = mark.id WHERE e.event_id % 5 <> 0) "
+    f"SELECT event_id, CASE WHEN event_id % 301 = 2 THEN 'retired' WHEN {_HELD} THEN 'held' WHEN event_id % 211 = 5 THEN 'captured' WHEN event_id IN (SELECT id FROM mark) THEN 'referenced' ELSE 'expired' END AS state FROM events",
+)
+def retention_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """An object per event, most derived from an earlier one; some are held, of which some were released, and some captured or retired."""
+    e, name = table(spark, d, "events"), F.col("event_id").cast("string")
+    acquisitions = e.select(
+        name.alias("acquisition_id"), name.alias("digest"), (F.col("event_id") % 97 == 0).alias("retention_required"), F.when(F.col("event_id") % 50 == 3, F.col("ts") + F.expr("interval 30 days")).alias("retain_until")
+    )
+    freed = e.filter("event_id % 194 = 0").select(name.alias("acquisition_id"), F.lit("2024-01-10").cast("timestamp").alias("released_at"), F.lit("done").alias("reason"))
+    derived = e.filter("event_id % 5 <> 0").select(name.alias("holder"), F.floor(F.col("event_id") / 7).cast("string").alias("digest"))
+    of = lambda where: e.filter(where).select(name.alias("digest"))
+    got = retention.states(acquisitions, freed, derived, of("event_id % 211 = 5"), of("event_id % 301 = 2"), "2024-01-25 00:00:00")
+    return got.select(F.col("digest").cast("long").alias("event_id"), "state")

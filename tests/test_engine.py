@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from factloom.errors import FactloomError, ImportRejected, JoinError, QueryValidationError, StaleResultError
 from factloom.functions import values
 from factloom.memory import Memory
-from factloom.operators import embeddings, index, lifecycle, maintain, observations, provenance, relate, search, traverse, writes
+from factloom.operators import embeddings, index, lifecycle, maintain, observations, provenance, relate, retention, search, traverse, writes
 from factloom.plans import aggregate, compile
 from factloom.plans.ir import parse_v1, parse_v2
 from factloom.sources import fragments, jsonl, store
@@ -660,3 +660,36 @@ def test_refreshed_joins_equal_full_runs(spark, tmp_path):
     kept().compact()
     again = kept().refresh()
     assert again["rematched"] == 0 and rows(m) == before
+
+
+def test_retention_marks_releases_and_retires(spark, tmp_path):
+    root = str(tmp_path)
+    a, b, c, d, e = (fragments.put(spark, root, x.encode()) for x in "abcde")
+    rows = [("1", a, True, None), ("1", a, True, None), ("2", b, False, None), ("3", c, None, datetime(2024, 3, 1)), ("4", d, False, None), ("5", e, False, None)]
+    acquired = spark.createDataFrame(rows, "acquisition_id string, digest string, retention_required boolean, retain_until timestamp")
+    # a cycle of b and d, reached from a; nulls lead nowhere
+    refers = spark.createDataFrame([(a, b), (b, d), (d, b), (None, e), (e, None)], "holder string, digest string")
+    roots = spark.createDataFrame([(None,)], "digest string")
+    freed, gone = spark.createDataFrame([], retention.RELEASES), spark.createDataFrame([], retention.TOMBSTONES)
+    now = lambda at: retention.states(acquired, freed, refers, roots, gone, at)
+    seen = lambda at: {r["digest"]: (r["state"], r["n_holds"]) for r in now(at).collect()}
+    assert seen("2024-01-01") == {a: ("held", 1), b: ("referenced", 0), c: ("held", 1), d: ("referenced", 0), e: ("expired", 0)}
+    with pytest.raises(QueryValidationError):
+        retention.release(acquired, freed, roots, gone, a, b, "why", "2024-01-02")
+    with pytest.raises(FactloomError):
+        retention.release(acquired, freed, spark.createDataFrame([(a,)], "digest string"), gone, a, a, "why", "2024-01-02")
+    first = retention.plan(spark, root, now("2024-01-01"), "2024-01-01")
+    freed = retention.release(acquired, freed, roots, gone, a, a, " done ", "2024-01-02")
+    freed = retention.release(acquired, freed, roots, gone, a, a, "again", "2024-01-03")
+    assert [tuple(r) for r in freed.select("acquisition_id", "reason").collect()] == [("1", "done")]
+    assert {x for x, (s, _) in seen("2024-04-01").items() if s == "expired"} == {a, b, c, d, e}
+    with pytest.raises(FactloomError):
+        retention.retire(spark, root, first, "another", now("2024-01-01"), gone, "2024-01-04")
+    gone = retention.retire(spark, root, first, first, now("2024-01-01"), gone, "2024-01-04")
+    gone = retention.retire(spark, root, first, first, now("2024-01-01"), gone, "2024-01-05")
+    assert [r["digest"] for r in gone.collect()] == [e] and seen("2024-01-04")[e] == ("retired", 0)
+    second = retention.plan(spark, root, now("2024-04-01"), "2024-04-01")
+    with pytest.raises(FactloomError):  # c is still held then
+        retention.retire(spark, root, second, second, now("2024-01-06"), gone, "2024-01-06")
+    assert {r["digest"]: r["status"] for r in fragments.audit(spark, root, acquired.select("digest").distinct()).collect()} == {a: "ok", b: "ok", c: "ok", d: "ok", e: "missing"}
+    assert retention.states(*(t.limit(0) for t in (acquired, freed, refers, roots, gone)), "2024-01-01").count() == 0
