@@ -62,7 +62,8 @@ def _stored(value: Column, kind: str) -> dict[str, Column]:
         text = _number_text(value.cast("string"))
         return {"v": text, "c": text}
     if kind == "number":
-        text = _number_text(F.to_json(F.array(value)).substr(F.lit(2), F.length(F.to_json(F.array(value))) - 2))
+        shown = F.to_json(F.array(value))
+        text = _number_text(F.when(value.isNotNull(), shown.substr(F.lit(2), F.length(shown) - 2)))
         whole = F.when(value == F.round(value), value.try_cast("decimal(38,0)"))
         return {"v": value.cast("double"), "c": text, "i": whole}
     return {"v": value.cast(SQL_TYPES[kind])}
