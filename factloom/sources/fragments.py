@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -96,6 +97,8 @@ _PLAN = T.StructType([T.StructField(n, t) for n, t in _PARTS.items()])
 _RECORD = T.StructType([T.StructField(n, _TEXT) for n in ("text", "key", "at")])
 _VIEW = T.StructType([T.StructField("error", _TEXT), T.StructField("found", _TEXT), T.StructField("records", T.ArrayType(_RECORD))])
 _FORMATS = ("json", "canonical-json", "jsonl", "canonical-jsonl")
+#: Bytes of objects that are parsed before their views leave the worker.
+VIEW_BYTES = 1 << 20
 
 
 @functools.lru_cache(maxsize=4096)
@@ -158,9 +161,23 @@ def _viewed(content: bytes | None, kind: str, how: str, pointer: str | None, fie
     return None, None, records
 
 
+def _runs(content: pd.Series) -> Iterator[slice]:
+    """Runs of objects of about VIEW_BYTES together, or one larger object."""
+    ends = content.map(len, na_action="ignore").fillna(0).cumsum().to_numpy()
+    first = 0
+    while first < len(ends):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(ends.searchsorted(before + VIEW_BYTES, "right")))
+        yield slice(first, last)
+        first = last
+
+
 @F.pandas_udf(_VIEW)
-def _view(content: pd.Series, kind: pd.Series, how: pd.Series, pointer: pd.Series, field: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_viewed(*r) for r in zip(content, kind, how, pointer, field)], columns=["error", "found", "records"], dtype=object)
+def _view(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """The views of objects, some at a time: records of a whole batch take many times its bytes."""
+    for batch in batches:
+        for run in _runs(batch[0]):
+            yield pd.DataFrame([_viewed(*r) for r in zip(*(column.iloc[run] for column in batch))], columns=["error", "found", "records"], dtype=object)
 
 
 def _lines(content: Column) -> Column:
