@@ -22,29 +22,36 @@ SAFE_INTEGER = 2**53 - 1
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:factloom")
 
 
-def strict_loads(text: str):
-    """JSON without duplicate keys and non-finite numbers."""
+def _pairs(items):
+    out = dict(items)
+    if len(out) != len(items):
+        raise ValueError("duplicate object key")
+    return out
+
+
+def _refuse(word):
+    raise ValueError(f"non-finite number {word}")
 
-    def pairs(items):
-        out = dict(items)
-        if len(out) != len(items):
-            raise ValueError("duplicate object key")
-        return out
 
-    def refuse(word):
-        raise ValueError(f"non-finite number {word}")
+def _number(word):
+    value = float(word)
+    if value in (float("inf"), float("-inf")):
+        _refuse(word)
+    return value
 
-    def number(word):
-        value = float(word)
-        if value in (float("inf"), float("-inf")):
-            refuse(word)
-        return value
 
-    return json.loads(text, object_pairs_hook=pairs, parse_constant=refuse, parse_float=number)
+#: Made once: a call of json.loads or json.dumps with options makes its own for each value.
+_STRICT = json.JSONDecoder(object_pairs_hook=_pairs, parse_constant=_refuse, parse_float=_number)
+_CANONICAL = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+def strict_loads(text: str):
+    """JSON without duplicate keys and non-finite numbers."""
+    return _STRICT.decode(text)
 
 
 def canonical_json(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return _CANONICAL.encode(value)
 
 
 def sha256_json(value) -> str:

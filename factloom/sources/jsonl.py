@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from dataclasses import replace
 from datetime import UTC, datetime
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,8 @@ MAX_LINE_BYTES = 4 << 20
 #: Field names that are refused, in whatever letter case.
 CREDENTIALS = ("api_key", "apikey", "authorization", "password", "passwd", "secret", "token")
 MAX_FILE_BYTES = 64 << 20
+#: Lines that a task parses and keeps for the passes over them.
+TASK_LINES = 100_000
 _ATTRIBUTE = pa.struct([("field", pa.string()), ("kind", pa.string()), ("canon", pa.string()), ("text", pa.string()), ("num", pa.float64()), ("whole", pa.string())])
 _PARSED = "line long, error string, attrs array<struct<field:string,kind:string,canon:string,text:string,num:double,whole:string>>"
 
@@ -59,7 +62,10 @@ def parsed(lines: DataFrame) -> DataFrame:
             got = [_attributes(v) for v in b.column("value").to_pylist()]
             errors = [g if isinstance(g, str) else None for g in got]
             rows = [[] if isinstance(g, str) else g for g in got]
-            yield pa.RecordBatch.from_arrays([pa.array(line, pa.int64()), pa.array(errors, pa.string()), pa.array(rows, pa.list_(_ATTRIBUTE))], names=["line", "error", "attrs"])
+            members = [*zip(*(a for r in rows for a in r))] or [()] * len(_ATTRIBUTE)
+            members = pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(members, _ATTRIBUTE)], fields=list(_ATTRIBUTE))
+            attrs = pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, rows))], pa.int32()), members)
+            yield pa.RecordBatch.from_arrays([pa.array(line, pa.int64()), pa.array(errors, pa.string()), attrs], names=["line", "error", "attrs"])
 
     return lines.select("line", "value").mapInArrow(run, _PARSED)
 
@@ -108,10 +114,11 @@ def infer(attrs: DataFrame) -> DataFrame:
     return attrs.filter("error is null").groupBy("field").agg(F.min(kind).alias("json_type"), F.countDistinct(kind).alias("n_types"), F.count("*").alias("n_present"), F.count_if(F.col("kind") == "null").alias("n_null"))
 
 
-def duplicate_keys(attrs: DataFrame, key: list[str]) -> DataFrame:
-    """Key tuples that more than one line has."""
-    keys = attrs.filter(F.col("field").isin(key)).groupBy("line").agg(*(F.max(F.when(F.col("field") == k, F.col("canon"))).alias(k) for k in key))
-    return keys.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
+def duplicate_keys(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Key tuples that more than one of the parsed lines has. A line's members come in one row, so only key tuples are shuffled."""
+    of = F.map_from_arrays(F.transform("attrs", lambda a: a["field"]), F.transform("attrs", lambda a: a["canon"]))
+    keyed = rows.filter(F.exists("attrs", lambda a: a["field"].isin(key))).select(of.alias("_of"))
+    return keyed.select(*(F.try_element_at("_of", F.lit(k)).alias(k) for k in key)).groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
 
 
 def check(rows: DataFrame, key: dict[str, str], entity: Entity | None, total: int) -> list[dict]:
@@ -182,8 +189,7 @@ def import_jsonl(
     """Keyed upsert: a line patches the node with its key (absent fields keep their value, explicit nulls
     overwrite) or creates one. Fails as a whole. The same content, type and key replay the stored result.
     source: kind, locator and fragment_id of where the lines come from, for their provenance; at: when."""
-    lines = read_lines(lines)
-    rows, total = parsed(lines).cache(), None
+    lines, total = read_lines(lines), None
     if content_hash is None:
         row = lines.agg(F.count("*").alias("n"), F.sum(F.xxhash64("value").cast("decimal(38,0)")).alias("h"), F.sum(F.crc32(F.col("value").cast("binary"))).alias("c")).first()
         total = row["n"]
@@ -191,10 +197,11 @@ def import_jsonl(
     idempotency = hashlib.sha256(canonical_json([content_hash, entity_type, key]).encode()).hexdigest()
     done = memory.imports
     if idempotency in done:
-        rows.unpersist()
         return done[idempotency] | {"replayed": True}
+    total = lines.count() if total is None else total
+    rows = parsed(dealt(lines, total)).cache()
     try:
-        result, seen = _import(memory, entity_type, rows, key, privacy, rows.count() if total is None else total)
+        result, seen = _import(memory, entity_type, rows, key, privacy, total)
     finally:
         rows.unpersist()
     said = {"kind": "jsonl", "locator": f"sha256:{content_hash}", "fragment_id": None} | (source or {})
@@ -206,6 +213,12 @@ def import_jsonl(
     return result
 
 
+def dealt(lines: DataFrame, total: int) -> DataFrame:
+    """The lines, about TASK_LINES to a partition: a small file of many lines is one split."""
+    n = -(-total // TASK_LINES)
+    return lines.repartition(n, "line") if n > 1 else lines
+
+
 def _import(memory: Memory, entity_type: str, rows: DataFrame, key: dict[str, str], privacy: str, total: int) -> tuple[dict, DataFrame]:
     """The result, and id, record, _fields of the lines. The new table is written once: counters, duplicates and the provenance are
     read from it, and the next import's plan starts at it."""
