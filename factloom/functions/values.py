@@ -11,6 +11,8 @@ import json
 import unicodedata
 import uuid
 from datetime import UTC, datetime
+from json.encoder import encode_basestring
+from math import isfinite
 
 import pandas as pd
 from pyspark.sql import Column
@@ -51,7 +53,10 @@ def strict_loads(text: str):
 
 
 def canonical_json(value) -> str:
-    return _CANONICAL.encode(value)
+    kind = type(value)
+    if kind is str:
+        return encode_basestring(value)
+    return repr(value) if kind is int or kind is float and isfinite(value) else _CANONICAL.encode(value)
 
 
 def sha256_json(value) -> str:
@@ -62,15 +67,12 @@ def stable_uuid(kind: str, *parts) -> str:
     return str(uuid.uuid5(NAMESPACE, canonical_json([kind, *parts])))
 
 
+_JSON_TYPES = {type(None): "null", bool: "boolean", int: "number", float: "number", str: "string", list: "array", dict: "object"}
+
+
 def json_type(value) -> str:
     """null, boolean, number, string, array or object; a boolean is no number."""
-    if value is None:
-        return "null"
-    if isinstance(value, bool):
-        return "boolean"
-    if isinstance(value, (int, float)):
-        return "number"
-    return "string" if isinstance(value, str) else "array" if isinstance(value, list) else "object"
+    return _JSON_TYPES[type(value)]
 
 
 def json_pointer(document, pointer: str):

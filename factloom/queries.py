@@ -460,8 +460,8 @@ def type_inference(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("duplicate_keys", "SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    return jsonl.duplicate_keys(jsonl.parsed(jsonl.read_lines(_lines(rows))), ["l_orderkey", "l_linenumber"])
+    rows, key = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), ["l_orderkey", "l_linenumber"]
+    return jsonl.duplicate_keys(jsonl.parsed(jsonl.read_lines(_lines(rows)), key), key)
 
 
 @_query("privacy_propagation", "SELECT o_orderkey AS source, o_custkey AS target, CASE WHEN c_acctbal < 0 THEN 'private' ELSE 'public' END AS privacy FROM orders JOIN customer ON o_custkey = c_custkey")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 from dataclasses import replace
 from datetime import UTC, datetime
-from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,19 +52,16 @@ def import_file(memory: Memory, entity_type: str, path: str, key: dict[str, str]
     return import_jsonl(memory, entity_type, lines, key, privacy, digest)
 
 
-def parsed(lines: DataFrame) -> DataFrame:
-    """line, error, attrs (field, kind, canon, text, num, whole of each member): one row per line."""
+def parsed(lines: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """line, error, attrs (field, kind, canon, text, num, whole of each member, or of those named): one row per line."""
 
     def run(batches):
         for b in batches:
             line = b.column("line").to_pylist()
-            got = [_attributes(v) for v in b.column("value").to_pylist()]
+            got = [_attributes(v, only) for v in b.column("value").to_pylist()]
             errors = [g if isinstance(g, str) else None for g in got]
             rows = [[] if isinstance(g, str) else g for g in got]
-            members = [*zip(*(a for r in rows for a in r))] or [()] * len(_ATTRIBUTE)
-            members = pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(members, _ATTRIBUTE)], fields=list(_ATTRIBUTE))
-            attrs = pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, rows))], pa.int32()), members)
-            yield pa.RecordBatch.from_arrays([pa.array(line, pa.int64()), pa.array(errors, pa.string()), attrs], names=["line", "error", "attrs"])
+            yield pa.RecordBatch.from_arrays([pa.array(line, pa.int64()), pa.array(errors, pa.string()), pa.array(rows, pa.list_(_ATTRIBUTE))], names=["line", "error", "attrs"])
 
     return lines.select("line", "value").mapInArrow(run, _PARSED)
 
@@ -80,9 +76,9 @@ def _exploded(rows: DataFrame) -> DataFrame:
     return each.select("line", "a.field", "a.kind", "a.canon", "a.text", "a.num", "a.whole", "error")
 
 
-def _attributes(value: str) -> list[tuple] | str:
-    """Members of one line's object, or why it is refused."""
-    if len(value.encode()) > MAX_LINE_BYTES:
+def _attributes(value: str, only: list[str] | None = None) -> list[tuple] | str:
+    """Members of one line's object, or why it is refused, whatever members are asked for."""
+    if 4 * len(value) > MAX_LINE_BYTES and len(value.encode()) > MAX_LINE_BYTES:
         return "line too long"
     if value.startswith("\ufeff"):
         return "byte order mark"
@@ -103,6 +99,8 @@ def _attributes(value: str) -> list[tuple] | str:
             except OverflowError:
                 return f"field {name} is a number out of range"
             whole = str(int(v)) if num.is_integer() else None
+        if only is not None and name not in only:
+            continue
         out.append((name, kind, None if v is None else canonical_json(v), v if kind == "string" else None, num, whole))
     return out
 
