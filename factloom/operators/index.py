@@ -1,7 +1,7 @@
 """A maintained inverted index: immutable segments of postings, delete marks, merges in tiers.
 
-A segment is a Parquet table of key columns, token, tf, dl, written in one pass over the texts and without a shuffle: each task sorts the
-postings of its own range of documents by token, so a token that every document holds is spread over all files, and a search reads of
+A segment is a Parquet table of key columns, token, tf, dl. Texts are dealt out by their bytes, and each task sorts the postings of
+its own documents by token: postings aren't shuffled, so a token that every document holds is spread over all files, and a search reads of
 each file the pages that hold its terms. A row with an empty token stands for the document itself: its number of words and the hash of its
 text. The counts that scores need are observed while the segment is written.
 
@@ -28,8 +28,8 @@ from ..sources import files
 K1, B = 1.2, 0.75
 #: Segments that are merged into one, and how much larger the next class is.
 FAN = 4
-#: Bytes of a source that make a task.
-SPLIT_BYTES = 128 << 20
+#: Bytes of texts that make a task.
+TASK_BYTES = 16 << 20
 WORD = r"(?U)\w+"
 
 
@@ -86,6 +86,20 @@ class TextIndex:
         rows.write.option("parquet.block.size", 16 << 20).mode("overwrite").parquet(f"{self.path}/segment-{number}")
         return seen.get["n"], seen.get["words"]
 
+    def _counted(self, documents: DataFrame, text: str) -> DataFrame:
+        """key, token, tf, dl, h: a row for each distinct word of each document, and one with an empty token. Documents are dealt out, about
+        TASK_BYTES of texts to a partition, but one for each core at least; their words are counted where they lie, as the deal goes
+        by the document. A task sorts all postings of its partition, so its memory is bounded, whatever splits the source has."""
+        documents = documents.filter(F.col(text).isNotNull())
+        size = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        n = max(1, self.spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+        d = documents.select(*self.key, F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_doc")).repartition(n, "_doc")
+        d = d.select("_doc", *self.key, F.xxhash64("_text").alias("h"), words(F.col("_text")).alias("_w"))
+        each = d.select("_doc", *self.key, "h", F.size("_w").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "_w")).alias("token"))
+        each = each.groupBy("_doc", *self.key, "h", "dl", "token").agg(F.count("*").cast("int").alias("tf"))
+        own = F.col("token") == ""
+        return each.select(*self.key, "token", F.when(own, 0).otherwise(F.col("tf")).alias("tf"), "dl", F.when(own, F.col("h")).alias("h"))
+
     def _commit(self, **changed) -> None:
         self.manifest = self.manifest | changed
         files.write(self.spark, f"{self.path}/manifest.json", canonical_json(self.manifest).encode(), replace=True)
@@ -104,13 +118,7 @@ class TextIndex:
             hidden.select(*key).write.mode("overwrite").parquet(f"{self.path}/marks-{number}")
             dead = seen.get
             marks += [number] if dead["n"] else []
-        cores = max(1, self.spark.sparkContext.defaultParallelism)
-        if changed._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < cores * SPLIT_BYTES:
-            changed = changed.repartition(cores)  # less than a split for each core; a larger source is read as it lies
-        each = counted(changed, key, text)
-        own = F.struct(F.lit("").alias("token"), F.lit(0).alias("tf"))
-        rows = each.select(*key, "dl", "h", F.explode(F.concat(F.array(own), "tokens")).alias("x"))
-        rows = rows.select(*key, F.col("x.token").alias("token"), F.col("x.tf").alias("tf"), "dl", F.when(F.col("x.token") == "", F.col("h")).alias("h"))
+        rows = self._counted(changed, text)
         n, total = self._segment(rows, number)
         types = [changed.schema[c].dataType.simpleString() for c in key]
         segments = [*m["segments"], {"number": number, "n": n}] if n else m["segments"]
