@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from .errors import JoinError, QueryValidationError
 from .functions.values import canonical_json, sha256_json
+from .plans.bloom import Likely
+from .plans.staging import written
 
 #: JSON type of each storage kind.
 JSON_TYPES = {"string": "string", "long": "number", "double": "number", "number": "number", "boolean": "boolean", "array": "array", "object": "object", "unresolved": "unresolved"}
@@ -177,15 +179,24 @@ class Memory:
         e = self.entity(entity)
         if e.df.join(ids.select("id"), "id", "left_semi").isEmpty():
             return
+        # Rows that surely stay aren't shuffled for the few that go.
+        gone = written(ids.select("id").distinct(), "gone")
+        likely = Likely(gone, "id")
+
+        def left(rows: DataFrame, by: str) -> DataFrame:
+            some, rest = likely.parted(rows, by)
+            return some.join(gone.select(F.col("id").alias(by)), by, "left_anti").select(*rows.columns).union(rest)
+
         if entity in self.provenance:
-            self.provenance[entity] = [p.join(ids.select("id"), "id", "left_anti") for p in self.provenance[entity]]
-        self.entities[entity] = replace(e, df=e.df.join(ids.select("id"), "id", "left_anti"))
-        self.note(entity, "delete", ids.select("id").distinct())
+            self.provenance[entity] = [left(p, "id") for p in self.provenance[entity]]
+        self.entities[entity] = replace(e, df=left(e.df, "id"))
+        self.note(entity, "delete", gone)
         for i, r in enumerate(self.relations):
             for side, kind in (("source", r.source_type), ("target", r.target_type)):
                 if kind == entity:
-                    self.note(r.name, "delete", r.df.join(ids.select(F.col("id").alias(side)), side, "left_semi").select("source", "target").distinct())
-                    r = replace(r, df=r.df.join(ids.select(F.col("id").alias(side)), side, "left_anti"))
+                    lost = likely.of(r.df, side).join(gone.select(F.col("id").alias(side)), side, "left_semi")
+                    self.note(r.name, "delete", lost.select("source", "target").distinct())
+                    r = replace(r, df=left(r.df, side))
             self.relations[i] = r
         self.revision += 1
 

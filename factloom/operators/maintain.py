@@ -30,19 +30,24 @@ from pyspark.sql import functions as F
 
 from ..errors import QueryValidationError
 from ..memory import Entity, Memory
+from ..plans.bloom import Likely
 from ..plans.staging import written
 from . import relate
 
 MOST_SEGMENTS = 8
+#: Looked-up ids or keys that take no filter: a runtime broadcasts about as many.
+FEW = 10_000
 TOTALS = ("sources", "keyed", "met", "active", "inactive")
 
 
-def _keyed(e: Entity, fields: list[str], paired: list, width: int) -> DataFrame:
+def _active() -> Column:
+    return F.transform("matched", lambda t: F.struct(t.alias("target"), F.lit(True).alias("active")))
+
+
+def _keyed(e: Entity, fields: list[str], paired: list) -> DataFrame:
     """id and key (an array of texts, one for each field): a row per key tuple."""
     rows = relate.key_rows(e, fields, paired, "x_")
-    kinds = dict(rows.dtypes)
-    texts = [(F.col(f"x_k{i}") + F.lit(0.0) if kinds[f"x_k{i}"] == "double" else F.col(f"x_k{i}")).cast("string") for i in range(width)]
-    return rows.select(F.col("x_id").alias("id"), F.array(*texts).alias("key")).distinct()
+    return rows.select(F.col("x_id").alias("id"), relate.key_texts(rows, "x_").alias("key")).distinct()
 
 
 class JoinIndex:
@@ -99,21 +104,30 @@ class JoinIndex:
         return out.filter("not gone").drop("_at", "gone") if "gone" in out.columns else out.drop("_at")
 
     def _read(self, path: str, table: str) -> DataFrame:
-        """A segment's part of a table; it may have no row, and then no file."""
-        return self.memory.spark.read.schema(self.state["schemas"][table]).parquet(f"{self.root}/{path}/{table}")
+        """A segment's part of a table; it may have no row, and then no file. Sources without edges of their own have their matches', active."""
+        rows = self.memory.spark.read.schema(self.state["schemas"][table]).parquet(f"{self.root}/{path}/{table}")
+        return rows.withColumn("edges", F.coalesce("edges", _active())) if table == "forward_s" else rows
 
     def _found(self, table: str, wanted: DataFrame, by: str) -> DataFrame:
-        """The table's current rows whose `by` is in wanted: a semi-join that reads the wanted rows' buckets alone."""
-        wanted = wanted.select(by).distinct()
-        touched = sorted(r["b"] for r in wanted.select(self._bucket(F.col(by)).alias("b")).distinct().collect())
-        return self._rows(table, touched).join(wanted, by, "left_semi")
+        """The table's current rows whose `by` is in wanted: a semi-join that reads the wanted rows' buckets alone, and shuffles few others."""
+        wanted = written(wanted.select(by).distinct(), "join-wanted")
+        touched = {r["b"]: r["count"] for r in wanted.groupBy(self._bucket(F.col(by)).alias("b")).count().collect()}
+        rows, n = self._rows(table, sorted(touched)), sum(touched.values())
+        if n > FEW:
+            rows = Likely(wanted, by, rows=n).of(rows, by)
+        return rows.join(wanted, by, "left_semi")
 
     # -- building -----------------------------------------------------------------------------------------------------
     def _write(self, path: str, tables: dict[str, DataFrame]) -> None:
         for name, rows in tables.items():
             by = F.col("key" if name.startswith("inverted") else "id")
             # Ranges of bucket and id: a key that a third of the rows has is written by many tasks.
-            rows.withColumn("b", self._bucket(by)).repartitionByRange("b", "id").write.partitionBy("b").parquet(f"{self.root}/{path}/{name}")
+            rows.withColumn("b", self._bucket(by)).repartitionByRange("b", "id").write.partitionBy("b").option("compression", "zstd").parquet(f"{self.root}/{path}/{name}")
+
+    def _part(self) -> Column:
+        """Parts of a bucket, so that there are some for every task of a shuffle."""
+        n = 4 * int(self.memory.spark.conf.get("spark.sql.shuffle.partitions"))
+        return F.pmod(F.xxhash64("id", F.lit(1)), F.lit(-(-n // self.buckets)))
 
     def _forward(self, ids: DataFrame, keys: DataFrame, lists: dict[str, DataFrame]) -> DataFrame:
         """ids (id, privacy, gone) with lists of their key tuples and of more (id, x)."""
@@ -134,18 +148,28 @@ class JoinIndex:
         kinds = [dict(relate.key_rows(e, f, p, "x_").dtypes) for e, f, p in ((source, self.definition["from"]["fields"], targets), (target, self.definition["to"]["fields"], sources))]
         if any(kinds[0][f"x_k{i}"] != kinds[1][f"x_k{i}"] for i in range(width)):
             raise QueryValidationError("an index needs key fields of one storage type")
-        counters = relate.materialize_join(self.memory, self.name, self.relation, self.definition).first().asDict()
-        s_keys, t_keys = _keyed(source, self.definition["from"]["fields"], targets, width), _keyed(target, self.definition["to"]["fields"], sources, width)
-        matched = relate.matched_edges(self.memory, self.definition).select(F.col("source").alias("id"), F.col("target").alias("x"))
-        edges = self._relation().df.select(F.col("source").alias("id"), self._edge())
-        here = F.lit(False).alias("gone")
+        earlier, path = self._relation(), f"{uuid.uuid4().hex[:12]}-base"
         self.memory.runs.pop(self.slot, None)
-        path = f"{uuid.uuid4().hex[:12]}-base"
+        found = relate.met(self.memory, self.definition, True, {"b": self._bucket(F.col("id")), "_part": self._part()}).drop("_part")
+        if earlier:
+            found = written(found, "join-met")
+            counters = relate.keep(self.memory, self.name, self.relation, self.definition, found).first().asDict()
+            edges = self._relation().df.groupBy(F.col("source").alias("id")).agg(F.collect_set(F.struct("target", "active")).alias("edges"))
+            found = found.join(edges, "id", "left").withColumn("edges", F.coalesce("edges", F.array().cast(edges.schema["edges"].dataType))).repartition("b", self._part())
+        else:
+            found = found.withColumn("edges", F.when(F.lit(False), _active()))  # null: see _read
+        found = found.withColumn("gone", F.lit(False))
+        found.write.partitionBy("b").option("compression", "zstd").parquet(f"{self.root}/{path}/forward_s")
+        found = self.memory.spark.read.schema(found.schema).parquet(f"{self.root}/{path}/forward_s")
+        if not earlier:
+            counters = relate.keep(self.memory, self.name, self.relation, self.definition, found).first().asDict()
+        t_keys = _keyed(target, self.definition["to"]["fields"], sources)
         tables = {
-            "forward_s": self._forward(source.df.select("id", "privacy", here), s_keys, {"matched": matched, "edges": edges}), "inverted_s": s_keys,
-            "forward_t": self._forward(target.df.select("id", "privacy", here), t_keys, {}), "inverted_t": t_keys,
+            "inverted_s": found.select("id", F.explode("keys").alias("key")),
+            "forward_t": self._forward(target.df.select("id", "privacy", F.lit(False).alias("gone")), t_keys, {}), "inverted_t": t_keys,
         }
         self._write(path, tables)
+        tables["forward_s"] = found.select("id", "privacy", "gone", "keys", "matched", "edges")
         schemas = {n: ", ".join(f"`{c}` {t}" for c, t in [*rows.dtypes, ("b", "int")]) for n, rows in tables.items()}
         self._mark([{"path": path}], {}, self.buckets, schemas)
         self.state["totals"] = self._totals(self._rows("forward_s"))
@@ -191,8 +215,8 @@ class JoinIndex:
         if ds is None and dt is None and touched is None:
             return self._counters(self.state["totals"], 0) | {"rebuilt": False, "rematched": 0}
         ds, dt = ds if ds is not None else self._none(source, sf), dt if dt is not None else self._none(target, tf)
-        s_new = _keyed(replace(source, df=ds.filter("not gone")), sf, s_pair, len(sf))
-        t_new = _keyed(replace(target, df=dt.filter("not gone")), tf, t_pair, len(tf))
+        s_new = _keyed(replace(source, df=ds.filter("not gone")), sf, s_pair)
+        t_new = _keyed(replace(target, df=dt.filter("not gone")), tf, t_pair)
         # Keys that a changed target has or had; the sources with one of them.
         t_old = self._found("forward_t", dt, "id").select("id", F.explode("keys").alias("key"))
         hit = self._found("inverted_s", t_old.union(t_new).select("key"), "key").select("id")

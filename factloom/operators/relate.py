@@ -53,9 +53,9 @@ def _elements(array: Column, other: Field) -> Column:
     return F.coalesce(F.array_distinct(F.array_compact(items)), F.array().cast(f"array<{to}>"))
 
 
-def key_rows(e: Entity, fields: list[str], paired: list[Field], prefix: str) -> DataFrame:
-    """<prefix>id and one row per key tuple: k0, k1, ... (the product of the fields' elements)."""
-    df = e.df.select(F.col("id").alias(f"{prefix}id"), *(p.alias(f"_a{i}") for i, p in enumerate(_parts(e, fields, paired))))
+def key_rows(e: Entity, fields: list[str], paired: list[Field], prefix: str, *more: Column) -> DataFrame:
+    """<prefix>id, more and one row per key tuple: k0, k1, ... (the product of the fields' elements)."""
+    df = e.df.select(F.col("id").alias(f"{prefix}id"), *more, *(p.alias(f"_a{i}") for i, p in enumerate(_parts(e, fields, paired))))
     for i in range(len(fields)):
         df = df.select(*[c for c in df.columns if c != f"_a{i}"], F.explode(f"_a{i}").alias(f"{prefix}k{i}"))
     return df
@@ -68,49 +68,84 @@ def _setup(memory: Memory, definition: dict):
         raise QueryValidationError("a join pairs its fields")
     if any(target.field(f).kind in ("array", "object") for f in tf):
         raise QueryValidationError("target fields must be scalars")
-    keys = key_rows(source, sf, [target.field(f) for f in tf], "s_")
-    targets = key_rows(target, tf, [source.field(f) for f in sf], "t_")
+    keys = key_rows(source, sf, [target.field(f) for f in tf], "s_", F.col("privacy").alias("s_privacy"))
+    targets = key_rows(target, tf, [source.field(f) for f in sf], "t_", F.col("privacy").alias("t_privacy"))
     cond = F.lit(True)
     for i in range(len(sf)):
         cond = cond & (F.col(f"s_k{i}") == F.col(f"t_k{i}"))
     return source, target, keys, targets, cond
 
 
-def matched_edges(memory: Memory, definition: dict) -> DataFrame:
-    """Distinct source, target of a join. A source whose key has more than one target raises."""
+def key_texts(rows: DataFrame, prefix: str) -> Column:
+    """A key tuple of key_rows as an array of texts; -0.0 is 0.0."""
+    kinds = [(c, t) for c, t in rows.dtypes if c.startswith(f"{prefix}k")]
+    return F.array(*((F.col(c) + F.lit(0.0) if t == "double" else F.col(c)).cast("string") for c, t in kinds))
+
+
+def met(memory: Memory, definition: dict, texts: bool = False, by: dict[str, Column] | None = None) -> DataFrame:
+    """A row per source: id, privacy, keys (its key tuples as texts; without texts only whether there are any), matched (the targets
+    they hit) and, beside each, whether it is private. A source whose key has more than one target raises. by: columns of the id
+    that the rows are dealt out by and keep. Ids and keys are shuffled once by the key, and once with the targets by the source."""
     source, target, keys, targets, cond = _setup(memory, definition)
     tk = [c for c in targets.columns if c.startswith("t_k")]
     # Per key its only target; a key with more is an error only when a source hits it.
-    index = targets.groupBy(*tk).agg(F.min("t_id").alias("t_id"), (F.min("t_id") != F.max("t_id")).alias("_many"))
+    index = targets.groupBy(*tk).agg(F.min("t_id").alias("t_id"), (F.min("t_id") != F.max("t_id")).alias("_many"), F.min("t_privacy").alias("t_privacy"))
     hit = F.when(F.col("_many"), F.raise_error(F.lit("ambiguous_target: multiple targets for a key")).cast(target.id_type)).otherwise(F.col("t_id"))
-    return keys.join(index, cond).select(F.col("s_id").alias("source"), hit.alias("target")).distinct()
+    hidden = F.coalesce((F.col("s_privacy") == "private") | (F.col("t_privacy") == "private"), F.lit(False))
+    key = key_texts(keys, "s_") if texts else F.lit(True)
+    hits = keys.join(index, cond, "left").select(F.col("s_id").alias("id"), F.col("s_privacy").alias("privacy"), key.alias("key"), hit.alias("target"), hidden.alias("hidden"))
+    parts = _parts(source, definition["from"]["fields"], [target.field(f) for f in definition["to"]["fields"]])
+    keyless = F.lit(False)
+    for p in parts:
+        keyless |= F.size(p) == 0
+    # Sources without a key stay out of the join, where they would share a partition.
+    rest = source.df.filter(keyless).select("id", "privacy", *(F.lit(None).cast(hits.schema[c].dataType).alias(c) for c in ("key", "target", "hidden")))
+    rows, by = hits.union(rest), by or {}
+    if by:
+        rows = rows.withColumns(by).repartition(*by)
+    pair = F.when(F.col("target").isNotNull(), F.struct("target", "hidden"))
+    rows = rows.groupBy(*by, "id").agg(F.min("privacy").alias("privacy"), F.collect_set("key").alias("keys"), F.collect_set(pair).alias("m"))
+    return rows.select("id", "privacy", "keys", F.col("m.target").alias("matched"), F.col("m.hidden").alias("hidden"), *by)
+
+
+def matched_edges(memory: Memory, definition: dict) -> DataFrame:
+    """Distinct source, target of a join. A source whose key has more than one target raises."""
+    return _pairs(met(memory, definition)).select("source", "target")
+
+
+def _pairs(table: DataFrame) -> DataFrame:
+    """source, target, privacy of met()."""
+    rows = table.select(F.col("id").alias("source"), F.explode(F.arrays_zip("matched", "hidden")).alias("m"))
+    return rows.select("source", F.col("m.matched").alias("target"), F.when(F.col("m.hidden"), "private").otherwise("public").alias("privacy"))
 
 
 def materialize_join(memory: Memory, name: str, relation: str, definition: dict) -> DataFrame:
     """Adds the join's new edges (earlier ones stay, inactive ones stay inactive) and returns its counters:
     created, previously_active, previously_inactive, and the sources without an edge: skipped_null_or_missing
     (no whole key) and skipped_unmatched (keys, but no target for any of them)."""
+    return keep(memory, name, relation, definition, written(met(memory, definition), "edges"))
+
+
+def keep(memory: Memory, name: str, relation: str, definition: dict, table: DataFrame) -> DataFrame:
+    """materialize_join() of a table of met() that lies somewhere: the new edges are read from it, as are the counters."""
     full = definition | {"relation": relation}
-    earlier = memory.join_conflict(name, full)
-    source, target, keys, targets, cond = _setup(memory, definition)
-    old = earlier.df if earlier else memory.spark.createDataFrame([], f"source {source.id_type}, target {target.id_type}, active boolean, privacy string")
-    state = matched_edges(memory, definition).join(old.select("source", "target", F.col("active").alias("_old")), ["source", "target"], "left")
-    state = written(state, "edges")  # counters and the new edges are read from it
-    # One row per source: whether it has a key, and whether a target.
-    of = source.df.select(F.col("id").alias("s_id"), F.lit(False).alias("keyed"), F.lit(False).alias("met"))
-    of = of.union(keys.select("s_id", F.lit(True), F.lit(False))).union(state.select("source", F.lit(True), F.lit(True)))
-    of = of.groupBy("s_id").agg(F.bool_or("keyed").alias("keyed"), F.bool_or("met").alias("met"))
-    skipped = of.agg(F.count_if(~F.col("keyed")).alias("skipped_null_or_missing"), F.count_if(F.col("keyed") & ~F.col("met")).alias("skipped_unmatched")).first()
-    found = state.agg(F.count_if(F.col("_old").isNull()).alias("created"), F.count_if(F.col("_old")).alias("previously_active"), F.count_if(~F.col("_old")).alias("previously_inactive")).first()
-    made = state.filter(F.col("_old").isNull()).select("source", "target", F.lit(True).alias("active"), F.lit("public").alias("privacy"))
-    fresh = memory.with_end_privacy(made, source.name, target.name)
+    earlier, pairs = memory.join_conflict(name, full), _pairs(table)
+    source, target = definition["from"]["type"], definition["to"]["type"]
+    keyed, hit = F.size("keys") > 0, F.size("matched")
+    got = table.agg(F.count_if(~keyed).alias("skipped_null_or_missing"), F.count_if(keyed & (hit == 0)).alias("skipped_unmatched"), F.coalesce(F.sum(hit), F.lit(0)).alias("created")).first()
+    found = {"created": got["created"], "previously_active": 0, "previously_inactive": 0}
+    if earlier:
+        state = written(pairs.join(earlier.df.select("source", "target", F.col("active").alias("_old")), ["source", "target"], "left"), "edges")
+        found = state.agg(F.count_if(F.col("_old").isNull()).alias("created"), F.count_if(F.col("_old")).alias("previously_active"), F.count_if(~F.col("_old")).alias("previously_inactive")).first().asDict()
+        pairs = state.filter(F.col("_old").isNull())
+    fresh = pairs.select("source", "target", F.lit(True).alias("active"), "privacy")
     if not earlier:
-        memory.register_relation(relation, source.name, target.name, fresh, name, full)
+        memory.register_relation(relation, source, target, fresh, name, full)
     elif found["created"]:  # else no fact has changed
         memory.note(earlier.name, "upsert", fresh)
-        memory.relations[memory.relations.index(earlier)] = type(earlier)(relation, name, source.name, target.name, old.unionByName(fresh), full)
+        memory.relations[memory.relations.index(earlier)] = type(earlier)(relation, name, source, target, earlier.df.unionByName(fresh), full)
         memory.revision += 1
-    counters = {**found.asDict(), **skipped.asDict()}
+    counters = found | {c: got[c] for c in ("skipped_null_or_missing", "skipped_unmatched")}
     return memory.spark.createDataFrame([tuple(counters.values())], ", ".join(f"{c} long" for c in counters))
 
 
@@ -144,4 +179,4 @@ def reason_histogram(inspection: DataFrame) -> DataFrame:
     return inspection.groupBy("reason").agg(F.count("*").alias("n_sources"), F.sum("n_keys").alias("n_keys"))
 
 
-__all__ = ["JoinError", "inspect_relation", "matched_edges", "materialize_join", "reason_histogram"]
+__all__ = ["JoinError", "inspect_relation", "keep", "matched_edges", "materialize_join", "met", "reason_histogram"]

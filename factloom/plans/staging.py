@@ -27,7 +27,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: computed once, without lineage. It goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/factloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # ids are hex texts, which Snappy leaves as they are
     passing(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
