@@ -22,7 +22,6 @@ from ..memory import Memory
 from ..plans import aggregate
 from ..plans.compile import node_id
 from ..plans.ir import Query2, parse_v2
-from ..plans.staging import written
 from ..sources import files
 from . import provenance
 from .lifecycle import freshness, population_hash
@@ -39,16 +38,21 @@ def _keys(q: Query2) -> list[str]:
     return [n for g in q.groups for n in (f"{g[0]}_kind", g[0])]
 
 
-def _members(memory: Memory, q: Query2) -> DataFrame:
-    """The typed key's columns, measure, node_id, occurrences, value: each node that a measure counts; a sum's has its value, or null
-    where the sum skips it."""
-    rows, keys, out = aggregate.binding_frame(memory, q), aggregate._keys(memory, q), None
+def _members(memory: Memory, q: Query2, rows: DataFrame) -> DataFrame:
+    """The typed key's columns, measure, node_id, occurrences, value: each node that a measure counts in the matches; a sum's has its value, or
+    null where the sum skips it. Measures of one owner take one aggregation."""
+    keys, owners, out = aggregate._keys(memory, q), {}, None
     for m in q.measures:
-        owner = m.node or m.field[0]
-        used = rows.filter(aggregate._when(q, m) & node_id(owner).isNotNull())
-        value = aggregate._summed(memory, q, m).cast("bigint") if m.op == "sum" else F.lit(None).cast("bigint")
-        one = used.groupBy(*(k.alias(n) for k, n in zip(keys, _keys(q))), node_id(owner).cast("string").alias("node_id")).agg(F.count("*").alias("occurrences"), F.max(value).alias("value"))
-        one = one.select(*_keys(q), F.lit(m.name).alias("measure"), "node_id", "occurrences", "value")
+        owners.setdefault(m.node or m.field[0], []).append(m)
+    for owner, measures in owners.items():
+        aggs, each = [], []
+        for i, m in enumerate(measures):
+            used = aggregate._when(q, m)
+            value = aggregate._summed(memory, q, m).cast("bigint") if m.op == "sum" else F.lit(None).cast("bigint")
+            aggs += [F.count_if(used).alias(f"_n{i}"), F.max(F.when(used, value)).alias(f"_v{i}")]
+            each.append(F.struct(F.lit(m.name).alias("measure"), F.col(f"_n{i}").alias("occurrences"), F.col(f"_v{i}").alias("value")))
+        one = rows.filter(node_id(owner).isNotNull()).groupBy(*(k.alias(n) for k, n in zip(keys, _keys(q))), node_id(owner).cast("string").alias("node_id")).agg(*aggs)
+        one = one.select(*_keys(q), "node_id", F.explode(F.array(*each)).alias("_x")).filter("_x.occurrences > 0").select(*_keys(q), "_x.measure", "node_id", "_x.occurrences", "_x.value")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -65,9 +69,9 @@ def _provenance(memory: Memory, q: Query2, bindings: DataFrame) -> DataFrame:
     return out
 
 
-def _bindings(memory: Memory, q: Query2) -> DataFrame:
+def _bindings(memory: Memory, q: Query2, rows: DataFrame) -> DataFrame:
     keys = [k.alias(n) for k, n in zip(aggregate._keys(memory, q), _keys(q))]
-    return aggregate.binding_frame(memory, q).select(*keys, *(node_id(a).cast("string").alias(a) for a in _types(q)))
+    return rows.select(*keys, *(node_id(a).cast("string").alias(a) for a in _types(q)))
 
 
 def _public(memory: Memory, q: Query2, bindings: DataFrame) -> bool:
@@ -106,13 +110,19 @@ def capture(memory: Memory, root: str, members: dict[str, dict], definition_vers
     if files.exists(spark, f"{folder}/manifest.json"):
         return read(spark, root, identity, memory)
     files.delete(spark, folder)  # what a capture left that didn't end
-    public, shape = True, {}
+    public, shape, queries = True, {}, {}
     for name, document in members.items():
-        q = parse_v2({k: v for k, v in document.items() if k not in ("limit", "offset", "order_by")})
+        queries[name] = parse_v2({k: v for k, v in document.items() if k not in ("limit", "offset", "order_by")})
         if not name.isidentifier():
             raise QueryValidationError(f"bad member name {name!r}")
-        bindings = written(_bindings(memory, q), "bindings")
-        tables = {"results": aggregate.groups(memory, q), "members": _members(memory, q), "bindings": bindings, "provenance": _provenance(memory, q, bindings)}
+    # Each pattern is matched once, whatever number of tables and members is read from its matches.
+    matches = aggregate.shared_matches(memory, queries, alone=True)
+    for name, document in members.items():
+        q, own = queries[name], matches[name]
+        bindings = _bindings(memory, q, own)
+        bindings.write.parquet(f"{folder}/{name}/bindings")
+        bindings = spark.read.schema(bindings.schema).parquet(f"{folder}/{name}/bindings")
+        tables = {"results": aggregate.groups(memory, q, own), "members": _members(memory, q, own), "provenance": _provenance(memory, q, bindings)}
         for table, rows in tables.items():
             rows.write.parquet(f"{folder}/{name}/{table}")
         public = public and _public(memory, q, bindings)

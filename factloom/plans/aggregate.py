@@ -230,23 +230,24 @@ def fields_read(q: Query2) -> dict[str, set[str]]:
     return out
 
 
-def shared_matches(memory: Memory, members: dict[str, Query2]) -> dict[str, DataFrame]:
+def shared_matches(memory: Memory, members: dict[str, Query2], alone: bool = False) -> dict[str, DataFrame]:
     """The bindings of members that share their pattern with another: matched once, without the base's predicates, and written with the
-    columns that any of them reads; each member filters that table. What is in the optional branch has to be the same."""
+    columns that any of them reads; each member filters that table. What is in the optional branch has to be the same. alone: those of a
+    member that shares its pattern with none too, with its predicates."""
     alike: dict[str, list[str]] = {}
     for name, q in members.items():
         alike.setdefault(repr((sorted(q.base.nodes.items()), q.base.edges, q.optional, q.optional_alias)), []).append(name)
     out = {}
     for names in alike.values():
-        if len(names) < 2:
+        if len(names) < 2 and not alone:
             continue
-        first = members[names[0]]
-        rows = binding_frame(memory, replace(first, base=replace(first.base, where=())))
+        first, several = members[names[0]], len(names) > 1
+        rows = binding_frame(memory, replace(first, base=replace(first.base, where=())) if several else first)
         wanted = {f"{a}__{c}_{f}" for n in names for a, fs in fields_read(members[n]).items() for f in fs for c in "vpci"}
         rows = written(rows.select(*(c for c in rows.columns if c.endswith("__id") or c in wanted)), "matches")
         for n in names:
             q, own = members[n], rows
-            for p in q.base.where:
+            for p in q.base.where if several else ():
                 own = own.filter(predicate(p, fields_of(memory, q.base.nodes, p), V2))
             out[n] = own
     return out
