@@ -46,6 +46,8 @@ class Entity:
     df: DataFrame
     fields: dict[str, Field]
     id_type: str = "string"
+    #: Whether each id surely stands in one row, as an import has checked.
+    unique: bool = False
 
     def field(self, name: str) -> Field:
         if name not in self.fields:

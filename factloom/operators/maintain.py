@@ -44,10 +44,9 @@ def _active() -> Column:
     return F.transform("matched", lambda t: F.struct(t.alias("target"), F.lit(True).alias("active")))
 
 
-def _keyed(e: Entity, fields: list[str], paired: list) -> DataFrame:
-    """id and key (an array of texts, one for each field): a row per key tuple."""
-    rows = relate.key_rows(e, fields, paired, "x_")
-    return rows.select(F.col("x_id").alias("id"), relate.key_texts(rows, "x_").alias("key")).distinct()
+def _inverted(rows: DataFrame) -> DataFrame:
+    """id and key (an array of texts, one for each field): a row per key tuple of rows with keys."""
+    return rows.select("id", F.explode("keys").alias("key"))
 
 
 class JoinIndex:
@@ -108,39 +107,27 @@ class JoinIndex:
         rows = self.memory.spark.read.schema(self.state["schemas"][table]).parquet(f"{self.root}/{path}/{table}")
         return rows.withColumn("edges", F.coalesce("edges", _active())) if table == "forward_s" else rows
 
-    def _found(self, table: str, wanted: DataFrame, by: str) -> DataFrame:
-        """The table's current rows whose `by` is in wanted: a semi-join that reads the wanted rows' buckets alone, and shuffles few others."""
-        wanted = written(wanted.select(by).distinct(), "join-wanted")
+    def _found(self, table: str, wanted: DataFrame, by: str, exact: bool = True) -> DataFrame:
+        """The table's current rows whose `by` is in wanted, a table that lies somewhere: a semi-join that reads the wanted rows' buckets alone,
+        and shuffles few others. Not exact: there may be some others, and nothing is shuffled for many wanted rows."""
         touched = {r["b"]: r["count"] for r in wanted.groupBy(self._bucket(F.col(by)).alias("b")).count().collect()}
         rows, n = self._rows(table, sorted(touched)), sum(touched.values())
         if n > FEW:
             rows = Likely(wanted, by, rows=n).of(rows, by)
-        return rows.join(wanted, by, "left_semi")
+        return rows.join(wanted, by, "left_semi") if exact or n <= FEW else rows
 
     # -- building -----------------------------------------------------------------------------------------------------
     def _write(self, path: str, tables: dict[str, DataFrame]) -> None:
+        """Each task writes its rows into their buckets: they aren't shuffled for that, and a key that a third of them has is written by many tasks."""
         for name, rows in tables.items():
             by = F.col("key" if name.startswith("inverted") else "id")
-            # Ranges of bucket and id: a key that a third of the rows has is written by many tasks.
-            rows.withColumn("b", self._bucket(by)).repartitionByRange("b", "id").write.partitionBy("b").option("compression", "zstd").parquet(f"{self.root}/{path}/{name}")
+            rows.withColumn("b", self._bucket(by)).write.partitionBy("b").option("compression", "zstd").parquet(f"{self.root}/{path}/{name}")
 
     def _part(self) -> Column:
         """Parts of a bucket, so that there are some for every task of a shuffle."""
         n = 4 * int(self.memory.spark.conf.get("spark.sql.shuffle.partitions"))
         return F.pmod(F.xxhash64("id", F.lit(1)), F.lit(-(-n // self.buckets)))
 
-    def _forward(self, ids: DataFrame, keys: DataFrame, lists: dict[str, DataFrame]) -> DataFrame:
-        """ids (id, privacy, gone) with lists of their key tuples and of more (id, x)."""
-        out = ids.join(keys.groupBy("id").agg(F.collect_set("key").alias("keys")), "id", "left")
-        for name, rows in lists.items():
-            out = out.join(rows.groupBy("id").agg(F.collect_set("x").alias(name)), "id", "left")
-        kinds = {"keys": "array<array<string>>"} | {n: f"array<{rows.schema['x'].dataType.simpleString()}>" for n, rows in lists.items()}
-        return out.withColumns({n: F.coalesce(n, F.array().cast(k)) for n, k in kinds.items()})
-
-    @staticmethod
-    def _edge() -> Column:
-        return F.struct("target", "active").alias("x")
-
     def build(self) -> dict:
         """A full run, and the index of what it saw. Returns the run's counters."""
         source, target, targets, sources = self._sides()
@@ -163,11 +150,9 @@ class JoinIndex:
         found = self.memory.spark.read.schema(found.schema).parquet(f"{self.root}/{path}/forward_s")
         if not earlier:
             counters = relate.keep(self.memory, self.name, self.relation, self.definition, found).first().asDict()
-        t_keys = _keyed(target, self.definition["to"]["fields"], sources)
-        tables = {
-            "inverted_s": found.select("id", F.explode("keys").alias("key")),
-            "forward_t": self._forward(target.df.select("id", "privacy", F.lit(False).alias("gone")), t_keys, {}), "inverted_t": t_keys,
-        }
+        t_keys = relate.key_lists(target, self.definition["to"]["fields"], sources, F.col("privacy"), F.lit(False).alias("gone"))
+        t_keys = t_keys if target.unique else t_keys.distinct()
+        tables = {"inverted_s": _inverted(found), "forward_t": t_keys, "inverted_t": _inverted(t_keys) if target.unique else _inverted(t_keys).distinct()}
         self._write(path, tables)
         tables["forward_s"] = found.select("id", "privacy", "gone", "keys", "matched", "edges")
         schemas = {n: ", ".join(f"`{c}` {t}" for c, t in [*rows.dtypes, ("b", "int")]) for n, rows in tables.items()}
@@ -176,11 +161,14 @@ class JoinIndex:
         return counters
 
     @staticmethod
-    def _totals(rows: DataFrame) -> dict[str, int]:
+    def _told(keys: str = "keys", matched: str = "matched", edges: str = "edges") -> list[Column]:
+        """TOTALS of a source, as numbers: with a key, with a match, and its matches by the state of the edge."""
+        of = lambda state: F.size(F.filter(edges, lambda e: (e["active"] == state) & F.array_contains(matched, e["target"])))
+        return [F.lit(1), (F.size(keys) > 0).cast("int"), (F.size(matched) > 0).cast("int"), of(True), of(False)]
+
+    def _totals(self, rows: DataFrame) -> dict[str, int]:
         """Of current sources: how many, with a key, with a match, and their matches by the state of the edge."""
-        of = lambda state: F.size(F.filter("edges", lambda e: (e["active"] == state) & F.array_contains("matched", e["target"])))
-        got = rows.agg(F.count("*"), F.count_if(F.size("keys") > 0), F.count_if(F.size("matched") > 0), F.sum(of(True)), F.sum(of(False))).first()
-        return {n: int(v or 0) for n, v in zip(TOTALS, got)}
+        return dict(zip(TOTALS, rows.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in self._told())).first()))
 
     # -- refreshing ---------------------------------------------------------------------------------------------------
     def _delta(self, e: Entity, fields: list[str], seen: int) -> DataFrame | None:
@@ -215,56 +203,78 @@ class JoinIndex:
         if ds is None and dt is None and touched is None:
             return self._counters(self.state["totals"], 0) | {"rebuilt": False, "rematched": 0}
         ds, dt = ds if ds is not None else self._none(source, sf), dt if dt is not None else self._none(target, tf)
-        s_new = _keyed(replace(source, df=ds.filter("not gone")), sf, s_pair)
-        t_new = _keyed(replace(target, df=dt.filter("not gone")), tf, t_pair)
+        s_new = relate.key_lists(replace(source, df=ds), sf, s_pair, F.col("privacy"), F.col("gone"))
+        t_new = relate.key_lists(replace(target, df=dt), tf, t_pair, F.col("privacy"), F.col("gone"))
+        there = F.when(~F.col("gone"), F.col("keys")).otherwise(F.array().cast("array<array<string>>"))
+        s_new, t_new = s_new.withColumn("keys", there), t_new.withColumn("keys", there)
         # Keys that a changed target has or had; the sources with one of them.
-        t_old = self._found("forward_t", dt, "id").select("id", F.explode("keys").alias("key"))
-        hit = self._found("inverted_s", t_old.union(t_new).select("key"), "key").select("id")
+        t_old = _inverted(self._found("forward_t", dt.select("id"), "id"))
+        hit = self._found("inverted_s", written(t_old.union(_inverted(t_new)).select("key").distinct(), "join-wanted"), "key").select("id")
         affected = ds.select("id").union(hit)
         if touched is not None:
             affected = affected.union(touched.select(F.col("source").alias("id")))
         affected = written(affected.distinct(), "join-affected")
-        # What the affected sources were, and what they are.
-        before = written(self._found("forward_s", affected, "id").drop("b"), "join-before")
-        kept = before.join(ds.select("id"), "id", "left_anti")
-        keys = written(kept.select("id", F.explode("keys").alias("key")).union(s_new), "join-keys")
-        index = self._found("inverted_t", keys, "key").select("id", "key").join(dt.select("id"), "id", "left_anti").union(t_new)
-        index = index.groupBy("key").agg(F.min("id").alias("t"), (F.min("id") != F.max("id")).alias("many"))
-        one = F.when(F.col("many"), F.raise_error(F.lit("ambiguous_target: multiple targets for a key")).cast(target.id_type)).otherwise(F.col("t"))
-        matched = written(keys.join(index, "key").select("id", one.alias("x")).distinct(), "join-matched")
-        had = before.select("id", F.explode("edges").alias("e")).select("id", F.col("e.target").alias("x"), F.col("e.active").alias("active"))
-        if touched is not None:
-            told = touched.select(F.col("source").alias("id"), F.col("target").alias("x"), "active", "gone")
-            had = had.join(told.select("id", "x"), ["id", "x"], "left_anti").union(told.filter("not gone").drop("gone"))
-        ids = kept.select("id", "privacy", F.lit(False).alias("gone")).union(ds.select("id", "privacy", "gone"))
-        had = had.join(ids.filter("not gone").select("id"), "id", "left_semi")
-        made = written(matched.join(had.select("id", "x"), ["id", "x"], "left_anti"), "join-made")
-        fresh = self._private(made, ids, dt)
-        edges = had.union(made.select("id", "x", F.lit(True))).select("id", F.struct(F.col("x").alias("target"), "active").alias("x"))
-        after = self._forward(ids, keys, {"matched": matched, "edges": edges})
+        now = written(self._now(affected, s_new, touched), "join-now")
+        rows = self._matched(now, dt, t_new, target.id_type)
+        made = F.filter("matched", lambda t: ~F.exists("edges", lambda e: e["target"] == t))
+        after = rows.withColumn("made", made).withColumn("edges", F.concat("edges", F.transform("made", lambda t: F.struct(t.alias("target"), F.lit(True).alias("active")))))
         path = f"{uuid.uuid4().hex[:12]}-delta"
-        self._write(path, {"forward_s": after, "inverted_s": keys, "forward_t": self._forward(dt.select("id", "privacy", "gone"), t_new, {}), "inverted_t": t_new})
-        wrote = self._read(path, "forward_s").filter("not gone")
-        less, more = self._totals(before), self._totals(wrote)
-        totals = {n: self.state["totals"][n] - less[n] + more[n] for n in TOTALS}
-        n_made = made.count()
+        self._write(path, {"forward_s": after})
+        wrote = self.memory.spark.read.schema(after.schema).parquet(f"{self.root}/{path}/forward_s")
+        self._write(path, {"inverted_s": _inverted(wrote), "forward_t": t_new, "inverted_t": _inverted(t_new)})
+        here = [F.when(~F.col("gone"), c) for c in self._told()]
+        less = [F.coalesce(F.col("was")[n], F.lit(0)) for n in TOTALS]
+        got = wrote.agg(*(F.coalesce(F.sum(F.coalesce(h, F.lit(0)) - x), F.lit(0)).alias(n) for n, h, x in zip(TOTALS, here, less)), F.coalesce(F.sum(F.size("made")), F.lit(0)).alias("made"), F.count_if(~F.col("gone")).alias("left")).first()
+        totals, n_made = {n: self.state["totals"][n] + got[n] for n in TOTALS}, got["made"]
         if n_made:
+            fresh = self._private(wrote.select(F.col("id").alias("source"), F.col("privacy").alias("_s"), F.explode("made").alias("target")), dt)
             self.memory.note(rel.name, "upsert", fresh)
             self.memory.relations[self.memory.relations.index(rel)] = replace(rel, df=rel.df.unionByName(fresh))
             self.memory.revision += 1
         self._mark([*self.state["segments"], {"path": path}], totals, self.state["buckets"], self.state["schemas"])
         if len(self.state["segments"]) > MOST_SEGMENTS:
             self.compact()
-        return self._counters(totals, n_made) | {"rebuilt": False, "rematched": wrote.count()}
-
-    def _private(self, made: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
-        """New edges as private as the stricter of their ends, which the index knows too."""
-        old = self._found("forward_t", made.select(F.col("x").alias("id")), "id").select("id", "privacy").join(targets.select("id"), "id", "left_anti")
+        return self._counters(totals, n_made) | {"rebuilt": False, "rematched": got["left"]}
+
+    def _now(self, affected: DataFrame, changed: DataFrame, touched: DataFrame | None) -> DataFrame:
+        """A row per affected source: id, privacy, gone, keys, the edges it has (with their state), and was, what it counted for before. All
+        that is known of a source is joined by its id at once."""
+        old = self._found("forward_s", affected, "id", exact=False).select("id", F.col("privacy").alias("_p"), F.col("keys").alias("_k"), F.col("edges").alias("_e"), F.struct(*(c.alias(n) for n, c in zip(TOTALS, self._told()))).alias("was"))
+        rows = affected.join(old, "id", "left").join(changed, "id", "left").filter(F.col("was").isNotNull() | F.col("gone").isNotNull())
+        none = F.array().cast(old.schema["_e"].dataType)
+        edges = F.coalesce("_e", none)
+        if touched is not None:
+            per = touched.groupBy(F.col("source").alias("id")).agg(F.collect_list(F.struct("target", "active", "gone")).alias("_t"))
+            rows = rows.join(per, "id", "left").withColumn("_t", F.coalesce("_t", F.array().cast(per.schema["_t"].dataType)))
+            said = F.transform(F.filter("_t", lambda t: ~t["gone"]), lambda t: F.struct(t["target"].alias("target"), t["active"].alias("active")))
+            edges = F.concat(F.filter(edges, lambda e: ~F.exists("_t", lambda t: t["target"] == e["target"])), said)
+        new = F.col("gone").isNotNull()
+        gone = F.coalesce("gone", F.lit(False))
+        return rows.select(
+            "id", F.when(new, F.col("privacy")).otherwise(F.col("_p")).alias("privacy"), gone.alias("gone"), F.when(new, F.col("keys")).otherwise(F.col("_k")).alias("keys"),
+            F.when(gone, none).otherwise(edges).alias("edges"), "was",
+        )
+
+    def _matched(self, now: DataFrame, dt: DataFrame, t_new: DataFrame, id_type: str) -> DataFrame:
+        """now with matched, the targets of the keys. Where no source has more than one key, its row goes to the key and stays there."""
+        index = self._found("inverted_t", _inverted(now).select("key"), "key", exact=False).select("id", "key").join(dt.select("id"), "id", "left_anti").union(_inverted(t_new))
+        index = index.groupBy("key").agg(F.min("id").alias("t"), (F.min("id") != F.max("id")).alias("many"))
+        one = F.when(F.col("many"), F.raise_error(F.lit("ambiguous_target: multiple targets for a key")).cast(id_type)).otherwise(F.col("t"))
+        none = F.array().cast(f"array<{id_type}>")
+        if not now.filter(F.size("keys") > 1).isEmpty():
+            per = _inverted(now).join(index, "key").groupBy("id").agg(F.collect_set(one).alias("matched"))
+            return now.join(per, "id", "left").withColumn("matched", F.coalesce("matched", none))
+        rows = now.filter(F.size("keys") > 0).withColumn("key", F.col("keys")[0]).join(index, "key", "left")
+        rows = rows.select(*now.columns, F.when(F.col("t").isNotNull(), F.array(one)).otherwise(none).alias("matched"))
+        return rows.union(now.filter(F.size("keys") == 0).withColumn("matched", none))  # sources without a key would share a partition
+
+    def _private(self, made: DataFrame, targets: DataFrame) -> DataFrame:
+        """New edges (source, target, _s: the source's privacy) as private as the stricter of their ends, which the index knows too."""
+        wanted = written(made.select(F.col("target").alias("id")).distinct(), "join-wanted")
+        old = self._found("forward_t", wanted, "id", exact=False).select("id", "privacy").join(targets.select("id"), "id", "left_anti")
         t = old.union(targets.filter("not gone").select("id", "privacy")).select(F.col("id").alias("target"), F.col("privacy").alias("_t"))
-        s = sources.select(F.col("id").alias("source"), F.col("privacy").alias("_s"))
         strict = F.when((F.col("_s") == "private") | (F.col("_t") == "private"), "private").otherwise("public")
-        rows = made.select(F.col("id").alias("source"), F.col("x").alias("target")).join(s, "source").join(t, "target")
-        return written(rows.select("source", "target", F.lit(True).alias("active"), strict.alias("privacy")), "join-fresh")
+        return written(made.join(t, "target").select("source", "target", F.lit(True).alias("active"), strict.alias("privacy")), "join-fresh")
 
     def _edges(self, rel, seen: int) -> DataFrame | None:
         """source, target, active, gone of the edges that others changed since."""

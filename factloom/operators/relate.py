@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +63,22 @@ def key_rows(e: Entity, fields: list[str], paired: list[Field], prefix: str, *mo
     return df
 
 
+def key_lists(e: Entity, fields: list[str], paired: list[Field], *more: Column) -> DataFrame:
+    """id, more and keys, all key tuples of a row as arrays of texts (see key_texts): no row is made more than one."""
+    df = e.df.select("id", *more, *(p.alias(f"_a{i}") for i, p in enumerate(_parts(e, fields, paired))))
+    keys = F.array(F.array().cast("array<string>"))
+    for i in range(len(fields)):
+        double = df.schema[f"_a{i}"].dataType.elementType.simpleString() == "double"
+        texts = F.transform(f"_a{i}", lambda x: (x + F.lit(0.0) if double else x).cast("string"))  # noqa: B023
+        keys = F.flatten(F.transform(keys, lambda k: F.transform(texts, lambda x: F.concat(k, F.array(x)))))  # noqa: B023
+    return df.select(*(c for c in df.columns if not re.fullmatch(r"_a\d+", c)), F.array_distinct(keys).alias("keys"))
+
+
+def single(e: Entity, fields: list[str]) -> bool:
+    """Whether a row has at most one key tuple."""
+    return all(e.field(f).kind != "array" for f in fields)
+
+
 def _setup(memory: Memory, definition: dict):
     source, target = memory.entity(definition["from"]["type"]), memory.entity(definition["to"]["type"])
     sf, tf = definition["from"]["fields"], definition["to"]["fields"]
@@ -85,7 +103,8 @@ def key_texts(rows: DataFrame, prefix: str) -> Column:
 def met(memory: Memory, definition: dict, texts: bool = False, by: dict[str, Column] | None = None) -> DataFrame:
     """A row per source: id, privacy, keys (its key tuples as texts; without texts only whether there are any), matched (the targets
     they hit) and, beside each, whether it is private. A source whose key has more than one target raises. by: columns of the id
-    that the rows are dealt out by and keep. Ids and keys are shuffled once by the key, and once with the targets by the source."""
+    that the rows are dealt out by and keep. Ids and keys are shuffled once by the key, and where a source may have several rows or keys,
+    once with the targets by the source; else they stay where the key brought them."""
     source, target, keys, targets, cond = _setup(memory, definition)
     tk = [c for c in targets.columns if c.startswith("t_k")]
     # Per key its only target; a key with more is an error only when a source hits it.
@@ -101,6 +120,9 @@ def met(memory: Memory, definition: dict, texts: bool = False, by: dict[str, Col
     # Sources without a key stay out of the join, where they would share a partition.
     rest = source.df.filter(keyless).select("id", "privacy", *(F.lit(None).cast(hits.schema[c].dataType).alias(c) for c in ("key", "target", "hidden")))
     rows, by = hits.union(rest), by or {}
+    if source.unique and single(source, definition["from"]["fields"]):
+        some = lambda c: F.when(F.col("target" if c == "hidden" else c).isNotNull(), F.array(c)).otherwise(F.array().cast(f"array<{hits.schema[c].dataType.simpleString()}>"))
+        return rows.select("id", "privacy", some("key").alias("keys"), some("target").alias("matched"), some("hidden").alias("hidden"), *(c.alias(n) for n, c in by.items()))
     if by:
         rows = rows.withColumns(by).repartition(*by)
     pair = F.when(F.col("target").isNotNull(), F.struct("target", "hidden"))

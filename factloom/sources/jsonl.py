@@ -273,7 +273,9 @@ def _import(memory: Memory, entity_type: str, rows: DataFrame, key: dict[str, st
             memory.note(entity_type, "full")
         else:
             memory.note(entity_type, "upsert", table.filter("_new").select(*rows.columns))
-        memory.entities[entity_type] = Entity(entity_type, rows, fields, "string")
+        # A new node's id could be one whose key another import has changed since.
+        unique = old is None or (old.unique and not got["created"])
+        memory.entities[entity_type] = Entity(entity_type, rows, fields, "string", unique)
         memory.revision += 1
     result = {"created": got["created"], "updated": got["n"] - got["created"], "ontology_delta": delta, "replayed": False}
     return result, table.filter(told).select("id", F.col("line").alias("record"), "_fields")
