@@ -19,7 +19,8 @@ map-side). Where two share a surrogate, or a surrogate equals a real entity, the
 next attempt's, until none collides. Each attempt's names are a syllable longer and its mail addresses a
 letter, so their space outgrows any number of entities within a few rounds. The other types keep their
 format's length; where a corpus fills a format, the job fails after MAX_ROUNDS. Only documents that hold such an entity are joined with the
-new surrogates; all others are rewritten in the map over the texts.
+new surrogates; all others are rewritten in the map over the texts. The check keeps its tables on the executors' disks and writes files of
+colliding entities alone: Hadoop's local files start a process (chmod) each, which for a moment counts as large as its executor.
 
 Defined cases: null text stays null, empty text empty; repeated rows are rewritten alike; an empty
 table gives an empty result. Other columns pass through unchanged, whatever their names.
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from .staging import drop, staged
 
@@ -189,34 +191,39 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return each.select("kind", normal(F.col("kind"), F.col("value")).alias("norm"), "value").groupBy("kind", "norm").agg(F.min("value").alias("value"))
 
 
+def _kept(df: DataFrame) -> tuple[DataFrame, int]:
+    """df on the executors' disks, computed once, and its number of rows. Lost parts are computed anew."""
+    df = df.persist(StorageLevel.DISK_ONLY)
+    return df, df.count()
+
+
 def overrides(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame | None:
-    """kind, norm, attempt of the entities whose first surrogate collides; None if there are none."""
-    known = staged(entities(docs, text_col).withColumn("attempt", F.lit(0)), "entities")
-    changed, rounds = False, 0
+    """kind, norm, attempt of the entities whose first surrogate collides, a written table; None if there are none."""
+    known, _ = _kept(entities(docs, text_col))
+    again, rounds = None, 0
     while True:
-        tried = known.select("*", F.struct("kind", "value", *streams(key, F.col("kind"), F.col("value"), F.col("norm"), F.col("attempt"))).alias("_e"))
+        tried = known.withColumn("attempt", F.lit(0)) if again is None else known.join(again, ["kind", "norm"], "left").fillna(0, "attempt")
+        tried = tried.select("kind", "norm", F.struct("kind", "value", *streams(key, F.col("kind"), F.col("value"), F.col("norm"), F.col("attempt"))).alias("_e"))
         tried = tried.select("kind", "norm", surrogate(F.col("_e")).alias("new")).select("kind", "norm", normal(F.col("kind"), F.col("new")).alias("new"))
-        tried = staged(tried, "tried")
+        tried, _ = _kept(tried)
         real = known.select("kind", F.col("norm").alias("new"))
         keep = tried.groupBy("kind", "new").agg(F.count("*").alias("n"), F.min("norm").alias("first")).filter("n > 1")
         shared = tried.join(keep, ["kind", "new"]).filter(F.col("norm") != F.col("first")).select("kind", "norm")
         equal = tried.join(real, ["kind", "new"], "left_semi").select("kind", "norm")
-        bad = shared.union(equal).distinct().withColumn("bad", F.lit(1))
-        bad = staged(bad, "collisions")
-        drop(tried)
-        if bad.isEmpty():
-            drop(bad)
-            break
-        changed, rounds = True, rounds + 1
+        bad, n_bad = _kept(shared.union(equal).distinct().withColumn("attempt", F.lit(1)))
+        rounds += n_bad > 0
         if rounds == MAX_ROUNDS:
             raise ValueError(f"entities without a surrogate of their own after {rounds} rounds: {[tuple(r) for r in bad.groupBy('kind').count().collect()]}")
-        after = staged(known.join(bad, ["kind", "norm"], "left").select("kind", "norm", "value", (F.col("attempt") + F.coalesce("bad", F.lit(0))).alias("attempt")), "entities")
-        drop(known, bad)
-        known = after
-    if not changed:
-        drop(known)
-        return None
-    return known.filter("attempt > 0")
+        if n_bad:  # written, so that lineage doesn't grow with the rounds
+            before, moved = again, bad if again is None else again.union(bad)
+            again = staged(moved.groupBy("kind", "norm").agg(F.sum("attempt").cast("int").alias("attempt")), "entities")
+            if before is not None:
+                drop(before)
+        bad.unpersist()
+        tried.unpersist()
+        if not n_bad:
+            known.unpersist()
+            return again
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = "n_entities") -> DataFrame:
@@ -254,6 +261,8 @@ def _with_attempts(wide: DataFrame, again: DataFrame) -> DataFrame:
     key = F.xxhash64("_text")
     held = wide.filter(F.size("_found") > 0).select(key.alias("_key"), F.explode(F.array_distinct("_found")).alias("value"))
     held = held.select("_key", kind_of(F.col("value")).alias("kind"), "value").select("_key", "kind", normal(F.col("kind"), F.col("value")).alias("norm")).distinct()
-    maps = held.join(again.select("kind", "norm", "attempt"), ["kind", "norm"]).groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "norm"), "attempt"))).alias("_attempts"))
+    maps = held.join(again, ["kind", "norm"]).groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "norm"), "attempt"))).alias("_attempts"))
     # A written table's size is known when the join is planned: below the threshold no text is shuffled.
-    return wide.withColumn("_key", key).join(staged(maps, "attempts"), "_key", "left").drop("_key")
+    maps = staged(maps, "attempts")
+    drop(again)
+    return wide.withColumn("_key", key).join(maps, "_key", "left").drop("_key")

@@ -277,6 +277,30 @@ def test_pii_collisions_are_resolved(spark, monkeypatch):
     assert len(set(got)) == 25 and not set(got) & set(texts)
 
 
+def test_pii_collision_check_writes_few_files(spark, monkeypatch):
+    """With many partitions that stay apart, a corpus without collisions writes no table, one with them tables of colliding
+    entities alone; nothing stays persisted."""
+    names, real, number = [], pii.staged, pii._number
+    monkeypatch.setattr(pii, "staged", lambda df, name: names.append(name) or real(df, name))
+    texts = [f"host 10.0.{k % 5}.{k // 5} of kate{k:02}@example.org end" for k in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    conf = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, kept = {k: spark.conf.get(k) for k in conf}, spark.sparkContext._jsc.getPersistentRDDs().size()
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = [r["text"] for r in pii.pseudonymise(df, "k").collect()]
+        assert len(set(got)) == 60 and not set(got) & set(texts) and names == []
+        monkeypatch.setattr(pii, "_number", lambda s, i, digits=2: number(s, i, digits) % 5 if digits == 4 else number(s, i, digits))
+        got = [r["text"] for r in pii.pseudonymise(df, "k").collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len({x.split()[1] for x in got}) == 60 and not {x.split()[1] for x in got} & {x.split()[1] for x in texts}
+    assert set(names[:-1]) == {"entities"} and names[-1] == "attempts"
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == kept
+
+
 def test_pii_surrogates_are_functions_of_the_normal_form(spark):
     """Spellings of one entity have equal normal forms, and so have their surrogates."""
     same_entity = [
