@@ -7,6 +7,7 @@ from dataclasses import replace
 from datetime import UTC, datetime
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -198,7 +199,8 @@ def import_jsonl(
     if idempotency in done:
         return done[idempotency] | {"replayed": True}
     total = lines.count() if total is None else total
-    rows = parsed(dealt(lines, total)).cache()
+    # On disk alone: in memory, batches of some MB take far more of the heap than Spark counts for them, until it is full.
+    rows = parsed(dealt(lines, total)).persist(StorageLevel.DISK_ONLY)
     try:
         result, seen = _import(memory, entity_type, rows, key, privacy, total)
     finally:
