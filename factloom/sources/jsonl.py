@@ -199,7 +199,7 @@ def import_jsonl(
     if idempotency in done:
         return done[idempotency] | {"replayed": True}
     total = lines.count() if total is None else total
-    # On disk alone: in memory, batches of some MB take far more of the heap than Spark counts for them, until it is full.
+    # On disk alone: in memory, they filled the executors' heap before Spark counted its share as full.
     rows = parsed(dealt(lines, total)).persist(StorageLevel.DISK_ONLY)
     try:
         result, seen = _import(memory, entity_type, rows, key, privacy, total)
